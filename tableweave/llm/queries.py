@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableweave.llm import exact_dedup, html_density, near_dedup, packing, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, warc_zip
+from tableweave.llm import exact_dedup, html_density, near_dedup, packing, pii_surrogates, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, warc_zip
 
 TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
+#: Stands for a secret of the deployment; who has it can tell which surrogate an entity gets.
+SURROGATE_KEY = "example-key"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +39,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
 
 
+def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_personal_data(table(spark, sf_dir, "documents"), SURROGATE_KEY).select("doc_id", "text", "n_entities")
+
+
 def op6_warc_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_zip.archive_round_trip(table(spark, sf_dir, "pages"))
 
