@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tableweave.llm import exact_dedup, packing, quality_rules
-from tableweave.llm.queries import TOKENIZER, tokenizer_path
+from tableweave.llm import exact_dedup, near_dedup, packing, pii_surrogates, quality_rules
+from tableweave.llm.queries import SURROGATE_KEY, TOKENIZER, tokenizer_path
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,11 +16,19 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.drop_near_duplicates(docs)
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pii_surrogates.replace_personal_data(docs, SURROGATE_KEY).select(*docs.columns)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(TOKENIZER))
 
 
-STAGES = [("quality rules", quality), ("exact dedup", exact), ("packing", packed)]
+STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("personal data", private), ("packing", packed)]
 #: Near-duplicates, surrogates and packing can't be said in SQL.
 ORACLE_SQL = None
 
