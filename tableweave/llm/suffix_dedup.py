@@ -282,7 +282,8 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, tag, lo, hi`` of byte spans that repeated windows cover, overlapping ones too; docs has ``id, tag, text``."""
-    many = _anchor_rows(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor")
+    # a table of its own, so that the join below has nothing but its shuffles under it and Spark can split a hot anchor
+    many = cut(_anchor_rows(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-repeated")
     found = cut(_anchor_rows(docs).join(many, "anchor", "left_semi"), "suffix-anchors")
     grouped = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "at", "reach")).alias("first"))
     contexts = cut(grouped.select("anchor", "context", "n", "first.*"), "suffix-contexts")
@@ -290,7 +291,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     left, right = F.floor(F.col("reach") / 1024).cast("int"), (F.col("reach") % 1024).cast("int")
     settled = same.select("id", "tag", (F.col("at") - left).alias("lo"), (F.col("at") + right).alias("hi"))
 
-    buckets = contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    buckets = cut(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "suffix-buckets")
     wanted = contexts.join(buckets, "anchor").select("anchor", "id", "tag", "at", "reach", (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot"))
     pieces = cut(_contexts(docs, wanted), "suffix-pieces")
     cold = pieces.filter("NOT hot").select("anchor", "id", "tag", "at", "single", "left", "bytes").repartition("anchor").sortWithinPartitions("anchor")
