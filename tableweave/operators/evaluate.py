@@ -41,17 +41,20 @@ def best_anchor_match(row: Column, candidates: Column, anchors: list[str], simil
     none = F.array().cast("array<int>")
     state = F.struct(F.lit(False).alias("done"), none.alias("hits"), every.alias("open"))
     for c in anchors:
-        own = row[c]
+        state = F.element_at(F.transform(F.array(state), _narrowing(row[c], c, candidates, every, similarity)), 1)
+    return F.coalesce(F.get(state["hits"], F.lit(0)), F.lit(-1))
 
-        def step(s: Column, c: str = c, own: Column = own) -> Column:
-            hits = F.filter(s["open"], lambda k: loosely_equal(own, F.get(candidates, k)[c], similarity))
-            skip = s["done"] | F.coalesce(F.trim(own) == "", F.lit(False))
-            n = F.size(hits)
-            narrowed = F.struct((n == 1).alias("done"), hits.alias("hits"), F.when(n == 0, every).otherwise(hits).alias("open"))
-            return F.when(skip, s).otherwise(narrowed)
 
-        state = F.element_at(F.transform(F.array(state), step), 1)
-    return F.coalesce(F.get(state["hits"], F.lit(0)), F.lit(-1))
+def _narrowing(own: Column, name: str, candidates: Column, every: Column, similarity: Similarity) -> Callable[[Column], Column]:
+    """The step of one anchor, from state to state."""
+
+    def step(s: Column) -> Column:
+        hits = F.filter(s["open"], lambda k: loosely_equal(own, F.get(candidates, k)[name], similarity))
+        n = F.size(hits)
+        narrowed = F.struct((n == 1).alias("done"), hits.alias("hits"), F.when(n == 0, every).otherwise(hits).alias("open"))
+        return F.when(s["done"] | F.coalesce(F.trim(own) == "", F.lit(False)), s).otherwise(narrowed)
+
+    return step
 
 
 def row_score(a: Callable[[str], Column], b: Callable[[str], Column], rated: Rated, similarity: Similarity = exact_similarity) -> Column:

@@ -180,9 +180,9 @@ def numbered_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """WITH v AS (SELECT o_custkey AS doc_id, list(CAST(o_orderkey % 4 AS INT) - 1 ORDER BY o_orderkey) AS m, count(*) AS n FROM orders GROUP BY 1)
-SELECT doc_id, list_transform(m, x -> CASE WHEN x = -1 THEN 0 ELSE x END)::VARCHAR AS repaired,
-  list_filter(m, x -> x < 2)::VARCHAR AS known,
-  list_concat(m[1:5], list_transform(range(greatest(5 - n, 0)), x -> 9))::VARCHAR AS fitted FROM v"""
+SELECT doc_id, list_transform(m, lambda x: CASE WHEN x = -1 THEN 0 ELSE x END)::VARCHAR AS repaired,
+  list_filter(m, lambda x: x < 2)::VARCHAR AS known,
+  list_concat(m[1:5], list_transform(range(greatest(5 - n, 0)), lambda x: 9))::VARCHAR AS fitted FROM v"""
 )
 def match_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = inputs.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.struct("o_orderkey", ((F.col("o_orderkey") % 4).cast("int") - 1).alias("i")).alias("s"))

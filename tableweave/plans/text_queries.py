@@ -15,7 +15,7 @@ _NUMBER = "[-+]?[0-9]*\\.?[0-9]+"
 
 
 @query(
-    f"""WITH n AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '{_NUMBER}'), x -> CAST(x AS DOUBLE)) AS v FROM documents)
+    f"""WITH n AS (SELECT doc_id, text, list_transform(regexp_extract_all(text, '{_NUMBER}'), lambda x: CAST(x AS DOUBLE)) AS v FROM documents)
 SELECT doc_id, try_cast(regexp_extract(text, '{_NUMBER}') AS DOUBLE) AS first_number, CASE WHEN len(v) > 0 THEN len(v) END AS n_numbers, CASE WHEN len(v) > 0 THEN list_max(v) END AS largest FROM n"""
 )
 def numbers_in_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +85,7 @@ def cosine_of_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH p AS (SELECT a.doc_id, list_transform(regexp_extract_all(a.text, '{_NUMBER}'), x -> CAST(x AS DOUBLE)) AS x, list_transform(regexp_extract_all(b.text, '{_NUMBER}'), x -> CAST(x AS DOUBLE)) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
+    f"""WITH p AS (SELECT a.doc_id, list_transform(regexp_extract_all(a.text, '{_NUMBER}'), lambda x: CAST(x AS DOUBLE)) AS x, list_transform(regexp_extract_all(b.text, '{_NUMBER}'), lambda x: CAST(x AS DOUBLE)) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, x = y AS alike FROM p"""
 )
 def same_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
