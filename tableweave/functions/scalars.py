@@ -79,7 +79,7 @@ def short_title(caption: Column) -> Column:
 
 def without_fences(text: Column) -> Column:
     """A payload without the code fence around it."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json|csv)?\s*", ""), r"```$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(text), r"^```(?:json|csv)?\s*", ""), r"\s*```$", ""))
 
 
 def payload_format(text: Column) -> Column:
