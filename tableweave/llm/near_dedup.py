@@ -21,6 +21,8 @@ FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=U), 0xBEEF) | U(1)
 SHINGLE = 5
 #: Pairs whose estimate is below are not looked at again: more than five standard deviations under the threshold.
 LEAST_ESTIMATE = 0.55
+#: In a bucket's pairs, cheaply looked at first: a pair of similarity 0.75 has 120 equal registers give or take 5.5.
+LEAST_EQUAL = REGISTERS // 2
 PERCENT = 75
 #: Buckets of more members than this are dealt again by their other bands.
 BUCKET = 256
@@ -142,7 +144,8 @@ def _dealt(rows: DataFrame) -> DataFrame:
 def _buckets(dealt: DataFrame) -> DataFrame:
     """``band, node, first, last, size`` of buckets with several members; a node counts once in a bucket."""
     many = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
-    return cut(dealt.join(many.filter("size > 1 AND first < last"), "band"), "near-buckets")
+    # a table of its own, so that the join has nothing but its shuffles under it and Spark can split a large bucket
+    return cut(dealt.join(cut(many.filter("size > 1 AND first < last"), "near-keys"), "band"), "near-buckets")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -169,17 +172,19 @@ def _within(rows: DataFrame) -> DataFrame:
         sizes, regs = table.column("n").to_numpy().astype(float), _registers_of(table.column("sketch"))
         edges = [0, *(np.flatnonzero(bands[1:] != bands[:-1]) + 1).tolist(), len(bands)]
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            found = []
+            first, second = [], []
             for i in range(lo, hi - 1):
-                other = np.arange(i + 1, hi)
-                ratio = np.minimum(sizes[i], sizes[other]) / np.maximum(sizes[i], sizes[other])
-                other = other[(labels[other] != labels[i]) & (nodes[other] != nodes[i]) & (100 * ratio >= PERCENT)]
+                other = i + 1 + np.flatnonzero(labels[i + 1 : hi] != labels[i])
                 if len(other):
-                    x, y = regs[i], regs[other]
-                    j = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1), np.full(len(other), sizes[i]), sizes[other])
-                    found += [(min(nodes[i], n), max(nodes[i], n)) for n in nodes[other[j >= LEAST_ESTIMATE]].tolist()]
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], names=["a", "b"])
+                    other = other[(regs[other] == regs[i]).sum(axis=1) >= LEAST_EQUAL]
+                first.append(np.full(len(other), i))
+                second.append(other)
+            i, j = np.concatenate(first), np.concatenate(second)
+            if len(i):
+                x, y = regs[i], regs[j]
+                likely = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1), sizes[i], sizes[j]) >= LEAST_ESTIMATE
+                a, b = nodes[i[likely]], nodes[j[likely]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
@@ -194,7 +199,9 @@ def _within(rows: DataFrame) -> DataFrame:
         if rest:
             yield from settle(pa.Table.from_batches(rest))
 
-    return rows.repartition("band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
+    # small rows, much work: as many tasks as the session's, whatever their bytes
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
 
 
 def _confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -252,7 +259,8 @@ def components(links: DataFrame) -> DataFrame:
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of buckets that lie in several components: ``band, node, label, size``."""
     told = buckets.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
-    kinds = told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band")
+    told = cut(told, "near-told")
+    kinds = cut(told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"), "near-kinds")
     return cut(told.join(kinds, "band", "left_semi"), "near-mixed")
 
 

@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Words whose ids a task remembers; a full memory is emptied.
-REMEMBERED = 200_000
-#: White space other than the blank is never part of a piece (checked when a vocabulary is read).
-PARTS = re.compile(rf"[^\S{BLANK}]|{BLANK}*[^{BLANK}\s]+|{BLANK}+")
+REMEMBERED = 400_000
+#: Words up to this length are searched as a whole and remembered.
+SHORT = 64
+#: Tabs and line feeds are never part of a piece (checked when a vocabulary is read).
+CONTROL = r"\t\n"
+PARTS = re.compile(rf"[{CONTROL}]|{BLANK}*[^{BLANK}{CONTROL}]+|{BLANK}+")
 
 
 class Vocabulary:
@@ -40,9 +43,11 @@ class Vocabulary:
                 self.ids[piece], self.score[piece] = i, model.get_score(i)
                 self.bytes_of.append(piece.replace(BLANK, " ").encode())
         self.longest = max(map(len, self.ids), default=1)
+        # pieces with their scores and ids, and what pieces begin with: a search ends where no piece goes on
+        self.begins = {p[:k]: None for p in self.ids for k in range(1, len(p))} | {p: (x, (self.ids[p],)) for p, x in self.score.items()}
         self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         # where no piece goes on with a blank after another character, every path has a boundary before such a blank
-        self.splits = not any(re.search(rf"[^{BLANK}]{BLANK}|[^\S{BLANK}]", p) for p in self.ids)
+        self.splits = not any(re.search(rf"[^{BLANK}]{BLANK}|[{CONTROL}]", p) for p in self.ids)
 
     def of_unknown(self, c: str) -> list[int]:
         if len(self.byte_id) < 256:
@@ -64,37 +69,69 @@ def stream(text: str, vocab: Vocabulary) -> Iterator[list[int]]:
     """
     start: list = [0, 0.0, None, ()]
     root, here, ahead, checked = start, start, {}, 0
-    score_of, longest, n = vocab.score, vocab.longest, len(text)
+    begins, longest, n, nothing = vocab.begins, vocab.longest, len(text), (None,)
     for s in range(n):
         base, single = here[1], False
-        for e in range(s + 1, min(s + longest, n) + 1):
-            piece = text[s:e]
-            own = score_of.get(piece)
-            if own is None:
+        for e in range(s + 1, n + 1):
+            found = begins.get(text[s:e], nothing)
+            if found is None:
                 continue
-            single = single or e == s + 1
-            if (old := ahead.get(e)) is None or base + own > old[1]:
-                ahead[e] = [e, base + own, here, (vocab.ids[piece],)]
+            if found is nothing:
+                break
+            if e == s + 1:
+                single = True
+            score = base + found[0]
+            if (old := ahead.get(e)) is None or score > old[1]:
+                ahead[e] = [e, score, here, found[1]]
         if not single:
-            own = base + vocab.unknown_score
-            if (old := ahead.get(s + 1)) is None or own > old[1]:
-                ahead[s + 1] = [s + 1, own, here, tuple(vocab.of_unknown(text[s]))]
-        if len(ahead) == 1 or s - checked >= longest:
+            score = base + vocab.unknown_score
+            if (old := ahead.get(s + 1)) is None or score > old[1]:
+                ahead[s + 1] = [s + 1, score, here, tuple(vocab.of_unknown(text[s]))]
+        if len(ahead) == 1:  # nothing reaches beyond the next place
+            here = ahead.pop(s + 1)
+            yield _ids(here, root)
+            # scores are counted from the commit on, so that they stay exact in a text of any length
+            root, checked, here[1], here[2] = here, s, 0.0, None
+            continue
+        if s - checked >= longest:
             checked, joint = s, _meeting(list(ahead.values()))
             if joint[0] > root[0]:
                 yield _ids(joint, root)
-                root = joint
-                joint[2] = None
-                low = joint[1]  # scores are counted from the commit on, so that they stay exact in a text of any length
-                if low:
-                    for node in ahead.values():
-                        node[1] -= low if node is not joint else 0.0
-                    joint[1] = 0.0
+                root, low, joint[2] = joint, joint[1], None
+                for node in ahead.values():
+                    node[1] -= low
         here = ahead.pop(s + 1)
     if here is not root:
         yield _ids(here, root)
 
 
+def whole(text: str, vocab: Vocabulary) -> list[int]:
+    """What ``stream`` gives, for a text that is no longer than a window needs to be: places in lists, one commit at its end."""
+    n, get, nothing = len(text), vocab.begins.get, (None,)
+    scores, came = [0.0, *[None] * n], [None] * (n + 1)
+    for s in range(n):
+        base, e = scores[s], s + 1
+        found = get(text[s:e], nothing)
+        if found is None or found is nothing:
+            x = base + vocab.unknown_score
+            if scores[e] is None or x > scores[e]:
+                scores[e], came[e] = x, (s, vocab.of_unknown(text[s]))
+        while found is not nothing:
+            if found is not None:
+                x, old = base + found[0], scores[e]
+                if old is None or x > old:
+                    scores[e], came[e] = x, (s, found[1])
+            e += 1
+            if e > n:
+                break
+            found = get(text[s:e], nothing)
+    parts = []
+    while n:
+        n, ids = came[n]
+        parts.append(ids)
+    return [i for part in reversed(parts) for i in part]
+
+
 def _meeting(nodes: list) -> list:
     """The last node that all paths to ``nodes`` have in common."""
     open_nodes = {n[0]: n for n in nodes}
@@ -132,11 +169,14 @@ class Encoder:
         for word in PARTS.findall(marked):
             ids = known.get(word)
             if ids is None:
-                ids = tuple(i for part in stream(word, self.vocab) for i in part)
+                if len(word) > SHORT:
+                    for part in stream(word, self.vocab):
+                        out += part
+                    continue
+                ids = whole(word, self.vocab)
                 if len(known) >= REMEMBERED:
                     known.clear()
-                if len(word) <= 64:
-                    known[word] = ids
+                known[word] = ids
             out += ids
         return out
 

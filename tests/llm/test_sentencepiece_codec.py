@@ -51,6 +51,16 @@ def test_best_score_without_known_boundaries():
         assert abs(total - brute(text, vocab)) < 1e-3
 
 
+def test_words_and_streams_agree():
+    vocab = C.vocabulary(PATH)
+    assert vocab.splits
+    for word in [*words(7, 300), "中中x", C.BLANK * 5, "\U0001f600"]:
+        assert C.whole(word, vocab) == [i for part in C.stream(word, vocab) for i in part]
+    for seed in range(5):
+        text = " ".join(words(seed, 50)) + "\n" + " ".join(words(seed + 9, 5))
+        assert C.Encoder(vocab).encode(text) == [i for part in C.stream(C.BLANK + text.replace(" ", C.BLANK), vocab) for i in part]
+
+
 def test_commits_are_early():
     vocab = C.vocabulary(PATH)
     parts = list(C.stream(C.BLANK.join(words(3, 200)), vocab))
