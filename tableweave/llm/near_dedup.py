@@ -19,14 +19,13 @@ REGISTERS = BANDS * ROWS
 B, A = 1.001, 20.0
 FACTORS = mix(np.arange(1, REGISTERS + 1, dtype=U), 0xBEEF) | U(1)
 SHINGLE = 5
-#: Pairs whose estimate is below are not looked at again: more than five standard deviations under the threshold.
-LEAST_ESTIMATE = 0.55
+#: Pairs whose estimate is below are not looked at again: more than four standard deviations under the threshold.
+LEAST_ESTIMATE = 0.6
 #: In a bucket's pairs, cheaply looked at first: a pair of similarity 0.75 has 120 equal registers give or take 5.5.
 LEAST_EQUAL = REGISTERS // 2
 PERCENT = 75
 #: Buckets of more members than this are dealt again by their other bands.
-BUCKET = 256
-MOST_LEVELS = 3
+BUCKET = 2048
 BLOCK_VALUES = 1 << 16
 
 
@@ -128,24 +127,33 @@ def _registers_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, REGISTERS)
 
 
+def _keys(regs: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    """(rows, BANDS): the buckets that members of the bucket ``parent`` are dealt to (0: all rows)."""
+    return mix(band_keys(regs) + parent.astype(np.int64).view(U)[:, None], 31)
+
+
 def _dealt(rows: DataFrame) -> DataFrame:
-    """``band, node`` for each band of ``band, node, sketch``: a bucket's members are dealt again within it."""
+    """``band, parent, node`` for each band of ``parent, node, sketch``, but the one that the parent is of."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                keys = mix(band_keys(_registers_of(batch.column(2))) + batch.column(0).to_numpy().view(U)[:, None], 31)
-                nodes = np.repeat(batch.column(1).to_numpy(), BANDS)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(nodes)], names=["band", "node"])
+            if not batch.num_rows:
+                continue
+            parent, regs = batch.column(0).to_numpy(), _registers_of(batch.column(2))
+            fresh = _keys(regs, np.zeros_like(parent)).view(np.int64) != parent[:, None]
+            spread = lambda x: np.broadcast_to(x[:, None], fresh.shape)[fresh]
+            columns = [_keys(regs, parent).view(np.int64)[fresh], spread(parent), spread(batch.column(1).to_numpy())]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["band", "parent", "node"])
 
-    return rows.select("band", "node", "sketch").mapInArrow(run, "band long, node long")
+    return rows.select("parent", "node", "sketch").mapInArrow(run, "band long, parent long, node long")
 
 
 def _buckets(dealt: DataFrame) -> DataFrame:
-    """``band, node, first, last, size`` of buckets with several members; a node counts once in a bucket."""
+    """``band, parent, node, first, size`` of buckets with several members."""
     many = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
     # a table of its own, so that the join has nothing but its shuffles under it and Spark can split a large bucket
-    return cut(dealt.join(cut(many.filter("size > 1 AND first < last"), "near-keys"), "band"), "near-buckets")
+    kept = cut(many.filter("size > 1 AND first < last").drop("last"), "near-keys")
+    return cut(dealt.join(kept, "band"), "near-buckets")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -164,44 +172,83 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def _within(rows: DataFrame) -> DataFrame:
-    """Likely pairs of different components inside each bucket of ``band, node, label, n, sketch``, sorted by band."""
+def _within(members: DataFrame, own: DataFrame) -> DataFrame:
+    """Confirmed links ``a, b`` between different components inside each bucket of ``deal, band, parent, node, label``.
 
-    def settle(table: pa.Table) -> Iterator[pa.RecordBatch]:
-        bands, nodes, labels = (table.column(c).to_numpy() for c in ("band", "node", "label"))
-        sizes, regs = table.column("n").to_numpy().astype(float), _registers_of(table.column("sketch"))
-        edges = [0, *(np.flatnonzero(bands[1:] != bands[:-1]) + 1).tolist(), len(bands)]
+    A bucket's members come with their texts. A pair is looked at in the first bucket that both are dealt to alone. What
+    the registers leave likely is confirmed on the full sets there and then, unless the two are by now connected in this
+    bucket: a bucket gives fewer links than it has members. ``members`` holds buckets of bounded size.
+    """
+
+    def settle(table: pa.Table) -> list[tuple[int, int]]:
+        table = table.combine_chunks()
+        sets = list(shingle_sets(table.column("text").combine_chunks()))
+        full = np.array([k for k, x in enumerate(sets) if len(x)], dtype=np.int64)
+        if len(full) < 2:
+            return []
+        sets, sizes, regs = [sets[k] for k in full], np.array([len(sets[k]) for k in full], dtype=float), registers([sets[k] for k in full])
+        deals, bands, parents, nodes, labels = (table.column(c).to_numpy()[full] for c in ("deal", "band", "parent", "node", "label"))
+        top, keys = _keys(regs, np.zeros_like(parents)).view(np.int64), _keys(regs, parents).view(np.int64)
+        is_parent, is_own = top == parents[:, None], keys == bands[:, None]
+        edges = [0, *(np.flatnonzero(deals[1:] != deals[:-1]) + 1).tolist(), len(deals)]
+        links = []
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            first, second = [], []
+            group = labels[lo:hi].copy()
             for i in range(lo, hi - 1):
-                other = i + 1 + np.flatnonzero(labels[i + 1 : hi] != labels[i])
-                if len(other):
-                    other = other[(regs[other] == regs[i]).sum(axis=1) >= LEAST_EQUAL]
-                first.append(np.full(len(other), i))
-                second.append(other)
-            i, j = np.concatenate(first), np.concatenate(second)
-            if len(i):
-                x, y = regs[i], regs[j]
-                likely = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1), sizes[i], sizes[j]) >= LEAST_ESTIMATE
-                a, b = nodes[i[likely]], nodes[j[likely]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+                other = i + 1 + np.flatnonzero(group[i + 1 - lo :] != group[i - lo])
+                other = other[(100 * np.minimum(sizes[other], sizes[i]) >= PERCENT * np.maximum(sizes[other], sizes[i])) & (nodes[other] != nodes[i])]
+                other = other[(regs[other] == regs[i]).sum(axis=1) >= LEAST_EQUAL]
+                if not len(other):
+                    continue
+                shared = top[other] == top[i]
+                if parents[i]:  # dealt again: for pairs that the parent is the first bucket of, in the first one but it
+                    here = is_parent[i][shared.argmax(axis=1)]
+                    here &= is_own[i][((keys[other] == keys[i]) & ~is_parent[i]).argmax(axis=1)]
+                else:
+                    here = is_own[i][shared.argmax(axis=1)]
+                other = other[here]
+                x, y = regs[i], regs[other]
+                likely = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1), np.full(len(other), sizes[i]), sizes[other])
+                for j in other[likely >= LEAST_ESTIMATE].tolist():
+                    if group[i - lo] != group[j - lo] and similar(sets[i], sets[j]):
+                        links.append((int(nodes[i]), int(nodes[j])))
+                        group[group == group[j - lo]] = group[i - lo]
+        return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([*rest, batch])
-            bands = table.column("band").to_numpy()
-            ready = int(np.flatnonzero(bands == bands[-1])[0])  # the last bucket may go on
-            yield from settle(table.slice(0, ready)) if ready else ()
-            rest = table.slice(ready).to_batches()
-        if rest:
-            yield from settle(pa.Table.from_batches(rest))
-
-    # small rows, much work: as many tasks as the session's, whatever their bytes
+        rows = 0
+
+        def told(table: pa.Table) -> pa.RecordBatch:
+            links = settle(table)
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+        for whole in batches:
+            for k in range(0, whole.num_rows, BUCKET):
+                rest.append(whole.slice(k, BUCKET))
+                rows += rest[-1].num_rows
+                if rows < BUCKET:
+                    continue
+                table = pa.Table.from_batches(rest)
+                deals = table.column("deal").to_numpy()
+                ready = int(np.flatnonzero(deals == deals[-1])[0])  # the last bucket may go on
+                if ready:
+                    yield told(table.slice(0, ready))
+                rest, rows = table.slice(ready).to_batches(), table.num_rows - ready
+        if rows:
+            yield told(pa.Table.from_batches(rest))
+
+    texts = own.select(F.col("key").alias("node"), "text")
+    rows = texts.join(hinted(members), "node").select("deal", "band", "parent", "node", "label", "text")
+    # little text, much work: as many tasks as the session's, whatever their bytes
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "band").sortWithinPartitions("band").mapInArrow(run, "a long, b long")
+    return cut(rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long").distinct(), "near-links")
+
+
+def similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold; empty ones never do."""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return common > 0 and 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
 def _confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
@@ -221,9 +268,7 @@ def _confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
                 if key == a:
                     sets[a].append(mine)
                 elif not linked:
-                    for x in sets[a]:
-                        common = len(np.intersect1d(x, mine, assume_unique=True))
-                        linked = linked or len(x) > 0 and len(mine) > 0 and 100 * common >= PERCENT * (len(x) + len(mine) - common)
+                    linked = any(similar(x, mine) for x in sets[a])
                     if linked:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
@@ -257,18 +302,28 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that lie in several components: ``band, node, label, size``."""
-    told = buckets.join(labels, "node", "left").select("band", "node", "size", F.coalesce("label", "node").alias("label"))
-    told = cut(told, "near-told")
+    """Members of buckets that lie in several components: ``band, parent, node, label, size``."""
+    told = cut(buckets.join(labels, "node", "left").select("band", "parent", "node", "size", F.coalesce("label", "node").alias("label")), "near-told")
     kinds = cut(told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"), "near-kinds")
     return cut(told.join(kinds, "band", "left_semi"), "near-mixed")
 
 
-def _stars(members: DataFrame, center: str) -> DataFrame:
-    """For each node one pair, with the bucket center that it meets most often."""
-    met = members.filter(F.col("node") != F.col(center)).groupBy("node", center).agg(F.count(F.lit(1)).alias("n"))
-    best = met.groupBy("node").agg(F.max(F.struct("n", center)).alias("best")).select("node", F.col(f"best.{center}").alias("c"))
-    return best.select(F.least("node", "c").alias("a"), F.greatest("node", "c").alias("b"))
+def _stars(members: DataFrame) -> DataFrame:
+    """For each node one pair, with the least node of a bucket that it meets most often."""
+    met = members.filter("node <> first").groupBy("node", "first").agg(F.count(F.lit(1)).alias("n"))
+    best = met.groupBy("node").agg(F.max(F.struct("n", "first")).alias("best"))
+    return best.select(F.col("best.first").alias("a"), F.col("node").alias("b"))
+
+
+def _small(mixed: DataFrame) -> DataFrame:
+    return mixed.filter(F.col("size") <= BUCKET).withColumn("deal", F.col("band"))
+
+
+def _in_blocks(large: DataFrame) -> DataFrame:
+    """Members of buckets that are still large, as buckets of two blocks each: every pair of members shares one."""
+    n = F.ceil(2 * F.col("size") / BUCKET).cast("long")
+    mine = large.withColumn("mine", F.pmod(F.xxhash64("node"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
+    return mine.withColumn("deal", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")))
 
 
 def _components_of(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -276,27 +331,19 @@ def _components_of(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     rows = cut(_sketched(own), "near-sketches")
     grouped = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("node"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(grouped, "near-classes")
-    buckets = _buckets(_dealt(classes.select(F.lit(0).cast("long").alias("band"), "node", "sketch")))
-    links = _confirmed(_likely(_stars(buckets, "first"), classes), own)
-    labels = components(links)
-    # most members of a bucket of near copies are now in one component; what isn't gets another center, then all of the others
+    buckets = _buckets(_dealt(classes.select(F.lit(0).cast("long").alias("parent"), "node", "sketch")))
+    # one center for each: most members of a bucket of near copies are now in one component
+    labels = components(_confirmed(_likely(_stars(buckets), classes), own))
     mixed = _mixed(buckets, labels)
-    centers = mixed.groupBy("band").agg(F.max_by("node", F.struct("label", "node")).alias("last"))
-    labels = _joined(labels, _confirmed(_likely(_stars(mixed.join(centers, "band"), "last"), classes), own))
-    for level in range(MOST_LEVELS + 1):
-        mixed = _mixed(buckets, labels)
-        fits = mixed.filter(F.col("size") <= BUCKET)
-        if level == MOST_LEVELS:  # members that agree on so many registers without being linked: blocks against blocks
-            blocks = F.ceil(F.col("size") / BUCKET).cast("long")
-            mine = mixed.filter(F.col("size") > BUCKET).withColumn("mine", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-            pair = F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other"))
-            fits = fits.unionByName(mine.select(pair.alias("band"), "node", "size", "label"))
-        pairs = _within(fits.join(classes.select("node", "n", "sketch"), "node").select("band", "node", "label", "n", "sketch"))
-        labels = _joined(labels, _confirmed(pairs, own))
+    labels = _joined(labels, _within(_small(mixed), own))
+    large = mixed.filter(F.col("size") > BUCKET)
+    if not large.isEmpty():
+        parents = large.select(F.col("band").alias("parent"), "node").join(classes.select("node", "sketch"), "node")
+        mixed = _mixed(_buckets(_dealt(parents)), labels)
+        labels = _joined(labels, _within(_small(mixed), own))
         large = mixed.filter(F.col("size") > BUCKET)
-        if level == MOST_LEVELS or large.isEmpty():
-            break
-        buckets = _buckets(_dealt(large.join(classes.select("node", "sketch"), "node").select("band", "node", "sketch")).distinct())
+        if not large.isEmpty():
+            labels = _joined(labels, _within(_in_blocks(large), own))
     return rows, classes.select("c1", "c2", "node"), labels
 
 

@@ -68,8 +68,7 @@ def test_against_brute_force(spark):
 
 
 def test_large_buckets_are_dealt_again(spark, monkeypatch):
-    monkeypatch.setattr(N, "BUCKET", 3)
-    monkeypatch.setattr(N, "MOST_LEVELS", 1)
+    monkeypatch.setattr(N, "BUCKET", 8)
     r = random.Random(4)
     base = prose(r, 120)
     texts = [" ".join(edited(r, base, r.randint(1, 9))) for _ in range(60)] + [" ".join(prose(r, 90)) for _ in range(5)]
