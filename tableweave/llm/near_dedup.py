@@ -26,6 +26,8 @@ LEAST_EQUAL = REGISTERS // 2
 PERCENT = 75
 #: Buckets of more members than this are dealt again by their other bands.
 BUCKET = 2048
+#: Likely pairs of a task that are confirmed at once.
+PAIRS = 50_000
 BLOCK_VALUES = 1 << 16
 
 
@@ -191,28 +193,53 @@ def _within(members: DataFrame, own: DataFrame) -> DataFrame:
         top, keys = _keys(regs, np.zeros_like(parents)).view(np.int64), _keys(regs, parents).view(np.int64)
         is_parent, is_own = top == parents[:, None], keys == bands[:, None]
         edges = [0, *(np.flatnonzero(deals[1:] != deals[:-1]) + 1).tolist(), len(deals)]
-        links = []
+        bucket = np.repeat(np.arange(len(edges) - 1), np.diff(edges))
+        known = np.unique(np.stack([bucket, labels]), axis=1, return_inverse=True)[1].ravel()  # components, apart for each bucket
+        root = list(range(len(known)))
+        links: list[tuple[int, int]] = []
+        pairs: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def find(c: int) -> int:
+            while root[c] != c:
+                root[c] = c = root[root[c]]
+            return c
+
+        def confirm() -> None:
+            """The likeliest pairs first, so that most of the others are connected when their turn comes."""
+            if not pairs:
+                return
+            i, j = (np.concatenate(x) for x in zip(*pairs, strict=True))
+            pairs.clear()
+            x, y = regs[i], regs[j]
+            likely = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1), sizes[i], sizes[j])
+            order = np.argsort(-likely)[: int((likely >= LEAST_ESTIMATE).sum())]
+            for p, q in zip(i[order].tolist(), j[order].tolist(), strict=True):
+                u, v = find(known[p]), find(known[q])
+                if u != v and similar(sets[p], sets[q]):
+                    links.append((int(nodes[p]), int(nodes[q])))
+                    root[v] = u
+
+        waiting = 0
         for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-            group = labels[lo:hi].copy()
             for i in range(lo, hi - 1):
-                other = i + 1 + np.flatnonzero(group[i + 1 - lo :] != group[i - lo])
-                other = other[(100 * np.minimum(sizes[other], sizes[i]) >= PERCENT * np.maximum(sizes[other], sizes[i])) & (nodes[other] != nodes[i])]
+                other = i + 1 + np.flatnonzero(known[i + 1 : hi] != known[i])
+                if not len(other):
+                    continue
                 other = other[(regs[other] == regs[i]).sum(axis=1) >= LEAST_EQUAL]
+                other = other[(100 * np.minimum(sizes[other], sizes[i]) >= PERCENT * np.maximum(sizes[other], sizes[i])) & (nodes[other] != nodes[i])]
                 if not len(other):
                     continue
                 shared = top[other] == top[i]
-                if parents[i]:  # dealt again: for pairs that the parent is the first bucket of, in the first one but it
-                    here = is_parent[i][shared.argmax(axis=1)]
+                here = (is_parent if parents[i] else is_own)[i][shared.argmax(axis=1)]
+                if parents[i]:  # dealt again: pairs that the parent is the first bucket of, in the first one but it
                     here &= is_own[i][((keys[other] == keys[i]) & ~is_parent[i]).argmax(axis=1)]
-                else:
-                    here = is_own[i][shared.argmax(axis=1)]
                 other = other[here]
-                x, y = regs[i], regs[other]
-                likely = estimate((x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1), np.full(len(other), sizes[i]), sizes[other])
-                for j in other[likely >= LEAST_ESTIMATE].tolist():
-                    if group[i - lo] != group[j - lo] and similar(sets[i], sets[j]):
-                        links.append((int(nodes[i]), int(nodes[j])))
-                        group[group == group[j - lo]] = group[i - lo]
+                pairs.append((np.full(len(other), i), other))
+                waiting += len(other)
+                if waiting >= PAIRS:
+                    confirm()
+                    waiting = 0
+        confirm()
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
