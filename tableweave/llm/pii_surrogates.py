@@ -29,19 +29,25 @@ LATIN, CYRILLIC, GREEK = "bcdfghjklmnprstv", "бвгджзклмнпрстфх",
 # Patterns, in Java's syntax.
 JUNK = r"[!#$%&*]{0,3}"
 TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES) + ")"
-NAME = rf"(?<![\p{{L}}\p{{N}}]){TITLE}\.? \p{{Lu}}[\p{{Ll}}]+(?: \p{{Lu}}[\p{{Ll}}]+)?(?![\p{{L}}\p{{N}}])"
-SECRET = r"(?<=(?i:token|secret|password|passwd|api[_-]?key)[!#$%&*]{0,3}\s{0,2}[=:][!#$%&*]{0,3}\s{0,2}[\"'])[^\s\"']{8,}(?=[\"'])|(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])"
-EMAIL = r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+"
+# Each begins with what fails fastest: most places of a text are looked at by all of them.
+NAME = rf"(?=[DFHMPSГ])(?<![\p{{L}}\p{{N}}]){TITLE}\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?(?![\p{{L}}\p{{N}}])"
+SECRET = (
+    r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api[_-]?key)[!#$%&*]{0,3}\s{0,2}[=:][!#$%&*]{0,3}\s{0,2}[\"'])[^\s\"']{8,}+(?=[\"'])"
+    r"|(?=[0-9A-Fa-f])(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\p{L}\p{N}])"
+)
+EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
-IP = rf"(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])"
+IP = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])"
 PHONE = (
-    rf"(?<![\p{{L}}\p{{N}}+])\+[0-9]{{1,3}}{JUNK}[ .-]?\(?[0-9]{{2,4}}\)?(?:{JUNK}[ .-]?[0-9]{{2,4}}){{2,4}}(?![\p{{L}}\p{{N}}])"
+    rf"\+(?<![\p{{L}}\p{{N}}+]\+)[0-9]{{1,3}}{JUNK}[ .-]?\(?[0-9]{{2,4}}\)?(?:{JUNK}[ .-]?[0-9]{{2,4}}){{2,4}}(?![\p{{L}}\p{{N}}])"
     rf"|\([0-9]{{3}}\){JUNK} [0-9]{{3}}[ .-][0-9]{{4}}(?![\p{{L}}\p{{N}}])"
 )
-SSN = r"(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
-CARD = r"(?<![\p{L}\p{N}.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])"
-IBAN = r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
+SSN = r"(?=[0-9])(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
+CARD = r"(?=[0-9])(?<![\p{L}\p{N}.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])"
+IBAN = r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 PATTERN = "|".join((SECRET, EMAIL, IP, PHONE, SSN, CARD, IBAN, NAME))
+#: What every text with a match has: one cheap look spares most texts the whole pattern.
+HINT = rf"[@0-9\"']|(?=[DFHMPSГ]){TITLE}\.? \p{{Lu}}"
 #: Tries to find surrogates that nothing else has, before the operator gives up with an error.
 ROUNDS = 40
 DRAWN = 128
@@ -224,7 +230,7 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     own = docs.columns
     text = F.col(f"`{text_col}`")
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row")
-    marked = docs.select(row, F.coalesce(F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0)), F.array()).alias("__found"))
+    marked = docs.select(row, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("__found"))
     clean = marked.filter(F.size("__found") == 0).select("__row", F.lit(0).alias("__n"), F.col(f"__row.`{text_col}`").alias("__text"))
     hit = cut(marked.filter(F.size("__found") > 0).withColumn("__id", F.monotonically_increasing_id()), "pii-rows")
     mentions = hit.select("__id", F.posexplode("__found").alias("pos", "found")).withColumn("kind", kind_of(F.col("found")))
