@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tableweave.llm import exact_dedup, html_density, near_dedup, packing, pii_surrogates, quality_classifier, quality_rules, sentencepiece_codec, suffix_dedup, warc_zip
 
@@ -36,7 +37,8 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+    told = quality_rules.quality_verdicts(table(spark, sf_dir, "documents"))
+    return told.withColumn("host_failure_rate", F.round("host_failure_rate", 6))
 
 
 def op5_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,5 +80,31 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 F
 """
 
 
+_WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
+
+_OP4 = f"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS} AS w FROM documents),
+l AS (SELECT doc_id, count(*) - count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\\x20\\x09-\\x0D]') GROUP BY doc_id),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, gram) > 1),
+c AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM r, (SELECT unnest([0, 1, 2]) AS k) GROUP BY doc_id),
+m AS (SELECT d.doc_id, source, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  coalesce(l.n, 0) AS n_dup_lines, coalesce(c.n, 0) AS n_repeat_words FROM d LEFT JOIN l USING (doc_id) LEFT JOIN c USING (doc_id)),
+b AS (SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM m),
+h AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM b WHERE source IS NOT NULL GROUP BY source),
+p AS (SELECT avg(f / n) AS mu, greatest(var_pop(f / n) - avg(f / n) * (1 - avg(f / n)) * avg(1 / n), 1e-9) AS spread FROM h),
+q AS (SELECT source, (f + mu * wt) / (n + wt) AS rate FROM h, (SELECT mu, greatest({quality_rules.HOST_MIN_PRIOR}, mu * (1 - mu) / spread - 1) AS wt FROM p))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, round(rate, 6) AS host_failure_rate, NOT base_failed AND NOT coalesce(rate > {quality_rules.HOST_LIMIT}, false) AS kept
+FROM b LEFT JOIN q USING (source)
+"""
+
+_OP6 = """
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n FROM pages),
+g AS (SELECT h, max(page_id) AS first FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN first <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first <> page_id THEN first END AS refers_to, url
+FROM p LEFT JOIN g USING (h)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": _OP1}
+    return {"op1_exact_dedup": _OP1, "op4_quality_rules": _OP4, "op6_warc_zip": _OP6}
