@@ -145,3 +145,8 @@ def table_prompt(index: Column, caption: Column, table: Column, footnote: Column
     """A table with its caption and footnote as a text; what is empty is left out."""
     part = lambda name, c: F.when(F.char_length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(f"{name}: "), c))
     return F.concat_ws("\n", F.concat(F.lit("Table "), index.cast("string")), part("caption", caption), part("table", table), part("footnote", footnote))
+
+
+def column_definitions(names: Column, definitions: Column) -> Column:
+    """Two arrays as lines ``name: definition``."""
+    return F.array_join(F.zip_with(names, definitions, lambda n, d: F.concat_ws(": ", n, d)), "\n")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import difflib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -203,3 +205,28 @@ def renamed(df: DataFrame, names: dict[str, str], order: list[str] | None = None
     """Final names, and the final order of columns."""
     told = df.withColumnsRenamed(names)
     return told.select(*[_c(c) for c in order]) if order else told
+
+
+def closest_name(name: str, known: list[str], cutoff: float = 0.6) -> str | None:
+    """The known name itself, else the most alike one by matching blocks, null below the cutoff."""
+    return name if name in known else next(iter(difflib.get_close_matches(name, known, n=1, cutoff=cutoff)), None)
+
+
+def fuzzily_renamed(df: DataFrame, expected: list[str], cutoff: float = 0.8) -> DataFrame:
+    """Columns under the expected names they are most alike to; those without one keep theirs. Schemas alone are looked at."""
+    return df.toDF(*[closest_name(c, expected, cutoff) or c for c in df.columns])
+
+
+def resolved_names(df: DataFrame, column: str, known: list[str], cutoff: float = 0.6) -> DataFrame:
+    """``column`` with each distinct value replaced by the known name it is closest to, null where there is none.
+
+    The comparison has no SQL form; it runs once for each distinct value of the column.
+    """
+
+    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x.assign(__name=[closest_name(v, known, cutoff) if v is not None else None for v in x["__value"]])
+
+    names = df.select(_c(column).alias("__value")).distinct().mapInPandas(resolve, "__value string, __name string")
+    told = df.join(names, _c(column).eqNullSafe(F.col("__value")), "left")
+    return told.select(*[F.col("__name").alias(c) if c == column else _c(c) for c in df.columns])

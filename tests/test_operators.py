@@ -12,7 +12,7 @@ from tableweave.functions import scalars as S
 from tableweave.functions import similarity as M
 from tableweave.operators import cells as T
 from tableweave.operators import cleanup as C
-from tableweave.operators import codecs, evaluate, positional, store
+from tableweave.operators import codecs, evaluate, positional, reshape, store
 from tableweave.plans import pipelines
 from tableweave.sources import files, html_tables
 from tableweave.streaming.ingest import ingest_new
@@ -120,6 +120,24 @@ def test_csv_and_json_payloads(spark):
     assert values(spark, lambda x: codecs.json_rows_to_csv(x, codes), ['[{"dn": "a,b", "V": "1"}, {"DN": "c"}]']) == ["Drug name, Value\na b, 1\nc, "]
 
 
+def test_names_are_matched_by_likeness(spark):
+    df = spark.createDataFrame([("a", 1), ("Subject n", 2), (None, 3), ("zzz", 4)], "`Drug nam` string, other int")
+    assert C.fuzzily_renamed(df, ["Drug name", "Subject N"]).columns == ["Drug name", "other"]
+    got = C.resolved_names(df, "Drug nam", ["Drug name", "Subject N"]).orderBy("other").collect()
+    assert [r[0] for r in got] == [None, "Subject N", None, None]
+    assert values(spark, S.column_definitions, [(["a", "b"], ["x", "y"])], "n array<string>, d array<string>") == ["a: x\nb: y"]
+
+
+def test_parameters_are_aligned(spark):
+    cells = spark.createDataFrame([(t, r, c, f"h{c}", f"{r}{c}") for t, r, c in itertools.product("ab", range(2), range(2))], "t string, row_idx int, col_idx int, header string, value string")
+    told = reshape.aligned_parameters(cells, ["t"], spark.createDataFrame([("a", "h1"), ("b", None)], "t string, column string"))
+    heads = {(r.t, r.col_idx, r.header) for r in told.collect()}
+    assert heads == {("a", 0, "h0"), ("a", 1, "Parameter type"), ("b", 0, "Parameter type"), ("b", 1, "00"), ("b", 2, "10")}
+    wide = spark.createDataFrame([("a", 0, "x", "1 mg")], "t string, row_idx int, name string, dose string")
+    parsed = spark.createDataFrame([("a", 0, "1", "mg")], "t string, row_idx int, amount string, unit string")
+    assert reshape.replaced_column(wide, ["t"], "dose", parsed, ["amount", "unit"]).columns == ["t", "row_idx", "name", "amount", "unit"]
+
+
 def test_decision_vectors(spark):
     v = lambda f, items: values(spark, f, items, "m array<int>, n int")
     assert v(positional.repaired_match, [([-1, 1], 2), ([2], 2)]) == [[0, 1], None]
