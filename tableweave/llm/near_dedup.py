@@ -266,7 +266,8 @@ def _within(members: DataFrame, own: DataFrame) -> DataFrame:
             yield told(pa.Table.from_batches(rest))
 
     texts = own.select(F.col("key").alias("node"), "text")
-    rows = texts.join(hinted(members), "node").select("deal", "band", "parent", "node", "label", "text")
+    # members grow with the corpus, so this is a shuffle at every size
+    rows = texts.join(members, "node").select("deal", "band", "parent", "node", "label", "text")
     # little text, much work: as many tasks as the session's, whatever their bytes
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cut(rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long").distinct(), "near-links")
