@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tableweave.plans.materialize import cut, hinted
@@ -25,6 +27,13 @@ SYLLABLES_CYRILLIC = ["ба", "ко", "де", "фи", "га", "ху", "ки", "
 # What each of the sixteen hexadecimal digits becomes.
 HEX, DIGITS = "0123456789abcdef", "0123456789012345"
 LATIN, CYRILLIC, GREEK = "bcdfghjklmnprstv", "бвгджзклмнпрстфх", "βγδζηθκλμνξπρστφ"
+#: Sixteen letters of other scripts; a letter of any script that isn't here becomes a Latin one.
+OTHER_SCRIPTS = {
+    "Cyrillic": CYRILLIC, "Greek": GREEK, "Han": "安北成大东高海江金林明南平山天文", "Hiragana": "あいうえおかきくけこさしすせそた",
+    "Katakana": "アイウエオカキクケコサシスセソタ", "Hangul": "가나다라마바사아자차카타파하거너", "Arabic": "بتثجحخدرزسشصطعفق",
+    "Hebrew": "אבגדהוזחטיכלמנסע", "Thai": "กขคงจฉชซฌญดตถทธน", "Devanagari": "कखगघचछजझटठडढतथदध",
+}
+SYMBOLS = "!#$%&*+-/:;=?@^~"
 
 # Patterns, in Java's syntax.
 JUNK = r"[!#$%&*]{0,3}"
@@ -45,24 +54,28 @@ PHONE = (
 SSN = r"(?=[0-9])(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 CARD = r"(?=[0-9])(?<![\p{L}\p{N}.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])"
 IBAN = r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
-PATTERN = "|".join((SECRET, EMAIL, IP, PHONE, SSN, CARD, IBAN, NAME))
+#: The first group tells secrets from all else.
+PATTERN = "|".join((f"({SECRET})", EMAIL, IP, PHONE, SSN, CARD, IBAN, NAME))
 #: What every text with a match has: one cheap look spares most texts the whole pattern.
 HINT = rf"[@0-9\"']|(?=[DFHMPSГ]){TITLE}\.? \p{{Lu}}"
-#: Tries to find surrogates that nothing else has, before the operator gives up with an error.
-ROUNDS = 40
+#: Draws of one length and format; what has no free surrogate by then gets a longer one, or the next free one of its format.
+LONGER_AFTER, ROUNDS = 8, 40
+#: Kinds whose surrogates can't be longer.
+FIXED = ["ip", "phone", "ssn", "card", "iban"]
 DRAWN = 128
 
 
-def kind_of(found: Column) -> Column:
+def kind_of(found: Column, secret: Column) -> Column:
+    """``secret`` tells whether the pattern's branch of secrets matched: what it finds may look like anything."""
     return (
-        F.when(found.contains("@"), "email")
+        F.when(secret, "secret")
+        .when(found.contains("@"), "email")
         .when(found.rlike(rf"^{TITLE}\.? "), "name")
         .when(found.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
         .when(found.rlike(r"^[+(]"), "phone")
         .when(found.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(found.rlike(r"^[0-9 -]+$"), "card")
-        .when(found.rlike(rf"^(?:{IBAN})$"), "iban")
-        .otherwise("secret")
+        .otherwise("iban")
     )
 
 
@@ -96,19 +109,24 @@ def _pick(values: list[str], hex_digit: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), F.conv(hex_digit, 16, 10).cast("int") + 1)
 
 
-def shaped(normal: Column, draw: Column, first: Column, last: Column) -> Column:
-    """``normal`` with the characters at first..last drawn anew, each by one of its own script; the others stay."""
+def shaped(normal: Column, draw: Column, first: Column, last: Column, symbols: bool = False) -> Column:
+    """``normal`` with the characters at first..last drawn anew, each by one of its own script; the others stay.
+
+    Characters that are neither letters nor numbers stay too, unless ``symbols``.
+    """
 
     def one(i: Column) -> Column:
         c, x = F.substring(normal, i, F.lit(1)), _at(draw, i)
-        return (
+        other = F.translate(x, HEX, SYMBOLS) if symbols else c
+        drawn_anew = (
             F.when((i < first) | (i > last), c)
             .when(c.rlike("[0-9]"), F.translate(x, HEX, DIGITS))
-            .when(c.rlike(r"\p{IsCyrillic}"), F.translate(x, HEX, CYRILLIC))
-            .when(c.rlike(r"\p{IsGreek}"), F.translate(x, HEX, GREEK))
             .when(c.rlike(r"\p{IsLatin}"), F.translate(x, HEX, LATIN))
-            .otherwise(c)
+            .when(c.rlike(r"\p{ASCII}"), other)
         )
+        for script, letters in OTHER_SCRIPTS.items():
+            drawn_anew = drawn_anew.when(c.rlike(rf"\p{{Is{script}}}"), F.translate(x, HEX, letters))
+        return drawn_anew.when(c.rlike(r"\p{N}"), F.translate(x, HEX, DIGITS)).when(c.rlike(r"[\p{L}\p{M}]"), F.translate(x, HEX, LATIN)).otherwise(other)
 
     return F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(normal), F.lit(1))), one), "")
 
@@ -125,40 +143,107 @@ def check_digit(digits: Column) -> Column:
     return F.pmod(-total, F.lit(10))
 
 
+def luhn_valid(normal: Column) -> Column:
+    return check_digit(normal) == F.substring(normal, F.char_length(normal), F.lit(1)).cast("int")
+
+
+def card_like(normal: Column, draw: Column) -> Column:
+    """A card number with the same first digit, valid if ``normal`` is."""
+    n = F.char_length(normal)
+    body = F.substring(shaped(normal, draw, F.lit(2), n - 1), F.lit(1), n - 1)
+    luhn = check_digit(F.concat(body, F.lit("0")))
+    return F.concat(body, F.when(luhn_valid(normal), luhn).otherwise(F.pmod(luhn + 1, F.lit(10))).cast("string"))
+
+
 def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
-    """A surrogate in normal form. Titles, top-level domains, country codes and Luhn validity are kept."""
+    """A surrogate in normal form. Titles, top-level domains, country codes and Luhn validity are kept.
+
+    From attempt LONGER_AFTER on, those that may be longer are: by eight characters more each time.
+    """
     draw = drawn(kind, normal, key, attempt)
+    more = 8 * max(0, attempt - LONGER_AFTER + 1)
     n = F.char_length(normal)
-    body = shaped(normal, draw, F.lit(2), n - 1)
-    valid = check_digit(normal) == F.substring(normal, n, F.lit(1)).cast("int")
-    luhn = check_digit(F.concat(body, F.lit("0")))
-    card = F.concat(body, F.when(valid, luhn).otherwise(F.pmod(luhn + 1, F.lit(10))).cast("string"))
-    card = F.concat(F.substring(body, F.lit(1), n - 1), F.substring(card, F.char_length(card), F.lit(1)))
     octet = lambda k, low, size: (F.pmod(F.conv(F.substring(draw, 1 + 4 * k, 4), 16, 10).cast("int"), F.lit(size)) + low).cast("string")
     ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
     hexadecimal = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _at(draw, i)), "")
     email_end = n - F.char_length(F.substring_index(normal, ".", -1))
-    phone_first = F.when(normal.startswith("+"), 3).otherwise(1)
+    secret = F.when(normal.rlike("^[0-9]*[a-f][0-9a-f]*$"), hexadecimal).otherwise(shaped(normal, draw, F.lit(1), n, symbols=True))
     return (
-        F.when(kind == "email", shaped(normal, draw, F.lit(1), email_end))
+        F.when(kind == "email", F.concat(F.translate(F.substring(draw, 1, more), HEX, LATIN), shaped(normal, draw, F.lit(1), email_end)))
         .when(kind == "ip", ip)
-        .when(kind == "card", card)
-        .when(kind == "phone", shaped(normal, draw, phone_first, n))
+        .when(kind == "card", card_like(normal, draw))
+        .when(kind == "phone", shaped(normal, draw, phone_first(normal), n))
         .when(kind == "ssn", shaped(normal, draw, F.lit(1), n))
         .when(kind == "iban", shaped(normal, draw, F.lit(3), n))
-        .when(kind == "name", name_surrogate(normal, draw))
-        .when(normal.rlike("^[0-9a-f]+$"), hexadecimal)
-        .otherwise(shaped(normal, draw, F.lit(1), n))
+        .when(kind == "name", name_surrogate(normal, draw, more // 2))
+        .otherwise(F.concat(secret, F.substring(draw, 1, more)))
     )
 
 
-def name_surrogate(normal: Column, draw: Column) -> Column:
-    """``gender: [given] surname``: a given name of the gender where there was one, a surname of five drawn syllables."""
+def phone_first(normal: Column) -> Column:
+    return F.when(normal.startswith("+"), 3).otherwise(1)
+
+
+def mould_of(kind: Column, normal: Column) -> Column:
+    """What surrogates of one format share: the characters that stay, and the places of the others."""
+    zeros = F.translate(normal, "123456789", "000000000")
+    return (
+        F.when(kind == "ip", "ip")
+        .when(kind == "card", F.concat(F.substring(normal, 1, 1), F.substring(zeros, F.lit(2), F.char_length(normal)), F.when(luhn_valid(normal), "+").otherwise("-")))
+        .when((kind == "phone") & normal.startswith("+"), F.concat(F.substring(normal, 1, 2), F.substring(zeros, F.lit(3), F.char_length(normal))))
+        .when(kind == "iban", F.concat(F.substring(normal, 1, 2), F.translate(F.substring(zeros, F.lit(3), F.char_length(normal)), "acdefghijklmnopqrstuvwxyz", "b" * 25)))
+        .otherwise(zeros)
+    )
+
+
+def nth_of_mould(kind: Column, normal: Column, nth: Column) -> Column:
+    """Surrogate number ``nth`` of the format that ``normal`` has: all numbers give all surrogates, of IBANs those with ten of the letters."""
+    n = F.char_length(normal)
+    right = F.lpad(nth.cast("string"), n, "0")
+    part = lambda over, size, low: (F.pmod(F.floor(nth / over), F.lit(size)) + low).cast("string")
+    return (
+        F.when(kind == "ip", F.concat_ws(".", part(254 * 65536, 223, 1), part(254 * 256, 256, 0), part(254, 256, 0), part(1, 254, 1)))
+        .when(kind == "card", card_like(normal, F.concat(F.substring(right, F.lit(2), n), F.lit("0"))))
+        .when(kind == "phone", shaped(normal, right, phone_first(normal), n))
+        .when(kind == "ssn", shaped(normal, right, F.lit(1), n))
+        .otherwise(shaped(normal, right, F.lit(3), n))
+    )
+
+
+def space_of(kind: Column, normal: Column) -> Column:
+    """How many numbers ``nth_of_mould`` takes."""
+    kept = F.when(kind == "phone", phone_first(normal) - 1).when(kind == "ssn", 0).otherwise(2)
+    return F.when(kind == "ip", 223 * 65536 * 254).otherwise(F.pow(F.lit(10.0), F.least(F.char_length(normal) - kept, F.lit(15)))).cast("long")
+
+
+def enumerated(rest: DataFrame, used: DataFrame, key: str) -> DataFrame:
+    """``kind, normal, surrogate`` for what drawing left over: each the next free surrogate of its format.
+
+    Of a format with u used ones and r left over, the first u + r in order hold r free ones, if there are as many at all.
+    """
+    form = ["kind", "mould"]
+    rest = rest.withColumn("mould", mould_of(F.col("kind"), F.col("normal")))
+    taken = used.withColumn("mould", mould_of(F.col("kind"), F.col("surrogate"))).groupBy(form).agg(F.count(F.lit(1)).alias("u"))
+    forms = rest.groupBy(form).agg(F.min("normal").alias("one"), F.count(F.lit(1)).alias("r")).join(taken, form, "left")
+    forms = forms.withColumn("n", F.least(F.col("r") + F.coalesce("u", F.lit(0)), space_of(F.col("kind"), F.col("one"))))
+    most = forms.agg(F.max("n")).first()[0]
+    # A range is cut into parts, so that no row holds all numbers of a format.
+    parts = rest.sparkSession.range(-(-most // 4096)).withColumnRenamed("id", "part")
+    numbers = forms.join(parts, F.col("part") * 4096 < F.col("n")).select(
+        *form, "one", F.explode(F.sequence(F.col("part") * 4096, F.least(F.col("n"), (F.col("part") + 1) * 4096) - 1)).alias("nth")
+    )
+    free = numbers.withColumn("surrogate", nth_of_mould(F.col("kind"), F.col("one"), F.col("nth"))).join(used, ["kind", "surrogate"], "left_anti")
+    by = lambda c: F.row_number().over(Window.partitionBy(form).orderBy(F.sha2(F.concat(F.lit(key), F.col(c)), 256), c))
+    return rest.withColumn("rank", by("normal")).join(free.withColumn("rank", by("surrogate")), [*form, "rank"]).select("kind", "normal", "surrogate")
+
+
+def name_surrogate(normal: Column, draw: Column, more: int = 0) -> Column:
+    """``gender: [given] surname``: a given name of the gender where there was one, a surname of five drawn syllables and ``more``."""
     gender, own = F.substring_index(normal, ":", 1), F.substring_index(normal, ":", -1)
     cyrillic = own.rlike(r"\p{IsCyrillic}")
 
     def surname(values: list[str]) -> Column:
-        return F.concat(*[_pick(values, F.substring(draw, 10 + k, 1)) for k in range(5)])
+        return F.concat(*[_pick(values, _at(draw, F.lit(10 + k))) for k in range(5 + more)])
 
     first = F.substring(draw, 1, 1)
     latin_given = F.when(gender == "male", _pick(GIVEN["male"], first)).when(gender == "female", _pick(GIVEN["female"], first)).otherwise(_pick(GIVEN["any"], first))
@@ -200,10 +285,13 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
 
     Each entity draws a surrogate; where several draw the same, or one that is taken or real, the least entity gets it if
     it is free and the others draw again. What an entity gets depends on the key, itself and the entities it collides with.
+
+    After LONGER_AFTER draws, e-mail addresses, names and secrets get longer surrogates. The other kinds can't be longer:
+    after ROUNDS draws theirs are counted through (``enumerated``), and it is an error if really all of a format are taken.
     """
     real = entities.select("kind", F.col("normal").alias("surrogate"))
     given, rest = None, entities
-    for attempt in range(ROUNDS):
+    for attempt in count():
         tried = cut(rest.withColumn("surrogate", candidate(F.col("kind"), F.col("normal"), key, attempt)), "pii-tried")
         free = tried.join(real, ["kind", "surrogate"], "left_anti")
         if given is not None:
@@ -211,9 +299,13 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
         won = free.groupBy("kind", "surrogate").agg(F.min("normal").alias("normal")).select("kind", "normal", "surrogate")
         given = cut(won if given is None else given.unionByName(won), "pii-given")
         rest = cut(tried.select("kind", "normal").join(given, ["kind", "normal"], "left_anti"), "pii-rest")
+        if attempt + 1 == ROUNDS and not (fixed := rest.filter(F.col("kind").isin(FIXED))).isEmpty():
+            given = cut(given.unionByName(enumerated(fixed, real.unionByName(given.select("kind", "surrogate")), key)), "pii-counted")
+            rest = cut(rest.join(given, ["kind", "normal"], "left_anti"), "pii-rest")
+            if not rest.filter(F.col("kind").isin(FIXED)).isEmpty():
+                raise ValueError("all surrogates of a format are taken")
         if rest.isEmpty():
             return given
-    raise ValueError(f"no free surrogates were found in {ROUNDS} draws")
 
 
 def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
@@ -233,7 +325,9 @@ def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") ->
     marked = docs.select(row, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("__found"))
     clean = marked.filter(F.size("__found") == 0).select("__row", F.lit(0).alias("__n"), F.col(f"__row.`{text_col}`").alias("__text"))
     hit = cut(marked.filter(F.size("__found") > 0).withColumn("__id", F.monotonically_increasing_id()), "pii-rows")
-    mentions = hit.select("__id", F.posexplode("__found").alias("pos", "found")).withColumn("kind", kind_of(F.col("found")))
+    secrets = F.regexp_extract_all(F.col(f"__row.`{text_col}`"), F.lit(PATTERN), F.lit(1))
+    mentions = hit.select("__id", F.posexplode(F.arrays_zip(F.col("__found").alias("found"), secrets.alias("secret"))).alias("pos", "one"))
+    mentions = mentions.select("__id", "pos", F.col("one.found").alias("found"), kind_of(F.col("one.found"), F.col("one.secret") != "").alias("kind"))
     mentions = mentions.withColumn("normal", normal_of(F.col("found"), F.col("kind")))
     given = hinted(assign_surrogates(cut(mentions.select("kind", "normal").distinct(), "pii-entities"), key))
     put = mentions.join(given, ["kind", "normal"]).select("__id", F.struct("pos", dressed(F.col("found"), F.col("kind"), F.col("surrogate")).alias("new")).alias("put"))

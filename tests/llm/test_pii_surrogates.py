@@ -76,3 +76,27 @@ def test_card_numbers_keep_their_check_digit(spark):
     texts = ["4111111111111111", "4111111111111112", "5500 0000 0000 0004", "378282246310005"]
     for a, b in zip(texts, replaced(spark, texts), strict=True):
         assert luhn(a.replace(" ", "")) == luhn(b.replace(" ", "")) and a[0] == b[0]
+
+
+def test_every_entity_gets_a_surrogate(spark):
+    secrets = ["P@ssw0rd!", "jo@example.com", "********", "密码密码密码密码", "סיסמהסודית", "รหัสผ่านลับ", "4225039295678253", "пароль-пароль"]
+    emails = ["张伟@例子.中国", "علي@مثال.com", "דני@דוגמה.co"]
+    got = replaced(spark, [f'password = "{x}"' for x in secrets] + [f"to {x} now" for x in emails])
+    for x, y in zip(secrets, got, strict=False):
+        assert re.fullmatch(r'password = "[^\s"]{8,}"', y) and x not in y and len(y) == 13 + len(x)
+    for x, y in zip(emails, got[len(secrets) :], strict=True):
+        assert re.fullmatch(r"to \S+@\S+ now", y) and x not in y
+    assert re.fullmatch(r"[一-鿿]{8}", got[3][12:-1]) and re.fullmatch(r"\d{16}", got[6][12:-1])
+
+
+def test_full_formats(spark, monkeypatch):
+    monkeypatch.setattr(P, "LONGER_AFTER", 1)
+    monkeypatch.setattr(P, "ROUNDS", 2)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = [("email", f"{a}@{b}.co") for a in letters for b in letters] + [("phone", f"{k:02d}") for k in range(50)] + [("phone", f"+1{k:02d}") for k in range(49)]
+    rows += [("ip", f"1.2.3.{k}") for k in range(9)]
+    given = P.assign_surrogates(spark.createDataFrame(rows, "kind string, normal string"), "k").collect()
+    taken = {(r.kind, r.surrogate) for r in given}
+    assert {(r.kind, r.normal) for r in given} == set(rows) and len(taken) == len(given) == len(rows) and not taken & set(rows)
+    assert all(r.surrogate.endswith(".co") for r in given if r.kind == "email")
+    assert all(re.fullmatch(r"\+1\d\d" if r.normal[0] == "+" else r"\d\d", r.surrogate) for r in given if r.kind == "phone")
