@@ -25,7 +25,7 @@ def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path(TOKENIZER))
+    return packing.pack(docs, tokenizer_path(TOKENIZER), added_tokens=True)
 
 
 STAGES = [("quality rules", quality), ("exact dedup", exact), ("near dedup", near), ("personal data", private), ("packing", packed)]

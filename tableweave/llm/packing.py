@@ -92,13 +92,15 @@ def plan_bins(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int
     return rows
 
 
-def tokenizer(path: str) -> Callable[[list[str]], list[list[int]]]:
-    """Ids by a public byte-level BPE vocabulary file.
+def tokenizer(path: str, added_tokens: bool = False) -> Callable[[list[str]], list[list[int]]]:
+    """Ids by a public byte-level BPE vocabulary file, as the tokenizers library gives them without added special tokens.
 
-    For ``byte_bpe_50k.json`` beside its rank file, the rank file's library is used: same ids, several times faster (a
-    test compares them). Any other tokenizer.json goes through the tokenizers library. Strings of special tokens in a
-    text are ordinary text.
+    For ``byte_bpe_50k.json`` beside its rank file, the rank file's library (tiktoken) is used: same ids, several times
+    faster (a test compares them). Any other tokenizer.json goes through the tokenizers library. With ``added_tokens`` the
+    vocabulary's added tokens, such as ``<|endoftext|>``, have their own ids where they stand in a text, as the library has
+    it unless told otherwise; without, they are ordinary text.
     """
+    import json
     import os
 
     ranks = path.removesuffix(".json") + ".tiktoken"
@@ -110,13 +112,17 @@ def tokenizer(path: str) -> Callable[[list[str]], list[list[int]]]:
 
         with open(ranks, "rb") as lines:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        coded = tiktoken.Encoding(os.path.basename(ranks), pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        return lambda texts: [coded.encode_ordinary(x) for x in texts]
+        with open(path, encoding="utf-8") as file:
+            added = (json.load(file).get("added_tokens") or []) if added_tokens else []
+        if not any(t.get("lstrip") or t.get("rstrip") or t.get("single_word") for t in added):
+            own = {t["content"]: t["id"] for t in added}
+            coded = tiktoken.Encoding(os.path.basename(ranks), pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens=own)
+            return lambda texts: [coded.encode(x, allowed_special="all") if any(t in x for t in own) else coded.encode_ordinary(x) for x in texts]
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     from tokenizers import Tokenizer
 
     loaded = Tokenizer.from_file(path)
-    loaded.encode_special_tokens = True
+    loaded.encode_special_tokens = not added_tokens
     return lambda texts: [x.ids for x in loaded.encode_batch(texts, add_special_tokens=False)]
 
 
@@ -128,11 +134,11 @@ def cut_pieces(n: int, most: int) -> Iterator[tuple[int, int]]:
         yield start, most
 
 
-def pieces_of(docs: DataFrame, path: str, most: int, end_id: int, id_col: str, text_col: str) -> DataFrame:
+def pieces_of(docs: DataFrame, path: str, most: int, end_id: int, id_col: str, text_col: str, added_tokens: bool = False) -> DataFrame:
     """Tokenised pieces of every row. Memory: one Arrow batch of texts and the ids of a few texts at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = tokenizer(path)
+        encode = tokenizer(path, added_tokens)
         for batch in batches:
             out = []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -149,12 +155,12 @@ def pieces_of(docs: DataFrame, path: str, most: int, end_id: int, id_col: str, t
 
 
 def pack(
-    docs: DataFrame, tokenizer_path: str, most: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, tokenizer_path: str, most: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False
 ) -> DataFrame:
     """Every document's ids, then ``end_id``, packed into few sequences of at most ``most`` tokens.
 
     One row a piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``. Null and empty texts are the end id
-    alone. Only documents longer than ``most`` are cut. Repeated rows are packed as often as they occur. Extra columns are
+    alone. Added tokens of the vocabulary in a text: see ``tokenizer``. Only documents longer than ``most`` are cut. Repeated rows are packed as often as they occur. Extra columns are
     not read.
 
     The driver sees how many pieces there are of each length (at most ``most`` numbers), plans the bins by best fit
@@ -162,7 +168,7 @@ def pack(
     task holds a length's pieces: a third of the corpus may have the same one.
     """
     spark = docs.sparkSession
-    pieces = cut(pieces_of(docs, tokenizer_path, most, end_id, id_col, text_col), "pieces")
+    pieces = cut(pieces_of(docs, tokenizer_path, most, end_id, id_col, text_col, added_tokens), "pieces")
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = plan_bins(counts, most)
     salts = max(16, -(-max(counts.values(), default=0) // ROWS_A_SALT))

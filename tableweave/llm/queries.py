@@ -54,7 +54,7 @@ def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER), added_tokens=True)
 
 
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,11 +4,13 @@ import random
 import zlib
 from collections import defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
 from tableweave.llm import packing as P
+from tableweave.llm import queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -81,3 +83,14 @@ def test_tree_finds_the_tightest_capacity():
         tree.set(c, c in have)
         size = r.randint(0, 40)
         assert tree.tightest(size) == min((x for x in have if x >= size), default=-1)
+
+
+def test_added_tokens_have_their_ids(spark, tmp_path):
+    library = Tokenizer.from_file(PATH)
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "naïve <|endoftext|>1234", "<|endoftext|", "<|ENDOFTEXT|>", "", "퟿  a  "]
+    ids = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids[0].count(50256) == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for rows in (queries.op8_best_fit_packing(spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        assert {r.doc_id: (r.length, r.ids_crc32) for r in rows.collect()} == {k: (len(x) + 1, zlib.crc32(np.array([*x, 2], dtype="<u4").tobytes())) for k, x in enumerate(ids)}
