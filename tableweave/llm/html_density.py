@@ -101,7 +101,8 @@ class Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def not_article(node: Node, in_article: bool) -> bool:
+def not_article(node: Node, in_article: bool, heavy: bool = False) -> bool:
+    """Names aren't evidence against a ``heavy`` block (``heavy_blocks``)."""
     if node.tag in DROPPED or node.tag == "header" and not in_article:
         return True
     a = node.attrs
@@ -109,20 +110,39 @@ def not_article(node: Node, in_article: bool) -> bool:
         return False
     if "hidden" in a or a.get("aria-hidden") == "true" or a.get("role") in ROLES or HIDDEN.search(a.get("style", "")):
         return True
-    if node.tag in ("body", "html", "main") or node.tag in HEADINGS:
+    if heavy or node.tag in ("body", "html", "main") or node.tag in HEADINGS:
         return False
     words = {w.lower() for w in NAME_WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
     return bool(words & (NOT_ARTICLE - HEADS if in_article else NOT_ARTICLE))
 
 
+def heavy_blocks(root: Node) -> set[int]:
+    """Blocks that hold most of the page's text outside links, and its head or nearly all of that text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack.extend(c for c in node.children if not isinstance(c, str) and c.tag not in DROPPED)
+    plain, linked, heads = {}, {}, {}
+    for node in reversed(order):
+        own = sum(len("".join(c.split())) for c in node.children if isinstance(c, str))
+        below = [c for c in node.children if not isinstance(c, str) and c.tag not in DROPPED]
+        plain[id(node)] = 0 if node.tag == "a" else own + sum(plain[id(c)] for c in below)
+        linked[id(node)] = sum(linked[id(c)] for c in below) + (own + sum(plain[id(c)] for c in below) if node.tag == "a" else 0)
+        heads[id(node)] = node.tag in ("h1", "article", "main") or any(heads[id(c)] for c in below)
+    total = plain[id(root)]
+    return {id(n) for n in order if 2 * plain[id(n)] > max(total, 2 * linked[id(n)]) and (heads[id(n)] or 10 * (total - plain[id(n)]) < plain[id(n)])}
+
+
 def pruned(root: Node) -> list[Node]:
     """Takes out, in place, what is never the article; the nodes left, parents before children."""
+    heavy = heavy_blocks(root)
     left, stack = [], [(root, False)]
     while stack:
         node, inside = stack.pop()
         left.append(node)
         inside = inside or node.tag in ("article", "main")
-        node.children = [c for c in node.children if isinstance(c, str) or not not_article(c, inside)]
+        node.children = [c for c in node.children if isinstance(c, str) or not not_article(c, inside, id(c) in heavy)]
         stack.extend((c, inside) for c in reversed(node.children) if not isinstance(c, str))
     return left
 
@@ -153,9 +173,10 @@ def set_densities(nodes: list[Node]) -> None:
 def chosen(nodes: list[Node]) -> Node:
     """The article's subtree: that of the largest density sum, widened along its path to the body.
 
-    The threshold is the least density on that path. The subtree grows to the nearest article or main element around it;
-    without one, out of elements that only mark up text, to the outermost block below the body whose density reaches
-    the threshold and whose sum is not below it.
+    The subtree grows to the nearest article or main element around it; without one, out of elements that only mark up
+    text and parents of an only child, and then to the highest node on the path beside which blocks reach the threshold:
+    the least density on the path. Blocks beside the path that don't reach it are taken out, in place, but for headings
+    and other text-level elements that are not mostly links.
     """
     best = max(nodes, key=lambda n: n.sum)
     if not best.sum:
@@ -172,9 +193,33 @@ def chosen(nodes: list[Node]) -> Node:
     at = best
     while at.parent is not None and at.tag in TEXT_LEVEL:
         at = at.parent
-    while at.parent is not None and at.parent.tag not in ("body", "html") and at.parent.density >= threshold and len([c for c in at.parent.children if not isinstance(c, str)]) == 1:
+    while at.parent is not None and at.parent.tag not in ("body", "html") and len([c for c in at.parent.children if not isinstance(c, str)]) == 1:
         at = at.parent
-    return at
+    above = path[path.index(at) :]
+    reaching = [k for k in range(1, len(above)) if any(c is not above[k - 1] and dense(c, threshold) for c in above[k].children)]
+    top = max(reaching, default=0)
+    for k in range(1, top + 1):
+        above[k].children = [c for c in above[k].children if isinstance(c, str) or c is above[k - 1] or dense(c, threshold) or c.tag in TEXT_LEVEL and 2 * linked_chars(c) <= all_chars(c)]
+    return above[top]
+
+
+def dense(node: Node | str, threshold: float) -> bool:
+    return not isinstance(node, str) and node.tag not in INLINE and node.density > 0 and node.density >= threshold
+
+
+def all_chars(root: Node, links_only: bool = False) -> int:
+    n, stack = 0, [(root, not links_only)]
+    while stack:
+        node, counts = stack.pop()
+        if isinstance(node, str):
+            n += len("".join(node.split())) if counts else 0
+        else:
+            stack.extend((c, counts or node.tag == "a") for c in node.children)
+    return n
+
+
+def linked_chars(root: Node) -> int:
+    return all_chars(root, links_only=True)
 
 
 def text_of(root: Node) -> str:

@@ -16,6 +16,23 @@ def test_article_without_what_surrounds_it():
     assert text == f"Head <line> {plain} Second paragraph with space and a link."
 
 
+def test_sibling_sections_without_article_or_main():
+    links = "<ul>" + "".join(f"<li><a href={k}>link number {k}</a>" for k in range(20)) + "</ul>"
+    section = lambda k, n: f"<div class=section><h2>Part {k}</h2>" + f"<p>{TEXT}</p>" * n + "</div>"
+    sections = [section(k, n) for k, n in enumerate((5, 2, 4))]
+    for wrap in ("<div id=content>{}</div>", "<div><div id=content>{}</div></div>", "{}"):
+        text = H.main_text(f"<body><div class=links>{links}</div>{wrap.format(''.join(sections))}<div class=more>{links}</div></body>")
+        assert text.count("The first paragraph") == 33 and all(f"Part {k}" in text for k in range(3)) and "link number" not in text
+
+
+def test_names_are_no_evidence_against_most_of_the_page():
+    menu = "<div class=menu><ul>" + "<li><a href=x>some link</a>" * 20 + "</ul></div>"
+    for name in ("layout has-sidebar", "social-policy", "notice", "post promoted", "related-work"):
+        text = H.main_text(f'<body>{menu}<div class="{name}"><h1>Head</h1><p>{TEXT}</p><p>{TEXT}</p></div><div>Copyright</div></body>')
+        assert text.count("The first paragraph") == 6 and "some link" not in text
+        assert H.main_text(f'<body><div><h1>Head</h1><p>{TEXT}</p></div><div class="{name}"><p>{TEXT}</p></div></body>').count("The first paragraph") == 3
+
+
 def test_broken_and_empty_pages():
     assert [H.main_text(x) for x in (None, "", "   ", "<div>", "<!-- c -->", "<script>x")] == [""] * 6
     assert H.main_text("just text") == "just text"
