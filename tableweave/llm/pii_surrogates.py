@@ -37,27 +37,53 @@ SYMBOLS = "!#$%&*+-/:;=?@^~"
 
 # Patterns, in Java's syntax.
 JUNK = r"[!#$%&*]{0,3}"
-TITLE = "(?:" + "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES) + ")"
+TITLES = MALE_TITLES + FEMALE_TITLES + OTHER_TITLES
+TITLE = "(?:" + "|".join(TITLES) + ")"
+UPPER_TITLE = "(?:" + "|".join(x.upper() for x in TITLES) + ")"
+# A title at the start of a mention, in any case.
+LEADING_TITLE = rf"^(?iu:{TITLE})\.? "
 # Each begins with what fails fastest: most places of a text are looked at by all of them.
-NAME = rf"(?=[DFHMPSГ])(?<![\p{{L}}\p{{N}}]){TITLE}\.? \p{{Lu}}\p{{Ll}}++(?: \p{{Lu}}\p{{Ll}}++)?(?![\p{{L}}\p{{N}}])"
+# Name words: an initial, or letters with parts after an apostrophe (but not a genitive's s) or a hyphen.
+PARTS = r"(?:['’](?![sS](?![\p{L}]))\p{L}++|-\p{Lu}[\p{L}\p{M}]*+)*+"
+WORD = rf"(?:\p{{Lu}}\.|(?:\p{{Lu}}['’])?+\p{{Lu}}[\p{{L}}\p{{M}}]++{PARTS})"
+PARTICLE = r"(?:(?:von|van|de|del|della|der|den|di|da|du|la|le|ter|zu|zur|bin|al|el) ){0,3}+"
+UPPER_WORD = r"(?:\p{Lu}\.|\p{Lu}(?:['’](?!S(?![\p{L}]))|-)?+\p{Lu}(?:[\p{Lu}\p{M}]|['’](?!S(?![\p{L}]))(?=\p{Lu})|-(?=\p{Lu}))*+)"
+NAME = (
+    rf"(?=[DFHMPSГ])(?<![\p{{L}}\p{{N}}])(?:{TITLE}\.? {PARTICLE}{WORD}(?: {PARTICLE}{WORD}){{0,3}}"
+    rf"|{UPPER_TITLE}\.? {UPPER_WORD}(?: {UPPER_WORD}){{0,3}})(?![\p{{L}}\p{{N}}])"
+)
+KEY = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?[!#$%&*]{0,3}\s{0,2}"
+# Unquoted values are right behind an equals sign, or have a digit.
+BARE = r"[^\s\"'`<>()\[\]{}]"
 SECRET = (
-    r"(?<=[\"'])(?<=(?i:token|secret|password|passwd|api[_-]?key)[!#$%&*]{0,3}\s{0,2}[=:][!#$%&*]{0,3}\s{0,2}[\"'])[^\s\"']{8,}+(?=[\"'])"
+    rf"(?<=[\"'])(?<={KEY}[=:][!#$%&*]{{0,3}}\s{{0,2}}[\"'])[^\s\"']{{8,}}+(?=[\"'])"
+    rf"|(?=[^\s\"'=:])(?<=[=:\s])(?<=[=:]\s{{0,2}})(?:(?<={KEY}=)|(?<={KEY}[=:]\s{{0,2}})(?={BARE}*[0-9])){BARE}{{7,}}[^\s\"'`<>()\[\]{{}}.,;:?](?![(\[{{\"'`])"
     r"|(?=[0-9A-Fa-f])(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\p{L}\p{N}])"
 )
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 IP = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?[\p{{L}}\p{{N}}])"
+H16 = "[0-9A-Fa-f]{1,4}"
+# Either all groups, or '::' with a digit and a group of three digits or more: no times, slices or qualified names.
+IP6 = (
+    rf"(?=[0-9A-Fa-f:])(?<![\p{{L}}\p{{N}}:.])(?:(?:{H16}:){{7}}{H16}|(?:{H16}:){{6}}(?:{OCTET}\.){{3}}{OCTET}"
+    rf"|(?=[A-Fa-f:]*[0-9])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{{3}})(?:{H16}(?::{H16}){{0,5}})?::(?:(?:{H16}:){{0,5}}(?:{OCTET}\.){{3}}{OCTET}|{H16}(?::{H16}){{0,5}})?)"
+    r"(?![\p{L}\p{N}:]|\.[0-9])"
+)
+# Ten digits in 3-3-4, with one kind of separator.
+TEN = rf"(?:1[ .-])?[0-9]{{3}}(?:-[0-9]{{3}}-|\.[0-9]{{3}}\.|{JUNK} [0-9]{{3}}{JUNK} )[0-9]{{4}}"
 PHONE = (
     rf"\+(?<![\p{{L}}\p{{N}}+]\+)[0-9]{{1,3}}{JUNK}[ .-]?\(?[0-9]{{2,4}}\)?(?:{JUNK}[ .-]?[0-9]{{2,4}}){{2,4}}(?![\p{{L}}\p{{N}}])"
-    rf"|\([0-9]{{3}}\){JUNK} [0-9]{{3}}[ .-][0-9]{{4}}(?![\p{{L}}\p{{N}}])"
+    rf"|\([0-9]{{3}}\){JUNK}[ .-]?[0-9]{{3}}{JUNK}[ .-][0-9]{{4}}(?![\p{{L}}\p{{N}}])"
+    rf"|(?=[0-9])(?<![\p{{L}}\p{{N}}.,+/-]){TEN}(?![.,/-]?[\p{{L}}\p{{N}}])"
 )
 SSN = r"(?=[0-9])(?<![\p{L}\p{N}-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\p{L}\p{N}-])"
 CARD = r"(?=[0-9])(?<![\p{L}\p{N}.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![\p{L}\p{N}])"
 IBAN = r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 #: The first group tells secrets from all else.
-PATTERN = "|".join((f"({SECRET})", EMAIL, IP, PHONE, SSN, CARD, IBAN, NAME))
+PATTERN = "|".join((f"({SECRET})", EMAIL, IP6, IP, PHONE, SSN, CARD, IBAN, NAME))
 #: What every text with a match has: one cheap look spares most texts the whole pattern.
-HINT = rf"[@0-9\"']|(?=[DFHMPSГ]){TITLE}\.? \p{{Lu}}"
+HINT = rf"[@0-9\"'=:]|(?=[DFHMPSГ])(?:{TITLE}|{UPPER_TITLE})\.? [\p{{Lu}}a-z]"
 #: Draws of one length and format; what has no free surrogate by then gets a longer one, or the next free one of its format.
 LONGER_AFTER, ROUNDS = 8, 40
 #: Kinds whose surrogates can't be longer.
@@ -70,9 +96,10 @@ def kind_of(found: Column, secret: Column) -> Column:
     return (
         F.when(secret, "secret")
         .when(found.contains("@"), "email")
-        .when(found.rlike(rf"^{TITLE}\.? "), "name")
+        .when(found.rlike(LEADING_TITLE), "name")
+        .when(found.contains(":"), "ip6")
         .when(found.rlike(rf"^{OCTET}(?:\.{OCTET}){{3}}$"), "ip")
-        .when(found.rlike(r"^[+(]"), "phone")
+        .when(found.rlike(rf"^[+(]|^{TEN}$"), "phone")
         .when(found.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
         .when(found.rlike(r"^[0-9 -]+$"), "card")
         .otherwise("iban")
@@ -86,14 +113,14 @@ def normal_of(found: Column, kind: Column) -> Column:
         F.when((kind == "phone") & found.startswith("+"), F.concat(F.lit("+"), digits))
         .when(kind.isin("phone", "ssn", "card"), digits)
         .when(kind == "iban", F.lower(F.regexp_replace(found, " ", "")))
-        .when(kind == "name", F.concat(gender_of(found), F.lit(":"), F.lower(F.regexp_replace(found, rf"^{TITLE}\.? ", ""))))
+        .when(kind == "name", F.concat(gender_of(found), F.lit(":"), F.translate(F.lower(F.regexp_replace(found, LEADING_TITLE, "")), "’", "'")))
         .otherwise(F.lower(found))
     )
 
 
 def gender_of(name: Column) -> Column:
     male, female = "|".join(MALE_TITLES), "|".join(FEMALE_TITLES)
-    return F.when(name.rlike(rf"^(?:{male})\.? "), "male").when(name.rlike(rf"^(?:{female})\.? "), "female").otherwise("any")
+    return F.when(name.rlike(rf"^(?iu:{male})\.? "), "male").when(name.rlike(rf"^(?iu:{female})\.? "), "female").otherwise("any")
 
 
 def drawn(kind: Column, normal: Column, key: str, attempt: int) -> Column:
@@ -171,6 +198,7 @@ def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
     return (
         F.when(kind == "email", F.concat(F.translate(F.substring(draw, 1, more), HEX, LATIN), shaped(normal, draw, F.lit(1), email_end)))
         .when(kind == "ip", ip)
+        .when(kind == "ip6", ip6_surrogate(normal, draw, ip, more > 0))
         .when(kind == "card", card_like(normal, draw))
         .when(kind == "phone", shaped(normal, draw, phone_first(normal), n))
         .when(kind == "ssn", shaped(normal, draw, F.lit(1), n))
@@ -180,6 +208,14 @@ def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
     )
 
 
+def ip6_surrogate(normal: Column, draw: Column, ip: Column, longer: bool) -> Column:
+    """Other digits in the same groups; an IPv4 end is drawn as such. The longer one has all groups."""
+    if longer:
+        return F.concat_ws(":", *[F.substring(draw, 1 + 4 * k, 4) for k in range(8)])
+    digits = F.transform(F.sequence(F.lit(1), F.char_length(normal)), lambda i: F.when(F.substring(normal, i, F.lit(1)) == ":", ":").otherwise(_at(draw, i)))
+    return F.when(normal.contains("."), F.concat(F.regexp_replace(normal, "[^:]*$", ""), ip)).otherwise(F.array_join(digits, ""))
+
+
 def phone_first(normal: Column) -> Column:
     return F.when(normal.startswith("+"), 3).otherwise(1)
 
@@ -250,6 +286,7 @@ def name_surrogate(normal: Column, draw: Column, more: int = 0) -> Column:
     cyrillic_given = F.when(gender == "female", _pick(GIVEN_CYRILLIC["female"], first)).otherwise(_pick(GIVEN_CYRILLIC["male"], first))
     given = F.lower(F.when(cyrillic, cyrillic_given).otherwise(latin_given))
     family = F.when(cyrillic, surname(SYLLABLES_CYRILLIC)).otherwise(surname(SYLLABLES))
+    given = F.when(own.rlike(r"^\p{L}\. "), F.concat(F.substring(given, 1, 1), F.lit("."))).otherwise(given)
     return F.concat(gender, F.lit(":"), F.when(own.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
 
 
@@ -268,10 +305,11 @@ def dressed(found: Column, kind: Column, surrogate: Column) -> Column:
         return F.when(c.rlike(r"\p{Lu}"), F.upper(x)).otherwise(x)
 
     places = F.sequence(F.lit(1), F.greatest(F.char_length(found), F.lit(1)))
-    title = F.regexp_extract(found, rf"^{TITLE}\.? ", 0)
+    title = F.regexp_extract(found, LEADING_TITLE, 0)
+    name = F.substring_index(surrogate, ":", -1)
     alike = F.char_length(found) == F.char_length(surrogate)
     return (
-        F.when(kind == "name", F.concat(title, F.initcap(F.substring_index(surrogate, ":", -1))))
+        F.when(kind == "name", F.concat(title, F.when(found.rlike(r"\p{Ll}"), F.initcap(name)).otherwise(F.upper(name))))
         .when(kind == "ip", surrogate)
         .when(kind.isin("phone", "ssn", "card", "iban"), F.array_join(F.transform(places, digit), ""))
         .when(~found.rlike(r"\p{Ll}"), F.upper(surrogate))

@@ -100,3 +100,31 @@ def test_full_formats(spark, monkeypatch):
     assert {(r.kind, r.normal) for r in given} == set(rows) and len(taken) == len(given) == len(rows) and not taken & set(rows)
     assert all(r.surrogate.endswith(".co") for r in given if r.kind == "email")
     assert all(re.fullmatch(r"\+1\d\d" if r.normal[0] == "+" else r"\d\d", r.surrogate) for r in given if r.kind == "phone")
+
+
+ORDINARY = [
+    ("Mr McDonald left", r"Mr [A-Z][a-z]{9} left"),
+    ("Mrs O'Brien's house", r"Mrs [A-Z][a-z]{9}'s house"),
+    ("Dr. J. Smith and", r"Dr\. [A-Z]\. [A-Z][a-z]{9} and"),
+    ("MR SMITH came", r"MR [A-Z]{10} came"),
+    ("Mr John Paul Smith left", r"Mr [A-Z][a-z]+ [A-Z][a-z]{9} left"),
+    ("Frau Müller-Lüdenscheidt kam", r"Frau [A-Z][a-z]{9} kam"),
+    ("Herr von Neumann kam", r"Herr [A-Z][a-z]+ [A-Z][a-z]{9} kam"),
+    ("call 555-123-4567 or", r"call \d{3}-\d{3}-\d{4} or"),
+    ("call 555.123.4567.", r"call \d{3}\.\d{3}\.\d{4}\."),
+    ("call 555 123 4567, (555)123-4567", r"call (\d{3}) (\d{3}) (\d{4}), \(\1\)\2-\3"),
+    ('{"password": "hunter2hunter2"}', r'\{"password": "[a-z]{6}\d[a-z]{6}\d"\}'),
+    ("DB_PASSWORD=correcthorse.", r"DB_PASSWORD=[a-z]{12}\."),
+    ("api_key: abcd1234efgh next", r"api_key: [a-z]{4}\d{4}[a-z]{4} next"),
+    ("from 2001:db8::8a2e:370:7334 to", r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{3}:[0-9a-f]{4} to"),
+    ("from FE80:0:0:0:0202:B3FF:FE1E:8329", r"from [0-9A-F]{4}(:[0-9A-F]){3}(:[0-9A-F]{4}){4}"),
+    ("from ::ffff:192.168.10.20", r"from ::ffff:\d+\.\d+\.\d+\.\d+"),
+]
+PLAIN = ["the password: remember it", "token = value", "std::cout x[1::2] 10:20:30 00:1A:2B:3C:4D:5E", "ISBN 978-316-1484-10-0", "password = getPassword()", "Mr left"]
+
+
+def test_ordinary_formats(spark):
+    got = replaced(spark, [x[0] for x in ORDINARY] + PLAIN)
+    for (text, shape), y in zip(ORDINARY, got, strict=False):
+        assert re.fullmatch(shape, y) and y != text, (text, y)
+    assert got[len(ORDINARY) :] == PLAIN
