@@ -4,15 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Where tables that were cut lie, as long as somebody holds them.
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+#: Lists of paths that are being recorded.
+_records: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (``spark.checkpoint.dir``); a fresh local one where it is unset, as in tests."""
+    """The cluster's shared folder (``spark.checkpoint.dir``). Only a local session may do without: it gets a fresh folder."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -20,7 +30,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A path of its own, below the shared folder, for one intermediate table."""
-    return f"{shared_dir(spark)}/tableweave/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tableweave/{label}-{uuid.uuid4().hex}"
+    for record in _records:
+        record.append(path)
+    return path
 
 
 def cut(df: DataFrame, label: str) -> DataFrame:
@@ -31,7 +44,34 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def removed(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes scratch that nothing needs any longer."""
+    for path in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes the files of cut tables, once all that was made of them has been written."""
+    for table in tables:
+        if path := _paths.pop(table, None):
+            removed(table.sparkSession, [path])
+
+
+@contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The scratch paths that are taken meanwhile."""
+    paths: list[str] = []
+    _records.append(paths)
+    try:
+        yield paths
+    finally:
+        _records.remove(paths)
 
 
 def small_enough(df: DataFrame, max_rows: int) -> bool:
