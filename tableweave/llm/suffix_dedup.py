@@ -6,13 +6,13 @@ equal windows have equal anchors at equal places. A window whose anchor occurs o
 
 1. Anchors are counted; those that occur once go. An anchor's context is the union of all windows around it; contexts that
    are equal as a whole settle all their windows at once.
-2. What is left are anchors with several different contexts. Each is a bucket of suffixes: ``sort_bucket`` orders those
-   that begin d bytes before the anchor by their first bytes, for one d at a time, and compares what is tied by names of
-   sampled positions. The sample is a difference cover modulo COVER: any two positions have a common distance below COVER
-   at which both are in the sample, so bytes before it, the name there, and the bytes after the named string settle the
-   comparison at a cost that doesn't depend on the length of the tie.
-3. Buckets of more than HOT contexts are not gathered: windows of a range of distances share a core, cores are counted
-   with map-side combining, and only windows with a repeated core are counted one by one.
+2. What is left are anchors with several different contexts. Each is a bucket of suffixes; ``sort_bucket`` sorts those that
+   begin d bytes before the anchor. Suffixes are compared by their first COVER bytes, then by ranks of sampled places that
+   were sorted before, then by the bytes those ranks don't reach. The sample is a difference cover modulo COVER: any two
+   places have a common distance below COVER at which both are in the sample, so a comparison costs the same however long
+   the tie is, and memory is that of one block of contexts with a sample of its places.
+3. Buckets of more than HOT contexts don't fit one task. They are dealt out by longer prefixes: windows of a range of
+   distances share a core, cores are counted with map-side combining, and windows with a repeated core are counted in full.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tableweave.llm.text import LETTERS, U, mix, prefix_hash, span_hash, utf8
-from tableweave.plans.materialize import cut
+from tableweave.plans.materialize import cut, dropped
 
 WINDOW, SEED = 200, 50
-COVER = 64
+COVER = 32
 #: Contexts of an anchor that are gathered in one task at most, and contexts that are sorted at once (but whole buckets).
 HOT, BLOCK = 512, 8192
 #: Distances that share a core in a hot bucket.
@@ -101,54 +101,124 @@ def anchors_of(data: np.ndarray, offsets: np.ndarray, window: int = WINDOW, seed
 # ---- sorting a bucket
 
 
+def refined(words: np.ndarray, place: np.ndarray, depth: int) -> np.ndarray:
+    """Ranks, in the order of bytes, of the strings of ``depth`` bytes at ``place``; equal strings share one.
+
+    ``words`` has the eight bytes from each place on as a number. Ties of the words so far are ordered by their next word.
+    """
+    rank, open_ = np.zeros(len(place), dtype=np.int64), np.arange(len(place))
+    for k in range(0, depth, 8):
+        if not len(open_):
+            break
+        word = words[place[open_] + min(k, depth - 8)]
+        order = np.lexsort((word, rank[open_]))
+        open_, word = open_[order], word[order]
+        old, at = rank[open_], np.arange(len(open_))
+        start = np.concatenate([[True], old[1:] != old[:-1]])
+        first = start | np.concatenate([[True], word[1:] != word[:-1]])
+        rank[open_] = old + np.maximum.accumulate(np.where(first, at, 0)) - np.maximum.accumulate(np.where(start, at, 0))
+        open_ = open_[~(first & np.concatenate([first[1:], [True]]))]
+    return rank
+
+
+def cover_ranks(text: np.ndarray, words: np.ndarray, cover: np.ndarray, depth: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """For each sampled place between a begin and its end the rank of the ``depth`` bytes from there on among those of all.
+
+    Repeats of one string, found by a hash and then compared byte by byte, are sorted once.
+    """
+    inside = np.zeros(len(text) + 1, dtype=np.int8)
+    np.add.at(inside, begin, 1)
+    np.add.at(inside, end, -1)
+    place = np.flatnonzero(np.cumsum(inside, dtype=np.int8)[:-1] > 0)
+    place = place[np.isin(place % COVER, cover)]
+    ranks = np.zeros(len(text) + COVER, dtype=np.int64)
+    h = prefix_hash(LETTERS[text])
+    _, one, which = np.unique(span_hash(h, place, place + depth), return_index=True, return_inverse=True)
+    lead = place[one][which]
+    twice = place != lead
+    if all((words[place[twice] + k] == words[lead[twice] + k]).all() for k in range(0, depth, 8)):
+        ranks[place] = refined(words, place[one], depth)[which]
+    else:
+        ranks[place] = refined(words, place, depth)
+    return ranks
+
+
 def sort_bucket(text: np.ndarray, start: np.ndarray, left: np.ndarray, right: np.ndarray, group: np.ndarray, window: int = WINDOW, seed: int = SEED):
     """For each context the largest and least distance d at which its window occurs in another context of its group.
 
-    ``text``: the contexts one after the other, then at least 8 more bytes; context i begins at start[i] and its anchor
-    stands ``left[i]`` bytes further, with ``right[i]`` bytes from there on. -1 where no window of it occurs again.
+    ``text``: the contexts one after the other, then at least ``window`` more bytes; context i begins at start[i] and its
+    anchor stands ``left[i]`` bytes further, with ``right[i]`` bytes from there on. -1 where no window of it occurs again.
     """
-    depth = window - 72
-    cover = difference_cover(COVER)
+    cover, depth = difference_cover(COVER), window - COVER
     shifts = common_shifts(cover, COVER)
-    sampled = np.isin(np.arange(len(text)) % COVER, cover)
-    h = prefix_hash(LETTERS[text])
-    place = np.flatnonzero(sampled[: max(len(text) - depth, 0)])
-    names = np.zeros(len(text) + COVER, dtype=U)
-    names[place] = span_hash(h, place, place + depth)
-    words = np.ndarray((len(text) - 7,), dtype="<u8", buffer=text, strides=(1,))
-    most, least = np.full(len(start), -1), np.full(len(start), -1)
-    for d in range(window - seed + 1):
-        rows = np.flatnonzero((left >= d) & (right >= window - d))
-        again = rows[_tied(start[rows] + left[rows] - d, group[rows], words, names, shifts, depth, window)]
-        least[again] = np.where(least[again] < 0, d, least[again])
-        most[again] = d
-    return most, least
-
-
-def _tied(p: np.ndarray, group: np.ndarray, words: np.ndarray, names: np.ndarray, shifts: np.ndarray, depth: int, window: int) -> np.ndarray:
-    """Which suffixes of a bucket (at p, compared within groups) agree with another in their first ``window`` bytes."""
+    words = np.ndarray((len(text) - 7,), dtype=">u8", buffer=text, strides=(1,)).astype(U)
+    ranks = cover_ranks(text, words, cover, depth, start, start + left + COVER)
+    most, least = np.full(len(start), -1), np.full(len(start), len(text) + window)
+    group = np.unique(group, return_inverse=True)[1]
+    for d0 in range(0, window - seed + 1, STEP):
+        d = np.arange(d0, min(d0 + STEP, window - seed + 1))
+        rows, nth = np.nonzero((left[:, None] >= d) & (right[:, None] >= window - d))
+        bucket = group[rows] * len(d) + nth
+        again = _repeated(start[rows] + left[rows] - d[nth], bucket, words, ranks, shifts, depth, window)
+        np.maximum.at(most, rows[again], d[nth[again]])
+        np.minimum.at(least, rows[again], d[nth[again]])
+    return most, np.where(most < 0, -1, least)
+
+
+def _repeated(p: np.ndarray, bucket: np.ndarray, words: np.ndarray, ranks: np.ndarray, shifts: np.ndarray, depth: int, window: int) -> np.ndarray:
+    """Which suffixes (at p) agree with another of their bucket in their first ``window`` bytes.
+
+    Buckets are sorted by their first word; ties are then sorted by comparison with the first of each, which splits a tie
+    in the less and the greater ones, all ties at once, until they are singles.
+    """
     again = np.zeros(len(p), dtype=bool)
     head = words[p]
-    order = np.lexsort((head, group))
-    while len(order) > 1:
-        g, x = group[order], head[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (x[1:] != x[:-1])])
-        lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-        mine, other = p[order], p[lead]
-        shift = shifts[mine % COVER, other % COVER]
-        same = ~new & (names[mine + shift] == names[other + shift])
-        some = np.flatnonzero(same)
-        for k in (*range(8, COVER, 8), *range(depth, window, 8)):
-            at = min(k, window - 8)
-            some = some[words[mine[some] + at] == words[other[some] + at]]
-        same[:] = False
-        same[some] = True
-        again[order[some]] = True
-        again[lead[some]] = True
-        order = order[~same & ~new]  # what differs from the first of its tie is compared among itself
+    order = np.lexsort((head, bucket))
+    first = np.concatenate([[True], (bucket[order][1:] != bucket[order][:-1]) | (head[order][1:] != head[order][:-1])]) if len(p) else np.zeros(0, bool)
+    while len(order):
+        tied = ~(first & np.concatenate([first[1:], [True]]))
+        order, first = order[tied], first[tied]
+        if not len(order):
+            break
+        lead = np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))
+        rest = np.flatnonzero(~first)
+        sign = _compared(p[order[rest]], p[order[lead[rest]]], words, ranks, shifts, depth, window)
+        same = rest[sign == 0]
+        again[order[same]] = True
+        again[order[lead[same]]] = True
+        rest, sign = rest[sign != 0], sign[sign != 0]
+        side = 2 * lead[rest] + (sign > 0)
+        by = np.argsort(side, kind="stable")
+        order, side = order[rest[by]], side[by]
+        first = np.concatenate([[True], side[1:] != side[:-1]]) if len(side) else np.zeros(0, bool)
     return again
 
 
+def _compared(p: np.ndarray, q: np.ndarray, words: np.ndarray, ranks: np.ndarray, shifts: np.ndarray, depth: int, window: int) -> np.ndarray:
+    """-1, 0 or 1 as the ``window`` bytes at p come before, equal or come after those at q; their first words are equal.
+
+    Words up to the modulus of the cover, then the ranks at the first distance at which both are in the sample, then the
+    words that those ranks don't reach.
+    """
+    sign, open_ = np.zeros(len(p), dtype=np.int8), np.arange(len(p))
+
+    def told(a: np.ndarray, b: np.ndarray) -> None:
+        nonlocal open_, p, q
+        differ = a != b
+        if differ.any():
+            sign[open_[differ]] = np.where(a[differ] < b[differ], -1, 1)
+            open_, p, q = open_[~differ], p[~differ], q[~differ]
+
+    for k in range(8, COVER, 8):
+        told(words[p + k], words[q + k])
+    shift = shifts[p % COVER, q % COVER]
+    told(ranks[p + shift], ranks[q + shift])
+    for k in range(depth, window, 8):
+        at = min(k, window - 8)
+        told(words[p + at], words[q + at])
+    return sign
+
+
 def sorted_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by anchor: (anchor, id, tag, at, single, left, bytes); the spans that single contexts lose."""
     held: list[pa.RecordBatch] = []
@@ -282,20 +352,29 @@ def _hot_spans(contexts: DataFrame) -> DataFrame:
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``id, tag, lo, hi`` of byte spans that repeated windows cover, overlapping ones too; docs has ``id, tag, text``."""
-    # a table of its own, so that the join below has nothing but its shuffles under it and Spark can split a hot anchor
-    many = cut(_anchor_rows(docs).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-repeated")
-    found = cut(_anchor_rows(docs).join(many, "anchor", "left_semi"), "suffix-anchors")
+    # written once, in the order of the documents: an anchor that many documents have lies in many files, so that the
+    # joins below, which have nothing but their shuffles under them, can be split by Spark
+    anchors = cut(_anchor_rows(docs), "suffix-anchors")
+    many = cut(anchors.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("anchor"), "suffix-repeated")
+    found = cut(anchors.join(many, "anchor", "left_semi"), "suffix-found")
     grouped = found.groupBy("anchor", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "tag", "at", "reach")).alias("first"))
     contexts = cut(grouped.select("anchor", "context", "n", "first.*"), "suffix-contexts")
-    same = found.join(contexts.filter("n > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    dropped(many, found)
+    twice = cut(contexts.filter("n > 1").select("anchor", "context"), "suffix-twice")
+    same = anchors.join(twice, ["anchor", "context"], "left_semi")
     left, right = F.floor(F.col("reach") / 1024).cast("int"), (F.col("reach") % 1024).cast("int")
-    settled = same.select("id", "tag", (F.col("at") - left).alias("lo"), (F.col("at") + right).alias("hi"))
+    settled = cut(same.select("id", "tag", (F.col("at") - left).alias("lo"), (F.col("at") + right).alias("hi")), "suffix-settled")
+    dropped(anchors, twice)
 
     buckets = cut(contexts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1"), "suffix-buckets")
     wanted = contexts.join(buckets, "anchor").select("anchor", "id", "tag", "at", "reach", (F.col("n") == 1).alias("single"), (F.col("kinds") > HOT).alias("hot"))
     pieces = cut(_contexts(docs, wanted), "suffix-pieces")
+    dropped(contexts, buckets)
     cold = pieces.filter("NOT hot").select("anchor", "id", "tag", "at", "single", "left", "bytes").repartition("anchor").sortWithinPartitions("anchor")
-    return settled.unionByName(cold.mapInArrow(sorted_buckets, SPANS)).unionByName(_hot_spans(pieces.filter("hot")))
+    sorted_ = cut(cold.mapInArrow(sorted_buckets, SPANS), "suffix-sorted")
+    counted = cut(_hot_spans(pieces.filter("hot")), "suffix-counted")
+    dropped(pieces)
+    return settled.unionByName(sorted_).unionByName(counted)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -319,8 +398,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.hash(text).alias("tag"), text.alias("text"))
-    spans = cut(repeated_spans(own), "suffix-spans").distinct()
-    listed = spans.groupBy("id", "tag").agg(F.collect_list(F.struct("lo", "hi")).alias("list"))
+    listed = repeated_spans(own).groupBy("id", "tag").agg(F.collect_set(F.struct("lo", "hi")).alias("list"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
