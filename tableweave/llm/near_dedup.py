@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableweave.llm.text import U, lower, mix, shingle_hashes, slices, utf8, word_hashes, words
-from tableweave.plans.materialize import cut, hinted
+from tableweave.plans.materialize import cut, dropped, hinted
 
 #: A pair of similarity 0.75 shares none of the bands with probability (1 - 0.75**4)**40, 3 in 10 million.
 BANDS, ROWS = 40, 4
@@ -24,8 +24,12 @@ LEAST_ESTIMATE = 0.6
 #: In a bucket's pairs, cheaply looked at first: a pair of similarity 0.75 has 120 equal registers give or take 5.5.
 LEAST_EQUAL = REGISTERS // 2
 PERCENT = 75
-#: Buckets of more members than this are dealt again by their other bands.
-BUCKET = 2048
+#: Buckets of more members, or of more shingles in all, are dealt again by their other bands.
+BUCKET, SHINGLES = 2048, 4_000_000
+#: Bytes of texts that a task holds before it settles the buckets it has whole.
+HELD_BYTES = 64 << 20
+#: A table of keys alone is broadcast up to this many rows (16 MB or so); beyond, the same join is a shuffle.
+KEYS = 1_000_000
 #: Likely pairs of a task that are confirmed at once.
 PAIRS = 50_000
 BLOCK_VALUES = 1 << 16
@@ -155,7 +159,9 @@ def _buckets(dealt: DataFrame) -> DataFrame:
     many = dealt.groupBy("band").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("first"), F.max("node").alias("last"))
     # a table of its own, so that the join has nothing but its shuffles under it and Spark can split a large bucket
     kept = cut(many.filter("size > 1 AND first < last").drop("last"), "near-keys")
-    return cut(dealt.join(kept, "band"), "near-buckets")
+    buckets = cut(dealt.join(kept, "band"), "near-buckets")
+    dropped(kept)
+    return buckets
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -244,7 +250,7 @@ def _within(members: DataFrame, own: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: list[pa.RecordBatch] = []
-        rows = 0
+        rows = held = 0
 
         def told(table: pa.Table) -> pa.RecordBatch:
             links = settle(table)
@@ -254,7 +260,8 @@ def _within(members: DataFrame, own: DataFrame) -> DataFrame:
             for k in range(0, whole.num_rows, BUCKET):
                 rest.append(whole.slice(k, BUCKET))
                 rows += rest[-1].num_rows
-                if rows < BUCKET:
+                held += rest[-1].nbytes
+                if rows < BUCKET and held < HELD_BYTES:
                     continue
                 table = pa.Table.from_batches(rest)
                 deals = table.column("deal").to_numpy()
@@ -262,15 +269,20 @@ def _within(members: DataFrame, own: DataFrame) -> DataFrame:
                 if ready:
                     yield told(table.slice(0, ready))
                 rest, rows = table.slice(ready).to_batches(), table.num_rows - ready
+                held = sum(x.nbytes for x in rest)
         if rows:
             yield told(pa.Table.from_batches(rest))
 
-    texts = own.select(F.col("key").alias("node"), "text")
+    nodes = cut(members.select("node").distinct(), "near-nodes")
+    # few texts are in mixed buckets: the others go before anything is shuffled
+    texts = own.select(F.col("key").alias("node"), "text").join(hinted(nodes, KEYS), "node", "left_semi")
     # members grow with the corpus, so this is a shuffle at every size
     rows = texts.join(members, "node").select("deal", "band", "parent", "node", "label", "text")
     # little text, much work: as many tasks as the session's, whatever their bytes
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return cut(rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long").distinct(), "near-links")
+    links = cut(rows.repartition(n, "deal").sortWithinPartitions("deal").mapInArrow(run, "a long, b long").distinct(), "near-links")
+    dropped(nodes)
+    return links
 
 
 def similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -282,7 +294,9 @@ def similar(x: np.ndarray, y: np.ndarray) -> bool:
 def _confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold. Two texts at a time are in memory, besides the Arrow batch."""
     sides = cut(pairs.distinct(), "near-pairs")
-    both = own.select("key", "text").join(hinted(sides.select("a", "b", F.explode(F.array("a", "b")).alias("key"))), "key")
+    keys = cut(sides.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "near-keys")
+    texts = own.select("key", "text").join(hinted(keys, KEYS), "key", "left_semi")
+    both = texts.join(sides.select("a", "b", F.explode(F.array("a", "b")).alias("key")), "key")
     dealt = both.select("a", "b", "key", "text").repartition("a", "b").sortWithinPartitions("a", "b", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -301,7 +315,9 @@ def _confirmed(pairs: DataFrame, own: DataFrame) -> DataFrame:
                         out.append((a, b))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return cut(dealt.mapInArrow(run, "a long, b long"), "near-links")
+    links = cut(dealt.mapInArrow(run, "a long, b long"), "near-links")
+    dropped(sides, keys)
+    return links
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -322,18 +338,23 @@ def components(links: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = cut(small.select("e.u", F.col("e.m").alias("v")).filter("u > v").distinct(), "near-edges")
+        last, edges = edges, cut(small.select("e.u", F.col("e.m").alias("v")).filter("u > v").distinct(), "near-edges")
+        dropped(last)
         before, now = now, size(edges)
         if before == now:
             break
     return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of buckets that lie in several components: ``band, parent, node, label, size``."""
+def _mixed(buckets: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members of buckets that lie in several components: ``band, parent, node, label, size, load`` (shingles in all)."""
     told = cut(buckets.join(labels, "node", "left").select("band", "parent", "node", "size", F.coalesce("label", "node").alias("label")), "near-told")
     kinds = cut(told.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo < hi").select("band"), "near-kinds")
-    return cut(told.join(kinds, "band", "left_semi"), "near-mixed")
+    mixed = cut(told.join(kinds, "band", "left_semi").join(classes.select("node", "n"), "node"), "near-mixed")
+    loads = mixed.groupBy("band").agg(F.sum("n").alias("load"))
+    sized = cut(mixed.join(loads, "band").drop("n"), "near-sized")
+    dropped(told, kinds, mixed)
+    return sized
 
 
 def _stars(members: DataFrame) -> DataFrame:
@@ -343,36 +364,47 @@ def _stars(members: DataFrame) -> DataFrame:
     return best.select(F.col("best.first").alias("a"), F.col("node").alias("b"))
 
 
+def _fits() -> Column:
+    return (F.col("size") <= BUCKET) & (F.col("load") <= SHINGLES)
+
+
 def _small(mixed: DataFrame) -> DataFrame:
-    return mixed.filter(F.col("size") <= BUCKET).withColumn("deal", F.col("band"))
+    return mixed.filter(_fits()).withColumn("deal", F.col("band"))
 
 
 def _in_blocks(large: DataFrame) -> DataFrame:
     """Members of buckets that are still large, as buckets of two blocks each: every pair of members shares one."""
-    n = F.ceil(2 * F.col("size") / BUCKET).cast("long")
+    n = F.ceil(2 * F.greatest(F.col("size") / BUCKET, F.col("load") / SHINGLES)).cast("long")
     mine = large.withColumn("mine", F.pmod(F.xxhash64("node"), n)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), n - 1)))
     return mine.withColumn("deal", F.xxhash64("band", F.least("mine", "other"), F.greatest("mine", "other")))
 
 
 def _components_of(own: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Sketched rows, classes ``c1, c2, node`` of rows with equal sets, and labels of nodes."""
-    rows = cut(_sketched(own), "near-sketches")
-    grouped = rows.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("node"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
+    """Rows without their sketches, classes ``c1, c2, node`` of rows with equal sets, and labels of nodes."""
+    sketched = cut(_sketched(own), "near-sketches")
+    grouped = sketched.filter("n > 0").groupBy("c1", "c2").agg(F.min("key").alias("node"), F.max("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = cut(grouped, "near-classes")
+    rows, names = cut(sketched.drop("sketch"), "near-rows"), cut(classes.select("c1", "c2", "node"), "near-names")
+    dropped(sketched)
     buckets = _buckets(_dealt(classes.select(F.lit(0).cast("long").alias("parent"), "node", "sketch")))
     # one center for each: most members of a bucket of near copies are now in one component
     labels = components(_confirmed(_likely(_stars(buckets), classes), own))
-    mixed = _mixed(buckets, labels)
+    mixed = _mixed(buckets, labels, classes)
+    dropped(buckets)
     labels = _joined(labels, _within(_small(mixed), own))
-    large = mixed.filter(F.col("size") > BUCKET)
+    large = mixed.filter(~_fits())
     if not large.isEmpty():
         parents = large.select(F.col("band").alias("parent"), "node").join(classes.select("node", "sketch"), "node")
-        mixed = _mixed(_buckets(_dealt(parents)), labels)
-        labels = _joined(labels, _within(_small(mixed), own))
-        large = mixed.filter(F.col("size") > BUCKET)
+        buckets = _buckets(_dealt(parents))
+        again = _mixed(buckets, labels, classes)
+        dropped(buckets)
+        labels = _joined(labels, _within(_small(again), own))
+        large = again.filter(~_fits())
         if not large.isEmpty():
             labels = _joined(labels, _within(_in_blocks(large), own))
-    return rows, classes.select("c1", "c2", "node"), labels
+        dropped(again)
+    dropped(mixed, classes)
+    return rows, names, labels
 
 
 def _joined(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -412,7 +444,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     own = _own(docs, id_col, text_col)
     rows, classes, labels = _components_of(own)
-    told = rows.drop("sketch").join(classes, ["c1", "c2"], "left").join(labels, "node", "left")
+    told = rows.join(classes, ["c1", "c2"], "left").join(labels, "node", "left")
     root = F.when(F.col("n") > 0, F.coalesce("label", "node")).otherwise(F.col("id"))
     component = F.when(root < NAMELESS, root)
     return told.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -421,15 +453,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, one of each component (that of the least id), all their columns unchanged.
 
-    Texts without words all stay. Of repeated rows with one id and one set, one stays.
+    Texts without words all stay. Of repeated rows with one id and one set, one stays; rows with one id and different sets
+    are decided each for itself.
     """
     own = _own(docs, id_col, text_col)
     rows, classes, labels = _components_of(own)
-    told = rows.drop("sketch").filter("n > 0").join(classes, ["c1", "c2"]).join(labels, "node", "left")
-    gone = told.filter(F.col("key") != F.coalesce("label", "node")).select("key").distinct()
+    told = rows.filter("n > 0").join(classes, ["c1", "c2"]).join(labels, "node", "left")
+    gone = told.filter(F.col("key") != F.coalesce("label", "node")).select("key", "c1", "c2").distinct()
     twice = rows.filter("n > 0").groupBy("key").agg(F.count(F.lit(1)).alias("copies")).filter("copies > 1")
+    twice = cut(twice, "near-twice")
+    # a key that only one row has names that row; where several have it, their sets tell them apart
+    alone = cut(gone.join(twice, "key", "left_anti").select(F.col("key").alias("__key")), "near-gone")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     keyed = docs.select(_key(id_col, text_col).alias("__key"), row)
-    stay = keyed.join(hinted(cut(gone.withColumnRenamed("key", "__key"), "near-gone")), "__key", "left_anti")
-    marked = stay.join(hinted(cut(twice.withColumnRenamed("key", "__key"), "near-twice")), "__key", "left")
-    return marked.filter("copies IS NULL").select("__row.*").unionByName(marked.filter("copies > 1").dropDuplicates(["__key"]).select("__row.*"))
+    stay = keyed.join(hinted(alone, KEYS), "__key", "left_anti")
+    marked = stay.join(hinted(twice.withColumnRenamed("key", "__key"), KEYS), "__key", "left")
+    once = marked.filter("copies IS NULL").select("__row.*")
+    if twice.isEmpty():
+        return once
+    text = F.coalesce(F.col(f"__row.`{text_col}`"), F.lit(""))
+    more = marked.filter("copies > 1").select("__key", "__row", F.xxhash64(text).alias("__hash"), text.alias("__text"))
+    sets = _sketched(more.select(F.col("__hash").alias("id"), F.col("__key").alias("key"), F.col("__text").alias("text"))).drop("sketch").distinct()
+    named = more.drop("__text").join(sets, (F.col("__key") == F.col("key")) & (F.col("__hash") == F.col("id")))
+    left = named.join(gone, ["key", "c1", "c2"], "left_anti")
+    return once.unionByName(left.filter("n = 0").select("__row.*")).unionByName(left.filter("n > 0").dropDuplicates(["key", "c1", "c2"]).select("__row.*"))
