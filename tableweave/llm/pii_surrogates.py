@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tableweave.llm.quality_rules import bound
 from tableweave.plans.materialize import cut, hinted
 
 # Titles by gender, given names by gender, syllables of surnames by script.
@@ -23,6 +25,11 @@ GIVEN_CYRILLIC = {
     "female": ["Анна", "Белла", "Вера", "Галина", "Дарья", "Елена", "Жанна", "Зоя", "Инна", "Клара", "Лидия", "Мария", "Нина", "Ольга", "Полина", "Рита"],
 }
 SYLLABLES = ["ba", "co", "de", "fi", "ga", "hu", "ki", "lo", "ma", "ne", "po", "ra", "se", "ti", "vo", "zu"]
+GIVEN_GREEK = {
+    "male": ["Άγγελος", "Βασίλης", "Γιώργος", "Δημήτρης", "Ευάγγελος", "Ζήσης", "Θανάσης", "Ιάσων", "Κώστας", "Λουκάς", "Μιχάλης", "Νίκος", "Ορέστης", "Παύλος", "Σπύρος", "Τάσος"],
+    "female": ["Άννα", "Βάσω", "Γεωργία", "Δήμητρα", "Ελένη", "Ζωή", "Θεοδώρα", "Ιωάννα", "Κατερίνα", "Λίνα", "Μαρία", "Νίκη", "Ολυμπία", "Πόπη", "Σοφία", "Τασία"],
+}
+SYLLABLES_GREEK = ["βα", "κο", "δε", "φι", "γα", "χυ", "κι", "λο", "μα", "νε", "πο", "ρα", "σε", "τι", "θο", "ζυ"]
 SYLLABLES_CYRILLIC = ["ба", "ко", "де", "фи", "га", "ху", "ки", "ло", "ма", "не", "по", "ра", "се", "ти", "во", "зу"]
 # What each of the sixteen hexadecimal digits becomes.
 HEX, DIGITS = "0123456789abcdef", "0123456789012345"
@@ -52,13 +59,15 @@ NAME = (
     rf"(?=[DFHMPSГ])(?<![\p{{L}}\p{{N}}])(?:{TITLE}\.? {PARTICLE}{WORD}(?: {PARTICLE}{WORD}){{0,3}}"
     rf"|{UPPER_TITLE}\.? {UPPER_WORD}(?: {UPPER_WORD}){{0,3}})(?![\p{{L}}\p{{N}}])"
 )
+KEY_WORDS = ["token", "secret", "passw", "api"]
 KEY = r"(?i:token|secret|password|passwd|api[_-]?key)[\"']?[!#$%&*]{0,3}\s{0,2}"
 # Unquoted values are right behind an equals sign, or have a digit.
 BARE = r"[^\s\"'`<>()\[\]{}]"
+HEXADECIMAL = r"(?=[0-9A-Fa-f])(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\p{L}\p{N}])"
 SECRET = (
     rf"(?<=[\"'])(?<={KEY}[=:][!#$%&*]{{0,3}}\s{{0,2}}[\"'])[^\s\"']{{8,}}+(?=[\"'])"
     rf"|(?=[^\s\"'=:])(?<=[=:\s])(?<=[=:]\s{{0,2}})(?:(?<={KEY}=)|(?<={KEY}[=:]\s{{0,2}})(?={BARE}*[0-9])){BARE}{{7,}}[^\s\"'`<>()\[\]{{}}.,;:?](?![(\[{{\"'`])"
-    r"|(?=[0-9A-Fa-f])(?<![\p{L}\p{N}])(?:[0-9a-f]{32,128}+|[0-9A-F]{32,128}+)(?![\p{L}\p{N}])"
+    rf"|{HEXADECIMAL}"
 )
 EMAIL = r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)++"
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
@@ -82,6 +91,11 @@ CARD = r"(?=[0-9])(?<![\p{L}\p{N}.])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})
 IBAN = r"(?=[A-Z])(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){3,7}(?: [A-Z0-9]{1,3})?)(?![\p{L}\p{N}])"
 #: The first group tells secrets from all else.
 PATTERN = "|".join((f"({SECRET})", EMAIL, IP6, IP, PHONE, SSN, CARD, IBAN, NAME))
+#: The same for texts without a key word of secrets: only the last kind of secret can be there. Looking behind is what costs most.
+KEYLESS = "|".join((f"({HEXADECIMAL})", EMAIL, IP6, IP, PHONE, SSN, CARD, IBAN, NAME))
+#: Marks of mentions, characters that no text should have; where one has, it is written as two others meanwhile.
+BEGIN, MIDDLE, END, ESCAPE = "\uFDD0", "\uFDD1", "\uFDD2", "\uFDD3"
+ESCAPES = [(ESCAPE, ESCAPE + "."), (BEGIN, ESCAPE + "0"), (MIDDLE, ESCAPE + "1"), (END, ESCAPE + "2")]
 #: What every text with a match has: one cheap look spares most texts the whole pattern.
 HINT = rf"[@0-9\"'=:]|(?=[DFHMPSГ])(?:{TITLE}|{UPPER_TITLE})\.? [\p{{Lu}}a-z]"
 #: Draws of one length and format; what has no free surrogate by then gets a longer one, or the next free one of its format.
@@ -187,16 +201,17 @@ def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
 
     From attempt LONGER_AFTER on, those that may be longer are: by eight characters more each time.
     """
-    draw = drawn(kind, normal, key, attempt)
-    more = 8 * max(0, attempt - LONGER_AFTER + 1)
+    return bound(drawn(kind, normal, key, attempt), lambda draw: _candidate(kind, normal, draw, key, 8 * max(0, attempt - LONGER_AFTER + 1)))
+
+
+def _candidate(kind: Column, normal: Column, draw: Column, key: str, more: int) -> Column:
     n = F.char_length(normal)
     octet = lambda k, low, size: (F.pmod(F.conv(F.substring(draw, 1 + 4 * k, 4), 16, 10).cast("int"), F.lit(size)) + low).cast("string")
     ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 256), octet(2, 0, 256), octet(3, 1, 254))
     hexadecimal = F.array_join(F.transform(F.sequence(F.lit(1), n), lambda i: _at(draw, i)), "")
-    email_end = n - F.char_length(F.substring_index(normal, ".", -1))
     secret = F.when(normal.rlike("^[0-9]*[a-f][0-9a-f]*$"), hexadecimal).otherwise(shaped(normal, draw, F.lit(1), n, symbols=True))
     return (
-        F.when(kind == "email", F.concat(F.translate(F.substring(draw, 1, more), HEX, LATIN), shaped(normal, draw, F.lit(1), email_end)))
+        F.when(kind == "email", email_surrogate(normal, draw, key, more))
         .when(kind == "ip", ip)
         .when(kind == "ip6", ip6_surrogate(normal, draw, ip, more > 0))
         .when(kind == "card", card_like(normal, draw))
@@ -208,6 +223,14 @@ def candidate(kind: Column, normal: Column, key: str, attempt: int) -> Column:
     )
 
 
+def email_surrogate(normal: Column, draw: Column, key: str, more: int) -> Column:
+    """A drawn name at a domain that depends on the key and the domain alone: addresses of one domain stay together."""
+    name, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
+    end = F.char_length(domain) - F.char_length(F.substring_index(domain, ".", -1))
+    at = bound(drawn(F.lit("domain"), domain, key, 0), lambda draw: shaped(domain, draw, F.lit(1), end))
+    return F.concat(F.translate(F.substring(draw, 1, more), HEX, LATIN), shaped(name, draw, F.lit(1), F.char_length(name)), F.lit("@"), at)
+
+
 def ip6_surrogate(normal: Column, draw: Column, ip: Column, longer: bool) -> Column:
     """Other digits in the same groups; an IPv4 end is drawn as such. The longer one has all groups."""
     if longer:
@@ -276,7 +299,7 @@ def enumerated(rest: DataFrame, used: DataFrame, key: str) -> DataFrame:
 def name_surrogate(normal: Column, draw: Column, more: int = 0) -> Column:
     """``gender: [given] surname``: a given name of the gender where there was one, a surname of five drawn syllables and ``more``."""
     gender, own = F.substring_index(normal, ":", 1), F.substring_index(normal, ":", -1)
-    cyrillic = own.rlike(r"\p{IsCyrillic}")
+    cyrillic, greek = own.rlike(r"\p{IsCyrillic}"), own.rlike(r"\p{IsGreek}")
 
     def surname(values: list[str]) -> Column:
         return F.concat(*[_pick(values, _at(draw, F.lit(10 + k))) for k in range(5 + more)])
@@ -284,8 +307,9 @@ def name_surrogate(normal: Column, draw: Column, more: int = 0) -> Column:
     first = F.substring(draw, 1, 1)
     latin_given = F.when(gender == "male", _pick(GIVEN["male"], first)).when(gender == "female", _pick(GIVEN["female"], first)).otherwise(_pick(GIVEN["any"], first))
     cyrillic_given = F.when(gender == "female", _pick(GIVEN_CYRILLIC["female"], first)).otherwise(_pick(GIVEN_CYRILLIC["male"], first))
-    given = F.lower(F.when(cyrillic, cyrillic_given).otherwise(latin_given))
-    family = F.when(cyrillic, surname(SYLLABLES_CYRILLIC)).otherwise(surname(SYLLABLES))
+    greek_given = F.when(gender == "female", _pick(GIVEN_GREEK["female"], first)).otherwise(_pick(GIVEN_GREEK["male"], first))
+    given = F.lower(F.when(cyrillic, cyrillic_given).when(greek, greek_given).otherwise(latin_given))
+    family = F.when(cyrillic, surname(SYLLABLES_CYRILLIC)).when(greek, surname(SYLLABLES_GREEK)).otherwise(surname(SYLLABLES))
     given = F.when(own.rlike(r"^\p{L}\. "), F.concat(F.substring(given, 1, 1), F.lit("."))).otherwise(given)
     return F.concat(gender, F.lit(":"), F.when(own.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
 
@@ -328,7 +352,9 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
     after ROUNDS draws theirs are counted through (``enumerated``), and it is an error if really all of a format are taken.
     """
     real = entities.select("kind", F.col("normal").alias("surrogate"))
-    given, rest = None, entities
+    # little to read, much to compute: as many tasks as the session's, whatever the bytes
+    n = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    given, rest = None, entities.repartition(n, "kind", "normal")
     for attempt in count():
         tried = cut(rest.withColumn("surrogate", candidate(F.col("kind"), F.col("normal"), key, attempt)), "pii-tried")
         free = tried.join(real, ["kind", "surrogate"], "left_anti")
@@ -346,33 +372,68 @@ def assign_surrogates(entities: DataFrame, key: str) -> DataFrame:
             return given
 
 
+def without_doctors(entities: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities but for names under a title of no gender that are there under titles of one gender too, and those:
+    ``normal, same`` says that Dr. Smith is the Mr. Smith of the table. With both genders nobody can tell, so he or she is another.
+    """
+    names = entities.filter("kind = 'name'").select("normal", F.substring_index("normal", ":", 1).alias("gender"), F.substring_index("normal", ":", -1).alias("own"))
+    owns = names.groupBy("own").agg(F.count_if(F.col("gender") == "any").alias("any"), F.max(F.when(F.col("gender") != "any", F.col("normal"))).alias("same"), F.count(F.lit(1)).alias("n"))
+    same = cut(owns.filter("any = 1 AND n = 2").select(F.concat(F.lit("any:"), "own").alias("normal"), "same"), "pii-same")
+    return entities.join(same.select(F.lit("name").alias("kind"), "normal"), ["kind", "normal"], "left_anti"), same
+
+
 def replace_personal_data(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in the text replaced, and a column ``n_entities`` (mentions; it replaces one of that name).
 
     E-mail and IP addresses, phone, card, social security and bank account numbers, secrets and titled names become
     others of the same kind and format. Mentions of one entity, in any case or punctuation, get one surrogate all over the
-    table; different entities get different ones (``assign_surrogates``). Null text stays null; texts without personal data
-    stay as they are; repeated rows give repeated results. All other columns stay, whatever their names.
+    table; different entities get different ones (``assign_surrogates``). Names of several words are also replaced where
+    they stand without a title in a text that has them with one. Null text stays null; texts without personal data stay as
+    they are; repeated rows give repeated results. All other columns stay, whatever their names.
 
-    Rows with mentions alone are written and joined; for the others the pass is narrow. An entity in many rows is joined
-    by a broadcast of counted size or a join that Spark may split.
+    Rows that may have mentions alone are written and joined; for the others the pass is narrow. An entity in many rows is
+    joined by a broadcast of counted size or a join that Spark may split.
     """
     own = docs.columns
     text = F.col(f"`{text_col}`")
     row = F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row")
-    marked = docs.select(row, F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("__found"))
-    clean = marked.filter(F.size("__found") == 0).select("__row", F.lit(0).alias("__n"), F.col(f"__row.`{text_col}`").alias("__text"))
-    hit = cut(marked.filter(F.size("__found") > 0).withColumn("__id", F.monotonically_increasing_id()), "pii-rows")
-    secrets = F.regexp_extract_all(F.col(f"__row.`{text_col}`"), F.lit(PATTERN), F.lit(1))
-    mentions = hit.select("__id", F.posexplode(F.arrays_zip(F.col("__found").alias("found"), secrets.alias("secret"))).alias("pos", "one"))
-    mentions = mentions.select("__id", "pos", F.col("one.found").alias("found"), kind_of(F.col("one.found"), F.col("one.secret") != "").alias("kind"))
-    mentions = mentions.withColumn("normal", normal_of(F.col("found"), F.col("kind")))
-    given = hinted(assign_surrogates(cut(mentions.select("kind", "normal").distinct(), "pii-entities"), key))
-    put = mentions.join(given, ["kind", "normal"]).select("__id", F.struct("pos", dressed(F.col("found"), F.col("kind"), F.col("surrogate")).alias("new")).alias("put"))
+    read = docs.select(row, F.coalesce(text.rlike(HINT), F.lit(False)).alias("__hint"))
+    clean = read.filter("NOT __hint").select("__row", F.lit(0).alias("__n"), F.col(f"__row.`{text_col}`").alias("__text"))
+    # one pass of the pattern: every mention between marks, what is a secret before it
+    raw = reduce(lambda t, e: F.replace(t, F.lit(e[0]), F.lit(e[1])), ESCAPES, F.col(f"__row.`{text_col}`"))
+    keyed = reduce(lambda a, b: a | b, [F.lower(raw).contains(k) for k in KEY_WORDS])
+    marks = f"{BEGIN}$1{MIDDLE}$0{END}"
+    marked = F.when(keyed, F.regexp_replace(raw, PATTERN, marks)).otherwise(F.regexp_replace(raw, KEYLESS, marks))
+    hit = cut(read.filter("__hint").select("__row", F.split(marked, BEGIN, -1).alias("__parts"), F.monotonically_increasing_id().alias("__id")), "pii-rows")
+    parts = F.slice("__parts", F.lit(2), F.size("__parts"))
+    mentions = hit.filter(F.size("__parts") > 1).select("__id", F.posexplode(parts).alias("pos", "part"))
+    found = F.substring_index(F.substring_index("part", END, 1), MIDDLE, -1)
+    mentions = mentions.select("__id", "pos", found.alias("found"), kind_of(found, F.substring_index("part", MIDDLE, 1) != "").alias("kind"))
+    mentions = cut(mentions.withColumn("normal", normal_of(F.col("found"), F.col("kind"))), "pii-mentions")
+    entities, same = without_doctors(cut(mentions.select("kind", "normal").distinct(), "pii-entities"))
+    given = assign_surrogates(entities, key)
+    others = same.join(given.filter("kind = 'name'").withColumnRenamed("normal", "same"), "same").select("kind", "normal", "surrogate")
+    given = hinted(cut(given.unionByName(others), "pii-surrogates"))
+    new = dressed(F.col("found"), F.col("kind"), F.col("surrogate"))
+    untitled = F.when((F.col("kind") == "name"), F.regexp_replace("found", LEADING_TITLE, ""))
+    put = mentions.join(given, ["kind", "normal"]).select("__id", F.struct("pos", new.alias("new"), F.when(untitled.contains(" "), untitled).alias("name")).alias("put"))
     put = put.groupBy("__id").agg(F.sort_array(F.collect_list("put")).alias("__put"))
-    parts = F.split(F.col(f"__row.`{text_col}`"), PATTERN, -1)
-    joined = F.array_join(F.transform(F.zip_with(parts, F.col("__put"), lambda p, x: F.concat(p, F.coalesce(x["new"], F.lit("")))), lambda x: x), "")
-    changed = hit.join(put, "__id").select("__row", F.size("__found").alias("__n"), joined.alias("__text"))
+    after = F.transform(parts, lambda p: F.substring_index(p, END, -1))
+    joined = F.concat(F.element_at("__parts", 1), F.array_join(F.zip_with(after, F.col("__put"), lambda p, x: F.concat(x["new"], p)), ""))
+    plain = reduce(lambda t, e: F.replace(t, F.lit(e[1]), F.lit(e[0])), reversed(ESCAPES), _named(joined, F.col("__put")))
+    changed = hit.join(put, "__id", "left").select(
+        "__row", (F.size("__parts") - 1).alias("__n"), F.when(F.size("__parts") > 1, plain).otherwise(F.col(f"__row.`{text_col}`")).alias("__text")
+    )
     told = clean.unionByName(changed)
     kept = [F.col("__text").alias(c) if c == text_col else F.col(f"__row.`{c}`").alias(c) for c in own if c != "n_entities"]
     return told.select(*kept, F.col("__n").alias("n_entities"))
+
+
+def _named(text: Column, put: Column) -> Column:
+    """``text`` with names of several words replaced where they stand without a title, too."""
+    names = F.array_distinct(F.transform(F.filter(put, lambda x: x["name"].isNotNull()), lambda x: F.struct(x["name"].alias("name"), F.regexp_replace(x["new"], LEADING_TITLE, "").alias("new"))))
+
+    def one(t: Column, x: Column) -> Column:
+        return F.when(t.contains(x["name"]), F.regexp_replace(t, F.concat(F.lit(r"(?<![\p{L}\p{N}])\Q"), x["name"], F.lit(r"\E(?![\p{L}\p{N}])")), x["new"])).otherwise(t)
+
+    return F.when(F.size(names) > 0, F.aggregate(names, text, one)).otherwise(text)
