@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words whose ids a task remembers; a full memory is emptied.
-REMEMBERED = 400_000
-#: Words up to this length are searched as a whole and remembered.
-SHORT = 64
+#: Words whose ids a task remembers; a full memory is emptied. Longer ones hardly come again.
+REMEMBERED, REMEMBERED_CHARS = 400_000, 64
 #: Tabs and line feeds are never part of a piece (checked when a vocabulary is read).
 CONTROL = r"\t\n"
 PARTS = re.compile(rf"[{CONTROL}]|{BLANK}*[^{BLANK}{CONTROL}]+|{BLANK}+")
@@ -67,71 +65,41 @@ def stream(text: str, vocab: Vocabulary) -> Iterator[list[int]]:
     Once all their paths go through one node, what leads to it is committed and forgotten. Of equal scores the path whose
     last piece began first stays.
     """
-    start: list = [0, 0.0, None, ()]
-    root, here, ahead, checked = start, start, {}, 0
-    begins, longest, n, nothing = vocab.begins, vocab.longest, len(text), (None,)
+    root = here = [0, 0.0, None, ()]
+    ahead: dict[int, list] = {}
+    checked, get, longest, n, nothing = 0, vocab.begins.get, vocab.longest, len(text), (None,)
     for s in range(n):
-        base, single = here[1], False
-        for e in range(s + 1, n + 1):
-            found = begins.get(text[s:e], nothing)
-            if found is None:
-                continue
-            if found is nothing:
-                break
-            if e == s + 1:
-                single = True
-            score = base + found[0]
-            if (old := ahead.get(e)) is None or score > old[1]:
-                ahead[e] = [e, score, here, found[1]]
-        if not single:
+        base, e = here[1], s + 1
+        found = get(text[s:e], nothing)
+        if found is None or found is nothing:
             score = base + vocab.unknown_score
-            if (old := ahead.get(s + 1)) is None or score > old[1]:
-                ahead[s + 1] = [s + 1, score, here, tuple(vocab.of_unknown(text[s]))]
-        if len(ahead) == 1:  # nothing reaches beyond the next place
-            here = ahead.pop(s + 1)
+            if (old := ahead.get(e)) is None or score > old[1]:
+                ahead[e] = [e, score, here, tuple(vocab.of_unknown(text[s]))]
+        while found is not nothing:
+            if found is not None:
+                score = base + found[0]
+                if (old := ahead.get(e)) is None or score > old[1]:
+                    ahead[e] = [e, score, here, found[1]]
+            e += 1
+            if e > n:
+                break
+            found = get(text[s:e], nothing)
+        here = ahead.pop(s + 1)
+        if not ahead:  # nothing reaches beyond this place
             yield _ids(here, root)
             # scores are counted from the commit on, so that they stay exact in a text of any length
             root, checked, here[1], here[2] = here, s, 0.0, None
-            continue
-        if s - checked >= longest:
-            checked, joint = s, _meeting(list(ahead.values()))
+        elif s - checked >= longest:
+            checked, joint = s, _meeting([here, *ahead.values()])
             if joint[0] > root[0]:
                 yield _ids(joint, root)
                 root, low, joint[2] = joint, joint[1], None
-                for node in ahead.values():
+                for node in {id(x): x for x in (here, *ahead.values())}.values():
                     node[1] -= low
-        here = ahead.pop(s + 1)
     if here is not root:
         yield _ids(here, root)
 
 
-def whole(text: str, vocab: Vocabulary) -> list[int]:
-    """What ``stream`` gives, for a text that is no longer than a window needs to be: places in lists, one commit at its end."""
-    n, get, nothing = len(text), vocab.begins.get, (None,)
-    scores, came = [0.0, *[None] * n], [None] * (n + 1)
-    for s in range(n):
-        base, e = scores[s], s + 1
-        found = get(text[s:e], nothing)
-        if found is None or found is nothing:
-            x = base + vocab.unknown_score
-            if scores[e] is None or x > scores[e]:
-                scores[e], came[e] = x, (s, vocab.of_unknown(text[s]))
-        while found is not nothing:
-            if found is not None:
-                x, old = base + found[0], scores[e]
-                if old is None or x > old:
-                    scores[e], came[e] = x, (s, found[1])
-            e += 1
-            if e > n:
-                break
-            found = get(text[s:e], nothing)
-    parts = []
-    while n:
-        n, ids = came[n]
-        parts.append(ids)
-    return [i for part in reversed(parts) for i in part]
-
-
 def _meeting(nodes: list) -> list:
     """The last node that all paths to ``nodes`` have in common."""
     open_nodes = {n[0]: n for n in nodes}
@@ -153,7 +121,8 @@ def _ids(node: list, root: list) -> list[int]:
 
 
 class Encoder:
-    """Text to ids. Words are remembered where the vocabulary guarantees a boundary before each of them."""
+    """Text to ids by ``stream``. Where the vocabulary guarantees a boundary before each word, all paths converge there:
+    each word is a stream of its own, and what it gave is remembered for the next time it comes."""
 
     def __init__(self, vocab: Vocabulary) -> None:
         self.vocab, self.known = vocab, {}
@@ -169,14 +138,11 @@ class Encoder:
         for word in PARTS.findall(marked):
             ids = known.get(word)
             if ids is None:
-                if len(word) > SHORT:
-                    for part in stream(word, self.vocab):
-                        out += part
-                    continue
-                ids = whole(word, self.vocab)
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                known[word] = ids
+                ids = [i for part in stream(word, self.vocab) for i in part]
+                if len(word) <= REMEMBERED_CHARS:
+                    if len(known) >= REMEMBERED:
+                        known.clear()
+                    known[word] = ids
             out += ids
         return out
 
