@@ -173,10 +173,10 @@ def set_densities(nodes: list[Node]) -> None:
 def chosen(nodes: list[Node]) -> Node:
     """The article's subtree: that of the largest density sum, widened along its path to the body.
 
-    The subtree grows to the nearest article or main element around it; without one, out of elements that only mark up
-    text and parents of an only child, and then to the highest node on the path beside which blocks reach the threshold:
-    the least density on the path. Blocks beside the path that don't reach it are taken out, in place, but for headings
-    and other text-level elements that are not mostly links.
+    The subtree grows out of elements that only mark up text and of parents of an only child, and then to the highest node
+    on the path beside which blocks reach the threshold: the least density on the path. Blocks beside the path that don't
+    reach it are taken out, in place, but for headings and other text-level elements that are not mostly links. Of equal
+    sums the first in page order wins. Tags such as article play no part.
     """
     best = max(nodes, key=lambda n: n.sum)
     if not best.sum:
@@ -185,10 +185,6 @@ def chosen(nodes: list[Node]) -> Node:
     while node is not None:
         path.append(node)
         node = node.parent
-    for kind in ("article", "main"):
-        for node in path:
-            if node.tag == kind or node.attrs.get("role") == kind or kind == "article" and node.attrs.get("itemprop") == "articleBody":
-                return node
     threshold = min(n.density for n in path)
     at = best
     while at.parent is not None and at.tag in TEXT_LEVEL:

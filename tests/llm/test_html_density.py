@@ -56,3 +56,48 @@ def test_rows(spark):
     got = [(r.page_id, r.url, r.text, r.n_chars) for r in H.extract_main_text(pages).collect()]
     assert len(got) == 4 and (2, "v", "\U0001f600é", 2) in got and (None, None, "", 0) in got
     assert H.extract_main_text(pages.limit(0)).count() == 0
+
+
+def test_densities_and_choice_against_a_plain_recursion():
+    import math
+    import random
+
+    def counts(n):
+        c, t, lc, lt = 0, 0, 0, 0
+        for x in n.children:
+            if isinstance(x, str):
+                c += len("".join(x.split()))
+            else:
+                a, b, d, e = counts(x)
+                c, t, lc, lt = c + a, t + b + 1, lc + d, lt + e + (x.tag == "a")
+        return c, t, (c if n.tag == "a" else lc), lt
+
+    def density(n, root):
+        c, t, lc, lt = counts(n)
+        if not c:
+            return 0.0
+        bc, _, blc, _ = counts(root)
+        base = math.log(c / max(c - lc, 1) * lc + blc / max(bc, 1) * c + math.e)
+        return c / max(t, 1) * math.log(max(c / max(lc, 1) * max(t, 1) / max(lt, 1), 1.0)) / (math.log(base) if base > 1 else 1.0)
+
+    r = random.Random(4)
+    prose = lambda n: " ".join("".join(r.choice("abcdefg") for _ in range(r.randint(2, 8))) for _ in range(n))
+    links = lambda n: "<ul>" + "".join(f"<li><a href=x>{prose(2)}</a></li>" for _ in range(n)) + "</ul>"
+    for _ in range(30):
+        parts = ["".join(f"<p>{prose(r.randint(20, 60))}</p>" for _ in range(r.randint(3, 6))) for _ in range(r.randint(1, 3))]
+        html = f"<body><div class=a>{links(8)}</div><div class=b>" + "".join(f"<div class=s>{x}</div>" for x in parts) + f"</div><div class=c>{links(6)}</div></body>"
+        tree = H.Tree()
+        tree.feed(html)
+        nodes = H.pruned(tree.root)
+        H.set_densities(nodes)
+        for n in nodes:
+            assert math.isclose(n.density, density(n, tree.root), abs_tol=1e-9)
+            assert math.isclose(n.sum, sum(density(x, tree.root) for x in n.children if not isinstance(x, str)), abs_tol=1e-9)
+        # all sections, whatever their number, and no list of links; there is no article tag to go by
+        assert H.main_text(html) == " ".join(" ".join(H.text_of(c) for c in H_nodes(x)) for x in parts)
+
+
+def H_nodes(html):
+    tree = H.Tree()
+    tree.feed(html)
+    return tree.root.children
