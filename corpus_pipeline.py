@@ -2,28 +2,60 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tableweave.llm import exact_dedup, near_dedup, packing, pii_surrogates, quality_rules
 from tableweave.llm.queries import SURROGATE_KEY, TOKENIZER, tokenizer_path
+from tableweave.plans.materialize import cut, dropped, recorded, removed
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+#: For each corpus the stage that ran last, and the scratch that its result is still read from.
+_left: dict[str, tuple[int, list[str]]] = {}
+
+
+def stage(place: int) -> Callable[[Stage], Stage]:
+    """A stage's input has been written before it begins, so the scratch of the stage before is given back."""
 
+    def made(f: Stage) -> Stage:
+        @functools.wraps(f)
+        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+            before, paths = _left.pop(sf_dir, (None, []))
+            if before == place - 1:
+                removed(spark, paths)
+            with recorded() as paths:
+                out = f(spark, docs, sf_dir)
+            _left[sf_dir] = (place, paths)
+            return out
 
+        return run_stage
+
+    return made
+
+
+@stage(0)
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_quality(docs)
 
 
+@stage(1)
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
+@stage(2)
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_duplicates(docs)
 
 
+@stage(3)
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii_surrogates.replace_personal_data(docs, SURROGATE_KEY).select(*docs.columns)
 
 
+@stage(4)
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(TOKENIZER), added_tokens=True)
 
@@ -34,11 +66,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tableweave.plans.materialize import cut
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+    for k, (_, f) in enumerate(STAGES):
+        read, docs = docs, f(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs, f"stage-{k}")
+            dropped(read)
     return docs
