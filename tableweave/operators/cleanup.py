@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tableweave.plans.materialize import cut
+
 MISSING, ERROR = "N/A", "ERROR"
 ROW = "row_idx"
 # Cells that say a value is missing, spellings of one statistic, units that are no clock times, parameters without a time.
@@ -60,9 +62,10 @@ def value_rules(n: Names) -> list[tuple[Column, dict[str, str]]]:
     """
     value, stat, lower, upper = _c(n.value), _c(n.statistic), _c(n.lower), _c(n.upper)
     both = (lower != MISSING) & (upper != MISSING)
+    said = ~lower.rlike(r"^\s*N/A\s*$") & ~upper.rlike(r"^\s*N/A\s*$")
     return [
         (((stat == _c(n.interval)) | (stat == MISSING)) & ((value == lower) | (value == upper)), {n.value: MISSING, n.statistic: MISSING}),
-        (both & value.contains(lower) & value.contains(upper), {n.value: MISSING}),
+        (said & value.contains(lower) & value.contains(upper), {n.value: MISSING}),
         (value == MISSING, {n.statistic: MISSING}),
         ((lower == MISSING) & (upper == MISSING), {n.interval: MISSING}),
         (both, {n.interval: "Range"}),
@@ -83,23 +86,26 @@ def normalized(df: DataFrame, columns: list[str], spellings: dict[str, str] | No
 
 def with_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a digit in one of the columns."""
-    return df.filter(reduce(lambda a, b: a | b, [F.coalesce(_c(c).rlike("[0-9]"), F.lit(False)) for c in columns]))
+    return df.filter(reduce(lambda a, b: a | b, [F.coalesce(_c(c).rlike(r"\p{Nd}"), F.lit(False)) for c in columns]))
 
 
 def first_of_equal(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """Of rows equal in all the columns the first in row order stays."""
-    w = W.partitionBy(*keys, *[_c(c) for c in columns]).orderBy(ROW)
-    return df.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """Of rows equal in all the columns the first in row order stays. A map-side combined minimum: equal rows don't meet in one task."""
+    rest = [c for c in df.columns if c not in (*keys, *columns, ROW)]
+    first = F.min(ROW).alias(ROW) if not rest else F.min_by(F.struct(ROW, *[_c(c) for c in rest]), ROW).alias("__first")
+    told = df.groupBy(*keys, *[_c(c) for c in columns]).agg(first)
+    return told.select(*[F.col(f"__first.`{c}`").alias(c) if rest and c in (ROW, *rest) else _c(c) for c in df.columns])
 
 
 def split_ranges(df: DataFrame, n: Names) -> DataFrame:
-    """A bound that holds two decimals, with nothing in the other one, as both bounds. Without decimal points nothing is split."""
-    for here, there in ((n.lower, n.upper), (n.upper, n.lower)):
-        found = F.regexp_extract_all(_c(here), F.lit(RANGE_PART), F.lit(0))
-        fits = (F.size(found) == 2) & (_c(there) == MISSING)
-        df = df.withColumn("__f", F.when(fits, found))
-        df = rewritten(df, [(F.col("__f").isNotNull(), {n.lower: F.get("__f", F.lit(0)), n.upper: F.get("__f", F.lit(1))})]).drop("__f")
-    return df
+    """A bound that holds two decimals as both bounds, if the other one is missing or says the same. Without decimal points
+    nothing is split."""
+    lower, upper = _c(n.lower), _c(n.upper)
+    found = lambda c: F.regexp_extract_all(c, F.lit(RANGE_PART), F.lit(0))
+    two = lambda c: F.size(found(c)) == 2
+    parts = F.when((upper == MISSING) & two(lower), found(lower)).when(((lower == MISSING) | (lower == upper)) & two(upper), found(upper))
+    told = df.withColumn("__f", parts)
+    return rewritten(told, [(F.col("__f").isNotNull(), {n.lower: F.get("__f", F.lit(0)), n.upper: F.get("__f", F.lit(1))})]).drop("__f")
 
 
 def without_contained(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -120,67 +126,64 @@ def merged_pairs(df: DataFrame, keys: list[str], identity: list[str], columns: l
     """Pairs of rows of one identity that complete each other, as one row: greedily in order, each row at most once.
 
     Two rows fit when no column has two different values; what one of them misses the other gives. A pair stands at its
-    first row's place. Greedy pairing depends on order, so a group (rows of a table that share the identity columns) is
-    paired in a Python function over that group alone.
+    first row's place, with that row's other columns; rows keep their places, so nothing is ordered by groups. A fold over
+    the rows of a group (of a table and its identity columns): each row completes the first open one that it fits. Taking
+    rows in order and open ones in order gives the pairs that looking ahead from each row in turn gives.
     """
-    rest = [c for c in df.columns if c not in columns and c != ROW and c not in keys]
-    names = [*keys, ROW, *columns, *rest]
-
-    def pair(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(ROW).reset_index(drop=True)
-        rows, used, out = x[columns].values.tolist(), set(), []
-        for i in range(len(rows)):
-            if i in used:
-                continue
-            for j in range(i + 1, len(rows)):
-                if j not in used and all(a == b or MISSING in (a, b) for a, b in zip(rows[i], rows[j], strict=True)):
-                    used |= {i, j}
-                    rows[i] = [b if a == MISSING else a for a, b in zip(rows[i], rows[j], strict=True)]
-                    break
-            out.append(i)
-        merged = x.iloc[out].copy()
-        merged[columns] = [rows[i] for i in out]
-        return merged[names]
-
-    schema = ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names)
-    return df.select(*[_c(c) for c in names]).groupBy(*keys, *[_c(c) for c in identity]).applyInPandas(pair, schema)
+    rest = [c for c in df.columns if c not in (*columns, ROW, *keys)]
+    own = [ROW, *columns, *rest]
+    item = F.struct(*[_c(c) for c in own], F.lit(True).alias("__open"))
+    packed = df.groupBy(*keys, *[_c(c).alias(f"__id{k}") for k, c in enumerate(identity)]).agg(F.collect_list(item).alias("__rows"), F.count(F.lit(1)).alias("__n"))
+
+    def fits(a: Column, b: Column) -> Column:
+        return reduce(lambda x, y: x & y, [a[c].eqNullSafe(b[c]) | (a[c] == MISSING) | (b[c] == MISSING) for c in columns], a["__open"])
+
+    def joined(a: Column, b: Column) -> Column:
+        cells = [F.when(a[c] == MISSING, b[c]).otherwise(a[c]).alias(c) for c in columns]
+        return F.struct(a[ROW].alias(ROW), *cells, *[a[c].alias(c) for c in rest], F.lit(False).alias("__open"))
+
+    def step(state: Column, row: Column) -> Column:
+        at = F.coalesce(F.array_position(F.transform(state, lambda a: F.coalesce(fits(a, row), F.lit(False))), F.lit(True)), F.lit(0))
+        return F.when(at == 0, F.concat(state, F.array(row))).otherwise(F.transform(state, lambda a, k: F.when(k + 1 == at, joined(a, row)).otherwise(a)))
+
+    by_place = F.array_sort("__rows", lambda a, b: F.when(a[ROW] < b[ROW], -1).when(a[ROW] > b[ROW], 1).otherwise(0))
+    kind = packed.schema["__rows"].dataType.simpleString()
+    paired = F.when(F.col("__n") == 1, F.col("__rows")).otherwise(F.aggregate(by_place, F.array().cast(kind), step))
+    return packed.select(*keys, F.explode(paired).alias("__r")).select(*keys, *[F.col(f"__r.`{c}`").alias(c) for c in own])
 
 
 def range_to_median(df: DataFrame, keys: list[str], n: Names, identity: list[str]) -> DataFrame:
-    """In groups of exactly two rows of which one is a median: the other's range moves to the median, and the other, if
-    it holds nothing more than the range, goes with it to missing bounds."""
+    """In groups of exactly two rows of which one is a median and the other has a range: the range moves to the median,
+    whatever bounds that had, and is missing in the other."""
     group = W.partitionBy(*keys, *[_c(c) for c in identity])
+    ranged = (_c(n.statistic) != "Median") & (_c(n.interval) == "Range")
     told = df.withColumns(
         {
-            "__two": F.count(F.lit(1)).over(group) == 2,
-            "__medians": F.count_if(_c(n.statistic) == "Median").over(group),
-            "__l": F.max(F.when((_c(n.statistic) != "Median") & (_c(n.interval) == "Range"), _c(n.lower))).over(group),
-            "__u": F.max(F.when((_c(n.statistic) != "Median") & (_c(n.interval) == "Range"), _c(n.upper))).over(group),
-        }
-    )
-    fits = F.col("__two") & (F.col("__medians") == 1) & F.col("__l").isNotNull()
-    median = fits & (_c(n.statistic) == "Median") & (_c(n.lower) == MISSING) & (_c(n.upper) == MISSING)
-    told = told.withColumn("__moved", F.max(median).over(group))
-    told = told.withColumns(
-        {
-            n.interval: F.when(median, "Range").when(F.col("__moved"), MISSING).otherwise(_c(n.interval)),
-            n.lower: F.when(median, F.col("__l")).when(F.col("__moved"), MISSING).otherwise(_c(n.lower)),
-            n.upper: F.when(median, F.col("__u")).when(F.col("__moved"), MISSING).otherwise(_c(n.upper)),
+            "__fits": (F.count(F.lit(1)).over(group) == 2) & (F.count_if(_c(n.statistic) == "Median").over(group) == 1) & (F.count_if(ranged).over(group) == 1),
+            "__l": F.max(F.when(ranged, _c(n.lower))).over(group),
+            "__u": F.max(F.when(ranged, _c(n.upper))).over(group),
         }
     )
+    median = _c(n.statistic) == "Median"
+    moved = lambda c, own: F.when(F.col("__fits"), F.when(median, own).otherwise(MISSING)).otherwise(_c(c))
+    told = told.withColumns({n.interval: moved(n.interval, F.lit("Range")), n.lower: moved(n.lower, F.col("__l")), n.upper: moved(n.upper, F.col("__u"))})
     return told.select(*[_c(c) for c in df.columns])
 
 
 def clean_summary(df: DataFrame, keys: list[str], n: Names, columns: list[str]) -> DataFrame:
-    """The cleanup of summary rows that needs no pairing: one shuffle for equal rows and one for contained ones.
+    """The cleanup of summary rows. With ``n.identity``, rows that complete each other are merged and ranges moved to medians.
 
-    Order matters: errors out, value rules, normalization, rows with numbers, equal rows, rows whose value repeats the
-    subject count, ranges split, contained rows out.
+    Order matters: errors out, value rules, normalization, rows with numbers, pairs merged, equal rows, rows whose value
+    repeats the subject count, ranges split, contained rows out, ranges to medians.
     """
     told = rewritten(without_errors(df, columns), value_rules(n))
     told = with_numbers(normalized(told, columns), [n.value, n.variation_type, n.lower, n.upper])
+    if n.identity:
+        told = merged_pairs(told, keys, n.identity, columns)
     told = first_of_equal(told, keys, columns).filter(_c(n.subjects) != _c(n.value))
-    return without_contained(split_ranges(told, n), keys, columns)
+    # read twice by the anti-join below
+    told = without_contained(cut(split_ranges(told, n), "cleanup-rows"), keys, columns)
+    return range_to_median(told, keys, n, n.identity) if n.identity else told
 
 
 def individual_rules(time_value: str, time_unit: str, value: str, kind: str, unit: str) -> list[tuple[Column, dict[str, str]]]:

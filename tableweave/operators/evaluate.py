@@ -33,7 +33,7 @@ def harmonized(df: DataFrame, canonical: list[str], aliases: dict[str, str] | No
 def best_anchor_match(row: Column, candidates: Column, anchors: list[str], similarity: Similarity = exact_similarity) -> Column:
     """The place in ``candidates`` (array of structs) of the row that ``row`` (a struct) stands for, -1 if there is none.
 
-    Anchors narrow the candidates one after the other; a missing or blank anchor is passed over. One candidate left is the
+    Anchors narrow the candidates one after the other; a blank anchor is passed over, a null one counts as a missing number. One candidate left is the
     answer. When an anchor leaves none, the next one starts again from all. In the end the answer is the first of the last
     anchor's matches. A fold over the anchors, so that only the state is kept: the answer, the matches, the candidates.
     """
@@ -68,23 +68,48 @@ def table_score(scores: Column, less: Column, more: Column) -> Column:
     return F.floor(100.0 * scores / (10.0 * less + (more - less))).cast("int")
 
 
+def _counterparts(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity) -> DataFrame:
+    """``keys, less_rows, more_rows, pairs`` of every baseline: each row of the shorter table and its counterpart, or null."""
+    columns = list(dict.fromkeys([*anchors, *[c for c, _, _ in rated]]))
+    pack = lambda df: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, *columns))).alias("rows"))
+    packed = pack(baseline).withColumnRenamed("rows", "b")
+    both = packed.join(pack(target).withColumnRenamed("rows", "t"), keys, "left")
+    t = F.coalesce("t", F.array().cast(packed.schema["b"].dataType))
+    short = F.size("b") <= F.size(t)
+    sides = both.select(*keys, F.when(short, F.col("b")).otherwise(t).alias("less"), F.when(short, t).otherwise(F.col("b")).alias("more"))
+    mate = lambda row: F.get("more", best_anchor_match(row, F.col("more"), anchors, similarity))
+    return sides.select(*keys, F.size("less").alias("less_rows"), F.size("more").alias("more_rows"), F.transform("less", lambda row: F.struct(row.alias("row"), mate(row).alias("mate"))).alias("pairs"))
+
+
+def _summed(points: Callable[[Column, Column], Column], zero: Column) -> Column:
+    return F.aggregate("pairs", zero, lambda s, p: s + F.when(p["mate"].isNull(), zero).otherwise(points(p["row"], p["mate"])))
+
+
 def score_tables(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity = exact_similarity) -> DataFrame:
-    """``keys, less_rows, more_rows, score`` of every table pair that both sides have.
+    """``keys, less_rows, more_rows, score`` of every baseline table.
 
     Both sides have the keys, ``row_idx`` and the columns. The shorter table's rows (the baseline's when they tie) look for
-    their counterparts in the longer one, whose rows may serve several times; a row without one scores 0. A table's longer
-    side is packed into one array, since matching narrows down whole sets of candidates; tables are small, their number isn't.
+    their counterparts in the longer one, whose rows may serve several times; a row without one scores 0. A table without
+    target rows scores 0, and so do all where the sides differ in their number of columns. A table's rows are packed into
+    arrays, since matching narrows down whole sets of candidates; tables are small, their number isn't.
     """
-    columns = list(dict.fromkeys([*anchors, *[c for c, _, _ in rated]]))
-    pack = lambda df: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, *columns))).alias("rows"))
-    both = pack(baseline).withColumnRenamed("rows", "b").join(pack(target).withColumnRenamed("rows", "t"), keys)
-    short = F.size("b") <= F.size("t")
-    sides = both.select(*keys, F.when(short, F.col("b")).otherwise(F.col("t")).alias("less"), F.when(short, F.col("t")).otherwise(F.col("b")).alias("more"))
-    each = sides.select(*keys, F.size("less").alias("less_rows"), F.size("more").alias("more_rows"), F.explode("less").alias("row"), "more")
-    told = each.withColumn("at", best_anchor_match(F.col("row"), F.col("more"), anchors, similarity)).withColumn("mate", F.get("more", F.col("at")))
-    rating = F.when(F.col("at") >= 0, row_score(lambda c: F.col("row")[c], lambda c: F.col("mate")[c], rated, similarity)).otherwise(0)
-    told = told.withColumn("s", rating).groupBy(*keys).agg(F.first("less_rows").alias("less_rows"), F.first("more_rows").alias("more_rows"), F.sum("s").alias("s"))
-    return told.select(*keys, "less_rows", "more_rows", table_score(F.col("s"), F.col("less_rows"), F.col("more_rows")).alias("score"))
+    told = _counterparts(baseline, target, keys, anchors, rated, similarity)
+    points = _summed(lambda a, b: row_score(lambda c: a[c], lambda c: b[c], rated, similarity), F.lit(0))
+    score = table_score(points, F.col("less_rows"), F.col("more_rows")) if len(baseline.columns) == len(target.columns) else F.lit(0)
+    return told.select(*keys, "less_rows", "more_rows", score.alias("score"))
+
+
+def score_tables_separately(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity = exact_similarity) -> DataFrame:
+    """As ``score_tables``, but ``text_score, number_score``: shares of equal columns of either kind, unweighted, unrounded by row."""
+    told = _counterparts(baseline, target, keys, anchors, rated, similarity)
+
+    def share(number: bool) -> Column:
+        names = [c for c, n, _ in rated if n == number]
+        equal = lambda a, b: equal_number(a, b) if number else equal_text(a, b, similarity)
+        points = _summed(lambda a, b: 10.0 * reduce(lambda x, y: x + y, [F.when(equal(a[c], b[c]), 1.0).otherwise(0.0) for c in names]) / len(names), F.lit(0.0))
+        return table_score(points, F.col("less_rows"), F.col("more_rows")) if names and len(baseline.columns) == len(target.columns) else F.lit(0)
+
+    return told.select(*keys, "less_rows", "more_rows", share(False).alias("text_score"), share(True).alias("number_score"))
 
 
 def score_by_position(baseline: DataFrame, target: DataFrame, keys: list[str], rated: Rated, similarity: Similarity = exact_similarity) -> DataFrame:

@@ -67,7 +67,7 @@ def split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_MATRIX}, w AS (SELECT *, CASE WHEN header = 'Group' THEN CASE WHEN value LIKE 'Sub %' THEN 'Subheader' WHEN value = 'Age' THEN 'Characteristic' ELSE 'Exposure' END END AS row_kind FROM base),
+    f"""WITH {_MATRIX.replace('base AS (', 'base AS MATERIALIZED (')}, w AS (SELECT *, CASE WHEN header = 'Group' THEN CASE WHEN value LIKE 'Sub %' THEN 'Subheader' WHEN value = 'Age' THEN 'Characteristic' ELSE 'Exposure' END END AS row_kind FROM base),
 h AS (SELECT doc_id, row_idx, value AS own, row_kind AS k, last_value(CASE WHEN row_kind = 'Subheader' THEN value END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sub FROM w WHERE header = 'Group'),
 p AS (SELECT doc_id, row_idx, value AS p FROM base WHERE header = 'P'),
 j AS (SELECT b.*, CASE WHEN sub IS NULL THEN own ELSE sub || '; ' || own END AS lab, k, CASE WHEN b.col_idx < 3 THEN p END AS pv FROM base b JOIN h USING (doc_id, row_idx) JOIN p USING (doc_id, row_idx) WHERE header NOT IN ('Group', 'P'))

@@ -21,7 +21,7 @@ _NO_ERROR = "clean AS (SELECT * FROM base WHERE parameter_type <> 'ERROR')"
 _RULES = """
 r1 AS (SELECT * REPLACE (CASE WHEN x THEN 'N/A' ELSE main_value END AS main_value, CASE WHEN x THEN 'N/A' ELSE statistics_type END AS statistics_type) FROM
   (SELECT *, (statistics_type = interval_type OR statistics_type = 'N/A') AND (main_value = lower_bound OR main_value = upper_bound) AS x FROM {source})),
-r2 AS (SELECT * REPLACE (CASE WHEN lower_bound <> 'N/A' AND upper_bound <> 'N/A' AND contains(main_value, lower_bound) AND contains(main_value, upper_bound) THEN 'N/A' ELSE main_value END AS main_value) FROM r1),
+r2 AS (SELECT * REPLACE (CASE WHEN lower_bound <> 'N/A' AND upper_bound <> 'N/A' AND NOT regexp_full_match(lower_bound, '\\s*N/A\\s*') AND NOT regexp_full_match(upper_bound, '\\s*N/A\\s*') AND contains(main_value, lower_bound) AND contains(main_value, upper_bound) THEN 'N/A' ELSE main_value END AS main_value) FROM r1),
 r3 AS (SELECT * REPLACE (CASE WHEN main_value = 'N/A' THEN 'N/A' ELSE statistics_type END AS statistics_type) FROM r2),
 r4 AS (SELECT * REPLACE (CASE WHEN lower_bound = 'N/A' AND upper_bound = 'N/A' THEN 'N/A' WHEN lower_bound <> 'N/A' AND upper_bound <> 'N/A' THEN 'Range' ELSE interval_type END AS interval_type,
   CASE WHEN variation_value = 'N/A' THEN 'N/A' ELSE variation_type END AS variation_type) FROM r3)"""
@@ -35,10 +35,9 @@ def _norm(source: str, columns: list[str], spellings: bool = True) -> str:
 
 _DEDUP = f"SELECT * FROM {{source}} QUALIFY row_number() OVER (PARTITION BY doc_id, {', '.join(COLUMNS)} ORDER BY row_idx) = 1"
 _SPLIT = """
-s1 AS (SELECT * REPLACE (CASE WHEN f THEN p[1] ELSE lower_bound END AS lower_bound, CASE WHEN f THEN p[2] ELSE upper_bound END AS upper_bound) FROM
-  (SELECT *, len(p) = 2 AND upper_bound = 'N/A' AS f FROM (SELECT *, regexp_extract_all(lower_bound, '-?[0-9]+\\.[0-9]+') AS p FROM {source}))),
-s2 AS (SELECT * EXCLUDE (p, f) REPLACE (CASE WHEN g THEN q[1] ELSE lower_bound END AS lower_bound, CASE WHEN g THEN q[2] ELSE upper_bound END AS upper_bound) FROM
-  (SELECT *, len(q) = 2 AND lower_bound = 'N/A' AS g FROM (SELECT *, regexp_extract_all(upper_bound, '-?[0-9]+\\.[0-9]+') AS q FROM s1)))"""
+s1 AS (SELECT *, regexp_extract_all(lower_bound, '-?[0-9]+\\.[0-9]+') AS p, regexp_extract_all(upper_bound, '-?[0-9]+\\.[0-9]+') AS q FROM {source}),
+s2 AS (SELECT * EXCLUDE (p, q, f) REPLACE (coalesce(f[1], lower_bound) AS lower_bound, coalesce(f[2], upper_bound) AS upper_bound) FROM
+  (SELECT *, CASE WHEN upper_bound = 'N/A' AND len(p) = 2 THEN p WHEN lower_bound = 'N/A' AND len(q) = 2 THEN q WHEN lower_bound = upper_bound AND len(q) = 2 THEN q END AS f FROM s1))"""
 _COVERED = " AND ".join(f"(i.{c} = j.{c} OR i.{c} = 'N/A')" for c in COLUMNS)
 _DIFFER = " OR ".join(f"i.{c} <> j.{c}" for c in COLUMNS)
 _CONTAIN = f"SELECT {ALL} FROM {{source}} i WHERE NOT EXISTS (SELECT 1 FROM {{source}} j WHERE i.doc_id = j.doc_id AND i.row_idx <> j.row_idx AND {_COVERED} AND ({_DIFFER} OR j.row_idx > i.row_idx))"
@@ -104,22 +103,43 @@ def range_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.split_ranges(inputs.assembled(spark, sf_dir), NAMES).select("doc_id", "row_idx", "lower_bound", "upper_bound")
 
 
-_GROUP = "PARTITION BY doc_id, drug_name, parameter_type"
+# Two rows a group, medians with and without bounds of their own, ranges in either row.
+_MEDIANS = """
+SELECT o_custkey AS doc_id, CAST(o_orderkey * 2 AS BIGINT) AS row_idx, CAST(o_orderkey AS STRING) AS drug_name, CASE WHEN o_orderkey % 3 = 0 THEN 'Mean' ELSE 'Median' END AS statistics_type,
+  CASE WHEN o_orderkey % 4 = 0 THEN 'Range' ELSE 'N/A' END AS interval_type, CASE WHEN o_orderkey % 2 = 0 THEN '4' ELSE 'N/A' END AS lower_bound, 'N/A' AS upper_bound FROM orders
+UNION ALL
+SELECT o_custkey, CAST(o_orderkey * 2 + 1 AS BIGINT), CAST(CASE WHEN o_orderkey % 11 = 0 THEN 0 ELSE o_orderkey END AS STRING), CASE WHEN o_orderkey % 7 = 0 THEN 'Median' ELSE 'Mean' END,
+  CASE WHEN o_orderkey % 5 = 0 THEN '95% CI' ELSE 'Range' END, '1', '9' FROM (SELECT * FROM orders)
+"""
+_GROUP = "PARTITION BY doc_id, drug_name"
+_MOVED = """SELECT * EXCLUDE (fits, l, u) REPLACE (CASE WHEN fits THEN CASE WHEN statistics_type = 'Median' THEN 'Range' ELSE 'N/A' END ELSE interval_type END AS interval_type,
+  CASE WHEN fits THEN CASE WHEN statistics_type = 'Median' THEN l ELSE 'N/A' END ELSE lower_bound END AS lower_bound, CASE WHEN fits THEN CASE WHEN statistics_type = 'Median' THEN u ELSE 'N/A' END ELSE upper_bound END AS upper_bound)
+FROM (SELECT *, count(*) OVER ({g}) = 2 AND count(*) FILTER (WHERE statistics_type = 'Median') OVER ({g}) = 1 AND count(*) FILTER (WHERE statistics_type <> 'Median' AND interval_type = 'Range') OVER ({g}) = 1 AS fits,
+  max(CASE WHEN statistics_type <> 'Median' AND interval_type = 'Range' THEN lower_bound END) OVER ({g}) AS l, max(CASE WHEN statistics_type <> 'Median' AND interval_type = 'Range' THEN upper_bound END) OVER ({g}) AS u FROM {source})"""
+
+
+@query(f"WITH base AS ({_MEDIANS}) {_MOVED.format(g=_GROUP, source='base')}")
+def range_to_median(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.range_to_median(inputs.from_sql(spark, sf_dir, _MEDIANS, "orders"), ["doc_id"], NAMES, ["drug_name"])
+
+
+# The whole cleanup in order. Identities have two rows at most, so that SQL can say what merging pairs gives.
+_ARMS = f"SELECT doc_id, row_idx, CAST(floor(row_idx / 2) AS STRING) AS drug_name, {', '.join(COLUMNS[1:])} FROM ({inputs.ASSEMBLED})"
+_AGREE = " AND ".join(f"count(DISTINCT nullif({c}, 'N/A')) OVER (PARTITION BY doc_id, drug_name) <= 1" for c in COLUMNS)
+_FILLED = ", ".join(f"coalesce(max(nullif({c}, 'N/A')), 'N/A') AS {c}" for c in COLUMNS)
+_IDENTITY = "PARTITION BY doc_id, drug_name"
 
 
 @query(
-    f"""WITH {_BASE},
-w AS (SELECT *, count(*) OVER ({_GROUP}) AS n, count(*) FILTER (WHERE statistics_type = 'Median') OVER ({_GROUP}) AS m,
-  max(CASE WHEN statistics_type <> 'Median' AND interval_type = 'Range' THEN lower_bound END) OVER ({_GROUP}) AS l,
-  max(CASE WHEN statistics_type <> 'Median' AND interval_type = 'Range' THEN upper_bound END) OVER ({_GROUP}) AS u FROM (SELECT * REPLACE ('Range' AS interval_type) FROM base)),
-x AS (SELECT *, n = 2 AND m = 1 AND l IS NOT NULL AND statistics_type = 'Median' AND lower_bound = 'N/A' AND upper_bound = 'N/A' AS t FROM w),
-y AS (SELECT *, bool_or(t) OVER ({_GROUP}) AS moved FROM x)
-SELECT doc_id, row_idx, CASE WHEN t THEN 'Range' WHEN moved THEN 'N/A' ELSE interval_type END AS interval_type,
-  CASE WHEN t THEN l WHEN moved THEN 'N/A' ELSE lower_bound END AS lower_bound, CASE WHEN t THEN u WHEN moved THEN 'N/A' ELSE upper_bound END AS upper_bound FROM y"""
+    f"WITH base AS ({_ARMS.replace('CAST(floor(row_idx / 2) AS STRING)', 'CAST(row_idx // 2 AS STRING)')}), {_NO_ERROR}, {_RULES.format(source='clean')}, n AS ({_norm('r4', COLUMNS)}), "
+    "d AS (SELECT * FROM n WHERE regexp_matches(main_value || '|' || variation_type || '|' || lower_bound || '|' || upper_bound, '[0-9]')), "
+    f"c AS (SELECT *, count(*) OVER ({_IDENTITY}) = 2 AND {_AGREE} AS agree FROM d), "
+    f"m AS (SELECT {ALL} FROM c WHERE NOT agree UNION ALL SELECT doc_id, min(row_idx) AS row_idx, {_FILLED} FROM c WHERE agree GROUP BY doc_id, c.drug_name), "
+    f"u AS (SELECT * FROM ({_DEDUP.format(source='m')}) WHERE subject_n <> main_value), {_SPLIT.format(source='u')}, k AS ({_CONTAIN.format(source='s2')}) {_MOVED.format(g=_IDENTITY, source='k')}"
 )
-def range_to_median(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = inputs.assembled(spark, sf_dir).withColumn("interval_type", F.lit("Range"))
-    return C.range_to_median(df, ["doc_id"], NAMES, ["drug_name", "parameter_type"]).select("doc_id", "row_idx", "interval_type", "lower_bound", "upper_bound")
+def row_cleanup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = C.Names(identity=["drug_name"])
+    return C.clean_summary(inputs.from_sql(spark, sf_dir, _ARMS, "lineitem"), ["doc_id"], names, COLUMNS).select("doc_id", "row_idx", *COLUMNS)
 
 
 # Each order as two rows, one with the price and one with the date, which complete each other unless the price is low.
@@ -136,7 +156,7 @@ SELECT doc_id, row_idx, name, price, status FROM g WHERE prices > 1 UNION ALL
 SELECT doc_id, min(row_idx), name, max(nullif(price, 'N/A')), max(nullif(status, 'N/A')) FROM g WHERE prices <= 1 GROUP BY doc_id, name"""
 )
 def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = inputs.from_sql(spark, sf_dir, _PAIRS.replace("FROM orders\n", "FROM orders\n"), "orders")
+    df = inputs.from_sql(spark, sf_dir, _PAIRS, "orders")
     return C.merged_pairs(df, ["doc_id"], ["name"], ["name", "price", "status"])
 
 
@@ -161,9 +181,9 @@ def latest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest_values(inputs.load(spark, sf_dir, "events"), ["user_id"], "event_id", ["event_type"])
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderkey % 3 = 0)")
 def new_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = inputs.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    stored = inputs.load(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.col("o_custkey").alias("c_custkey"))
     return store.new_only(inputs.load(spark, sf_dir, "customer").select("c_custkey", "c_name"), stored, ["c_custkey"])
 
 
