@@ -98,6 +98,31 @@ def without_empty_fields(text: Column) -> Column:
     return F.regexp_replace(inner, r'\{\s*""\s*,', "{")
 
 
+def without_cut_object(text: Column) -> Column:
+    """A JSON list up to its last object that begins after a whole one: what a cut-off answer has for certain."""
+    found = F.regexp_extract(text, r"(?s)^(.*\} *, *)\{", 1)
+    return F.when(found != "", found).otherwise(text)
+
+
+def joined_answers(parts: Column) -> Column:
+    """An answer that came in several parts (an array) as one JSON text.
+
+    Missing parts and code fences go. A part that begins a list anew ends the one before at its last whole object and goes
+    on in its list. What still isn't JSON is cut at its last whole object and closed.
+    """
+    plain = F.transform(F.filter(parts, lambda p: p.isNotNull()), lambda p: F.regexp_replace(F.trim(F.regexp_replace(F.trim(p), r"^```json", "")), r"```$", ""))
+
+    def step(state: Column, part: Column) -> Column:
+        anew = part.startswith("[{") & state["begun"]
+        done = F.concat(state["done"], F.when(anew, without_cut_object(state["last"])).otherwise(state["last"]))
+        return F.struct(done.alias("done"), F.when(anew, F.substring(part, F.lit(2), F.char_length(part))).otherwise(part).alias("last"), F.lit(True).alias("begun"))
+
+    start = F.struct(F.lit("").alias("done"), F.lit("").alias("last"), F.lit(False).alias("begun"))
+    text = F.aggregate(plain, start, step, lambda s: F.concat(s["done"], s["last"]))
+    closed = F.concat(F.regexp_replace(F.trim(without_cut_object(text)), r",$", ""), F.lit("]"))
+    return F.when(F.try_parse_json(text).isNotNull(), text).when(F.try_parse_json(closed).isNotNull(), closed).otherwise(text)
+
+
 def is_plain_number(text: Column) -> Column:
     return F.coalesce(text.rlike(PLAIN), F.lit(False))
 

@@ -144,10 +144,12 @@ def merged_pairs(df: DataFrame, keys: list[str], identity: list[str], columns: l
 
     def step(state: Column, row: Column) -> Column:
         at = F.coalesce(F.array_position(F.transform(state, lambda a: F.coalesce(fits(a, row), F.lit(False))), F.lit(True)), F.lit(0))
-        return F.when(at == 0, F.concat(state, F.array(row))).otherwise(F.transform(state, lambda a, k: F.when(k + 1 == at, joined(a, row)).otherwise(a)))
+        # the place is computed once, as the only element of an array
+        put = lambda at: F.when(at == 0, F.concat(state, F.array(row))).otherwise(F.transform(state, lambda a, k: F.when(k + 1 == at, joined(a, row)).otherwise(a)))
+        return F.element_at(F.transform(F.array(at), put), 1)
 
     by_place = F.array_sort("__rows", lambda a, b: F.when(a[ROW] < b[ROW], -1).when(a[ROW] > b[ROW], 1).otherwise(0))
-    kind = packed.schema["__rows"].dataType.simpleString()
+    kind = packed.schema["__rows"].dataType
     paired = F.when(F.col("__n") == 1, F.col("__rows")).otherwise(F.aggregate(by_place, F.array().cast(kind), step))
     return packed.select(*keys, F.explode(paired).alias("__r")).select(*keys, *[F.col(f"__r.`{c}`").alias(c) for c in own])
 
@@ -177,7 +179,8 @@ def clean_summary(df: DataFrame, keys: list[str], n: Names, columns: list[str])
     repeats the subject count, ranges split, contained rows out, ranges to medians.
     """
     told = rewritten(without_errors(df, columns), value_rules(n))
-    told = with_numbers(normalized(told, columns), [n.value, n.variation_type, n.lower, n.upper])
+    # each rule holds the one before; written here, so that nothing below holds them all again
+    told = cut(with_numbers(normalized(told, columns), [n.value, n.variation_type, n.lower, n.upper]), "cleanup-ruled")
     if n.identity:
         told = merged_pairs(told, keys, n.identity, columns)
     told = first_of_equal(told, keys, columns).filter(_c(n.subjects) != _c(n.value))
@@ -200,7 +203,7 @@ def individual_rules(time_value: str, time_unit: str, value: str, kind: str, uni
 
 def clean_individual(df: DataFrame, keys: list[str], columns: list[str], time_value: str, time_unit: str, value: str, kind: str, unit: str) -> DataFrame:
     """The cleanup of single patients' rows: rules, normalization, rows with a value, equal rows."""
-    told = normalized(rewritten(df, individual_rules(time_value, time_unit, value, kind, unit)), columns, {})
+    told = normalized(rewritten(df, individual_rules(time_value, time_unit, value, kind, unit)), columns, {",": " "})
     return first_of_equal(told.filter(_c(value) != MISSING), keys, columns)
 
 

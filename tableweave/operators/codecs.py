@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -59,6 +64,31 @@ def repaired_csv(text: Column) -> Column:
     return F.array_join(F.transform(lines, lambda line, i: F.when(i == 0, line).otherwise(repaired_csv_line(line, n))), "\n")
 
 
+def from_csv_texts(docs: DataFrame, keys: list[str], text_col: str = "csv") -> DataFrame:
+    """``keys, valid, headers, rows`` of CSV texts: whether they can be read at all, and their cells.
+
+    The one empty cell that lines have too much is repaired first. Headers and rows are null where a line has more cells
+    than the header, or nothing can be read; shorter lines are filled with empty cells. Quotes may hold commas and lines.
+    """
+    kinds = ", ".join(f"`{k}` {docs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def read(text: str | None) -> tuple[bool, list[str] | None, list[list[str]] | None]:
+        try:
+            lines = [r for r in csv.reader(io.StringIO(text or "")) if r]
+        except csv.Error:
+            return False, None, None
+        if not lines or any(len(r) > len(lines[0]) for r in lines):
+            return True, None, None
+        return True, lines[0], [r + [""] * (len(lines[0]) - len(r)) for r in lines[1:]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            found = pd.DataFrame([read(t) for t in x["__csv"]], columns=["valid", "headers", "rows"])
+            yield pd.concat([x[keys].reset_index(drop=True), found], axis=1)
+
+    return docs.select(*keys, repaired_csv(F.col(text_col)).alias("__csv")).mapInPandas(run, f"{kinds}, valid boolean, headers array<string>, rows array<array<string>>")
+
+
 def json_rows_to_csv(payload: Column, codes: dict[str, str]) -> Column:
     """A JSON array of objects with short codes, in any case, as a CSV text with full names; commas in cells are spaces."""
     rows = F.transform(F.from_json(payload, "array<map<string,string>>"), lambda m: F.transform_keys(m, lambda k, v: F.lower(k)))

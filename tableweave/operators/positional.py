@@ -67,6 +67,15 @@ def known_matches(match: Column, n: Column) -> Column:
     return F.when(F.size(match) > n, F.filter(match, lambda x: x < n)).otherwise(match)
 
 
+def chosen(choices: DataFrame, tables: DataFrame, keys: list[str], number: str = "table_id") -> DataFrame:
+    """The tables that ``keys, indices`` choose; an index that no table has is an error."""
+    sizes = tables.groupBy(*keys).agg(F.max(number).alias("__last"))
+    each = choices.select(*keys, F.explode("indices").alias(number)).join(sizes, keys, "left")
+    fine = (F.col(number) >= 0) & (F.col(number) <= F.coalesce("__last", F.lit(-1)))
+    checked = each.withColumn(number, F.when(fine, F.col(number)).otherwise(F.raise_error(F.concat(F.lit("no table "), F.col(number).cast("string"))).cast("int")))
+    return tables.join(checked.select(*keys, number).distinct(), [*keys, number], "left_semi")
+
+
 def fitted(values: Column, n: Column, pad: str = "N/A") -> Column:
     """A vector cut or padded to n."""
     some = F.slice(values, F.lit(1), F.least(F.size(values), n))

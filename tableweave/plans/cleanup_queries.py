@@ -28,8 +28,8 @@ r4 AS (SELECT * REPLACE (CASE WHEN lower_bound = 'N/A' AND upper_bound = 'N/A' T
 
 
 def _norm(source: str, columns: list[str], spellings: bool = True) -> str:
-    same = "WHEN {c} IN ('Standard Deviation (SD)', 's.d.', 'S.D.') THEN 'SD' WHEN {c} = ',' THEN ' ' " if spellings else ""
-    one = "CASE WHEN regexp_full_match({c}, '\\s*') OR {c} IN ('n/a', 'unknown', 'Unknown', 'nan') THEN 'N/A' " + same + "ELSE {c} END AS {c}"
+    same = "WHEN {c} IN ('Standard Deviation (SD)', 's.d.', 'S.D.') THEN 'SD' " if spellings else ""
+    one = "CASE WHEN regexp_full_match({c}, '\\s*') OR {c} IN ('n/a', 'unknown', 'Unknown', 'nan') THEN 'N/A' " + same + "WHEN {c} = ',' THEN ' ' ELSE {c} END AS {c}"
     return f"SELECT * REPLACE ({', '.join(one.format(c=c) for c in columns)}) FROM {source}"
 
 

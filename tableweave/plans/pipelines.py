@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableweave.operators import cleanup
 from tableweave.operators.positional import ROW, exploded, gathered, replicated, zipped
 
 MISSING = "N/A"
@@ -51,13 +54,75 @@ def assemble(pipeline: str, parts: list[DataFrame], keys: list[str]) -> DataFram
     return wide.select(*keys, ROW, *[(F.coalesce(F.col(f"`{c}`"), F.lit(MISSING)) if c in have else F.lit(MISSING)).alias(c) for c in OUTPUTS[pipeline]])
 
 
+_DRUG, _WHO_N = ["Drug name", "Analyte", "Specimen"], [*_WHO, "Subject N"]
+_VALUES = ["Parameter unit", "Parameter statistic", "Parameter value", *_BOUNDS]
+_CHARACTERISTIC = ["Characteristic", "Characteristic subcategory", "Characteristic unit", "Characteristic value"]
+_DOSE = ["Drug/Metabolite name", "Dose amount", "Dose unit", "Dose frequency", "Dose schedule", "Dose route"]
+#: For each pipeline the steps whose answers are rows, and those whose answers are a lookup with a match vector.
+STEPS: dict[str, tuple[dict[str, list[str]], dict[str, tuple[str, list[str]]]]] = {
+    "pk_summary": (
+        {"param_value": ["Parameter value", "Parameter statistic", *_BOUNDS, "P value"], "param_type_unit": ["Parameter type", "Parameter unit"], "time_unit": ["Time value", "Time unit"]},
+        {"drug_info": ("drug_match", _DRUG), "patient_info": ("patient_match", _WHO_N)},
+    ),
+    "pk_individual": (
+        {"param_value": ["Parameter value"], "param_type_unit": ["Parameter type", "Parameter unit"], "time_unit": ["Time value", "Time unit"]},
+        {"drug_info": ("drug_match", _DRUG), "patient_info": ("patient_match", ["Patient ID", *_WHO])},
+    ),
+    "pk_specimen_summary": ({"specimen_info": ["Specimen", "Sample N", "Note"], "patient_info": _WHO_N, "time_unit": ["Sample time", "Time unit"]}, {}),
+    "pk_specimen_individual": ({"specimen_info": ["Specimen", "Sample N", "Note"], "patient_info": ["Patient ID", *_WHO], "time_unit": ["Sample time", "Time unit"]}, {}),
+    "pk_drug_summary": ({"drug_info": [*_DOSE, "Note"], "patient_info": _WHO_N}, {}),
+    "pk_drug_individual": ({"drug_info": [*_DOSE, "Note"], "patient_info": ["Patient ID", *_WHO]}, {}),
+    "pk_population_summary": ({"characteristic_info": [*_CHARACTERISTIC, "Statistics type", *_BOUNDS, "Note"], "patient_info": _WHO_N}, {}),
+    "pk_population_individual": ({"characteristic_info": [*_CHARACTERISTIC, "Note"], "patient_info": ["Patient ID", *_WHO]}, {}),
+    "pe_study_info": ({"design_info": OUTPUTS["pe_study_info"]}, {}),
+    "pe_study_outcome": ({"mapping": ["Characteristic", "Exposure", "Outcome", "P value"], "param_value": _VALUES}, {}),
+}
+_SUMMARY = cleanup.Names(
+    "Parameter value", "Parameter statistic", "Variation value", "Variation type", "Interval type", "Lower bound", "Upper bound", "Subject N",
+    [*_DRUG, *_WHO_N, "Parameter type", "Parameter unit"],
+)
+
+
+def assembled_rows(pipeline: str, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """A pipeline's rows from recorded answers: lists of rows side by side, lookups at the rows of the first list."""
+    direct, lookups = STEPS[pipeline]
+    parts = [decided_table(decisions, keys, step, columns) for step, columns in direct.items()]
+    for step, (match, columns) in lookups.items():
+        parts.append(matched(decisions, decided_table(decisions, keys, step, columns), keys, match, columns, parts[0]))
+    return assemble(pipeline, parts, keys)
+
+
+def cleaned_rows(pipeline: str, rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last step of a pipeline. Outcomes of studies are cleaned as summaries are, but with no row merged or left out for
+    another; most pipelines have no rules of their own."""
+    columns = OUTPUTS[pipeline]
+    if pipeline == "pk_summary":
+        return cleanup.clean_summary(rows, keys, _SUMMARY, columns)
+    if pipeline == "pk_individual":
+        return cleanup.clean_individual(rows, keys, columns, "Time value", "Time unit", "Parameter value", "Parameter type", "Parameter unit")
+    if pipeline == "pe_study_outcome":
+        told = cleanup.normalized(cleanup.rewritten(rows, cleanup.value_rules(_SUMMARY)), columns)
+        return cleanup.with_numbers(told, ["Parameter value", "Variation type", "Lower bound", "Upper bound"])
+    return cleanup.with_numbers(rows, ["Characteristic value"]) if pipeline == "pk_population_individual" else rows
+
+
+def curated(pipeline: str, decisions: DataFrame, keys: list[str]) -> DataFrame:
+    """A pipeline from recorded answers to its clean output."""
+    if pipeline not in OUTPUTS:
+        raise ValueError(f"no pipeline {pipeline}")
+    return cleaned_rows(pipeline, assembled_rows(pipeline, decisions, keys), keys).select(*keys, ROW, *[F.col(f"`{c}`") for c in OUTPUTS[pipeline]])
+
+
+def curated_all(decisions: DataFrame, keys: list[str], pipelines: list[str] | None = None) -> DataFrame:
+    """Several pipelines over one table of answers (``pipeline, keys, step, payload``), each row a map of its columns."""
+    parts = []
+    for name in pipelines or list(OUTPUTS):
+        rows = curated(name, decisions.filter(F.col("pipeline") == name).drop("pipeline"), keys)
+        cells = F.map_from_arrays(F.array(*[F.lit(c) for c in OUTPUTS[name]]), F.array(*[F.col(f"`{c}`") for c in OUTPUTS[name]]))
+        parts.append(rows.select(F.lit(name).alias("pipeline"), *keys, ROW, cells.alias("cells")))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 def summary_rows(decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """PK summary rows of many tables from recorded answers: values, types and units, matched drugs and patients, times."""
-    values = decided_table(decisions, keys, "param_value", ["Parameter value", "Parameter statistic", *_BOUNDS, "P value"])
-    kinds = decided_table(decisions, keys, "param_type_unit", ["Parameter type", "Parameter unit"])
-    times = decided_table(decisions, keys, "time_unit", ["Time value", "Time unit"])
-    drugs = decided_table(decisions, keys, "drug_info", ["Drug name", "Analyte", "Specimen"])
-    patients = decided_table(decisions, keys, "patient_info", [*_WHO, "Subject N"])
-    drug = matched(decisions, drugs, keys, "drug_match", ["Drug name", "Analyte", "Specimen"], values)
-    patient = matched(decisions, patients, keys, "patient_match", [*_WHO, "Subject N"], values)
-    return assemble("pk_summary", [values, kinds, drug, patient, times], keys)
+    """PK summary rows of many tables from recorded answers, before their cleanup."""
+    return assembled_rows("pk_summary", decisions, keys)

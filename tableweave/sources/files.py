@@ -15,6 +15,16 @@ def read_csv(spark: SparkSession, path: str) -> DataFrame:
     return tidy
 
 
+def captions(spark: SparkSession, path: str) -> DataFrame:
+    """``caption, footnote`` of JSON files, one object each; fields that are missing are null."""
+    return spark.read.schema("caption string, footnote string").option("multiLine", True).json(path)
+
+
+def html_files(spark: SparkSession, path: str) -> DataFrame:
+    """``path, html`` of HTML files, each as a whole."""
+    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+
+
 def manifest(spark: SparkSession, path: str, base: str = "") -> DataFrame:
     """``pmid, html_path`` of a manifest CSV: blank rows and a header line are skipped, relative paths resolved."""
     rows = spark.read.schema("pmid string, html_path string").csv(path)

@@ -133,6 +133,67 @@ def script_tables(html: str, variable: str = r"[\w.]+") -> list[dict[str, Any]]:
     return out
 
 
+def archive_tables(root: Node) -> list[dict[str, Any]]:
+    """Tables as the public archive of full texts wraps them: caption, table and footnote in boxes of their own."""
+    out: list[dict[str, Any]] = []
+    box = lambda wrap, name: next((n for n in wrap.walk() if n.tag == "div" and name in n.attrs.get("class", "").split()), None)
+    text = lambda node: "".join(node.strings(set())) if node else ""
+    for wrap in root.all("div"):
+        if not {"table-wrap", "anchored", "whole_rhythm"} <= set(wrap.attrs.get("class", "").split()):
+            continue
+        inner = box(wrap, "xtable")
+        tables = inner.all("table") if inner else []
+        headers, rows = table_of(tables[0]) if tables else ([], [])
+        found = {"caption": text(box(wrap, "caption")), "footnote": text(box(wrap, "tblwrap-foot")), "headers": headers, "rows": rows}
+        if not (out and out[-1]["headers"] == headers and out[-1]["rows"] == rows):
+            out.append(found)
+    return out
+
+
+def archive_title(root: Node) -> str:
+    """The first h1 in a group of headings that says something."""
+    return next((t for g in root.all("hgroup") for h in g.all("h1") if (t := h.text(" ").strip())), "")
+
+
+def archive_abstract(root: Node) -> str:
+    """The paragraphs of the section that the first heading with the word abstract stands in."""
+    head = next((n for n in root.walk() if n.tag in ("h2", "h3") and "abstract" in n.text("").lower()), None)
+    while head is not None and head.tag != "section":
+        head = head.parent
+    return "\n".join(p.text(" ") for p in head.all("p")).strip() if head else ""
+
+
+def tables_by(root: Node, html: str, readers: tuple[str, ...] = ("archive", "page", "script")) -> list[dict[str, Any]]:
+    """Tables by the first of the readers that finds any."""
+    known = {"archive": lambda: archive_tables(root), "page": lambda: tables_of(root), "script": lambda: script_tables(html)}
+    return next((found for r in readers if (found := known[r]())), [])
+
+
+def single_table(html: str | None) -> str | None:
+    """The first table of a page as Markdown: header lines stacked, empty lines and columns out, headers filled and told apart."""
+    tables = tree_of(html).all("table")
+    if not tables:
+        return None
+    headers, rows = table_of(tables[0])
+    rows = [r for r in rows if any(c.strip() for c in r)]
+    keep = [k for k in range(len(headers)) if headers[k].strip() or any(r[k].strip() for r in rows)]
+    blank = iter(range(len(keep)))
+    names = [headers[k] if headers[k].strip() else f"Unnamed_{next(blank)}" for k in keep]
+    told = [f"{n}_{names[:k].count(n)}" if names.count(n) > 1 else n for k, n in enumerate(names)]
+    return markdown_of(told, [[r[k] for k in keep] for r in rows])
+
+
+def single_tables(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
+    """``keys, markdown`` of each page's first table (``single_table``), null where there is none. Narrow."""
+    kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x[keys].assign(markdown=[single_table(h) for h in x["__html"]])
+
+    return pages.select(*keys, plain_spaces(F.col(html_col)).alias("__html")).mapInPandas(run, f"{kinds}, markdown string")
+
+
 def title_of(root: Node) -> str:
     """The first h1 that is called a title by itself, by up to four elements around it or two below; else the first h1."""
     heads = root.all("h1")
@@ -188,7 +249,8 @@ def text_of(html: str | None, tables: bool = True) -> str:
 def page_of(html: str | None) -> dict[str, Any]:
     root = tree_of(html)
     sections = sections_of(root)
-    return {"title": title_of(root), "abstract": abstract_of(root, sections), "sections": sections, "tables": tables_of(root) or script_tables(html or ""), "full_text": root.text("\n")}
+    title, abstract = archive_title(root) or title_of(root), archive_abstract(root) or abstract_of(root, sections)
+    return {"title": title, "abstract": abstract, "sections": sections, "tables": tables_by(root, html or ""), "full_text": root.text("\n")}
 
 
 def decoded_url(text: str | None) -> str | None:
