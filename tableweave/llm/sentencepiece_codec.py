@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 BLANK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Words whose ids a task remembers; a full memory is emptied. Longer ones hardly come again.
-REMEMBERED, REMEMBERED_CHARS = 400_000, 64
+#: Words whose ids a Python worker remembers, from task to task; a full memory is emptied. Longer ones hardly come again.
+REMEMBERED, REMEMBERED_CHARS = 1_000_000, 64
 #: Tabs and line feeds are never part of a piece (checked when a vocabulary is read).
 CONTROL = r"\t\n"
 PARTS = re.compile(rf"[{CONTROL}]|{BLANK}*[^{BLANK}{CONTROL}]+|{BLANK}+")
@@ -43,6 +43,7 @@ class Vocabulary:
         self.longest = max(map(len, self.ids), default=1)
         # pieces with their scores and ids, and what pieces begin with: a search ends where no piece goes on
         self.begins = {p[:k]: None for p in self.ids for k in range(1, len(p))} | {p: (x, (self.ids[p],)) for p, x in self.score.items()}
+        self.known: dict[str, list[int]] = {}
         self.unknown_score = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
         # where no piece goes on with a blank after another character, every path has a boundary before such a blank
         self.splits = not any(re.search(rf"[^{BLANK}]{BLANK}|[{CONTROL}]", p) for p in self.ids)
@@ -61,62 +62,77 @@ def vocabulary(path: str) -> Vocabulary:
 def stream(text: str, vocab: Vocabulary) -> Iterator[list[int]]:
     """Ids of the best-scoring segmentation, in commits as early as they are certain.
 
-    A node is (place, score, the node before, ids of its last piece). Open nodes lie less than the longest piece ahead.
-    Once all their paths go through one node, what leads to it is committed and forgotten. Of equal scores the path whose
-    last piece began first stays.
+    A window holds for each open place its best score, where the last piece of its path began and that piece's ids; paths
+    reach ahead by less than the longest piece. Where nothing reaches beyond a place, all paths end there; otherwise, once
+    in a while, the last place that all of them go through is looked for. What leads to such a place is committed and leaves
+    the window. Of equal scores the path whose last piece began first stays.
     """
-    root = here = [0, 0.0, None, ()]
-    ahead: dict[int, list] = {}
-    checked, get, longest, n, nothing = 0, vocab.begins.get, vocab.longest, len(text), (None,)
-    for s in range(n):
-        base, e = here[1], s + 1
-        found = get(text[s:e], nothing)
+    get, longest, n, nothing, unknown = vocab.begins.get, vocab.longest, len(text), (None,), vocab.unknown_score
+    room = min(n, longest)  # the last place that the window has room for
+    empty = [None] * room
+    scores, came = [0.0, *empty], [None, *empty]
+    first = reach = s = checked = 0  # places in the text: of the window's begin, the furthest open one, here, the last look
+    while s < n:
+        i, e = s - first, s + 1
+        base, found = scores[i], get(text[s:e], nothing)
         if found is None or found is nothing:
-            score = base + vocab.unknown_score
-            if (old := ahead.get(e)) is None or score > old[1]:
-                ahead[e] = [e, score, here, tuple(vocab.of_unknown(text[s]))]
+            x, old = base + unknown, scores[i + 1]
+            if old is None or x > old:
+                scores[i + 1], came[i + 1] = x, (i, vocab.of_unknown(text[s]))
+                if e > reach:
+                    reach = e
         while found is not nothing:
             if found is not None:
-                score = base + found[0]
-                if (old := ahead.get(e)) is None or score > old[1]:
-                    ahead[e] = [e, score, here, found[1]]
+                x, old = base + found[0], scores[e - first]
+                if old is None or x > old:
+                    scores[e - first], came[e - first] = x, (i, found[1])
+                    if e > reach:
+                        reach = e
             e += 1
             if e > n:
                 break
             found = get(text[s:e], nothing)
-        here = ahead.pop(s + 1)
-        if not ahead:  # nothing reaches beyond this place
-            yield _ids(here, root)
-            # scores are counted from the commit on, so that they stay exact in a text of any length
-            root, checked, here[1], here[2] = here, s, 0.0, None
+        s += 1
+        if s == n:
+            break
+        if reach == s:
+            joint = s - first
         elif s - checked >= longest:
-            checked, joint = s, _meeting([here, *ahead.values()])
-            if joint[0] > root[0]:
-                yield _ids(joint, root)
-                root, low, joint[2] = joint, joint[1], None
-                for node in {id(x): x for x in (here, *ahead.values())}.values():
-                    node[1] -= low
-    if here is not root:
-        yield _ids(here, root)
-
-
-def _meeting(nodes: list) -> list:
-    """The last node that all paths to ``nodes`` have in common."""
-    open_nodes = {n[0]: n for n in nodes}
-    while len(open_nodes) > 1:
-        node = open_nodes.pop(max(open_nodes))
-        before = node[2]
-        if before is None:
-            return node
-        open_nodes.setdefault(before[0], before)
-    return next(iter(open_nodes.values()))
-
-
-def _ids(node: list, root: list) -> list[int]:
+            joint, checked = _meeting(came, s - first, reach - first), s
+        else:
+            joint = 0
+        if joint:
+            yield _ids(came, joint)
+            # scores are counted from the commit on, so that they stay exact in a text of any length
+            low = scores[joint]
+            scores = [None if x is None else x - low for x in scores[joint : reach - first + 1]]
+            came = [None, *[None if c is None else (c[0] - joint, c[1]) for c in came[joint + 1 : reach - first + 1]]]
+            first += joint
+            room = first + len(scores) - 1
+        if room < n and room < s + longest:
+            short = min(s + longest, n) - room
+            scores.extend([None] * short)
+            came.extend([None] * short)
+            room += short
+    if s > first:
+        yield _ids(came, s - first)
+
+
+def _meeting(came: list, here: int, last: int) -> int:
+    """The last place of the window that all open paths go through."""
+    open_places = {k for k in range(here, last + 1) if came[k] is not None}
+    while len(open_places) > 1:
+        place = max(open_places)
+        open_places.discard(place)
+        open_places.add(came[place][0] if place else 0)
+    return open_places.pop()
+
+
+def _ids(came: list, place: int) -> list[int]:
     out = []
-    while node is not root:
-        out.append(node[3])
-        node = node[2]
+    while place:
+        place, ids = came[place]
+        out.append(ids)
     return [i for part in reversed(out) for i in part]
 
 
@@ -125,7 +141,7 @@ class Encoder:
     each word is a stream of its own, and what it gave is remembered for the next time it comes."""
 
     def __init__(self, vocab: Vocabulary) -> None:
-        self.vocab, self.known = vocab, {}
+        self.vocab, self.known = vocab, vocab.known
 
     def encode(self, text: str) -> list[int]:
         if not text:
