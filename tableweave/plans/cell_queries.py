@@ -66,6 +66,23 @@ def split_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.split_by_columns(cells, cells.select("doc_id").distinct().withColumn("groups", groups), ["doc_id"])
 
 
+@query(
+    f"""WITH {_MATRIX}, g AS (SELECT unnest([0, 0, 1]) AS group_id, unnest([0, 1, 0]) AS n, unnest([0, 1, 1]) AS row_idx)
+SELECT doc_id, group_id, n AS row_idx, col_idx, header, value FROM base JOIN g USING (row_idx)"""
+)
+def split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = inputs.matrix_cells(spark, sf_dir)
+    groups = F.array(F.array(F.lit(0), F.lit(1)), F.array(F.lit(1)))
+    return T.split_by_rows(cells, cells.select("doc_id").distinct().withColumn("groups", groups), ["doc_id"])
+
+
+@query(f"WITH {_MATRIX} SELECT doc_id, row_idx, CASE header WHEN 'P' THEN 0 ELSE 1 END AS col_idx, header, value FROM base WHERE header IN ('P', 'Group')")
+def selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = inputs.matrix_cells(spark, sf_dir)
+    picks = cells.select("doc_id").distinct().withColumn("columns", F.array(F.lit("P"), F.lit("Group")))
+    return T.select_columns(cells, picks, ["doc_id"])
+
+
 @query(
     f"""WITH {_MATRIX.replace('base AS (', 'base AS MATERIALIZED (')}, w AS (SELECT *, CASE WHEN header = 'Group' THEN CASE WHEN value LIKE 'Sub %' THEN 'Subheader' WHEN value = 'Age' THEN 'Characteristic' ELSE 'Exposure' END END AS row_kind FROM base),
 h AS (SELECT doc_id, row_idx, value AS own, row_kind AS k, last_value(CASE WHEN row_kind = 'Subheader' THEN value END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sub FROM w WHERE header = 'Group'),

@@ -36,12 +36,12 @@ def ungrouped_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """SELECT doc_id, md5(replace(text, ',', ' ')) AS commas, md5(replace(replace(text, '#', '\\#'), '*', '\\*')) AS escaped,
-  CASE WHEN length(trim(text)) < 50 THEN trim(text) ELSE substr(trim(text), 1, 48) || ' ...' END AS title
-FROM documents WHERE length(text) > 0"""
+  CASE WHEN length(text) > 0 THEN CASE WHEN length(trim(text)) < 50 THEN trim(text) ELSE substr(trim(text), 1, 48) || ' ...' END END AS title
+FROM documents"""
 )
 def trimmed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.col("text")
-    docs = inputs.load(spark, sf_dir, "documents").filter(F.char_length("text") > 0)
+    docs = inputs.load(spark, sf_dir, "documents")
     return docs.select("doc_id", F.md5(S.without_commas(text)).alias("commas"), F.md5(S.escaped_markdown(text)).alias("escaped"), S.short_title(text).alias("title"))
 
 

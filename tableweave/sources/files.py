@@ -22,7 +22,7 @@ def captions(spark: SparkSession, path: str) -> DataFrame:
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
     """``path, html`` of HTML files, each as a whole."""
-    return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("html"))
 
 
 def manifest(spark: SparkSession, path: str, base: str = "") -> DataFrame:
@@ -49,7 +49,7 @@ def first_column_list(rows: DataFrame, order: str, column: str) -> DataFrame:
 
 def saved_pages(spark: SparkSession, path: str) -> DataFrame:
     """``pmid, file, html``: the newest HTML file in each pmid's folder below ``path``."""
-    files = spark.read.option("wholetext", True).text(f"{path}/*/*.html").withColumn("file", F.input_file_name())
+    files = spark.read.text(f"{path}/*/*.html", wholetext=True).withColumn("file", F.input_file_name())
     named = files.select(F.regexp_extract("file", r"([^/]+)/[^/]+$", 1).alias("pmid"), "file", F.col("value").alias("html"))
     return latest(named, ["pmid"], ["file"])
 

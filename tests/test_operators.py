@@ -25,11 +25,11 @@ def values(spark, f, items, schema="x string"):
 
 
 def test_numbers(spark):
-    assert values(spark, S.first_number, ["*1.234", "*-1.234", "1.234*", "x", None, ".5", "a 1 2"]) == [1.234, -1.234, 1.234, None, None, 0.5, 1.0]
-    assert values(spark, S.all_numbers, ["*1.234 5.678", "x"]) == [[1.234, 5.678], None]
-    assert values(spark, S.pure_integers, ["42 and 100, 3.14, 8%, 8 ％, 0, 42", ".99 1.0"]) == [[42, 100], []]
-    given = ["1,234.567", "-123,456.789", "+123,456.789", ",123456", ",123,456", " 12 ", "a,b", ",,1,234"]
-    assert values(spark, S.ungrouped_number, given) == ["1234.567", "-123456.789", "+123456.789", ",123456", ",123456", "12", "a,b", ",,1234"]
+    assert values(spark, S.first_number, ["~7.25", "~-0.5", "81.5x", "none", None, ".25", "b 3 4"]) == [7.25, -0.5, 81.5, None, None, 0.25, 3.0]
+    assert values(spark, S.all_numbers, ["~7.25 0.125", "none"]) == [[7.25, 0.125], None]
+    assert values(spark, S.pure_integers, ["17 or 230, 2.75, 9%, 9 ％, 0, 17", ".5 2.0"]) == [[17, 230], []]
+    given = ["9,876.5", "-7,654,321.0", "+98,765", ",98765", ",98,765", " 31 ", "c,d", ",,9,876"]
+    assert values(spark, S.ungrouped_number, given) == ["9876.5", "-7654321.0", "+98765", ",98765", ",98765", "31", "c,d", ",,9876"]
 
 
 def test_texts(spark):
@@ -257,3 +257,93 @@ def test_summary_rows_from_decisions(spark):
 @pytest.mark.parametrize("name", sorted(pipelines.OUTPUTS))
 def test_output_columns_are_distinct(name):
     assert len(set(pipelines.OUTPUTS[name])) == len(pipelines.OUTPUTS[name])
+
+
+def test_abbreviations_that_fail_late_fail_fast(spark):
+    assert values(spark, M.is_abbreviation, [("a" * 9 + "b", "a" * 400), ("abc", "a\nxb\nc")], "a string, b string") == [False, True]
+
+
+def test_null_anchors_count_as_missing_numbers(spark):
+    rows = spark.createDataFrame([("t", 0, None, "x"), ("t", 1, "k", "y")], "doc_id string, row_idx int, anchor string, v string")
+    other = spark.createDataFrame([("t", 0, "word", "x"), ("t", 1, "k", "y")], "doc_id string, row_idx int, anchor string, v string")
+    # a missing number equals every text that isn't a number, so the first row matches both and takes the first
+    assert [r.score for r in evaluate.score_tables(rows, other, ["doc_id"], ["anchor"], [("v", False, 1.0)]).collect()] == [100]
+    wider = other.withColumn("more", F.lit(1))
+    assert [r.score for r in evaluate.score_tables(rows, wider, ["doc_id"], ["anchor"], [("v", False, 1.0)]).collect()] == [0]
+    assert [(r.less_rows, r.score) for r in evaluate.score_tables(rows, other.limit(0), ["doc_id"], ["anchor"], [("v", False, 1.0)]).collect()] == [(0, 0)]
+
+
+def test_chosen_tables(spark):
+    tables = spark.createDataFrame([("p", k) for k in range(3)], "pmid string, table_id int")
+    pick = lambda *k: spark.createDataFrame([("p", list(k))], "pmid string, indices array<int>")
+    assert sorted(r.table_id for r in positional.chosen(pick(2, 0, 2), tables, ["pmid"]).collect()) == [0, 2]
+    with pytest.raises(Exception, match="no table 3"):
+        positional.chosen(pick(1, 3), tables, ["pmid"]).collect()
+
+
+def test_captions_and_pages_from_files(spark, tmp_path):
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "1.json").write_text('{\n"caption": "Table 1", "footnote": null}')
+    assert [(r.caption, r.footnote) for r in files.captions(spark, str(tmp_path / "c")).collect()] == [("Table 1", None)]
+    (tmp_path / "h").mkdir()
+    (tmp_path / "h" / "1.html").write_text("<p>a\nb</p>")
+    assert [r.html for r in files.html_files(spark, str(tmp_path / "h")).collect()] == ["<p>a\nb</p>"]
+
+
+def test_csv_texts_that_cannot_be_tables(spark):
+    docs = spark.createDataFrame([(0, 'a,b\n1,"x, y"\n3'), (1, "a\n1,2"), (2, None), (3, "")], "k int, csv string")
+    got = [(r.valid, r.headers, r.rows) for r in codecs.from_csv_texts(docs, ["k"]).orderBy("k").collect()]
+    assert got == [(True, ["a", "b"], [["1", "x, y"], ["3", ""]]), (True, None, None), (True, None, None), (True, None, None)]
+
+
+def test_pipelines_that_are_not_known(spark):
+    with pytest.raises(ValueError, match="no pipeline"):
+        pipelines.curated("other", spark.createDataFrame([], "doc_id long, step string, payload string"), ["doc_id"])
+
+
+def test_scratch_is_given_back(spark):
+    import os
+
+    from tableweave.plans import materialize
+
+    with materialize.recorded() as paths:
+        table = materialize.cut(spark.range(3).toDF("k"), "test")
+    place = paths[0].removeprefix("file://")
+    assert table.count() == 3 and os.path.isdir(place)
+    materialize.dropped(table)
+    assert not os.path.exists(place)
+
+
+def test_file_readers_and_writers(spark, tmp_path):
+    for pmid, name, html in (("11", "2024-01.html", "<p>old\n</p>"), ("11", "2024-02.html", "<p>new\nest</p>"), ("12", "a.html", "x")):
+        (tmp_path / "pages" / pmid).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "pages" / pmid / name).write_text(html)
+    assert sorted((r.pmid, r.html) for r in files.saved_pages(spark, str(tmp_path / "pages")).collect()) == [("11", "<p>new\nest</p>"), ("12", "x")]
+    rows = spark.createDataFrame([(0, "a"), (1, "b"), (2, " "), (3, "c")], "n int, v string")
+    assert sorted(r.v for r in files.first_column_list(rows, "n", "v").collect()) == ["a", "b"]
+    assert values(spark, files.benchmark_kind, ["/x/pk-summary/y.csv", "/x/pe/y.csv", "/x/other/y.csv"]) == ["pk-summary", "pe", None]
+    assert files.result_folder("a/b", "c") == "a_b-c"
+    told = spark.createDataFrame([("1", "pk", "v", None), ("2", "pk", None, "failed")], "pmid string, pipeline string, value string, error string")
+    files.write_curated(told, str(tmp_path / "out"))
+    assert [(r.value, r.pmid) for r in spark.read.option("header", True).csv(str(tmp_path / "out" / "tables")).collect()] == [("v", 1)]
+    assert [r.error for r in spark.read.json(str(tmp_path / "out" / "errors")).collect()] == ["failed"]
+    scores = spark.createDataFrame([("m", "1", 80)], "model string, pmid string, score int")
+    for _ in range(2):
+        files.append_scores(scores, str(tmp_path / "log"))
+    assert spark.read.csv(str(tmp_path / "log")).count() == 2
+    (tmp_path / "t.csv").write_text("\ufeffa,b\n1,2\n")
+    files.rewritten_copy(spark, str(tmp_path / "t.csv"), str(tmp_path / "copy"), lambda df: df.withColumn("b", F.lit("z")))
+    assert [(r.a, r.b) for r in spark.read.option("header", True).csv(str(tmp_path / "copy")).collect()] == [("1", "z")]
+    assert (tmp_path / "t.csv").read_text() == "\ufeffa,b\n1,2\n"
+
+
+def test_small_text_and_column_functions(spark):
+    df = spark.createDataFrame([(["1", "2"], ["h", "h"]), (["1", "2"], ["h", "d"])], "t array<string>, u array<string>")
+    time, unit = positional.collapsed_times(F.col("t"), F.col("u"))
+    assert [tuple(r) for r in df.select(time, unit).collect()] == [("1, 2", "h"), (None, None)]
+    sections = spark.createDataFrame([([("A", "x"), ("B", "y")],)], "s array<struct<section: string, content: string>>")
+    assert sections.select(S.joined_sections(F.col("s")).alias("v")).first().v == "A\nx\nB\ny"
+    prompt = spark.createDataFrame([(1, "cap", "| a |", "")], "i int, c string, t string, f string")
+    assert prompt.select(S.table_prompt(*[F.col(c) for c in "ictf"]).alias("v")).first().v == "Table 1\ncaption: cap\ntable: | a |"
+    assert C.renamed(spark.createDataFrame([(1, 2)], "a int, b int"), {"a": "x"}, ["b", "x"]).columns == ["b", "x"]
+    assert values(spark, M.text_similarity, [("SD", "standard deviation"), ("ab 1", "ba 2"), ("Same", "same"), ("x", "y")], "a string, b string") == [1.0, 0.0, 1.0, 0.0]
