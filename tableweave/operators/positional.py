@@ -76,6 +76,18 @@ def chosen(choices: DataFrame, tables: DataFrame, keys: list[str], number: str =
     return tables.join(checked.select(*keys, number).distinct(), [*keys, number], "left_semi")
 
 
+def unanswered(tables: DataFrame, keys: list[str], column: str, number: str = "table_id") -> DataFrame:
+    """The sub-tables to ask about: the first of each document with its type column; the others take that one's answer."""
+    rest = [c for c in tables.columns if c not in (*keys, column)]
+    first = tables.groupBy(*keys, column).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.col(number)).alias("__first"))
+    return first.select(*keys, column, "__first.*").select(*[F.col(f"`{c}`") for c in tables.columns])
+
+
+def reused(tables: DataFrame, answers: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """All sub-tables with the answer to their type column (``keys, column, ...``, one each); null where there is none."""
+    return tables.join(answers, [*keys, column], "left")
+
+
 def fitted(values: Column, n: Column, pad: str = "N/A") -> Column:
     """A vector cut or padded to n."""
     some = F.slice(values, F.lit(1), F.least(F.size(values), n))

@@ -75,6 +75,16 @@ def aligned_parameters(cells: DataFrame, keys: list[str], decisions: DataFrame,
     return named.select(*turned.columns).unionByName(turned)
 
 
+def aligned_individual(cells: DataFrame, keys: list[str], decisions: DataFrame) -> DataFrame:
+    """The same for single patients' tables, where the condition is the opposite one: a named column says that the table is
+    to be transposed (headers stay as they come out), null leaves it as it is."""
+    from tableweave.operators.cells import transpose_and_repair
+
+    turned = transpose_and_repair(cells.join(decisions.filter("`column` IS NOT NULL"), keys, "left_semi"), keys)
+    plain = cells.join(decisions.filter("`column` IS NULL"), keys, "left_semi")
+    return plain.select(*turned.columns).unionByName(turned)
+
+
 def replaced_column(df: DataFrame, keys: list[str], column: str, parsed: DataFrame, columns: list[str]) -> DataFrame:
     """One column replaced, at its place, by the columns that were parsed from it (``keys, row_idx, ...``)."""
     at = df.columns.index(column)
