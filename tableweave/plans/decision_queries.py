@@ -103,7 +103,7 @@ FROM orders
 SELECT o_orderkey, CASE WHEN even THEN '[{"", name: "' || s || '", key: ' || k || '}]' ELSE '[{name: "' || s || '", "", key: ' || k || '}]' END AS bare,
   CASE WHEN even THEN '[{ "name": "' || s || '", "key": ' || k || '}]' ELSE '[{"name": "' || s || '", "key": ' || k || '}]' END AS json,
   CASE WHEN even THEN '[{{"", name: "' || s || '", key: ' || k || '}}]' ELSE '[{{name: "' || s || '", "", key: ' || k || '}}]' END AS template,
-  CASE WHEN o_orderkey = o_custkey THEN k ELSE CAST(least(o_orderkey, o_custkey) AS STRING) || ',' || CAST(greatest(o_orderkey, o_custkey) AS STRING) END AS integers,
+  CASE WHEN o_orderkey = o_custkey OR o_custkey = 0 THEN k WHEN o_orderkey = 0 THEN CAST(o_custkey AS STRING) ELSE CAST(least(o_orderkey, o_custkey) AS STRING) || ',' || CAST(greatest(o_orderkey, o_custkey) AS STRING) END AS integers,
   CASE WHEN even THEN '[1, 2, 3]' ELSE 'the answer, at last [1]' END AS answer FROM p"""
 )
 def text_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
