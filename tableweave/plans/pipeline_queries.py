@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableweave.plans import inputs, pipelines
+from tableweave.operators import evaluate
+from tableweave.plans import batch, inputs, pipelines
 from tableweave.plans.catalog import query
 
 # What a step answers for an order, in SQL that Spark and the oracle both read; other columns: their name and a digit.
@@ -80,3 +81,25 @@ def united_pipelines(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = [_answers(spark, sf_dir, p).withColumn("pipeline", F.lit(p)) for p in names]
     rows = pipelines.curated_all(answers[0].unionByName(answers[1]), ["doc_id"], names)
     return rows.groupBy("pipeline").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("docs"))
+
+
+# Baselines of single patients' tables: a value for each order, other units now and then; regions' have no answers.
+_BASELINES = """
+SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row_idx, CAST(o_orderkey AS STRING) AS value,
+  CASE WHEN o_orderkey % 3 = 0 THEN 'zz' ELSE 'Parameter unit ' || CAST(o_orderkey % 7 AS STRING) END AS unit, 'h' AS time_unit
+FROM orders
+"""
+
+
+@query(
+    """WITH o AS (SELECT o_custkey AS doc_id, CAST(floor(10.0 * (CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END) / 3.0) AS BIGINT) AS points FROM orders)
+SELECT doc_id, CAST(count(*) AS INT) AS less_rows, CAST(count(*) AS INT) AS more_rows, CAST(floor(100.0 * sum(points) / (10.0 * count(*))) AS INT) AS score FROM o GROUP BY doc_id
+UNION ALL SELECT -1 - r_regionkey, NULL, NULL, NULL FROM region"""
+)
+def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"value": "Parameter value", "unit": "Parameter unit", "time_unit": "Time unit"}
+    absent = inputs.load(spark, sf_dir, "region").select((-1 - F.col("r_regionkey")).alias("doc_id"), F.lit(0).alias("row_idx"), *[F.lit("x").alias(c) for c in names])
+    baseline = inputs.from_sql(spark, sf_dir, _BASELINES, "orders").unionByName(absent).withColumnsRenamed(names)
+    run = batch.batch_run("pk_individual", _answers(spark, sf_dir, "pk_individual"), ["doc_id"], baseline)
+    rated = [("Time unit", False, 2.0), ("Parameter unit", False, 1.0)]
+    return batch.batch_scores(baseline, run, ["doc_id"], lambda b, t: evaluate.score_tables(b, t, ["doc_id"], ["Parameter value"], rated))

@@ -13,7 +13,7 @@ from tableweave.functions import similarity as M
 from tableweave.operators import cells as T
 from tableweave.operators import cleanup as C
 from tableweave.operators import codecs, evaluate, positional, reshape, store
-from tableweave.plans import pipelines
+from tableweave.plans import batch, pipelines
 from tableweave.sources import files, html_tables
 from tableweave.streaming.ingest import ingest_new
 
@@ -347,3 +347,19 @@ def test_small_text_and_column_functions(spark):
     assert prompt.select(S.table_prompt(*[F.col(c) for c in "ictf"]).alias("v")).first().v == "Table 1\ncaption: cap\ntable: | a |"
     assert C.renamed(spark.createDataFrame([(1, 2)], "a int, b int"), {"a": "x"}, ["b", "x"]).columns == ["b", "x"]
     assert values(spark, M.text_similarity, [("SD", "standard deviation"), ("ab 1", "ba 2"), ("Same", "same"), ("x", "y")], "a string, b string") == [1.0, 0.0, 1.0, 0.0]
+
+
+def test_batch_rows_as_files(spark, tmp_path):
+    columns = pipelines.OUTPUTS["pk_specimen_summary"]
+    rows = spark.createDataFrame([("7", 0, *["x"] * len(columns)), ("9", 0, *[None] * len(columns))], ["pmid", "row_idx", *columns])
+    files.write_curated(batch.batch_files("pk_specimen_summary", rows), str(tmp_path / "out"))
+    told = spark.read.option("header", True).csv(str(tmp_path / "out" / "tables"))
+    assert {(r.pmid, r.pipeline, r.Specimen) for r in told.collect()} == {(7, "pk_specimen_summary", "x"), (9, "pk_specimen_summary", None)}
+
+
+def test_answers_are_asked_for_once_a_type_column(spark):
+    tables = spark.createDataFrame([("d", 2, "a"), ("d", 1, "a"), ("d", 3, None), ("e", 5, "a")], "doc_id string, table_id int, kind string")
+    assert {tuple(r) for r in positional.unanswered(tables, ["doc_id"], "kind").collect()} == {("d", 1, "a"), ("d", 3, None), ("e", 5, "a")}
+    answers = spark.createDataFrame([("d", "a", "x")], "doc_id string, kind string, answer string")
+    got = {(r.doc_id, r.table_id, r.answer) for r in positional.reused(tables, answers, ["doc_id"], "kind").collect()}
+    assert got == {("d", 1, "x"), ("d", 2, "x"), ("d", 3, None), ("e", 5, None)}
