@@ -10,15 +10,15 @@ SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not __import__("os").path.isdir(SF), reason="needs the test tables")
 
 
-def test_ten_operators():
-    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 11)]
+def test_thirteen_operators():
+    assert [k.split("_")[0] for k in queries.queries()] == [f"op{n}" for n in range(1, 14)]
 
 
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_query_gives_the_rows_of_its_sql(spark, name):
     df = queries.queries()[name](spark, SF)
     c = duckdb.connect()
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "embeddings"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
     found = c.execute(queries.oracle_sql()[name])
     columns = [d[0] for d in found.description]
