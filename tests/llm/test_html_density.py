@@ -101,3 +101,41 @@ def H_nodes(html):
     tree = H.Tree()
     tree.feed(html)
     return tree.root.children
+
+
+def test_lead_and_closing_lines_and_named_sections_stay():
+    page = "<body><div><p>Lead sentence, short.</p><div><p>Body of some length, with a number of words.</p><p>More of it, also with words enough.</p></div><p>Final line.</p></div>"
+    assert H.main_text(page) == "Lead sentence, short. Body of some length, with a number of words. More of it, also with words enough. Final line."
+    for name in ("related-work", "notice-of-terms", "share-of-voice", "reply-times", "ad-hoc"):
+        text = H.main_text(f'<article><h1>Head</h1><p>{TEXT}</p><div class="{name}"><h2>Part</h2><p>Of this there is less.</p></div></article>')
+        assert text.endswith("Part Of this there is less.")
+
+
+def test_random_pages_without_telling_names():
+    """No class, id or tag says what a block is: densities, places and shapes alone tell."""
+    import random
+
+    r = random.Random(11)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n)) + "."
+    name = lambda: f'class="{word()}x {word()}y" id="{word()}z{r.randint(0, 99)}"'
+    for _ in range(60):
+        links = lambda n: f"<div {name()}><ul>" + "".join(f"<li><a href=x>{prose(2)}</a></li>" for _ in range(n)) + "</ul></div>"
+        item = name()
+        thread = f"<div {name()}>" + "".join(f"<div {item}><b>{word()}</b><p>{prose(r.randint(15, 60))}</p></div>" for _ in range(r.randint(3, 6))) + "</div>"
+        lead, end, parts = prose(6), prose(5), [[prose(r.randint(25, 60)) for _ in range(r.randint(2, 5))] for _ in range(r.randint(1, 3))]
+        sections = "".join(f"<div {name()}><h2>{word()}q</h2>" + "".join(f"<p>{x}</p>" for x in p) + "</div>" for p in parts)
+        html = f"<body>{links(8)}<div {name()}><p>{lead}</p>{sections}<p>{end}</p></div>{thread}{links(5)}<div {name()}>{prose(4)}</div></body>"
+        want = H.text_of(H_root(f"<p>{lead}</p>{sections}<p>{end}</p>"))
+        assert H.main_text(html) == want
+
+
+def H_root(html):
+    tree = H.Tree()
+    tree.feed(html)
+    return tree.root
+
+
+def test_very_long_page():
+    page = "<body><nav><a href=x>home</a></nav><div>" + "".join(f"<p>Paragraph {k} of a very long page.</p>" for k in range(20_000)) + "</div></body>"
+    assert H.main_text(page) == " ".join(f"Paragraph {k} of a very long page." for k in range(20_000))
