@@ -2,45 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tableweave.llm.exact_dedup import ascii_lower
 from tableweave.llm.quality_rules import bound
+from tableweave.llm.text import lower, slices, utf8
 from tableweave.plans.materialize import cut, hinted
 
-#: Whatever isn't an ASCII letter or a character beyond ASCII stands between terms.
-GAP = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of text whose terms are counted at once; a longer text is a slice of its own.
+SLICE = 8 << 20
 MIN_DOCS = 10
 TOP_TERMS = 10
 UNIT = 1_000_000_000
+# Terms are runs of ASCII letters and of characters beyond ASCII.
+_term = np.zeros(256, dtype=bool)
+_term[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def _div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
-def term_runs(text: Column) -> Column:
-    """The distinct terms of a text with their counts, ``array<struct<term, n>>``: runs of the sorted terms."""
-
-    def runs(firsts: Column, size: Column) -> Column:
-        return F.transform(
-            firsts,
-            lambda x, k: F.struct(x["term"].alias("term"), (F.coalesce(F.get(firsts, k + 1)["at"], size) - x["at"]).cast("long").alias("n")),
-        )
-
-    def counted(s: Column) -> Column:
-        placed = F.transform(s, lambda t, k: F.struct(t.alias("term"), k.alias("at")))
-        firsts = F.filter(placed, lambda x: (x["at"] == 0) | (F.get(s, x["at"] - 1) != x["term"]))
-        return bound(firsts, lambda x: runs(x, F.size(s)))
-
-    terms = F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), GAP), lambda t: t != "")
-    return bound(F.sort_array(terms), counted)
-
-
 def share(count: Column, total: Column, kept: Column) -> Column:
     """1 + floor(10^9 (count + 2) / (total + 2 kept)) without rounding, as a long; counts beyond 9 * 10^9 take decimals."""
-    below = total + 2 * kept
+    below = F.greatest(total + 2 * kept, F.lit(1))  # 0 where no term is kept, and nobody asks
     wide = _div((count.cast("decimal(20,0)") + F.lit(2)) * F.lit(UNIT), below.cast("decimal(20,0)"))
     return F.lit(1).cast("long") + F.when(count < 9 * UNIT, _div((count + 2) * UNIT, below)).otherwise(wide)
 
@@ -60,10 +49,49 @@ def dense(places: Column, size: Column) -> Column:
     return F.concat(F.flatten(parts), zeros(size - 1 - F.element_at(places, -1)["i"]))
 
 
+def counted_terms(groups: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, pa.StringArray, np.ndarray, np.ndarray]:
+    """The terms of some texts: group, term, occurrences in the group's texts, and texts of the group that have it.
+
+    ``data`` is the texts' UTF-8 bytes, ``offsets`` (from 0) where each begins. Terms are compared as strings, not by hashes.
+    """
+    low = lower(data)
+    inside = _term[low]
+    edge = np.zeros(len(low) + 1, dtype=bool)
+    edge[offsets] = True
+    before = np.concatenate([[False], inside[:-1]]) & ~edge[:-1]
+    starts = np.flatnonzero(inside & ~before)
+    kept = np.cumsum(inside, dtype=np.int64)  # bytes of terms up to and with each byte
+    ends = np.append(kept[starts] - 1, kept[-1] if len(kept) else 0).astype(np.int32)
+    terms = pa.StringArray.from_buffers(len(starts), pa.py_buffer(ends.tobytes()), pa.py_buffer(low[inside].tobytes())).dictionary_encode()
+    rows, n_terms = np.searchsorted(offsets, starts, side="right") - 1, len(terms.dictionary)
+    each, n = np.unique(rows * n_terms + terms.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, term = np.divmod(each, max(n_terms, 1))
+    pairs, place, docs = np.unique(groups[row] * n_terms + term, return_inverse=True, return_counts=True)
+    group, term = np.divmod(pairs, max(n_terms, 1))
+    return group, terms.dictionary.take(pa.array(term)), np.bincount(place, weights=n, minlength=len(pairs)).astype(np.int64), docs
+
+
 def term_counts(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
-    """``lang, source, term, n, docs``: occurrences, and documents that have the term. Null texts and names count as ''."""
-    read = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))], term_runs(F.col(text_col)).alias("runs"))
-    return read.select("lang", "source", F.inline("runs").alias("term", "n")).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    """``lang, source, term, n, docs``: occurrences, and documents that have the term. Null texts and names count as ''.
+
+    Terms are counted within slices of some megabytes of text, then by map-side combined sums.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = utf8(batch.column(2))
+            named = pa.StructArray.from_arrays([batch.column(0), batch.column(1)], names=["lang", "source"])
+            groups = [tuple(x.values()) for x in named.to_pylist()]
+            known = {x: k for k, x in enumerate(dict.fromkeys(groups))}
+            names, codes = list(known), np.array([known[x] for x in groups], dtype=np.int64)
+            for a, b in slices(offsets, SLICE):
+                group, term, n, found = counted_terms(codes[a:b], data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                lang, source = (pa.array([x[k] for x in names], pa.string()).take(pa.array(group)) for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([lang, source, term, pa.array(n), pa.array(found)], names=["lang", "source", "term", "n", "docs"])
+
+    names = [F.coalesce(F.col(c), F.lit("")).alias(a) for c, a in ((lang_col, "lang"), (source_col, "source"))]
+    each = docs.select(*names, F.col(text_col).alias("text")).mapInArrow(run, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def term_vectors(docs: DataFrame, min_docs: int = MIN_DOCS, text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
@@ -101,7 +129,7 @@ def source_divergence(
     the sum over the vocabulary; part ``term`` the ``top_terms`` terms that the source has more often than its language,
     by their distance. Ranks begin at 1 for each source and part, by value and then by the item's bytes.
 
-    1. A document's terms are counted within its row, then by map-side combined sums.
+    1. Terms are counted within slices of the documents, then by map-side combined sums.
     2. Each term becomes one row with its counts as an array over the language's sources (as long as the answer's row of
        that source). A term that neither of two sources has adds the same to every pair, so that is added once, times the
        vocabulary; lambda functions emit a pair's difference from it for the other terms, and partial sums before the
@@ -109,7 +137,7 @@ def source_divergence(
     3. Terms of a source are ranked with the limit applied before the shuffle.
 
     Null texts, languages and sources count as ''; a source without terms still has its pairs, with value 0 where the
-    vocabulary is empty. A repeated row is another document. Very long texts are one array of their terms in one task.
+    vocabulary is empty. A repeated row is another document. A text is counted in one piece, however long.
     Other columns aren't read. An empty table gives an empty result.
     """
     vectors, languages = term_vectors(docs, min_docs, text_col, lang_col, source_col)
