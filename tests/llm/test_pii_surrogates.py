@@ -128,3 +128,90 @@ def test_ordinary_formats(spark):
     for (text, shape), y in zip(ORDINARY, got, strict=False):
         assert re.fullmatch(shape, y) and y != text, (text, y)
     assert got[len(ORDINARY) :] == PLAIN
+
+
+def iban_valid(x):
+    turned = x[4:] + x[:4]
+    return int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+HARD = [
+    ("Prof. Dr. Hans Meier sprach", r"Prof\. Dr\. [A-Z][a-z]+ [A-Z][a-z]{9} sprach"),
+    ("Frau Prof. Dr. Erika Meier, Mr. Smith Jr. left", r"Frau Prof\. Dr\. (?:" + "|".join(P.GIVEN["female"]) + r") [A-Z][a-z]{9}, Mr\. [A-Z][a-z]{9} Jr\. left"),
+    ("Mr. John Smith came, then Mr. Smith and MR. SMITH left", r"Mr\. [A-Z][a-z]+ ([A-Z][a-z]{9}) came, then Mr\. \1 and MR\. (?i:\1) left"),
+    ("Mr 山田太郎 came", r"Mr [一-鿿]{4} came"),
+    ("Mr John Smith met John  Smith and Mr  Adams III.", r"Mr ([A-Z][a-z]+ [A-Z][a-z]{9}) met \1 and Mr  [A-Z][a-z]{9} III\."),
+    ("Mr John Smith, Mrs Jane Smith and Dr Smith", r"Mr [A-Z][a-z]+ ([A-Z][a-z]{9}), Mrs [A-Z][a-z]+ (?!\1)([A-Z][a-z]{9}) and Dr (?!\1|\2)[A-Z][a-z]{9}"),
+]
+
+
+def test_hard_names(spark):
+    got = replaced(spark, [x[0] for x in HARD])
+    for (text, shape), y in zip(HARD, got, strict=True):
+        assert re.fullmatch(shape, y) and not set(re.findall(r"Meier|Smith|SMITH|Hans|John|Adams|山田|太郎", y)), (text, y)
+
+
+def test_account_numbers_keep_their_check_digits(spark):
+    texts = ["DE89370400440532013000", "GB29 NWBK 6016 1331 9268 19", "DE00370400440532013000", "FR1420041010050500013M02606"]
+    for a, b in zip(texts, replaced(spark, texts), strict=True):
+        x, y = a.replace(" ", ""), b.replace(" ", "")
+        assert x[:2] == y[:2] and len(x) == len(y) and x != y and iban_valid(x) == iban_valid(y), (a, b)
+
+
+def test_domains_stay_apart(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    got = replaced(spark, [f"jo.doe@{c}.org" for c in letters] + [f"ann.lee@{c}.org" for c in letters])
+    domains = [x.split("@")[1] for x in got]
+    assert len(set(domains[:26])) == 26 and domains[:26] == domains[26:] and not set(domains) & {f"{c}.org" for c in letters}
+
+
+def test_counted_surrogates_are_the_free_ones_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(P, "PART", 16)
+    rest = spark.createDataFrame([("phone", f"{k:03d}") for k in range(0, 900)], "kind string, normal string")
+    used = spark.createDataFrame([("phone", f"{k:03d}") for k in range(0, 50)], "kind string, surrogate string")
+    got = P.enumerated(rest, used, "k").collect()
+    assert len({r.normal for r in got}) == len(got) == 900 == len({r.surrogate for r in got})
+    assert not {r.surrogate for r in got} & {f"{k:03d}" for k in range(50)}
+
+
+def test_three_hundred_texts_against_their_templates(spark):
+    """Texts are templates with entities put in: what was put in place of each is read back by the template alone, and
+    must be a one-to-one map of the entities, over all texts, that leaves everything else as it was."""
+    import random
+
+    r = random.Random(8)
+    words = "der bote kam spät und went home avec une lettre de hier".split()
+    last = ["Meier", "Schulze", "O'Neill", "Duval", "Krüger-Lang"]
+    people = [(t, g, n) for t, g in (("Herr", "Bert"), ("Frau", "Rosa"), ("Mr.", "Walt"), ("Mme", None)) if g for n in last]
+    pools = {
+        "email": [f"{a}.{n}@{d}.example.com" for a in ("jo", "al") for n in ("doe", "roe") for d in ("mail", "web")],
+        "ip": [f"10.20.{k}.7" for k in range(6)],
+        "phone": [f"+49 (551) 555-{k:04d}" for k in range(6)],
+        "card": ["4111111111111111", "5500000000000004"],
+        "name": [f"{t} {g} {n}" for t, g, n in people],
+    }
+    texts, templates = [], []
+    for _ in range(300):
+        parts, shape, put = [], [], []
+        for _ in range(r.randint(0, 4)):
+            kind = r.choice(list(pools))
+            value = r.choice(pools[kind])
+            plain = " ".join(r.choices(words, k=r.randint(1, 5)))
+            shown = value.upper() if kind == "email" and r.random() < 0.3 else value
+            parts += [plain, shown]
+            shape += [re.escape(plain), {"email": r"(\S+@\S+)", "ip": r"([0-9.]+)", "phone": r"(\+\d\d \(\d{3}\) \d{3}-\d{4})", "card": r"(\d{16})", "name": r"(\S+ [^\W\d_]+ [^\W\d_]+)"}[kind]]
+            put.append((kind, value))
+        parts.append("ende")
+        shape.append("ende")
+        texts.append(" ".join(parts))
+        templates.append((" ".join(shape), put))
+    given = {}
+    for text, got, (shape, put) in zip(texts, replaced(spark, texts), templates, strict=True):
+        m = re.fullmatch(shape, got)
+        assert m, (text, got)
+        for (kind, value), new in zip(put, m.groups(), strict=True):
+            new = new.lower() if kind == "email" else new
+            assert given.setdefault((kind, value), new) == new and new != value
+            assert kind != "name" or new.split()[0] == value.split()[0]
+    assert len(set(given.values())) == len(given) and not {v.lower() for v in given.values()} & {k[1].lower() for k in given}
+    assert len({v.split()[-1] for (k, _), v in given.items() if k == "name"}) == sum(k == "name" for k, _ in given)
