@@ -15,6 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tableweave.llm.marks import marked, marks_of
 from tableweave.plans.materialize import cut, hinted, scratch_path
 
 MEMBER, INDEX = "archive/data.warc", "indexes/index.cdx"
@@ -236,7 +237,10 @@ def write_archives(
     groups = rows.filter(F.col("size") >= min_revisit).groupBy("digest").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("n"))
     groups = cut(groups.filter("n > 1").select("digest", "first"), "warc-groups")
     refers = F.when(F.col("id").eqNullSafe(F.col("first")), None).otherwise(F.col("first"))
-    ready = rows.join(hinted(groups), "digest", "left").select("id", "url", "html", "size", "digest", refers.alias("refers_to"))
+    # pages that can't have an equal one aren't joined: their html stays where it is
+    told = marked(rows, marks_of(groups, F.xxhash64("digest"), "warc-marks"), F.xxhash64("digest"), "again")
+    alone = told.filter("NOT again").select("id", "url", "html", "size", "digest", F.lit(None).cast(rows.schema["id"].dataType).alias("refers_to"))
+    ready = told.filter("again").join(hinted(groups), "digest", "left").select("id", "url", "html", "size", "digest", refers.alias("refers_to")).unionByName(alone)
     return cut(ready.mapInArrow(lambda b: write_packages(b, folder, archive_bytes), ARCHIVES), "warc-archives")
 
 

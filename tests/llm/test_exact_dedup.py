@@ -36,3 +36,27 @@ def test_repeated_rows_nulls_empty_tables_and_clashing_columns(spark):
     assert got == [("1", "1", 3, True), ("1", "1", 3, True), ("None", "1", 3, False), ("None", "None", 2, True), ("None", "None", 2, True)]
     kept = E.drop_exact_duplicates(docs)
     assert kept.columns == docs.columns and sorted((str(r.doc_id), r.text) for r in kept.collect()) == [("1", "a"), ("None", "b")]
+
+
+def test_no_text_is_shuffled_however_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(E, "BROADCAST_ROWS", 0)
+    rows = [(k, f"text {k // 3}") for k in range(60)] + [(100 + k, f"lone {k}" * k) for k in range(20)]
+    df = E.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string"), digest_all=True)
+    got = sorted((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in df.collect())
+    assert got == brute(rows)
+    # what is joined, and so may be shuffled, is read from a table of ids and digests
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in plan and "text:string" not in plan and "__digest:binary" in plan
+    kept = E.drop_exact_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [x[0] for x in brute(rows) if x[3]]
+
+
+def test_marks_never_miss(spark):
+    from pyspark.sql import functions as F
+
+    from tableweave.llm.marks import marked, marks_of
+
+    df = spark.range(200_000).withColumn("h", F.xxhash64("id"))
+    told = marked(df, marks_of(df.filter("id % 100 = 0"), F.col("h"), "t"), F.col("h"), "yes")
+    r = told.agg(F.count_if("yes AND id % 100 = 0").alias("hit"), F.count_if("yes AND id % 100 <> 0").alias("more")).first()
+    assert r.hit == 2000 and r.more < 100
