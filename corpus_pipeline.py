@@ -12,50 +12,52 @@ from tableweave.llm.queries import SURROGATE_KEY, TOKENIZER, tokenizer_path
 from tableweave.plans.materialize import cut, dropped, recorded, removed
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-#: For each corpus the stage that ran last, and the scratch that its result is still read from.
-_left: dict[str, tuple[int, list[str]]] = {}
+#: Metadata of a stage's first column: the scratch that the stage's result is still read from. It is written and reread with the table.
+SCRATCH = "tableweave.scratch"
 
 
-def stage(place: int) -> Callable[[Stage], Stage]:
-    """A stage's input has been written before it begins, so the scratch of the stage before is given back."""
+def stage(f: Stage) -> Stage:
+    """The scratch of the stage before is given back when a stage begins, if that stage's result has been written since.
 
-    def made(f: Stage) -> Stage:
-        @functools.wraps(f)
-        def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-            before, paths = _left.pop(sf_dir, (None, []))
-            if before == place - 1:
-                removed(spark, paths)
-            with recorded() as paths:
-                out = f(spark, docs, sf_dir)
-            _left[sf_dir] = (place, paths)
-            return out
+    A result carries the paths of its scratch in its schema, so that nothing is kept between stages: a table that was
+    written and reread names what it no longer needs, whoever ran the stages, and however often.
+    """
 
-        return run_stage
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        behind = list(docs.schema[0].metadata.get(SCRATCH, [])) if docs.columns else []
+        if behind:
+            files = docs.inputFiles()
+            if files and not any(path.split("/tableweave/")[-1] in file for path in behind for file in files):
+                removed(spark, behind)
+        with recorded() as paths:
+            out = f(spark, docs, sf_dir)
+        return out.withMetadata(out.columns[0], {SCRATCH: paths}) if out.columns == docs.columns else out
 
-    return made
+    return run_stage
 
 
-@stage(0)
+@stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_quality(docs)
 
 
-@stage(1)
+@stage
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_exact_duplicates(docs)
 
 
-@stage(2)
+@stage
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return near_dedup.drop_near_duplicates(docs)
 
 
-@stage(3)
+@stage
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pii_surrogates.replace_personal_data(docs, SURROGATE_KEY).select(*docs.columns)
 
 
-@stage(4)
+@stage
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, tokenizer_path(TOKENIZER), added_tokens=True)
 
