@@ -73,7 +73,12 @@ def _part(text: str, last: np.uint64 | None) -> tuple[np.ndarray, np.uint64 | No
     return (np.concatenate(parts) >> U(64 - BUCKETS_LOG2)).astype(np.int64), whole[-1] if len(whole) else last
 
 
-def train(texts: list[str], labels: np.ndarray, settings: Settings) -> np.ndarray:
+def counted_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct features of a text and how often each occurs: at most 2 ** BUCKETS_LOG2, however long the text."""
+    return np.unique(features(text), return_counts=True)
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings) -> np.ndarray:
     """Weights ``w`` with logit = mean of ``w[features]`` + ``w[-1]``: embeddings and softmax layer, multiplied out.
 
     The mean of embeddings meets a linear layer, so a bucket matters by one number alone once training is over.
@@ -82,7 +87,7 @@ def train(texts: list[str], labels: np.ndarray, settings: Settings) -> np.ndarra
     n = 1 << BUCKETS_LOG2
     vectors = random.uniform(-1 / settings.dim, 1 / settings.dim, (n, settings.dim)).astype(np.float32)
     layer, bias = np.zeros((settings.dim, 2), np.float32), np.zeros(2, np.float32)
-    docs = [(lambda u, c: (u, (c / c.sum()).astype(np.float32)))(*np.unique(features(t), return_counts=True)) for t in texts]
+    docs = [(u, (c / c.sum()).astype(np.float32)) for u, c in docs]
     steps, done = max(1, settings.epochs * len(docs)), 0
     for _ in range(settings.epochs):
         for k in random.permutation(len(docs)):
@@ -116,7 +121,8 @@ def score_text(text: str, weights: np.ndarray) -> float:
 def fit(rows: DataFrame, text_col: str, label_col: str, id_col: str, settings: Settings) -> np.ndarray:
     """Learns from at most ``settings.max_rows`` labelled rows (null labels out; null text is empty) in one task.
 
-    Without rows, or with one label alone, every score is that label's share (a half if there is none).
+    Texts become counts of features where they are read, so that what the task gets is bounded by the number of rows,
+    whatever their length. Without rows, or with one label alone, every score is that label's share (a half if there is none).
     """
     bounded = (
         rows.filter(F.col(label_col).isin(0, 1))
@@ -124,11 +130,19 @@ def fit(rows: DataFrame, text_col: str, label_col: str, id_col: str, settings: S
         .orderBy("at", "label", F.xxhash64("text")).limit(settings.max_rows)
     )
 
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told = [counted_features(x.as_py()) for x in batch.column(0)]
+            cells = [pa.array([x[k].astype("<i4").tobytes() for x in told], pa.binary()) for k in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *cells], names=["label", "at", "order", "ids", "counts"])
+
     def learn(x: pd.DataFrame) -> pd.DataFrame:
-        x = x.sort_values(["at", "label", "text"])
-        return pd.DataFrame({"weights": [train(x["text"].tolist(), x["label"].to_numpy(), settings).tobytes()]})
+        x = x.sort_values(["at", "label", "order"])
+        docs = [(np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<i4")) for a, b in zip(x["ids"], x["counts"], strict=True)]
+        return pd.DataFrame({"weights": [train(docs, x["label"].to_numpy(), settings).tobytes()]})
 
-    found = bounded.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(learn, "weights binary").collect()
+    told = bounded.select("text", "label", "at", F.xxhash64("text").alias("order")).mapInArrow(counted, "label int, at long, order long, ids binary, counts binary")
+    found = told.withColumn("all", F.lit(1)).groupBy("all").applyInPandas(learn, "weights binary").collect()
     return np.frombuffer(found[0][0], np.float32) if found else np.zeros((1 << BUCKETS_LOG2) + 1, np.float32)
 
 
@@ -153,7 +167,8 @@ def classify_quality(
 
     Labels of documents whose crc32(doc_id as text) is divisible by ``folds`` are held out of training. Labels, language,
     source and id are never inputs of a score. A document labelled twice is learned twice. Null doc_ids are scored, not
-    learned from; they aren't held out.
+    learned from; they aren't held out. Null and empty texts have no features and score by the bias alone; very long ones
+    are read in parts, and learned from by their counts of features. An empty table gives an empty result.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds == 0, F.lit(False))
     known = labels.select("doc_id", F.col("quality").alias("__label")).filter(~held & F.col("doc_id").isNotNull() & F.col("__label").isin(0, 1))
