@@ -18,15 +18,19 @@ def is_abbreviation(a: Column, b: Column) -> Column:
     """Whether the letters of the shorter text are found, in order, in the longer one, whatever the case.
 
     Of texts of one length the second counts as the shorter. Two empty texts are alike; one empty text, or a shorter text
-    without letters, isn't like anything. The letters become a pattern in which each gap ends at the next letter, so that
-    there is one way to match and the search is linear.
+    without letters, isn't like anything. A fold over the longer text's characters counts the letters found so far, so that
+    time and memory grow with its length alone; the letters are an array that is made once.
     """
     x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
     second = F.char_length(x) >= F.char_length(y)
     short, long = F.when(second, y).otherwise(x), F.when(second, x).otherwise(y)
-    letters = F.regexp_replace(short, "[^a-z]", "")
-    pattern = F.concat(F.lit("^"), F.regexp_replace(letters, "([a-z])", "[^$1]*$1"))
-    alike = F.when(letters == "", F.lit(False)).otherwise(F.regexp_like(long, pattern))
+
+    def all_found(letters: Column) -> Column:
+        found = F.aggregate(F.split(long, ""), F.lit(0), lambda n, c: F.when(F.get(letters, n) == c, n + 1).otherwise(n))
+        return F.when(letters[0] == "", F.lit(False)).otherwise(found == F.size(letters))
+
+    # the only element of an array, so that the letters aren't looked for anew at each character
+    alike = F.get(F.transform(F.array(F.split(F.regexp_replace(short, "[^a-z]", ""), "")), all_found), F.lit(0))
     empty = (F.char_length(x) == 0).cast("int") + (F.char_length(y) == 0).cast("int")
     return F.coalesce(F.when(empty == 2, F.lit(True)).when(empty == 1, F.lit(False)).otherwise(alike), F.lit(False))
 

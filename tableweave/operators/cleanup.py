@@ -126,11 +126,27 @@ def merged_pairs(df: DataFrame, keys: list[str], identity: list[str], columns: l
     """Pairs of rows of one identity that complete each other, as one row: greedily in order, each row at most once.
 
     Two rows fit when no column has two different values; what one of them misses the other gives. A pair stands at its
-    first row's place, with that row's other columns; rows keep their places, so nothing is ordered by groups. A fold over
+    first row's place, with that row's other columns; ``merged_in_order`` also orders by groups. A fold over
     the rows of a group (of a table and its identity columns): each row completes the first open one that it fits. Taking
     rows in order and open ones in order gives the pairs that looking ahead from each row in turn gives.
     """
     rest = [c for c in df.columns if c not in (*columns, ROW, *keys)]
+    told = _paired(df, keys, identity, columns)
+    return told.select(*keys, *[_c(c) for c in (ROW, *columns, *rest)])
+
+
+def merged_in_order(df: DataFrame, keys: list[str], identity: list[str], columns: list[str]) -> DataFrame:
+    """``merged_pairs`` in the order of the groups: by the identity's cells, missing ones last, within a group merged rows
+    first, then by place. Rows are numbered anew by it, so that what follows (the first of equal rows stays) goes by it."""
+    told = _paired(df, keys, identity, columns)
+    order = [x for c in identity for x in (_c(c) == MISSING, _c(c))]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(*order, "__open", ROW)) - 1
+    return told.withColumn(ROW, place.cast(df.schema[ROW].dataType)).select(*[_c(c) for c in df.columns])
+
+
+def _paired(df: DataFrame, keys: list[str], identity: list[str], columns: list[str]) -> DataFrame:
+    """The rows of ``merged_pairs``, with ``__open``: whether a row was left alone."""
+    rest = [c for c in df.columns if c not in (*columns, ROW, *keys)]
     own = [ROW, *columns, *rest]
     item = F.struct(*[_c(c) for c in own], F.lit(True).alias("__open"))
     packed = df.groupBy(*keys, *[_c(c).alias(f"__id{k}") for k, c in enumerate(identity)]).agg(F.collect_list(item).alias("__rows"), F.count(F.lit(1)).alias("__n"))
@@ -151,7 +167,7 @@ def merged_pairs(df: DataFrame, keys: list[str], identity: list[str], columns: l
     by_place = F.array_sort("__rows", lambda a, b: F.when(a[ROW] < b[ROW], -1).when(a[ROW] > b[ROW], 1).otherwise(0))
     kind = packed.schema["__rows"].dataType
     paired = F.when(F.col("__n") == 1, F.col("__rows")).otherwise(F.aggregate(by_place, F.array().cast(kind), step))
-    return packed.select(*keys, F.explode(paired).alias("__r")).select(*keys, *[F.col(f"__r.`{c}`").alias(c) for c in own])
+    return packed.select(*keys, F.explode(paired).alias("__r")).select(*keys, *[F.col(f"__r.`{c}`").alias(c) for c in (*own, "__open")])
 
 
 def range_to_median(df: DataFrame, keys: list[str], n: Names, identity: list[str]) -> DataFrame:
@@ -173,7 +189,8 @@ def range_to_median(df: DataFrame, keys: list[str], n: Names, identity: list[str
 
 
 def clean_summary(df: DataFrame, keys: list[str], n: Names, columns: list[str]) -> DataFrame:
-    """The cleanup of summary rows. With ``n.identity``, rows that complete each other are merged and ranges moved to medians.
+    """The cleanup of summary rows. With ``n.identity``, rows that complete each other are merged, tables come in the order of
+    their identities (``merged_in_order``) and ranges move to medians.
 
     Order matters: errors out, value rules, normalization, rows with numbers, pairs merged, equal rows, rows whose value
     repeats the subject count, ranges split, contained rows out, ranges to medians.
@@ -182,7 +199,7 @@ def clean_summary(df: DataFrame, keys: list[str], n: Names, columns: list[str])
     # each rule holds the one before; written here, so that nothing below holds them all again
     told = cut(with_numbers(normalized(told, columns), [n.value, n.variation_type, n.lower, n.upper]), "cleanup-ruled")
     if n.identity:
-        told = merged_pairs(told, keys, n.identity, columns)
+        told = merged_in_order(told, keys, n.identity, columns)
     told = first_of_equal(told, keys, columns).filter(_c(n.subjects) != _c(n.value))
     # read twice by the anti-join below
     told = without_contained(cut(split_ranges(told, n), "cleanup-rows"), keys, columns)
@@ -202,11 +219,54 @@ def individual_rules(time_value: str, time_unit: str, value: str, kind: str, uni
 
 
 def clean_individual(df: DataFrame, keys: list[str], columns: list[str], time_value: str, time_unit: str, value: str, kind: str, unit: str) -> DataFrame:
-    """The cleanup of single patients' rows: rules, normalization, rows with a value, equal rows."""
-    told = normalized(rewritten(df, individual_rules(time_value, time_unit, value, kind, unit)), columns, {",": " "})
+    """The cleanup of single patients' rows: errors out, rules, normalization, rows with a value, equal rows."""
+    told = normalized(rewritten(without_errors(df, columns), individual_rules(time_value, time_unit, value, kind, unit)), columns, {",": " "})
     return first_of_equal(told.filter(_c(value) != MISSING), keys, columns)
 
 
+def _integer(cell: Column) -> Column:
+    """A whole number, signed or not, with spaces around it; null for any other cell."""
+    return F.when(cell.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"), F.regexp_replace(cell, r"[\s_]", "").try_cast("long"))
+
+
+def _counted(df: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """``df`` with ``__v``, the row's number, ``__all``, whether each row of its table has one, and ``__total``, their sum."""
+    told = df.withColumn("__v", _integer(_c(number)))
+    tables = told.groupBy(*keys).agg(F.bool_and(F.col("__v").isNotNull()).alias("__all"), F.sum("__v").alias("__total"))
+    return told.join(tables, keys)
+
+
+def without_sum_row(df: DataFrame, keys: list[str], number: str) -> DataFrame:
+    """Without each table's first row whose number is the sum of all others (0 is none), and numbers in their plain form.
+
+    All or nothing by table: where a single cell isn't a whole number, the table stays as it is. Sums and first places are
+    map-side combined, so a table's rows needn't meet.
+    """
+    told = _counted(df, keys, number)
+    sums = told.filter("__all AND 2 * __v = __total AND __v <> 0").groupBy(*keys).agg(F.min(ROW).alias(ROW))
+    plain = F.when(F.col("__all"), F.col("__v").cast("string")).otherwise(_c(number))
+    return told.join(sums, [*keys, ROW], "left_anti").withColumn(number, plain).select(*[_c(c) for c in df.columns])
+
+
+def largest_of_equal(df: DataFrame, keys: list[str], columns: list[str], number: str) -> DataFrame:
+    """Of rows equal in ``columns`` the one with the largest number, of those the first; tables with a cell that isn't a
+    whole number stay as they are."""
+    told = _counted(df, keys, number)
+    row = F.struct(*[_c(c) for c in df.columns])
+    best = told.filter("__all").groupBy(*keys, *[_c(c).alias(f"__k{k}") for k, c in enumerate(columns)]).agg(F.min_by(row, F.struct(-F.col("__v"), F.col(ROW))).alias("__best"))
+    return best.select("__best.*").unionByName(told.filter("NOT __all").select(*[_c(c) for c in df.columns]))
+
+
+def clean_specimen(df: DataFrame, keys: list[str], columns: list[str], number: str = "Sample N", by_place: bool = True) -> DataFrame:
+    """The cleanup of specimen rows: the row that sums up the others goes; of equal rows the largest number stays.
+
+    The curated pipelines compare rows with their places, so that no two are equal and none goes by the second rule: that
+    is ``by_place``. Without it, rows equal in all columns but the number are one.
+    """
+    told = without_sum_row(df, keys, number)
+    return told if by_place else largest_of_equal(told, keys, [c for c in columns if c != number], number)
+
+
 def renamed(df: DataFrame, names: dict[str, str], order: list[str] | None = None) -> DataFrame:
     """Final names, and the final order of columns."""
     told = df.withColumnsRenamed(names)

@@ -84,10 +84,12 @@ def selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_MATRIX.replace('base AS (', 'base AS MATERIALIZED (')}, w AS (SELECT *, CASE WHEN header = 'Group' THEN CASE WHEN value LIKE 'Sub %' THEN 'Subheader' WHEN value = 'Age' THEN 'Characteristic' ELSE 'Exposure' END END AS row_kind FROM base),
-h AS (SELECT doc_id, row_idx, value AS own, row_kind AS k, last_value(CASE WHEN row_kind = 'Subheader' THEN value END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY row_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS sub FROM w WHERE header = 'Group'),
-p AS (SELECT doc_id, row_idx, value AS p FROM base WHERE header = 'P'),
-j AS (SELECT b.*, CASE WHEN sub IS NULL THEN own ELSE sub || '; ' || own END AS lab, k, CASE WHEN b.col_idx < 3 THEN p END AS pv FROM base b JOIN h USING (doc_id, row_idx) JOIN p USING (doc_id, row_idx) WHERE header NOT IN ('Group', 'P'))
+    f"""WITH {_MATRIX},
+w AS (SELECT *, CASE WHEN header = 'Group' THEN CASE WHEN value LIKE 'Sub %' THEN 'Subheader' WHEN value = 'Age' THEN 'Characteristic' ELSE 'Exposure' END END AS row_kind FROM base),
+x AS (SELECT *, max(CASE WHEN header = 'Group' THEN value END) OVER r AS own, max(row_kind) OVER r AS k, max(CASE WHEN header = 'P' THEN value END) OVER r AS p,
+  max(CASE WHEN row_kind = 'Subheader' THEN lpad(CAST(row_idx AS STRING), 9, '0') || value END) OVER (PARTITION BY doc_id ORDER BY row_idx RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
+  FROM w WINDOW r AS (PARTITION BY doc_id, row_idx)),
+j AS (SELECT *, CASE WHEN above IS NULL THEN own ELSE substr(above, 10) || '; ' || own END AS lab, CASE WHEN col_idx < 3 THEN p END AS pv FROM x WHERE header NOT IN ('Group', 'P'))
 SELECT doc_id, row_idx, col_idx, CASE WHEN k = 'Characteristic' THEN lab ELSE 'N/A' END AS characteristic,
   CASE WHEN header = 'Exposed' THEN CASE WHEN k = 'Exposure' THEN lab || '; ' || header ELSE header END WHEN k = 'Exposure' THEN lab ELSE 'N/A' END AS exposure,
   CASE WHEN header = 'Outcome' THEN header ELSE 'N/A' END AS outcome, value, pv AS p_value FROM j WHERE k <> 'Subheader' AND regexp_matches(value, '[0-9]')"""

@@ -59,7 +59,7 @@ _UNITS = ", ".join(f"'{u}'" for u in C.LONG_UNITS)
 
 @query(
     f"""WITH {_IBASE},
-a AS (SELECT * REPLACE (CASE WHEN time_unit IN ({_UNITS}) THEN 'N/A' ELSE time_value END AS time_value) FROM base),
+a AS (SELECT * REPLACE (CASE WHEN time_unit IN ({_UNITS}) THEN 'N/A' ELSE time_value END AS time_value) FROM base WHERE 'ERROR' NOT IN ({', '.join(_I)})),
 b AS (SELECT * REPLACE (CASE WHEN time_value = 'N/A' THEN 'N/A' ELSE time_unit END AS time_unit) FROM a),
 c AS (SELECT * REPLACE (CASE WHEN time_unit = 'N/A' THEN 'N/A' ELSE time_value END AS time_value) FROM b),
 d AS (SELECT * REPLACE (CASE WHEN parameter_value = 'N/A' THEN 'N/A' ELSE parameter_type END AS parameter_type, CASE WHEN parameter_value = 'N/A' THEN 'N/A' ELSE parameter_unit END AS parameter_unit) FROM c),
@@ -73,6 +73,31 @@ def row_cleanup_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.clean_individual(df, ["doc_id"], _I, "time_value", "time_unit", "parameter_value", "parameter_type", "parameter_unit").select("doc_id", "row_idx", *_I)
 
 
+# Samples of each order's lines: whole numbers, or with one that is none; equal elsewhere within a ship mode.
+_SAMPLES = """
+SELECT l_orderkey AS doc_id, CAST(l_linenumber - 1 AS INT) AS row_idx, CAST(l_suppkey % 2 AS STRING) AS specimen,
+  CASE WHEN l_orderkey % 5 = 0 AND l_linenumber = 2 THEN '3.0' WHEN l_linenumber = 1 THEN ' 0' || CAST(l_orderkey % 4 AS STRING) ELSE CAST(l_partkey % 4 AS STRING) END AS sample_n
+FROM lineitem
+"""
+_SUMS = r"""v AS (SELECT *, CASE WHEN regexp_full_match(sample_n, '\s*[+-]?[0-9]+\s*') THEN CAST(trim(sample_n) AS BIGINT) END AS v FROM base),
+w AS (SELECT *, count(*) OVER (PARTITION BY doc_id) = count(v) OVER (PARTITION BY doc_id) AS fine, sum(v) OVER (PARTITION BY doc_id) AS total FROM v),
+x AS (SELECT *, min(CASE WHEN fine AND total - v = v AND v <> 0 THEN row_idx END) OVER (PARTITION BY doc_id) AS gone FROM w),
+s AS (SELECT doc_id, row_idx, specimen, CASE WHEN fine THEN CAST(v AS STRING) ELSE sample_n END AS sample_n, fine, v FROM x WHERE row_idx IS DISTINCT FROM gone)"""
+
+
+@query(f"WITH base AS ({_SAMPLES}), {_SUMS} SELECT doc_id, row_idx, specimen, sample_n FROM s")
+def sum_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.clean_specimen(inputs.from_sql(spark, sf_dir, _SAMPLES, "lineitem"), ["doc_id"], ["specimen", "sample_n"], "sample_n")
+
+
+@query(
+    f"""WITH base AS ({_SAMPLES}), {_SUMS}
+SELECT doc_id, row_idx, specimen, sample_n FROM s QUALIFY NOT fine OR row_number() OVER (PARTITION BY doc_id, specimen, fine ORDER BY v DESC, row_idx) = 1"""
+)
+def largest_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.clean_specimen(inputs.from_sql(spark, sf_dir, _SAMPLES, "lineitem"), ["doc_id"], ["specimen", "sample_n"], "sample_n", by_place=False)
+
+
 @query(f"WITH {_BASE}, {_RULES.format(source='base')} SELECT {ALL} FROM r4")
 def value_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.rewritten(inputs.assembled(spark, sf_dir), C.value_rules(NAMES)).select("doc_id", "row_idx", *COLUMNS)
@@ -134,7 +159,8 @@ _IDENTITY = "PARTITION BY doc_id, drug_name"
     f"WITH base AS ({_ARMS.replace('CAST(floor(row_idx / 2) AS STRING)', 'CAST(row_idx // 2 AS STRING)')}), {_NO_ERROR}, {_RULES.format(source='clean')}, n AS ({_norm('r4', COLUMNS)}), "
     "d AS (SELECT * FROM n WHERE regexp_matches(main_value || '|' || variation_type || '|' || lower_bound || '|' || upper_bound, '[0-9]')), "
     f"c AS (SELECT *, count(*) OVER ({_IDENTITY}) = 2 AND {_AGREE} AS agree FROM d), "
-    f"m AS (SELECT {ALL} FROM c WHERE NOT agree UNION ALL SELECT doc_id, min(row_idx) AS row_idx, {_FILLED} FROM c WHERE agree GROUP BY doc_id, c.drug_name), "
+    f"p AS (SELECT {ALL}, false AS merged FROM c WHERE NOT agree UNION ALL SELECT doc_id, min(row_idx) AS row_idx, {_FILLED}, true FROM c WHERE agree GROUP BY doc_id, c.drug_name), "
+    f"m AS (SELECT * EXCLUDE (merged) REPLACE (CAST(row_number() OVER (PARTITION BY doc_id ORDER BY drug_name, merged DESC, row_idx) - 1 AS INT) AS row_idx) FROM p), "
     f"u AS (SELECT * FROM ({_DEDUP.format(source='m')}) WHERE subject_n <> main_value), {_SPLIT.format(source='u')}, k AS ({_CONTAIN.format(source='s2')}) {_MOVED.format(g=_IDENTITY, source='k')}"
 )
 def row_cleanup_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -160,6 +186,28 @@ def merged_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.merged_pairs(df, ["doc_id"], ["name"], ["name", "price", "status"])
 
 
+# The same with names that are missing now and then, in groups of two rows at most.
+_NAMED = "CASE WHEN o_orderkey % 5 = 0 AND o_orderkey = first THEN 'N/A' ELSE CAST(o_orderkey % 1000 AS STRING) || '-' || CAST(o_orderkey AS STRING) END AS name"
+_ORDER_PAIRS = f"""
+SELECT o_custkey AS doc_id, CAST(o_orderkey * 2 AS BIGINT) AS row_idx, {_NAMED}, CAST(CAST(floor(o_totalprice) AS BIGINT) AS STRING) AS price, 'N/A' AS status
+  FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders) a
+UNION ALL
+SELECT o_custkey, CAST(o_orderkey * 2 + 1 AS BIGINT), {_NAMED}, CASE WHEN o_totalprice < 50000 THEN 'low' ELSE 'N/A' END, o_orderstatus
+  FROM (SELECT *, min(o_orderkey) OVER (PARTITION BY o_custkey) AS first FROM orders) b
+"""
+
+
+@query(
+    f"""WITH base AS ({_ORDER_PAIRS}), g AS (SELECT *, count(DISTINCT nullif(price, 'N/A')) OVER (PARTITION BY doc_id, name) AS prices FROM base),
+m AS (SELECT doc_id, row_idx, name, price, status, false AS merged FROM g WHERE prices > 1 UNION ALL
+  SELECT doc_id, min(row_idx), name, max(nullif(price, 'N/A')), max(nullif(status, 'N/A')), true FROM g WHERE prices <= 1 GROUP BY doc_id, name)
+SELECT * EXCLUDE (merged) REPLACE (row_number() OVER (PARTITION BY doc_id ORDER BY name = 'N/A', name, merged DESC, row_idx) - 1 AS row_idx) FROM m"""
+)
+def merged_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = inputs.from_sql(spark, sf_dir, _ORDER_PAIRS, "orders")
+    return C.merged_in_order(df, ["doc_id"], ["name"], ["name", "price", "status"])
+
+
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE try_cast(l_returnflag AS DOUBLE) IS NOT NULL OR regexp_matches(l_linestatus, '[0-9]') OR l_partkey % 2 = 0")
 def parsed_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = inputs.load(spark, sf_dir, "lineitem")

@@ -25,7 +25,7 @@ ASSEMBLED_COLUMNS = ["drug_name", "subject_n", "parameter_type", "main_value", "
 # Single patients' values with times, one table for each customer.
 INDIVIDUAL = """
 SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row_idx,
-  'P' || CAST(o_orderkey % 3 AS STRING) AS patient_id,
+  CASE WHEN o_orderkey % 17 = 0 THEN 'ERROR' ELSE 'P' || CAST(o_orderkey % 3 AS STRING) END AS patient_id,
   CASE WHEN o_orderkey % 5 = 0 THEN 'Cmax' WHEN o_orderkey % 5 = 1 THEN ' ' ELSE 'Concentration' END AS parameter_type,
   CASE WHEN o_orderkey % 7 = 0 THEN 'N/A' WHEN o_orderkey % 11 = 0 THEN 'Tmax' ELSE CAST(o_custkey % 50 AS STRING) END AS parameter_value,
   'ng/ml' AS parameter_unit,

@@ -22,7 +22,14 @@ _CELLS = {
     "Upper bound": "CASE WHEN o_orderkey % 2 = 0 THEN 'N/A' ELSE '9' END",
     "Time unit": "CASE WHEN o_orderkey % 5 = 0 THEN 'weeks' ELSE 'h' END",
     "P value": "CASE WHEN o_orderkey % 6 = 0 THEN 'unknown' ELSE '0.05' END",
+    # of every third customer the last order has the sum of the others; of every fifth the first order has no number
+    "Sample N": "CASE WHEN o_custkey % 5 = 0 AND o_orderkey = o_first THEN 'N/A' WHEN o_custkey % 3 = 0 AND o_orderkey = o_last THEN CAST(o_rest AS STRING) ELSE ' ' || CAST(o_orderkey % 5 + 1 AS STRING) END",
 }
+# Orders with each customer's first and last one, and the samples of all but the last.
+_ORDERS = """
+SELECT *, sum(CASE WHEN o_orderkey = o_last THEN 0 ELSE o_orderkey % 5 + 1 END) OVER (PARTITION BY o_custkey) AS o_rest FROM (
+  SELECT o_custkey, o_orderkey, min(o_orderkey) OVER (PARTITION BY o_custkey) AS o_first, max(o_orderkey) OVER (PARTITION BY o_custkey) AS o_last FROM orders)
+"""
 
 
 def _cell(column: str) -> str:
@@ -31,7 +38,7 @@ def _cell(column: str) -> str:
 
 def _answers(spark: SparkSession, sf_dir: str, pipeline: str) -> DataFrame:
     """``doc_id, step, payload``. Customers of even number have lookups of one row, the others of three, and matches beyond them."""
-    orders = inputs.load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), "o_orderkey")
+    orders = inputs.from_sql(spark, sf_dir, _ORDERS, "orders").withColumn("doc_id", F.col("o_custkey"))
     direct, lookups = pipelines.STEPS[pipeline]
     in_order = lambda c: F.to_json(F.transform(F.sort_array(F.collect_list(F.struct("o_orderkey", c.alias("x")))), lambda s: s["x"]))
     answers = {step: in_order(F.array(*[F.expr(_cell(c)) for c in columns])) for step, columns in direct.items()}
@@ -50,16 +57,26 @@ def _sql(pipeline: str) -> str:
         cells |= {c: f"CASE WHEN o_custkey % 2 = 0 THEN '{c} 0' WHEN o_orderkey % 4 = 3 THEN 'ERROR' ELSE '{c} ' || CAST(o_orderkey % 4 AS STRING) END" for c in columns}
     columns = pipelines.OUTPUTS[pipeline]
     rows = ", ".join(f'{cells.get(c, "NULL")} AS "{c}"' for c in columns)
-    base = f"SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row_idx, {rows} FROM orders"
+    base = f"SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row_idx, {rows} FROM ({_ORDERS})"
     if pipeline in ("pk_summary", "pe_study_outcome"):
         # values that hold both bounds go with their statistic; bounds make a range; spellings and words for missing
         held = """"Lower bound" <> 'N/A' AND contains("Parameter value", '1') AND contains("Parameter value", '9')"""
         swaps = f"""CASE WHEN {held} THEN 'N/A' ELSE "Parameter value" END AS "Parameter value", CASE WHEN {held} THEN 'N/A' ELSE "Parameter statistic" END AS "Parameter statistic",
           CASE WHEN "Lower bound" = 'N/A' THEN 'N/A' ELSE 'Range' END AS "Interval type", CASE WHEN "Variation value" = 'N/A' THEN 'N/A' ELSE 'SD' END AS "Variation type", CASE WHEN "P value" = 'unknown' THEN 'N/A' ELSE "P value" END AS "P value\""""
-        return f"SELECT * REPLACE ({swaps}) FROM ({base})" + (" WHERE \"Specimen\" <> 'ERROR'" if pipeline == "pk_summary" else "")
+        told = f"SELECT * REPLACE ({swaps}) FROM ({base})"
+        if pipeline == "pe_study_outcome":
+            return told
+        # rows come by what they are about, as merged ones do
+        order = ", ".join(f"""\"{c}\" = 'N/A', \"{c}\"""" for c in pipelines.IDENTITY)
+        return f"""SELECT * REPLACE (CAST(row_number() OVER (PARTITION BY doc_id ORDER BY {order}, row_idx) - 1 AS INT) AS row_idx) FROM ({told} WHERE "Specimen" <> 'ERROR')"""
     if pipeline == "pk_individual":
         gone = """"Time unit" = 'weeks'"""
-        return f"""SELECT * REPLACE (CASE WHEN {gone} THEN 'N/A' ELSE "Time value" END AS "Time value", CASE WHEN {gone} THEN 'N/A' ELSE "Time unit" END AS "Time unit") FROM ({base})"""
+        return f"""SELECT * REPLACE (CASE WHEN {gone} THEN 'N/A' ELSE "Time value" END AS "Time value", CASE WHEN {gone} THEN 'N/A' ELSE "Time unit" END AS "Time unit") FROM ({base}) WHERE 'ERROR' NOT IN ("Drug name", "Patient ID")"""
+    if pipeline in ("pk_specimen_summary", "pk_specimen_individual"):
+        return rf"""SELECT * EXCLUDE (v, fine, total, gone) REPLACE (CASE WHEN fine THEN CAST(v AS STRING) ELSE "Sample N" END AS "Sample N") FROM (
+  SELECT *, min(CASE WHEN fine AND total - v = v AND v <> 0 THEN row_idx END) OVER (PARTITION BY doc_id) AS gone FROM (
+  SELECT *, count(*) OVER (PARTITION BY doc_id) = count(v) OVER (PARTITION BY doc_id) AS fine, sum(v) OVER (PARTITION BY doc_id) AS total FROM (
+  SELECT *, CASE WHEN regexp_full_match("Sample N", '\s*[+-]?[0-9]+\s*') THEN CAST(trim("Sample N") AS BIGINT) END AS v FROM ({base})))) WHERE row_idx IS DISTINCT FROM gone"""
     return f"SELECT * FROM ({base})" + (""" WHERE regexp_matches("Characteristic value", '[0-9]')""" if pipeline == "pk_population_individual" else "")
 
 
@@ -92,8 +109,10 @@ FROM orders
 
 
 @query(
-    """WITH o AS (SELECT o_custkey AS doc_id, CAST(floor(10.0 * (CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END) / 3.0) AS BIGINT) AS points FROM orders)
-SELECT doc_id, CAST(count(*) AS INT) AS less_rows, CAST(count(*) AS INT) AS more_rows, CAST(floor(100.0 * sum(points) / (10.0 * count(*))) AS INT) AS score FROM o GROUP BY doc_id
+    """WITH o AS (SELECT o_custkey AS doc_id, NOT (o_custkey % 2 = 1 AND o_orderkey % 4 = 3) AS kept, CAST(floor(10.0 * (CASE WHEN o_orderkey % 5 = 0 THEN 0 ELSE 2 END + CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE 1 END) / 3.0) AS BIGINT) AS points FROM orders),
+s AS (SELECT doc_id, count(*) FILTER (WHERE kept) AS less, count(*) AS more, sum(points) FILTER (WHERE kept) AS points FROM o GROUP BY doc_id)
+SELECT doc_id, CAST(CASE WHEN less > 0 THEN less END AS INT) AS less_rows, CAST(CASE WHEN less > 0 THEN more END AS INT) AS more_rows,
+  CAST(CASE WHEN less > 0 THEN floor(100.0 * points / (10.0 * less + more - less)) END AS INT) AS score FROM s
 UNION ALL SELECT -1 - r_regionkey, NULL, NULL, NULL FROM region"""
 )
 def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

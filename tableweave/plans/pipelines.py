@@ -77,9 +77,10 @@ STEPS: dict[str, tuple[dict[str, list[str]], dict[str, tuple[str, list[str]]]]]
     "pe_study_info": ({"design_info": OUTPUTS["pe_study_info"]}, {}),
     "pe_study_outcome": ({"mapping": ["Characteristic", "Exposure", "Outcome", "P value"], "param_value": _VALUES}, {}),
 }
+#: What a summary row is about.
+IDENTITY = [*_DRUG, *_WHO_N, "Parameter type", "Parameter unit"]
 _SUMMARY = cleanup.Names(
-    "Parameter value", "Parameter statistic", "Variation value", "Variation type", "Interval type", "Lower bound", "Upper bound", "Subject N",
-    [*_DRUG, *_WHO_N, "Parameter type", "Parameter unit"],
+    "Parameter value", "Parameter statistic", "Variation value", "Variation type", "Interval type", "Lower bound", "Upper bound", "Subject N", IDENTITY,
 )
 
 
@@ -94,12 +95,14 @@ def assembled_rows(pipeline: str, decisions: DataFrame, keys: list[str]) -> Data
 
 def cleaned_rows(pipeline: str, rows: DataFrame, keys: list[str]) -> DataFrame:
     """The last step of a pipeline. Outcomes of studies are cleaned as summaries are, but with no row merged or left out for
-    another; most pipelines have no rules of their own."""
+    another. Specimen rows lose the one that sums up the others. Drugs, populations and designs of studies have no rules."""
     columns = OUTPUTS[pipeline]
     if pipeline == "pk_summary":
         return cleanup.clean_summary(rows, keys, _SUMMARY, columns)
     if pipeline == "pk_individual":
         return cleanup.clean_individual(rows, keys, columns, "Time value", "Time unit", "Parameter value", "Parameter type", "Parameter unit")
+    if pipeline in ("pk_specimen_summary", "pk_specimen_individual"):
+        return cleanup.clean_specimen(rows, keys, columns)
     if pipeline == "pe_study_outcome":
         told = cleanup.normalized(cleanup.rewritten(rows, cleanup.value_rules(_SUMMARY)), columns)
         return cleanup.with_numbers(told, ["Parameter value", "Variation type", "Lower bound", "Upper bound"])
