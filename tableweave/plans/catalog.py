@@ -24,7 +24,7 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    from tableweave.plans import cell_queries, cleanup_queries, decision_queries, page_queries, pipeline_queries, scoring_queries, text_queries  # noqa: F401
+    from tableweave.plans import cell_queries, cleanup_queries, decision_queries, graph_queries, page_queries, pipeline_queries, scoring_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

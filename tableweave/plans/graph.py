@@ -167,6 +167,7 @@ def pk_summary(cells: DataFrame, answers: DataFrame, keys: list[str]) -> DataFra
     """Summary tables: individual data out, types aligned, headers categorized, split, drugs and patients matched (-1 is the
     first drug, and no patient), values put beside, cleaned, and times added to the clean rows."""
     pipeline = "pk_summary"
+    answers = cut(answers, "graph-answers")  # read at every step
     subs, rows = _prepared(cells, answers, keys, pipeline)
     drugs, one_drug, patients, one_patient = lookups(answers, keys, pipeline)
     vector = lambda step: answered(answers, [*keys, SUB], step, "array<int>").withColumnRenamed("d", "match")
@@ -184,6 +185,7 @@ def pk_individual(cells: DataFrame, answers: DataFrame, keys: list[str]) -> Data
     """Single patients' tables: the other way round for what is transposed; types, units and values are answered for each
     sub-table and cut or padded to its rows, patients too (what is padded is no patient); times come before the cleanup."""
     pipeline = "pk_individual"
+    answers = cut(answers, "graph-answers")
     subs, rows = _prepared(cells, answers, keys, pipeline)
     sizes = rows.groupBy(*keys, SUB).agg(F.count(F.lit(1)).cast("int").alias("n"))
     drugs, one_drug, patients, one_patient = lookups(answers, keys, pipeline)
