@@ -224,6 +224,16 @@ def clean_individual(df: DataFrame, keys: list[str], columns: list[str], time_va
     return first_of_equal(told.filter(_c(value) != MISSING), keys, columns)
 
 
+def by_first_appearance(df: DataFrame, keys: list[str], column: str) -> DataFrame:
+    """Each table's rows numbered anew: those of the value of ``column`` that appears first, then of the next, in their order."""
+    first = df.groupBy(*keys, _c(column).alias("__v")).agg(F.min(ROW).alias("__first"))
+    firsts = first.select(*[F.col(k).alias(f"__k{n}") for n, k in enumerate(keys)], "__v", "__first")
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{n}")) for n, k in enumerate(keys)], _c(column).eqNullSafe(F.col("__v")))
+    told = df.join(firsts, on)
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("__first", ROW)) - 1
+    return told.withColumn(ROW, place.cast(df.schema[ROW].dataType)).select(*[_c(c) for c in df.columns])
+
+
 def _integer(cell: Column) -> Column:
     """A whole number, signed or not, with spaces around it; null for any other cell."""
     return F.when(cell.rlike(r"^\s*[+-]?[0-9]+(_[0-9]+)*\s*$"), F.regexp_replace(cell, r"[\s_]", "").try_cast("long"))

@@ -8,7 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableweave.functions.similarity import Similarity, equal_number, equal_text, exact_similarity, loosely_equal
+from tableweave.functions.similarity import Similarity, cosine, equal_number, equal_text, exact_similarity, loosely_equal
+from tableweave.plans.materialize import cut
 
 ROW = "row_idx"
 #: Rating columns as (name, is a number, weight).
@@ -68,7 +69,54 @@ def table_score(scores: Column, less: Column, more: Column) -> Column:
     return F.floor(100.0 * scores / (10.0 * less + (more - less))).cast("int")
 
 
-def _counterparts(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity) -> DataFrame:
+SIMILARITIES = "__similarities"
+
+
+def _cell_text(c: Column) -> Column:
+    return F.lower(F.trim(F.regexp_replace(F.trim(c), "^[\"']+|[\"']+$", "")))
+
+
+def _pair(a: Column, b: Column) -> Column:
+    return F.concat_ws("\u001f", F.least(a, b), F.greatest(a, b))
+
+
+def looked_up_similarities(baseline: DataFrame, target: DataFrame, keys: list[str], columns: list[str], vectors: DataFrame) -> DataFrame:
+    """``keys, __similarities``: for each table the cosines of the texts that may meet in one of its columns.
+
+    ``vectors`` is ``text, vector``, as any model gives them. Cells become distinct texts, tables' pairs of them distinct
+    pairs; only those are joined to vectors and rated, once each, however many tables they occur in. Pairs without two
+    vectors are left out. Both tables of a key are small; their number isn't.
+    """
+
+    def texts(df: DataFrame) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("column"), _cell_text(F.col(f"`{c}`")).alias("text")) for c in columns])
+        return df.select(*keys, F.inline(cells)).filter("text <> ''").distinct()
+
+    both = texts(baseline).withColumnRenamed("text", "a").join(texts(target).withColumnRenamed("text", "b"), [*keys, "column"])
+    met = cut(both.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-met")
+    known = cut(vectors.select(_cell_text(F.col("text")).alias("text"), "vector").groupBy("text").agg(F.min("vector").alias("vector")), "similar-vectors")
+    side = lambda name: known.select(F.col("text").alias(name), F.col("vector").alias(f"v{name}"))
+    rated = met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s"))
+    told = met.join(rated.filter("s IS NOT NULL"), ["a", "b"])
+    return told.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(_pair(F.col("a"), F.col("b")), "s"))).alias(SIMILARITIES))
+
+
+def by_lookup(a: Column, b: Column) -> Column:
+    """The similarity of ``looked_up_similarities``; 1 for one text, and 0 for texts that weren't rated."""
+    x, y = _cell_text(a), _cell_text(b)
+    return F.when(x == y, 1.0).otherwise(F.coalesce(F.try_element_at(F.col(SIMILARITIES), _pair(x, y)), F.lit(0.0)))
+
+
+def score_tables_by_vectors(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, vectors: DataFrame) -> DataFrame:
+    """``score_tables`` with texts compared by their vectors, which are joined, not computed in an expression."""
+    columns = list(dict.fromkeys([*anchors, *[c for c, number, _ in rated if not number]]))
+    similar = looked_up_similarities(baseline, target, keys, columns, vectors)
+    return score_tables(baseline, target, keys, anchors, rated, by_lookup, similar)
+
+
+def _counterparts(
+    baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity, similar: DataFrame | None = None
+) -> DataFrame:
     """``keys, less_rows, more_rows, pairs`` of every baseline: each row of the shorter table and its counterpart, or null."""
     columns = list(dict.fromkeys([*anchors, *[c for c, _, _ in rated]]))
     pack = lambda df: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, *columns))).alias("rows"))
@@ -76,24 +124,29 @@ def _counterparts(baseline: DataFrame, target: DataFrame, keys: list[str], ancho
     both = packed.join(pack(target).withColumnRenamed("rows", "t"), keys, "left")
     t = F.coalesce("t", F.array().cast(packed.schema["b"].dataType))
     short = F.size("b") <= F.size(t)
-    sides = both.select(*keys, F.when(short, F.col("b")).otherwise(t).alias("less"), F.when(short, t).otherwise(F.col("b")).alias("more"))
+    carried = [] if similar is None else [SIMILARITIES]
+    both = both if similar is None else both.join(similar, keys, "left")
+    sides = both.select(*keys, *carried, F.when(short, F.col("b")).otherwise(t).alias("less"), F.when(short, t).otherwise(F.col("b")).alias("more"))
     mate = lambda row: F.get("more", best_anchor_match(row, F.col("more"), anchors, similarity))
-    return sides.select(*keys, F.size("less").alias("less_rows"), F.size("more").alias("more_rows"), F.transform("less", lambda row: F.struct(row.alias("row"), mate(row).alias("mate"))).alias("pairs"))
+    return sides.select(*keys, *carried, F.size("less").alias("less_rows"), F.size("more").alias("more_rows"), F.transform("less", lambda row: F.struct(row.alias("row"), mate(row).alias("mate"))).alias("pairs"))
 
 
 def _summed(points: Callable[[Column, Column], Column], zero: Column) -> Column:
     return F.aggregate("pairs", zero, lambda s, p: s + F.when(p["mate"].isNull(), zero).otherwise(points(p["row"], p["mate"])))
 
 
-def score_tables(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity = exact_similarity) -> DataFrame:
+def score_tables(
+    baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity = exact_similarity, similar: DataFrame | None = None
+) -> DataFrame:
     """``keys, less_rows, more_rows, score`` of every baseline table.
 
     Both sides have the keys, ``row_idx`` and the columns. The shorter table's rows (the baseline's when they tie) look for
     their counterparts in the longer one, whose rows may serve several times; a row without one scores 0. A table without
     target rows scores 0, and so do all where the sides differ in their number of columns. A table's rows are packed into
-    arrays, since matching narrows down whole sets of candidates; tables are small, their number isn't.
+    arrays, since matching narrows down whole sets of candidates; tables are small, their number isn't. ``similar`` is what
+    a similarity looks things up in, by table.
     """
-    told = _counterparts(baseline, target, keys, anchors, rated, similarity)
+    told = _counterparts(baseline, target, keys, anchors, rated, similarity, similar)
     points = _summed(lambda a, b: row_score(lambda c: a[c], lambda c: b[c], rated, similarity), F.lit(0))
     score = table_score(points, F.col("less_rows"), F.col("more_rows")) if len(baseline.columns) == len(target.columns) else F.lit(0)
     return told.select(*keys, "less_rows", "more_rows", score.alias("score"))
@@ -101,15 +154,20 @@ def score_tables(baseline: DataFrame, target: DataFrame, keys: list[str], anchor
 
 def score_tables_separately(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity = exact_similarity) -> DataFrame:
     """As ``score_tables``, but ``text_score, number_score``: shares of equal columns of either kind, unweighted, unrounded by row."""
-    told = _counterparts(baseline, target, keys, anchors, rated, similarity)
+    # written, so that the matching isn't repeated in each score
+    told = cut(_counterparts(baseline, target, keys, anchors, rated, similarity), "separate-pairs")
 
-    def share(number: bool) -> Column:
+    def share(p: Column, number: bool) -> Column:
         names = [c for c, n, _ in rated if n == number]
-        equal = lambda a, b: equal_number(a, b) if number else equal_text(a, b, similarity)
-        points = _summed(lambda a, b: 10.0 * reduce(lambda x, y: x + y, [F.when(equal(a[c], b[c]), 1.0).otherwise(0.0) for c in names]) / len(names), F.lit(0.0))
-        return table_score(points, F.col("less_rows"), F.col("more_rows")) if names and len(baseline.columns) == len(target.columns) else F.lit(0)
-
-    return told.select(*keys, "less_rows", "more_rows", share(False).alias("text_score"), share(True).alias("number_score"))
+        equal = lambda c: equal_number(p["row"][c], p["mate"][c]) if number else equal_text(p["row"][c], p["mate"][c], similarity)
+        return 10.0 * reduce(lambda x, y: x + y, [F.when(equal(c), 1.0).otherwise(0.0) for c in names]) / len(names) if names else F.lit(0.0)
+
+    zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("n"))
+    points = F.aggregate("pairs", zero, lambda s, p: F.when(p["mate"].isNull(), s).otherwise(F.struct((s["t"] + share(p, False)).alias("t"), (s["n"] + share(p, True)).alias("n"))))
+    same = len(baseline.columns) == len(target.columns)
+    score = lambda part, number: table_score(F.col(f"points.{part}"), F.col("less_rows"), F.col("more_rows")) if same and any(n == number for _, n, _ in rated) else F.lit(0)
+    told = told.select(*keys, "less_rows", "more_rows", points.alias("points"))
+    return told.select(*keys, "less_rows", "more_rows", score("t", False).alias("text_score"), score("n", True).alias("number_score"))
 
 
 def score_by_position(baseline: DataFrame, target: DataFrame, keys: list[str], rated: Rated, similarity: Similarity = exact_similarity) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -11,10 +14,14 @@ KEYS = ["pmid", "curation_type"]
 
 
 def latest(log: DataFrame, keys: list[str], order: list[str | Column]) -> DataFrame:
-    """The last row of each key, all columns, by a map-side combined maximum; orders other than descending ones by a window."""
+    """The last row of each key, all columns, by a map-side combined maximum; orders other than descending ones by a window.
+
+    Keys come from the grouping itself, so that a filter on them is applied before it, down to the files.
+    """
     if all(isinstance(c, str) for c in order):
-        best = log.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in log.columns]), F.struct(*order)).alias("__last"))
-        return best.select("__last.*")
+        rest = [c for c in log.columns if c not in keys]
+        best = log.groupBy(*keys).agg(F.max_by(F.struct(*[F.col(f"`{c}`") for c in rest]), F.struct(*order)).alias("__last"))
+        return best.select(*[F.col(f"__last.`{c}`").alias(c) if c in rest else F.col(f"`{c}`") for c in log.columns])
     w = W.partitionBy(*keys).orderBy(*[F.col(c).desc() if isinstance(c, str) else c for c in order])
     return log.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
 
@@ -40,17 +47,65 @@ def ingest_report(incoming: DataFrame, stored: DataFrame, keys: list[str], faile
 class CurationStore:
     """Curation records in a Parquet folder; every change appends rows, so writers don't rewrite what others read.
 
-    The folder is partitioned by curation type: lookups of one type read that partition alone.
+    The log is partitioned by curation type, so lookups of one type read that partition alone. ``compact`` writes a base of
+    the latest rows beside the log (in ``_base``, which readers of the folder don't see): partitioned by type, sorted by
+    pmid, with a list of the log's files that it covers, written last. Reads take the newest whole base and the log's files
+    that aren't covered by it: whoever began with an older base still finds all it needs, until ``vacuum``. Deletions stay
+    in a base as such, so a late change of an earlier time doesn't bring a record back.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path = spark, path
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p, p.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _children(self, path: str) -> list[str]:
+        p, fs = self._hadoop(path)
+        return sorted(x.getPath().getName() for x in fs.listStatus(p)) if fs.exists(p) else []
+
+    def _files(self) -> list[str]:
+        """The log's data files, as paths below the folder."""
+        kinds = [x for x in self._children(self.path) if x.startswith("curation_type=")]
+        return [f"{k}/{x}" for k in kinds for x in self._children(f"{self.path}/{k}") if not x.startswith(("_", "."))]
+
+    def _bases(self) -> list[str]:
+        """Whole bases, the newest last."""
+        names = [x for x in self._children(f"{self.path}/_base") if "_covered" in self._children(f"{self.path}/_base/{x}")]
+        return [f"{self.path}/_base/{x}" for x in names]
+
+    def _covered(self, base: str) -> set[str]:
+        return {r.value for r in self.spark.read.text(f"{base}/_covered/list").collect()}
 
     def log(self) -> DataFrame:
-        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(hadoop):
-            return self.spark.createDataFrame([], CURATION)
-        return self.spark.read.schema(CURATION).parquet(self.path)
+        """Everything that counts: the newest base, and what was appended since."""
+        base = self._bases()[-1:]
+        seen = self._covered(base[0]) if base else set()
+        since = [f"{self.path}/{x}" for x in self._files() if x not in seen]
+        parts = [self.spark.read.schema(CURATION).parquet(x) for x in base]
+        parts += [self.spark.read.schema(CURATION).option("basePath", self.path).parquet(*since)] if since else []
+        return reduce(lambda a, b: a.unionByName(b), parts) if parts else self.spark.createDataFrame([], CURATION)
+
+    def compact(self, files: int = 1) -> str:
+        """A new base of the latest rows, in ``files`` files a type by ranges of pmid; returns its folder."""
+        covered = self._files()
+        state = latest(self.log(), KEYS, ["modified_time"])
+        number = int(self._bases()[-1].rsplit("/", 1)[1].split("-")[0]) + 1 if self._bases() else 0
+        base = f"{self.path}/_base/{number:08d}-{uuid.uuid4().hex}"
+        by = F.pmod(F.xxhash64("curation_type"), F.lit(1 << 20))
+        state.repartitionByRange(max(1, files) * 8, by, "curation_type", "pmid").sortWithinPartitions("curation_type", "pmid").write.partitionBy("curation_type").parquet(base)
+        # the list comes last: without it nobody takes the base for whole
+        self.spark.createDataFrame([(x,) for x in covered], "value string").coalesce(1).write.text(f"{base}/_covered/list")
+        return base
+
+    def vacuum(self) -> None:
+        """Deletes the log's files that the newest base covers, and older bases: to be called when no reader is at work."""
+        bases = self._bases()
+        gone = [f"{self.path}/{x}" for x in self._covered(bases[-1])] + bases[:-1] if bases else []
+        for path in gone:
+            p, fs = self._hadoop(path)
+            fs.delete(p, True)
 
     def _append(self, rows: DataFrame) -> None:
         fields = [f.strip().split() for f in CURATION.split(",")]

@@ -85,6 +85,14 @@ x AS (SELECT *, min(CASE WHEN fine AND total - v = v AND v <> 0 THEN row_idx END
 s AS (SELECT doc_id, row_idx, specimen, CASE WHEN fine THEN CAST(v AS STRING) ELSE sample_n END AS sample_n, fine, v FROM x WHERE row_idx IS DISTINCT FROM gone)"""
 
 
+@query(
+    f"""WITH {_IBASE}, f AS (SELECT *, min(row_idx) OVER (PARTITION BY doc_id, patient_id) AS first FROM base)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first, row_idx) - 1 AS INT) AS row_idx, {', '.join(_I)} FROM f"""
+)
+def first_appearance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.by_first_appearance(inputs.individual(spark, sf_dir), ["doc_id"], "patient_id").select("doc_id", "row_idx", *_I)
+
+
 @query(f"WITH base AS ({_SAMPLES}), {_SUMS} SELECT doc_id, row_idx, specimen, sample_n FROM s")
 def sum_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.clean_specimen(inputs.from_sql(spark, sf_dir, _SAMPLES, "lineitem"), ["doc_id"], ["specimen", "sample_n"], "sample_n")
@@ -249,6 +257,29 @@ def records_of_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(log, ["user_id", "event_type"], ["ts", "event_id"]).filter("event_type = 'click'").select("event_id", "user_id")
 
 
+@query(
+    """SELECT CAST(user_id AS STRING) AS pmid, event_type AS curation_type, CAST(event_id AS STRING) AS md_table FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3 DESC, ts DESC, event_id DESC) = 1 AND event_id % 7 <> 0"""
+)
+def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events appended in three parts to a store that is compacted after the first two; every seventh is a deletion."""
+    from tableweave.plans.materialize import scratch_path
+
+    events = inputs.load(spark, sf_dir, "events")
+    # parts are years apart, and within one a microsecond tells events of one time
+    when = F.timestamp_micros((F.unix_micros(F.col("ts").cast("timestamp")) + F.col("event_id") + (F.col("event_id") % 3) * 10**16).cast("long"))
+    rows = events.select(
+        F.col("user_id").cast("string").alias("pmid"), F.col("event_type").alias("curation_type"), F.col("event_id").cast("string").alias("md_table"), when.alias("modified_time"),
+        (F.col("event_id") % 7 == 0).alias("deleted"), (F.col("event_id") % 3).alias("part"),
+    )
+    kept = store.CurationStore(spark, scratch_path(spark, "curation"))
+    for part in range(3):
+        kept.upsert(rows.filter(F.col("part") == part).drop("part"))
+        if part == 1:
+            kept.compact()
+    return kept.current().select("pmid", "curation_type", "md_table")
+
+
 @query("SELECT role, sum(length(text)) AS total, sum(length(text) // 2) AS prompt, sum(length(text) - length(text) // 2) AS completion FROM conversations GROUP BY role")
 def token_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.char_length(F.coalesce("text", F.lit("")))
@@ -270,6 +301,28 @@ def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.latest(log, ["user_id"], ["ts", "event_id"])
 
 
+@query("SELECT 'events' AS name, count(*) AS rows, CAST(sum(CAST(floor(value) AS BIGINT)) AS BIGINT) AS total FROM events")
+def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a stream of several batches, the rows that a listener counted for them, and what they were worth."""
+    from tableweave.plans.materialize import scratch_path
+    from tableweave.streaming.ingest import ProgressLog, totals
+
+    events = inputs.load(spark, sf_dir, "events")
+    source, sink = scratch_path(spark, "progress-in"), scratch_path(spark, "progress-out")
+    events.select("event_id", "value").repartition(4, "event_id").write.parquet(source)
+    log = ProgressLog(spark, scratch_path(spark, "progress"))
+    spark.streams.addListener(log)
+    try:
+        stream = spark.readStream.schema("event_id long, value double").option("maxFilesPerTrigger", 1).parquet(source)
+        told = stream.writeStream.queryName("events").option("checkpointLocation", scratch_path(spark, "progress-state")).trigger(availableNow=True).format("parquet").start(sink)
+        told.awaitTermination()
+        # listeners are told on a thread of their own
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(60_000)
+    finally:
+        spark.streams.removeListener(log)
+    return totals(log.progress()).select("name", "rows").join(spark.read.parquet(sink).agg(F.sum(F.floor("value").cast("long")).alias("total")))
+
+
 @query(
     """WITH p AS (SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'fixed ' || n_name END AS fix FROM nation)
 SELECT n.n_regionkey AS doc_id, CAST(row_number() OVER (PARTITION BY n.n_regionkey ORDER BY n.n_nationkey) - 1 AS INT) AS row_idx, coalesce(fix, n_name) AS n_name FROM nation n JOIN p USING (n_nationkey)"""

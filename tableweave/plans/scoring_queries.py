@@ -104,3 +104,23 @@ def assembled_drug_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     who = inputs.load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.col("c_mktsegment").alias("Population"))
     patients = positional.replicated(doses.select("doc_id", "row_idx"), who, ["doc_id"])
     return pipelines.assemble("pk_drug_summary", [doses, patients], ["doc_id"])
+
+
+# Names in letters of one length, so that none abbreviates another; each stands for a vector. The target's names are others.
+_LETTERS = "translate(lpad(CAST({x} AS STRING), 4, '0'), '0123456789', 'abcdefghij')"
+_NAMED = """
+SELECT o_custkey AS doc_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS row_idx, CAST(o_orderkey AS STRING) AS value, {name} AS name FROM orders
+"""
+
+
+@query(
+    f"""WITH n AS (SELECT o_custkey AS doc_id, o_orderkey % 500 AS a, (o_orderkey * 7 + o_custkey % 2) % 500 AS b FROM orders),
+s AS (SELECT doc_id, CASE WHEN a = b OR list_cosine_similarity(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) > 0.42 THEN 10 ELSE 0 END AS points FROM n
+  LEFT JOIN embeddings x ON x.vec_id = a LEFT JOIN embeddings y ON y.vec_id = b)
+SELECT doc_id, CAST(count(*) AS INT) AS less_rows, CAST(count(*) AS INT) AS more_rows, CAST(floor(100.0 * sum(points) / (10.0 * count(*))) AS INT) AS score FROM s GROUP BY doc_id"""
+)
+def embedded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = lambda x: inputs.from_sql(spark, sf_dir, _NAMED.format(name=_LETTERS.format(x=x)), "orders")
+    baseline, target = made("o_orderkey % 500"), made("(o_orderkey * 7 + o_custkey % 2) % 500")
+    vectors = inputs.load(spark, sf_dir, "embeddings").select(F.expr(_LETTERS.format(x="vec_id")).alias("text"), F.col("embedding").cast("array<double>").alias("vector"))
+    return evaluate.score_tables_by_vectors(baseline, target, ["doc_id"], ["value"], [("name", False, 1.0)], vectors)
