@@ -83,8 +83,7 @@ def selected_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return T.select_columns(cells, picks, ["doc_id"])
 
 
-@query(
-    f"""WITH {_MATRIX},
+MATRIX_RECORDS = f"""WITH {_MATRIX},
 w AS (SELECT *, CASE WHEN header = 'Group' THEN CASE WHEN value LIKE 'Sub %' THEN 'Subheader' WHEN value = 'Age' THEN 'Characteristic' ELSE 'Exposure' END END AS row_kind FROM base),
 x AS (SELECT *, max(CASE WHEN header = 'Group' THEN value END) OVER r AS own, max(row_kind) OVER r AS k, max(CASE WHEN header = 'P' THEN value END) OVER r AS p,
   max(CASE WHEN row_kind = 'Subheader' THEN lpad(CAST(row_idx AS STRING), 9, '0') || value END) OVER (PARTITION BY doc_id ORDER BY row_idx RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above
@@ -93,7 +92,9 @@ j AS (SELECT *, CASE WHEN above IS NULL THEN own ELSE substr(above, 10) || '; '
 SELECT doc_id, row_idx, col_idx, CASE WHEN k = 'Characteristic' THEN lab ELSE 'N/A' END AS characteristic,
   CASE WHEN header = 'Exposed' THEN CASE WHEN k = 'Exposure' THEN lab || '; ' || header ELSE header END WHEN k = 'Exposure' THEN lab ELSE 'N/A' END AS exposure,
   CASE WHEN header = 'Outcome' THEN header ELSE 'N/A' END AS outcome, value, pv AS p_value FROM j WHERE k <> 'Subheader' AND regexp_matches(value, '[0-9]')"""
-)
+
+
+@query(MATRIX_RECORDS)
 def matrix_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = inputs.matrix_cells(spark, sf_dir)
     header, value = F.col("header"), F.col("value")

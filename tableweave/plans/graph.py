@@ -207,3 +207,27 @@ def pk_individual(cells: DataFrame, answers: DataFrame, keys: list[str]) -> Data
     ]
     clean = pipelines.cleaned_rows(pipeline, _assembled(parts, keys, pipeline), keys)
     return clean.select(*keys, ROW, *[F.col(f"`{c}`") for c in pipelines.OUTPUTS[pipeline]])
+
+
+def pe_study_outcome(cells: DataFrame, answers: DataFrame, keys: list[str], chunk_rows: int = 16) -> DataFrame:
+    """Outcomes of studies: headers and row headers categorized, cells made records with what stands around them, values
+    asked for in chunks of records and put back by chunk and place, cleaned.
+
+    An answer for a chunk (``sub_id`` is its number) that hasn't as many values as the chunk has records is an error.
+    """
+    pipeline = "pe_study_outcome"
+    answers = cut(answers, "graph-answers")
+    told = cut(categorized(cells, answers, keys), "graph-categorized")
+    kinds = answered(answers, keys, "row_categorize", "map<string,map<string,string>>").select(*keys, F.explode("d").alias(HEADER, "m")).select(*keys, HEADER, F.explode("m").alias(VALUE, "kind"))
+    records = reshape.matrix_records(told, keys, F.col("category"), kinds).select(*keys, ROW, COL, F.col("characteristic").alias("Characteristic"), F.col("exposure").alias("Exposure"), F.col("outcome").alias("Outcome"), F.col("p_value").alias("P value"))
+    numbered = positional.chunked(records, keys, [ROW, COL], chunk_rows).withColumnRenamed("chunk", SUB)
+    place = (F.row_number().over(W.partitionBy(*keys, SUB).orderBy(ROW, COL)) - 1).cast("int")
+    numbered = cut(numbered.withColumn("__place", place), "graph-records")
+    sizes = numbered.groupBy(*keys, SUB).agg(F.count(F.lit(1)).alias("n"))
+    values = answered(answers, [*keys, SUB], "param_value", "array<array<string>>").join(sizes, [*keys, SUB])
+    fine = F.when(F.size("d") == F.col("n"), F.col("d")).otherwise(F.raise_error(F.lit("values don't fit their chunk")).cast("array<array<string>>"))
+    columns = ["Parameter value", "Parameter unit", "Parameter statistic", "Variation type", "Variation value", "Interval type", "Lower bound", "Upper bound"]
+    put = positional.exploded(values.withColumn("values", fine), [*keys, SUB], columns).withColumnRenamed(ROW, "__place")
+    wide = numbered.drop(ROW, COL).join(put, [*keys, SUB, "__place"]).withColumn(ROW, (F.col(SUB) * chunk_rows + F.col("__place")).cast("int"))
+    rows = wide.select(*keys, ROW, *[F.coalesce(f"`{c}`", F.lit(MISSING)).alias(c) for c in pipelines.OUTPUTS[pipeline]])
+    return pipelines.cleaned_rows(pipeline, rows, keys).select(*keys, ROW, *[F.col(f"`{c}`") for c in pipelines.OUTPUTS[pipeline]])

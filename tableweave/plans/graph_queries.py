@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tableweave.plans import graph, inputs, pipelines
+from tableweave.operators import positional, reshape
+from tableweave.plans import cell_queries, graph, inputs, pipelines
 from tableweave.plans.catalog import query
 
 # Source cells. Every third table has units, every fourth a second column of P values; every seventh lies on its side.
@@ -161,3 +162,29 @@ SELECT doc_id, row_idx, 'P' || CAST(k AS STRING) AS "Patient ID", 'drug' AS "Dru
 def graph_pk_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells, answers = _individual_tables(spark, sf_dir)
     return graph.pk_individual(cells, answers, _KEYS)
+
+
+def _outcome_answers(cells: DataFrame) -> DataFrame:
+    kind = F.when(F.col("value").startswith("Sub "), "Subheader").when(F.col("value") == "Age", "Characteristic").otherwise("Exposure")
+    heads = cells.filter("header = 'Group'").select("doc_id", "header", "value", kind.alias("kind")).distinct()
+    by_header = F.create_map(*[F.lit(x) for x in ("Group", "Row headers", "Exposed", "Exposure", "Outcome", "Outcome", "P", "P value")])
+    rows = heads.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "kind"))).alias("m"))
+    told = _stacked(rows, {"header_categorize": by_header, "row_categorize": F.create_map(F.lit("Group"), F.col("m"))})
+    # what a reader of the records would answer: each value with a unit that says which cell it was
+    column_kind = F.when(F.col("header") == "Group", "Row headers").when(F.col("header") == "P", "P value").when(F.col("header") == "Exposed", "Exposure").when(F.col("header") == "Outcome", "Outcome")
+    records = positional.chunked(reshape.matrix_records(cells, _KEYS, column_kind, heads), _KEYS, ["row_idx", "col_idx"], 16)
+    unit = F.concat(F.lit("u"), F.col("row_idx").cast("string"), F.lit("-"), F.col("col_idx").cast("string"))
+    value = _texts(F.col("value"), unit, "Mean", "SD", "N/A", "IQR", "N/A", "N/A")
+    chunks = records.groupBy("doc_id", F.col("chunk").alias("sub_id")).agg(_listed(F.struct("row_idx", "col_idx"), value).alias("v"))
+    return told.unionByName(chunks.select("doc_id", F.lit("param_value").alias("step"), "sub_id", F.to_json("v").alias("payload")))
+
+
+@query(
+    f"""WITH r AS ({cell_queries.MATRIX_RECORDS})
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY row_idx, col_idx) - 1 AS INT) AS row_idx, characteristic AS "Characteristic", exposure AS "Exposure", outcome AS "Outcome",
+  'u' || CAST(row_idx AS STRING) || '-' || CAST(col_idx AS STRING) AS "Parameter unit", 'Mean' AS "Parameter statistic", value AS "Parameter value", 'N/A' AS "Variation type", 'N/A' AS "Variation value",
+  'N/A' AS "Interval type", 'N/A' AS "Lower bound", 'N/A' AS "Upper bound", coalesce(p_value, 'N/A') AS "P value" FROM r"""
+)
+def graph_pe_study_outcome(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = inputs.matrix_cells(spark, sf_dir)
+    return graph.pe_study_outcome(cells, _outcome_answers(cells), _KEYS)
