@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableweave.operators import cleanup
@@ -85,12 +85,32 @@ _SUMMARY = cleanup.Names(
 
 
 def assembled_rows(pipeline: str, decisions: DataFrame, keys: list[str]) -> DataFrame:
-    """A pipeline's rows from recorded answers: lists of rows side by side, lookups at the rows of the first list."""
+    """A pipeline's rows from recorded answers (one a step): lists of rows side by side, lookups at the rows of the first list.
+
+    One pass over the answers: a table's come together in one row by partial maxima, lists are put side by side as arrays,
+    and matches look up places of an array. There is no join; what was matched and isn't there is ERROR, what is missing N/A.
+    """
     direct, lookups = STEPS[pipeline]
-    parts = [decided_table(decisions, keys, step, columns) for step, columns in direct.items()]
-    for step, (match, columns) in lookups.items():
-        parts.append(matched(decisions, decided_table(decisions, keys, step, columns), keys, match, columns, parts[0]))
-    return assemble(pipeline, parts, keys)
+    steps = [*direct, *lookups, *[match for match, _ in lookups.values()]]
+    packed = decisions.filter(F.col("step").isin(steps)).groupBy(*keys).agg(*[F.max(F.when(F.col("step") == s, F.col("payload"))).alias(f"__{s}") for s in steps])
+    rows, none = "array<array<string>>", F.array().cast("array<array<string>>")
+    listed = lambda s: F.coalesce(F.from_json(f"__{s}", rows), none)
+    told = packed.select(*keys, *[listed(s).alias(s) for s in (*direct, *lookups)], *[F.from_json(f"__{m}", "array<int>").alias(m) for m, _ in lookups.values()])
+    first, parts = next(iter(direct)), {s: (F.col(s), columns) for s, columns in direct.items()}
+
+    def looked_up(lookup: str, match: str, width: int) -> Column:
+        return F.transform(match, lambda k: F.coalesce(F.get(lookup, k), F.array_repeat(F.lit(cleanup.ERROR), width)))
+
+    for s, (match, columns) in lookups.items():
+        many = F.coalesce(looked_up(s, match, len(columns)), none)
+        parts[s] = F.when(F.size(s) == 1, F.array_repeat(F.get(s, F.lit(0)), F.size(first))).when(F.size(s) > 1, many).otherwise(none), columns
+
+    def row(x: Column, place: Column) -> Column:
+        cells = {c: F.when(F.size(x[s]) == len(columns), F.get(x[s], F.lit(k))) for s, (_, columns) in parts.items() for k, c in enumerate(columns)}
+        return F.struct(place.alias(ROW), *[F.coalesce(cells[c], F.lit(MISSING)).alias(c) if c in cells else F.lit(MISSING).alias(c) for c in OUTPUTS[pipeline]])
+
+    # cells are made within the generator, so that rules on them don't hold these expressions again and again
+    return told.select(*keys, F.inline(F.transform(F.arrays_zip(*[p.alias(s) for s, (p, _) in parts.items()]), row)))
 
 
 def cleaned_rows(pipeline: str, rows: DataFrame, keys: list[str]) -> DataFrame:
