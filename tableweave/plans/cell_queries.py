@@ -38,11 +38,13 @@ def transposed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH lines AS (SELECT n_regionkey AS doc_id, n_nationkey AS col_idx, unnest([0, 1]) AS line, unnest([upper(substr(n_name, 1, 3)), CASE WHEN n_nationkey % 2 = 0 THEN upper(substr(n_name, 1, 3)) ELSE CAST(n_nationkey AS STRING) END]) AS value FROM nation)
+    inputs.over_orders(
+        """WITH lines AS (SELECT n_regionkey AS doc_id, n_nationkey AS col_idx, unnest([0, 1]) AS line, unnest([upper(substr(n_name, 1, 3)), CASE WHEN n_nationkey % 2 = 0 THEN upper(substr(n_name, 1, 3)) ELSE CAST(n_nationkey AS STRING) END]) AS value FROM nation)
 SELECT doc_id, col_idx, CASE WHEN count(DISTINCT value) = 1 THEN min(value) ELSE string_agg(value, '.' ORDER BY line) END AS header FROM lines GROUP BY doc_id, col_idx"""
+    )
 )
 def stacked_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = inputs.load(spark, sf_dir, "nation")
+    nation = inputs.nation(spark, sf_dir)
     top = F.upper(F.substring("n_name", 1, 3))
     second = F.when(F.col("n_nationkey") % 2 == 0, top).otherwise(F.col("n_nationkey").cast("string"))
     lines = nation.select(F.col("n_regionkey").alias("doc_id"), F.col("n_nationkey").alias("col_idx"), F.posexplode(F.array(top, second)).alias("line", "value"))
@@ -110,31 +112,37 @@ def numeric_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH r AS (SELECT n_regionkey AS doc_id, n_nationkey, '| ' || n_name || ' | ' || CAST(n_nationkey AS STRING) || ' |' AS line FROM nation)
+    inputs.over_orders(
+        """WITH r AS (SELECT n_regionkey AS doc_id, n_nationkey, '| ' || n_name || ' | ' || CAST(n_nationkey AS STRING) || ' |' AS line FROM nation)
 SELECT doc_id, '| n_name | n_nationkey |' || chr(10) || '| --- | --- |' || chr(10) || string_agg(line, chr(10) ORDER BY n_nationkey) AS markdown FROM r GROUP BY doc_id"""
+    )
 )
 def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.to_markdown(_nations(spark, sf_dir), ["doc_id"])
 
 
 @query(
-    """WITH r AS (SELECT n_regionkey AS doc_id, n_name, n_nationkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS row_idx FROM nation)
+    inputs.over_orders(
+        """WITH r AS (SELECT n_regionkey AS doc_id, n_name, n_nationkey, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS INT) AS row_idx FROM nation)
 SELECT doc_id, row_idx, 0 AS col_idx, 'n_name' AS header, n_name AS value FROM r UNION ALL SELECT doc_id, row_idx, 1, 'n_nationkey', CAST(n_nationkey AS STRING) FROM r"""
+    )
 )
 def markdown_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.from_markdown(markdown_tables(spark, sf_dir), ["doc_id"])
 
 
 @query(
-    """WITH r AS (SELECT n_regionkey AS doc_id, n_nationkey, 'row ' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS STRING) || ': | ' || n_name || ' | ' || CAST(n_nationkey AS STRING) || ' |' AS line FROM nation)
+    inputs.over_orders(
+        """WITH r AS (SELECT n_regionkey AS doc_id, n_nationkey, 'row ' || CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) - 1 AS STRING) || ': | ' || n_name || ' | ' || CAST(n_nationkey AS STRING) || ' |' AS line FROM nation)
 SELECT doc_id, 'col: | n_name | n_nationkey |' || chr(10) || string_agg(line, chr(10) ORDER BY n_nationkey) AS display FROM r GROUP BY doc_id"""
+    )
 )
 def labelled_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codecs.labelled_rows(_nations(spark, sf_dir), ["doc_id"])
 
 
 def _nations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = inputs.load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), "n_name", "n_nationkey")
+    nation = inputs.nation(spark, sf_dir).select(F.col("n_regionkey").alias("doc_id"), "n_name", "n_nationkey")
     return T.to_cells(nation, ["doc_id"], ["n_nationkey"], ["n_name", "n_nationkey"])
 
 
@@ -150,20 +158,22 @@ def positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH look AS (SELECT n_regionkey AS doc_id, n_name, {_NUMBERED.format(k='n_regionkey', o='n_nationkey')} FROM nation),
+    inputs.over_orders(
+        f"""WITH look AS (SELECT n_regionkey AS doc_id, n_name, {_NUMBERED.format(k='n_regionkey', o='n_nationkey')} FROM nation),
 m AS (SELECT r_regionkey AS doc_id, unnest([1, 0, 99, 2]) AS row_idx, unnest([0, 1, 2, 3]) AS n FROM region)
 SELECT m.doc_id, n AS row_idx, coalesce(n_name, 'ERROR') AS n_name FROM m LEFT JOIN look USING (doc_id, row_idx)"""
+    )
 )
 def index_gather(spark: SparkSession, sf_dir: str) -> DataFrame:
-    look = positional.numbered(inputs.load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), "n_name", "n_nationkey"), ["doc_id"], ["n_nationkey"])
-    matches = inputs.load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), F.array(*[F.lit(k) for k in (1, 0, 99, 2)]).alias("match"))
+    look = positional.numbered(inputs.nation(spark, sf_dir).select(F.col("n_regionkey").alias("doc_id"), "n_name", "n_nationkey"), ["doc_id"], ["n_nationkey"])
+    matches = inputs.region(spark, sf_dir).select(F.col("r_regionkey").alias("doc_id"), F.array(*[F.lit(k) for k in (1, 0, 99, 2)]).alias("match"))
     return positional.gathered(matches, look, ["doc_id"], ["n_name"])
 
 
-@query("SELECT n_regionkey AS doc_id, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey")
+@query(inputs.over_orders("SELECT n_regionkey AS doc_id, n_name, r_name FROM nation JOIN region ON n_regionkey = r_regionkey"))
 def replicated_row(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation = inputs.load(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("doc_id"), "n_name")
-    region = inputs.load(spark, sf_dir, "region").select(F.col("r_regionkey").alias("doc_id"), "r_name", F.lit(0).alias("row_idx"))
+    nation = inputs.nation(spark, sf_dir).select(F.col("n_regionkey").alias("doc_id"), "n_name")
+    region = inputs.region(spark, sf_dir).select(F.col("r_regionkey").alias("doc_id"), "r_name", F.lit(0).alias("row_idx"))
     return positional.replicated(nation, region, ["doc_id"])
 
 
@@ -242,11 +252,13 @@ def joined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH a AS (SELECT n_regionkey AS doc_id, {_NUMBERED.format(k='n_regionkey', o='n_nationkey')}, n_name AS a FROM nation),
+    inputs.over_orders(
+        f"""WITH a AS (SELECT n_regionkey AS doc_id, {_NUMBERED.format(k='n_regionkey', o='n_nationkey')}, n_name AS a FROM nation),
 b AS (SELECT n_regionkey AS doc_id, {_NUMBERED.format(k='n_regionkey', o='n_nationkey')}, CASE WHEN n_nationkey % 6 = 0 THEN 'other' ELSE n_name END AS b FROM nation)
 SELECT doc_id, count(*) FILTER (WHERE a IS DISTINCT FROM b) AS mismatches FROM a FULL JOIN b USING (doc_id, row_idx) GROUP BY doc_id"""
+    )
 )
 def key_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = positional.numbered(inputs.load(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "doc_id"), ["doc_id"], ["n_nationkey"])
+    rows = positional.numbered(inputs.nation(spark, sf_dir).withColumnRenamed("n_regionkey", "doc_id"), ["doc_id"], ["n_nationkey"])
     other = rows.withColumn("n_name", F.when(F.col("n_nationkey") % 6 == 0, "other").otherwise(F.concat(F.lit('"'), "n_name", F.lit('"'))))
     return positional.key_mismatches(other, rows, ["doc_id"], "n_name")

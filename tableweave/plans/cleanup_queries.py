@@ -324,10 +324,12 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
+    inputs.over_orders(
     """WITH p AS (SELECT n_regionkey, n_nationkey, CASE WHEN n_nationkey % 4 = 0 THEN 'fixed ' || n_name END AS fix FROM nation)
 SELECT n.n_regionkey AS doc_id, CAST(row_number() OVER (PARTITION BY n.n_regionkey ORDER BY n.n_nationkey) - 1 AS INT) AS row_idx, coalesce(fix, n_name) AS n_name FROM nation n JOIN p USING (n_nationkey)"""
+    )
 )
 def patched_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = positional.numbered(inputs.load(spark, sf_dir, "nation").withColumnRenamed("n_regionkey", "doc_id"), ["doc_id"], ["n_nationkey"])
+    rows = positional.numbered(inputs.nation(spark, sf_dir).withColumnRenamed("n_regionkey", "doc_id"), ["doc_id"], ["n_nationkey"])
     fixes = rows.filter("n_nationkey % 4 = 0").select("doc_id", "row_idx", F.lit("n_name").alias("column"), F.concat(F.lit("fixed "), "n_name").alias("new_value"))
     return positional.patched(rows, fixes, ["doc_id"], ["n_name"]).select("doc_id", "row_idx", "n_name")

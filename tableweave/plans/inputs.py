@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 # One table of parameter rows for each order, with missing values, errors, ranges and repeats by the keys' remainders.
@@ -35,13 +37,17 @@ FROM orders
 """
 INDIVIDUAL_COLUMNS = ["patient_id", "parameter_type", "parameter_value", "parameter_unit", "time_value", "time_unit"]
 
-# Nations as small tables by region: three columns, one without a header, one repeated header.
-NATION_CELLS = """
+# Small tables of orders by customer, a third of all orders in one table; and what the customers are called.
+NATION = """(SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS n_regionkey, o_orderkey AS n_nationkey,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'even ' ELSE 'odd ' END || CAST(o_orderkey AS STRING) AS n_name FROM orders)"""
+REGION = "(SELECT c_custkey AS r_regionkey, c_name AS r_name FROM customer)"
+# The tables' cells: three columns, one without a header, one repeated header.
+NATION_CELLS = f"""
 SELECT n_regionkey AS doc_id, r - 1 AS row_idx, c AS col_idx,
   CASE c WHEN 0 THEN 'name' WHEN 1 THEN '' WHEN 2 THEN 'key' WHEN 3 THEN 'key' ELSE '' END AS header,
   CASE c WHEN 0 THEN n_name WHEN 1 THEN CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'k' || CAST(n_nationkey AS STRING) END
     WHEN 2 THEN CAST(n_nationkey AS STRING) WHEN 3 THEN CAST(n_regionkey AS STRING) ELSE ' ' END AS value
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS r FROM nation) n
+FROM (SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS r FROM {NATION} t) n
 CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k
 """
 
@@ -77,8 +83,22 @@ def individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return from_sql(spark, sf_dir, INDIVIDUAL, "orders")
 
 
+def over_orders(sql: str) -> str:
+    """SQL over ``nation`` and ``region`` as SQL over the tables that stand for them."""
+    own = {"nation": NATION, "region": REGION}
+    return re.sub(r"(FROM|JOIN) (nation|region)\b( n\b)?", lambda m: f"{m[1]} {own[m[2]]} {'n' if m[3] else m[2]}", sql)
+
+
+def nation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_sql(spark, sf_dir, f"SELECT * FROM {NATION}", "orders")
+
+
+def region(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return from_sql(spark, sf_dir, f"SELECT * FROM {REGION}", "customer")
+
+
 def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, NATION_CELLS, "nation")
+    return from_sql(spark, sf_dir, NATION_CELLS, "orders")
 
 
 def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:

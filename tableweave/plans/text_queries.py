@@ -62,15 +62,17 @@ def judge_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inputs.load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", S.judge_score(text).alias("score"))
 
 
+# Names of parts, and what may stand for them: initials, a shortening, another word, the name itself, nothing.
+_SHORT = """CASE p_partkey % 5 WHEN 0 THEN substr(p_name, 1, 1) || substr(p_name, 5, 3) WHEN 1 THEN upper(substr(p_name, 1, 3)) || '.' WHEN 2 THEN p_type WHEN 3 THEN ' ' || p_name ELSE '' END"""
+
+
 @query(
-    """WITH p AS (SELECT n_nationkey, r_regionkey, lower(trim(n_name)) AS a, lower(trim(substr(r_name, 1, 3))) AS b FROM nation, region),
+    f"""WITH p AS (SELECT p_partkey, lower(trim(p_name)) AS a, lower(trim({_SHORT})) AS b FROM part),
 s AS (SELECT *, CASE WHEN length(a) >= length(b) THEN b ELSE a END AS short, CASE WHEN length(a) >= length(b) THEN a ELSE b END AS long FROM p)
-SELECT n_nationkey, r_regionkey, regexp_matches(long, regexp_replace(regexp_replace(short, '[^a-z]', '', 'g'), '([a-z])', '\\1.*?', 'g')) AS alike FROM s"""
+SELECT p_partkey, short <> '' AND regexp_matches(short, '[a-z]') AND regexp_matches(long, regexp_replace(regexp_replace(short, '[^a-z]', '', 'g'), '([a-z])', '\\1.*?', 'g')) AS alike FROM s"""
 )
 def abbreviations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # 25 rows by 5 rows at every scale
-    pairs = inputs.load(spark, sf_dir, "nation").crossJoin(F.broadcast(inputs.load(spark, sf_dir, "region")))
-    return pairs.select("n_nationkey", "r_regionkey", M.is_abbreviation(F.col("n_name"), F.substring("r_name", 1, 3)).alias("alike"))
+    return inputs.load(spark, sf_dir, "part").select("p_partkey", M.is_abbreviation(F.col("p_name"), F.expr(_SHORT)).alias("alike"))
 
 
 @query(
