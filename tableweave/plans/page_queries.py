@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableweave.functions import scalars as S
-from tableweave.operators import codecs
+from tableweave.operators import cells, codecs, spans
 from tableweave.plans import inputs
 from tableweave.plans.catalog import query
 from tableweave.sources import html_tables
@@ -87,3 +87,42 @@ def csv_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.concat(F.lit("name,note\n"), "o_orderpriority", F.when(F.col("o_orderkey") % 3 == 1, F.lit(',"a, b"')).otherwise(F.lit(',"a, b"')), F.when(F.col("o_orderkey") % 3 == 2, extra).otherwise(""))
     told = codecs.from_csv_texts(inputs.load(spark, sf_dir, "orders").select("o_orderkey", text.alias("csv")), ["o_orderkey"])
     return told.select("o_orderkey", "valid", F.array_join("headers", "|").alias("headers"), F.array_join(F.get("rows", F.lit(0)), "|").alias("first"))
+
+
+# A table for each customer, a line for each order: in each three lines one cell is two columns wide and three lines high, in
+# the middle of the line. The last of these may reach below the table.
+_SPANNED = """
+SELECT o_custkey AS doc_id, '<table><tr><th>a</th><th colspan="2">b</th><th>c</th></tr>' || {joined} || '</table>' AS html FROM (
+  SELECT o_custkey, o_orderkey, '<tr><td>a' || CAST(o_orderkey AS STRING) || '</td>' || CASE WHEN (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1) % 3 = 0
+    THEN '<td colspan=2 rowspan=3>b' || CAST(o_orderkey AS STRING) || '</td>' ELSE '' END || '<td>c' || CAST(o_orderkey AS STRING) || '</td></tr>' AS line FROM orders) l
+GROUP BY o_custkey
+"""
+_SPANNED_ROWS = """
+WITH o AS (SELECT o_custkey AS doc_id, o_orderkey AS k, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS INT) AS r, CAST(count(*) OVER (PARTITION BY o_custkey) AS INT) AS n FROM orders),
+b AS (SELECT o.doc_id, o.r, o.n, o.k, f.k AS first FROM o JOIN o f ON f.doc_id = o.doc_id AND f.r = o.r - o.r % 3),
+g AS (SELECT doc_id, r, c, CASE c WHEN 0 THEN 'a' || k WHEN 3 THEN 'c' || k ELSE 'b' || first END AS value FROM b CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS c)
+  UNION ALL SELECT doc_id, n + x, c, 'b' || first FROM (SELECT * FROM b WHERE r = n - 1) CROSS JOIN (SELECT unnest([0, 1]) AS c) CROSS JOIN (SELECT unnest([0, 1]) AS x) WHERE x < (3 - n % 3) % 3)
+"""
+
+
+def _spanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.from_sql(spark, sf_dir, _SPANNED.format(joined="array_join(transform(sort_array(collect_list(struct(o_orderkey, line))), x -> x.line), '')"), "orders")
+
+
+@query(
+    _SPANNED_ROWS + """SELECT doc_id, 0 AS table_id, r + 1 AS row_idx, c AS col_idx, value FROM g
+UNION ALL SELECT DISTINCT doc_id, 0, 0, c, CASE c WHEN 0 THEN 'a' WHEN 3 THEN 'c' ELSE 'b' END FROM o CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS c)"""
+)
+def expanded_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.expanded_spans(html_tables.span_cells(_spanned(spark, sf_dir), ["doc_id"]), ["doc_id", "table_id"])
+
+
+# The same with headers apart and told from each other, and short lines padded.
+@query(
+    _SPANNED_ROWS + """, p AS (SELECT doc_id, m, CAST(unnest(range(0, m)) AS INT) AS row_idx FROM (SELECT doc_id, max(r) + 1 AS m FROM g GROUP BY doc_id))
+SELECT p.doc_id, 0 AS table_id, row_idx, h.c AS col_idx, CASE h.c WHEN 0 THEN 'a' WHEN 3 THEN 'c' ELSE 'b_' || CAST(h.c - 1 AS STRING) END AS header, coalesce(value, '') AS value
+FROM p CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS c) h LEFT JOIN g ON g.doc_id = p.doc_id AND g.r = row_idx AND g.c = h.c"""
+)
+def spanned_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = ["doc_id", "table_id"]
+    return cells.repair_headers(spans.table_cells(html_tables.span_cells(_spanned(spark, sf_dir), ["doc_id"]), keys), keys)

@@ -280,6 +280,33 @@ def page_tables(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.select(*keys, F.posexplode("tables").alias("table_id", "t")).select(*keys, "table_id", "t.*")
 
 
+SPANS = "table_id int, row_idx int, nth int, wide int, high int, head boolean, text string"
+
+
+def written_cells(html: str | None) -> Iterator[tuple[int, int, int, int, int, bool, str]]:
+    """The cells of a page's tables as they are written, with what they span; tables of tables are left out."""
+    tables = [t for t in tree_of(html).all("table") if not t.all("table")]
+    for n, table in enumerate(tables):
+        for r, line in enumerate(table.all("tr")):
+            cells = [c for c in line.children if isinstance(c, Node) and c.tag in ("td", "th")]
+            for k, c in enumerate(cells):
+                yield n, r, k, _span(c, "colspan"), _span(c, "rowspan"), c.tag == "th", " ".join(c.text(" ").split())
+            if not cells:
+                yield n, r, -1, 0, 1, False, ""
+
+
+def span_cells(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
+    """``keys, table_id, row_idx, nth, wide, high, head, text`` of every table cell of pages; ``operators.spans`` does the rest."""
+    kinds = ", ".join(f"`{k}` {pages.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = [(*own, *cell) for *own, page in x[[*keys, "__html"]].itertuples(index=False) for cell in written_cells(page)]
+            yield pd.DataFrame(rows, columns=[*keys, *(c.split()[0] for c in SPANS.split(", "))])
+
+    return pages.select(*keys, plain_spaces(F.col(html_col)).alias("__html")).mapInPandas(run, f"{kinds}, {SPANS}")
+
+
 def titles_and_texts(pages: DataFrame, keys: list[str], html_col: str = "html") -> DataFrame:
     """``keys, title, full_text`` alone, for callers that need no tables."""
     return parse_pages(pages, keys, html_col).select(*keys, "title", "full_text")
