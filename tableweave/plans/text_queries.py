@@ -97,17 +97,47 @@ def same_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(other, "doc_id").select("doc_id", F.col("v").eqNullSafe(F.col("w")).alias("alike"))
 
 
-@query()
+# Character references that the pages have, in the order in which they are decoded.
+_DECODED = "t"
+for _name, _char in (("copy", "©"), ("middot", "·"), ("quot", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+    _DECODED = f"regexp_replace({_DECODED}, '&{_name};', '{_char}', 'g')"
+_STRIPPED = "regexp_replace({x}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')"
+
+
+@query(
+    f"""WITH h AS (SELECT page_id, regexp_replace(regexp_replace(translate(html, chr(8201) || chr(160), '  '), '(?s)<script[^>]*>.*?</script>', '', 'g'), '(?s)<style[^>]*>.*?</style>', '', 'g') AS h FROM pages),
+s AS (SELECT page_id, string_split_regex(h, '(?s)<!--.*?-->|<[/!]?[a-zA-Z][^>]*>') AS parts, regexp_extract(h, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS head FROM h)
+SELECT page_id, {_STRIPPED.format(x=_DECODED.replace("(t, ", "(head, "))} AS title,
+  array_to_string(list_filter(list_transform(parts, lambda t: {_STRIPPED.format(x=_DECODED)}), lambda t: t <> ''), chr(10)) AS full_text FROM s"""
+)
 def page_titles_and_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_tables.titles_and_texts(inputs.load(spark, sf_dir, "pages"), ["page_id"])
 
 
-@query()
+# The pages' own text, with a section and a table at the end of each article.
+_SECTIONED = """
+SELECT page_id, replace(html, '</article>', '<h2>Results of ' || CAST(page_id AS STRING) || '</h2><p>From &amp; to ' || url || '</p><div class="box"><p class="caption">Table of ' || CAST(page_id AS STRING)
+  || '</p><table><tr><th>Page</th><th colspan="2">Size</th></tr><tr><td>' || CAST(page_id AS STRING) || '</td><td>' || CAST(length(url) AS STRING) || '</td><td>x</td></tr></table></div></article>') AS html FROM pages
+"""
+
+
+def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.from_sql(spark, sf_dir, _SECTIONED, "pages")
+
+
+@query(
+    """SELECT page_id, 0 AS section_id, 'Results of ' || CAST(page_id AS STRING) AS section, 'From & to ' || url || chr(10) || 'Table of ' || CAST(page_id AS STRING) || chr(10) || '| Page | Size | Size |' || chr(10) || '| --- | --- | --- |' || chr(10)
+  || '| ' || CAST(page_id AS STRING) || ' | ' || CAST(length(url) AS STRING) || ' | x |' AS content FROM pages WHERE contains(html, '</article>')"""
+)
 def page_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = html_tables.parse_pages(inputs.load(spark, sf_dir, "pages"), ["page_id"])
+    parsed = html_tables.parse_pages(_sectioned(spark, sf_dir), ["page_id"])
     return parsed.select("page_id", F.posexplode("sections").alias("section_id", "s")).select("page_id", "section_id", "s.section", "s.content")
 
 
-@query()
+@query(
+    """SELECT page_id, 0 AS table_id, 'Table of ' || CAST(page_id AS STRING) AS caption, '' AS footnote, 'Page|Size|Size' AS headers, CAST(page_id AS STRING) || '|' || CAST(length(url) AS STRING) || '|x' AS rows
+FROM pages WHERE contains(html, '</article>')"""
+)
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_tables.page_tables(html_tables.parse_pages(inputs.load(spark, sf_dir, "pages"), ["page_id"]), ["page_id"])
+    found = html_tables.page_tables(html_tables.parse_pages(_sectioned(spark, sf_dir), ["page_id"]), ["page_id"])
+    return found.select("page_id", "table_id", "caption", "footnote", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"))
