@@ -88,17 +88,17 @@ def looked_up_similarities(baseline: DataFrame, target: DataFrame, keys: list[st
     vectors are left out. Both tables of a key are small; their number isn't.
     """
 
-    def texts(df: DataFrame) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(c).alias("column"), _cell_text(F.col(f"`{c}`")).alias("text")) for c in columns])
-        return df.select(*keys, F.inline(cells)).filter("text <> ''").distinct()
+    def texts(df: DataFrame, name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(c).alias("__column"), _cell_text(F.col(f"`{c}`")).alias(name)) for c in columns])
+        return df.select(*keys, F.inline(cells)).filter(F.col(name) != "").distinct()
 
-    both = texts(baseline).withColumnRenamed("text", "a").join(texts(target).withColumnRenamed("text", "b"), [*keys, "column"])
-    met = cut(both.filter("a <> b").select(*keys, F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-met")
+    both = texts(baseline, "__x").join(texts(target, "__y"), [*keys, "__column"])
+    met = cut(both.filter("__x <> __y").select(*keys, F.least("__x", "__y").alias("__a"), F.greatest("__x", "__y").alias("__b")).distinct(), "similar-met")
     known = cut(vectors.select(_cell_text(F.col("text")).alias("text"), "vector").groupBy("text").agg(F.min("vector").alias("vector")), "similar-vectors")
     side = lambda name: known.select(F.col("text").alias(name), F.col("vector").alias(f"v{name}"))
-    rated = met.select("a", "b").distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", cosine(F.col("va"), F.col("vb")).alias("s"))
-    told = met.join(rated.filter("s IS NOT NULL"), ["a", "b"])
-    return told.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(_pair(F.col("a"), F.col("b")), "s"))).alias(SIMILARITIES))
+    rated = met.select("__a", "__b").distinct().join(side("__a"), "__a").join(side("__b"), "__b").select("__a", "__b", cosine(F.col("v__a"), F.col("v__b")).alias("__s"))
+    told = met.join(rated.filter("__s IS NOT NULL"), ["__a", "__b"])
+    return told.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(_pair(F.col("__a"), F.col("__b")), "__s"))).alias(SIMILARITIES))
 
 
 def by_lookup(a: Column, b: Column) -> Column:
@@ -119,14 +119,14 @@ def _counterparts(
 ) -> DataFrame:
     """``keys, less_rows, more_rows, pairs`` of every baseline: each row of the shorter table and its counterpart, or null."""
     columns = list(dict.fromkeys([*anchors, *[c for c, _, _ in rated]]))
-    pack = lambda df: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, *columns))).alias("rows"))
-    packed = pack(baseline).withColumnRenamed("rows", "b")
-    both = packed.join(pack(target).withColumnRenamed("rows", "t"), keys, "left")
-    t = F.coalesce("t", F.array().cast(packed.schema["b"].dataType))
-    short = F.size("b") <= F.size(t)
+    pack = lambda df: df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, *columns))).alias("__rows"))
+    packed = pack(baseline).withColumnRenamed("__rows", "__b")
+    both = packed.join(pack(target).withColumnRenamed("__rows", "__t"), keys, "left")
+    t = F.coalesce("__t", F.array().cast(packed.schema["__b"].dataType))
+    short = F.size("__b") <= F.size(t)
     carried = [] if similar is None else [SIMILARITIES]
     both = both if similar is None else both.join(similar, keys, "left")
-    sides = both.select(*keys, *carried, F.when(short, F.col("b")).otherwise(t).alias("less"), F.when(short, t).otherwise(F.col("b")).alias("more"))
+    sides = both.select(*keys, *carried, F.when(short, F.col("__b")).otherwise(t).alias("less"), F.when(short, t).otherwise(F.col("__b")).alias("more"))
     mate = lambda row: F.get("more", best_anchor_match(row, F.col("more"), anchors, similarity))
     return sides.select(*keys, *carried, F.size("less").alias("less_rows"), F.size("more").alias("more_rows"), F.transform("less", lambda row: F.struct(row.alias("row"), mate(row).alias("mate"))).alias("pairs"))
 

@@ -17,6 +17,14 @@ def numbered(df: DataFrame, keys: list[str], order: list[str | Column], name: st
     return df.withColumn(name, (F.row_number().over(W.partitionBy(*keys).orderBy(*order)) - 1).cast("int"))
 
 
+def number_column(df: DataFrame, keys: list[str], order: list[str | Column], known_first: str, name: str = "no") -> DataFrame:
+    """A first column of row numbers from 0, called ``name``: put before a table that begins with the column it is known to
+    begin with, whatever its case; else in the place of the column that it begins with."""
+    own = [c for c in df.columns if c not in keys]
+    rest = own if own and own[0].lower() == known_first.lower() else own[1:]
+    return numbered(df, keys, order, "__n").select(*keys, F.col("__n").alias(name), *[F.col(f"`{c}`") for c in rest])
+
+
 def zipped(tables: list[DataFrame], keys: list[str]) -> DataFrame:
     """Tables of ``keys, row_idx, ...`` side by side; where one is shorter its columns are null.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tableweave.operators import cells as T
-from tableweave.operators import codecs, positional, reshape
+from tableweave.operators import codecs, positional, reshape, sequence
 from tableweave.plans import inputs
 from tableweave.plans.catalog import query
 
@@ -228,27 +228,25 @@ def match_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT conv_id, turn, text FROM conversations QUALIFY text IS DISTINCT FROM lag(text) OVER (PARTITION BY conv_id ORDER BY turn, role)")
 def adjacent_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
-
-    before = F.lag("text").over(W.partitionBy("conv_id").orderBy("turn", "role"))
-    df = inputs.load(spark, sf_dir, "conversations").withColumn("__before", before)
-    return df.filter(~F.col("text").eqNullSafe(F.col("__before"))).select("conv_id", "turn", "text")
+    return sequence.adjacent_distinct(inputs.load(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role"], ["text"]).select("conv_id", "turn", "text")
 
 
 @query("SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn, role ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS heading FROM conversations")
 def carried_heading(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql.window import Window as W
+    heading = F.when(F.col("role") == "user", F.col("turn"))
+    return sequence.carried(inputs.load(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role"], heading, "heading").select("conv_id", "turn", "heading")
+
 
-    w = W.partitionBy("conv_id").orderBy("turn", "role").rowsBetween(W.unboundedPreceding, 0)
-    return inputs.load(spark, sf_dir, "conversations").select("conv_id", "turn", F.last(F.when(F.col("role") == "user", F.col("turn")), ignorenulls=True).over(w).alias("heading"))
+@query("SELECT conv_id, turn, role, lag(role) OVER (PARTITION BY conv_id ORDER BY turn, role) AS before FROM conversations")
+def previous_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sequence.with_previous(inputs.load(spark, sf_dir, "conversations"), ["conv_id"], ["turn", "role"], "role", "before").select("conv_id", "turn", "role", "before")
 
 
 @query("SELECT conv_id, string_agg(role, ', ' ORDER BY turn, role) AS roles, string_agg(DISTINCT role, ',' ORDER BY role) AS kinds FROM conversations GROUP BY conv_id")
 def joined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = F.sort_array(F.collect_list(F.struct("turn", "role")))
-    df = inputs.load(spark, sf_dir, "conversations").groupBy("conv_id").agg(packed.alias("p"))
-    roles = F.transform("p", lambda x: x["role"])
-    return df.select("conv_id", F.array_join(roles, ", ").alias("roles"), F.array_join(F.sort_array(F.array_distinct(roles)), ",").alias("kinds"))
+    df = inputs.load(spark, sf_dir, "conversations")
+    roles = sequence.joined(df, ["conv_id"], ["turn", "role"], "role", "roles")
+    return roles.join(sequence.joined(df, ["conv_id"], ["role"], "role", "kinds", ",", distinct=True), "conv_id")
 
 
 @query(

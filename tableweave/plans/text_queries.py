@@ -141,3 +141,15 @@ FROM pages WHERE contains(html, '</article>')"""
 def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = html_tables.page_tables(html_tables.parse_pages(_sectioned(spark, sf_dir), ["page_id"]), ["page_id"])
     return found.select("page_id", "table_id", "caption", "footnote", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"))
+
+
+@query(
+    """SELECT page_id, 'Intro' || chr(10) || 'On page' || chr(10) || CAST(page_id AS STRING) || chr(10) || 'End' || chr(10) || chr(10) AS text FROM pages"""
+)
+def section_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections as texts: without a table in the first, and without the references in the last."""
+    page = F.col("page_id").cast("string")
+    section = lambda name, content: F.struct(F.lit(name).alias("section"), content.alias("content"))
+    first = F.concat(F.lit("<p>On page <b>"), page, F.lit("</b></p><table><tr><td>1</td></tr></table>"))
+    told = inputs.load(spark, sf_dir, "pages").select("page_id", F.array(section("Intro", first), section("End", F.lit("")), section("References", F.col("url"))).alias("sections"))
+    return html_tables.texts_of_sections(told, ["page_id"])

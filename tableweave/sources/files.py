@@ -86,3 +86,16 @@ def append_scores(scores: DataFrame, path: str) -> None:
 def rewritten_copy(spark: SparkSession, source: str, target: str, transform) -> None:
     """A normalised copy of a CSV table at another place; the original stays as it is."""
     read_csv(spark, source).transform(transform).write.mode("overwrite").option("header", True).csv(target)
+
+
+def write_markdown_as_csv(tables: DataFrame, path: str, key: str, markdown: str = "markdown") -> None:
+    """Markdown tables (``key, markdown``) as CSV texts with their header lines, a folder ``key=...`` each, lines in order."""
+    from tableweave.operators import cells, codecs
+
+    rows = cells.to_rows(codecs.from_markdown(tables.select(key, F.col(markdown).alias("markdown")), [key]), [key])
+    quoted = lambda c: F.when(c.rlike('[",\\n\\r]'), F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(c)
+    line = lambda c: F.array_join(F.transform(c, quoted), ",")
+    lines = rows.select(key, (F.col("row_idx") + 1).alias("n"), line(F.col("cells")).alias("value"))
+    heads = rows.groupBy(key).agg(F.min_by("headers", "row_idx").alias("h")).select(key, F.lit(0).alias("n"), line(F.col("h")).alias("value"))
+    both = heads.unionByName(lines).repartition(key).sortWithinPartitions(key, "n")
+    both.select(key, "value").write.mode("overwrite").partitionBy(key).text(path)

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tableweave.functions.scalars import plain_spaces
+from tableweave.functions.scalars import joined_sections, plain_spaces, without_references
 from tableweave.sources.html_tree import HIDDEN, Node, tree_of
 
 TABLE = "struct<caption: string, footnote: string, headers: array<string>, rows: array<array<string>>>"
@@ -280,6 +280,19 @@ def page_tables(parsed: DataFrame, keys: list[str]) -> DataFrame:
     return parsed.select(*keys, F.posexplode("tables").alias("table_id", "t")).select(*keys, "table_id", "t.*")
 
 
+def texts_of_sections(articles: DataFrame, keys: list[str], sections: str = "sections") -> DataFrame:
+    """``keys, text``: an article's ``array<struct<section, content>>`` as plain text, without tables and without what stands
+    behind the last mention of references."""
+    kinds = ", ".join(f"`{k}` {articles.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            yield x[keys].assign(text=[text_of(t, tables=False) for t in x["__text"]])
+
+    told = articles.select(*keys, F.coalesce(joined_sections(F.col(sections)), F.lit("")).alias("__text")).mapInPandas(run, f"{kinds}, text string")
+    return told.select(*keys, without_references(F.col("text")).alias("text"))
+
+
 SPANS = "table_id int, row_idx int, nth int, wide int, high int, head boolean, text string"
 
 
