@@ -114,19 +114,20 @@ def without_contained(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
     Of equal rows the last stays. Rows say which of their cells are missing by a mask, and a table has few different masks:
     each row is put under every mask of its table that has all it misses itself, without the cells that the mask has. A row
     then only looks at those with the same cells under its own mask: at whether any of them says more, and at the last one
-    that says the same. All is equality, so partial sums come before the shuffle and no two rows of a table are compared.
-    Null cells are like no other.
+    that says the same. All is equality, so no two rows of a table are compared. The rows are read three times, so they had
+    better be a written table; cells are compared by 128 bits of hashes. Null cells are like no other.
     """
-    cells = F.array(*[F.coalesce(_c(c), F.concat(F.lit("\0"), F.col(ROW).cast("string"))) for c in columns])
     mask = reduce(lambda a, b: a + b, [F.when(_c(c) == MISSING, F.lit(1 << k)).otherwise(0).cast("long") for k, c in enumerate(columns)])
-    left = lambda under: F.transform("__cells", lambda c, k: F.when(F.getbit(under, k) == 1, F.lit("")).otherwise(c)).alias("__left")
-    told = df.withColumns({"__cells": cells, "__own": mask})
+    some = lambda under, k, c: F.when(under.bitwiseAND(1 << k) != 0, "").otherwise(F.coalesce(_c(c), F.concat(F.lit("\0"), F.col(ROW).cast("string"))))
+    # two hashes of 64 bits stand for the cells that a mask leaves
+    left = lambda under: [F.xxhash64(F.lit(n), *[some(under, k, c) for k, c in enumerate(columns)]).alias(f"__left{n}") for n in (0, 1)]
+    told = df.withColumn("__own", mask)
     masks = told.select(*keys, F.col("__own").alias("__mask")).distinct()
-    each = told.select(*keys, ROW, "__cells", "__own").join(masks, keys).filter(F.col("__own").bitwiseAND(F.bitwise_not("__mask")) == 0)
+    each = told.select(*keys, ROW, *[_c(c) for c in columns if c not in keys], "__own").join(masks, keys).filter(F.col("__own").bitwiseAND(F.bitwise_not("__mask")) == 0)
     same = F.col("__own") == F.col("__mask")
-    found = each.select(*keys, "__mask", left(F.col("__mask")), same.alias("__same"), ROW).groupBy(*keys, "__mask", "__left")
+    found = each.select(*keys, "__mask", *left(F.col("__mask")), same.alias("__same"), ROW).groupBy(*keys, "__mask", "__left0", "__left1")
     found = found.agg(F.bool_or(~F.col("__same")).alias("__more"), F.max(F.when(F.col("__same"), F.col(ROW))).alias("__last")).withColumnRenamed("__mask", "__own")
-    own = told.select(*[_c(c) for c in df.columns], "__own", left(F.col("__own"))).join(found, [*keys, "__own", "__left"])
+    own = told.select(*[_c(c) for c in df.columns], "__own", *left(F.col("__own"))).join(found, [*keys, "__own", "__left0", "__left1"])
     return own.filter(~F.col("__more") & (F.col("__last") == F.col(ROW))).select(*[_c(c) for c in df.columns])
 
 

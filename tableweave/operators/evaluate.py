@@ -154,8 +154,7 @@ def score_tables(
 
 def score_tables_separately(baseline: DataFrame, target: DataFrame, keys: list[str], anchors: list[str], rated: Rated, similarity: Similarity = exact_similarity) -> DataFrame:
     """As ``score_tables``, but ``text_score, number_score``: shares of equal columns of either kind, unweighted, unrounded by row."""
-    # written, so that the matching isn't repeated in each score
-    told = cut(_counterparts(baseline, target, keys, anchors, rated, similarity), "separate-pairs")
+    told = _counterparts(baseline, target, keys, anchors, rated, similarity)
 
     def share(p: Column, number: bool) -> Column:
         names = [c for c, n, _ in rated if n == number]
@@ -163,6 +162,7 @@ def score_tables_separately(baseline: DataFrame, target: DataFrame, keys: list[s
         return 10.0 * reduce(lambda x, y: x + y, [F.when(equal(c), 1.0).otherwise(0.0) for c in names]) / len(names) if names else F.lit(0.0)
 
     zero = F.struct(F.lit(0.0).alias("t"), F.lit(0.0).alias("n"))
+    # one fold over the pairs for both scores, so that the matching isn't repeated
     points = F.aggregate("pairs", zero, lambda s, p: F.when(p["mate"].isNull(), s).otherwise(F.struct((s["t"] + share(p, False)).alias("t"), (s["n"] + share(p, True)).alias("n"))))
     same = len(baseline.columns) == len(target.columns)
     score = lambda part, number: table_score(F.col(f"points.{part}"), F.col("less_rows"), F.col("more_rows")) if same and any(n == number for _, n, _ in rated) else F.lit(0)
