@@ -67,9 +67,22 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def from_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """SQL over the named tables, without registering names that other sessions' queries could meet."""
+def dealt_out(df: DataFrame, by: list[str]) -> DataFrame:
+    """Rows over several tasks a core, however few files or row groups hold them: a small file can be a lot of work.
+
+    The number is given, so that the tasks aren't put together again by their bytes, which say little about work to come.
+    """
+    spark = df.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, *by)
+
+
+def from_sql(spark: SparkSession, sf_dir: str, sql: str, *tables: str, dealt: list[str] | None = None) -> DataFrame:
+    """SQL over the named tables, without registering names that other sessions' queries could meet. With ``dealt`` the
+    tables' rows are dealt out by these columns before they are made larger."""
     frames = {t: load(spark, sf_dir, t) for t in tables}
+    if dealt:
+        frames = {t: dealt_out(df, dealt) for t, df in frames.items()}
     for t in tables:
         sql = sql.replace(f"FROM {t}\n", f"FROM {{{t}}}\n").replace(f"FROM {t})", f"FROM {{{t}}})")
     return spark.sql(sql, **frames)

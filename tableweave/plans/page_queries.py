@@ -26,7 +26,7 @@ FROM customer
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.from_sql(spark, sf_dir, _PAGE, "customer")
+    return inputs.from_sql(spark, sf_dir, _PAGE, "customer", dealt=["c_custkey"])
 
 
 @query(
@@ -43,7 +43,7 @@ def full_text_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN c_custkey % 2 = 0 THEN c_name || '|' || CAST(c_custkey AS STRING) ELSE '||;' || c_name || '|' || CAST(c_custkey AS STRING) || '|' || c_mktsegment END AS rows FROM customer"""
 )
 def full_text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = html_tables.page_tables(html_tables.parse_pages(_pages(spark, sf_dir), ["doc_id"]), ["doc_id"])
+    found = html_tables.page_tables(html_tables.parse_pages(_pages(spark, sf_dir), ["doc_id"], parts=("tables",)), ["doc_id"])
     return found.select("doc_id", "table_id", "caption", "footnote", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "|")), ";").alias("rows"))
 
 
