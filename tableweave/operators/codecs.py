@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import csv
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tableweave.operators.cells import COL, HEADER, ROW, VALUE, to_rows
+from tableweave.operators.cells import BLOCK_BITS, COL, HEADER, ROW, VALUE, to_rows
+
+PIECE = "piece"
 
 
 def markdown_cells(line: Column) -> Column:
@@ -22,7 +24,9 @@ def markdown_cells(line: Column) -> Column:
 def from_markdown(docs: DataFrame, keys: list[str], text_col: str = "markdown") -> DataFrame:
     """Markdown tables as cells: the first line has the headers, the second is skipped. Under three lines there is no table."""
     lines = docs.select(*keys, F.split(F.trim(text_col), "\n").alias("l")).filter(F.size("l") >= 3)
-    heads = lines.select(*keys, markdown_cells(F.get("l", F.lit(0))).alias("headers"), F.posexplode(F.slice("l", 3, F.size("l") - 2)).alias(ROW, "line"))
+    # headers first: each line would else go on with all lines of its text
+    heads = lines.select(*keys, markdown_cells(F.get("l", F.lit(0))).alias("headers"), F.slice("l", 3, F.size("l") - 2).alias("body"))
+    heads = heads.select(*keys, "headers", F.posexplode("body").alias(ROW, "line"))
     cell = heads.select(*keys, ROW, "headers", markdown_cells(F.col("line")).alias("c"))
     each = cell.select(*keys, ROW, "c", F.posexplode("headers").alias(COL, HEADER))
     return each.select(*keys, ROW, COL, HEADER, F.coalesce(F.get("c", F.col(COL)), F.lit("")).alias(VALUE))
@@ -32,23 +36,42 @@ def markdown_line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(F.transform(cells, lambda c: F.coalesce(c, F.lit(""))), " | "), F.lit(" |"))
 
 
+def _joined_lines(cells: DataFrame, keys: list[str], line: Callable[[Column, Column], Column]) -> DataFrame:
+    """``keys, headers, body``: the headers of each table's first row, and its rows' lines (of row and cells), in order.
+
+    Lines are joined by blocks of rows, then blocks, so that only a table's text itself is ever in one place.
+    """
+    dealt = cells.withColumn("__block", F.shiftright(ROW, BLOCK_BITS)).repartition(*keys, "__block")
+    rows = to_rows(dealt, [*keys, "__block"])
+    text = lambda order, c: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, F.col(c)))), lambda x: x[c]), "\n")
+    lines = rows.select(*keys, "__block", ROW, "headers", line(F.col(ROW), F.col("cells")).alias("__line"))
+    blocks = lines.groupBy(*keys, "__block").agg(text(ROW, "__line").alias("__text"), F.min_by("headers", ROW).alias("headers"))
+    return blocks.groupBy(*keys).agg(F.min_by("headers", "__block").alias("headers"), text("__block", "__text").alias("body"))
+
+
 def to_markdown(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Each table as a Markdown text: ``keys, markdown``. A table without rows has no cells, and so no text."""
-    rows = to_rows(cells, keys)
-    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, "headers", "cells"))).alias("r"))
-    head = F.col("r")[0]["headers"]
-    rule = markdown_line(F.transform(head, lambda h: F.lit("---")))
-    body = F.array_join(F.transform("r", lambda r: markdown_line(r["cells"])), "\n")
-    return packed.select(*keys, F.concat_ws("\n", markdown_line(head), rule, body).alias("markdown"))
+    told = _joined_lines(cells, keys, lambda _, c: markdown_line(c))
+    rule = markdown_line(F.transform("headers", lambda h: F.lit("---")))
+    return told.select(*keys, F.concat_ws("\n", markdown_line(F.col("headers")), rule, "body").alias("markdown"))
+
+
+def to_markdown_pieces(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``keys, piece, markdown``: each block of a table's rows as a Markdown text of its own, with the headers; a table of any
+    length is never one text."""
+    return to_markdown(cells.withColumn(PIECE, F.shiftright(ROW, BLOCK_BITS)), [*keys, PIECE])
+
+
+def from_markdown_pieces(docs: DataFrame, keys: list[str], text_col: str = "markdown") -> DataFrame:
+    """The cells of ``to_markdown_pieces``, rows numbered on from piece to piece."""
+    place = F.shiftleft(PIECE, BLOCK_BITS) + F.col(ROW)
+    return from_markdown(docs, [*keys, PIECE], text_col).select(*keys, place.alias(ROW), COL, HEADER, VALUE)
 
 
 def labelled_rows(cells: DataFrame, keys: list[str]) -> DataFrame:
     """Each table as a text for a reader who names rows and columns: ``col:`` before the headers, ``row i:`` before rows."""
-    rows = to_rows(cells, keys)
-    packed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(ROW, "headers", "cells"))).alias("r"))
-    head = F.concat(F.lit("col: "), markdown_line(F.col("r")[0]["headers"]))
-    body = F.transform("r", lambda r: F.concat(F.lit("row "), r[ROW].cast("string"), F.lit(": "), markdown_line(r["cells"])))
-    return packed.select(*keys, F.concat_ws("\n", head, F.array_join(body, "\n")).alias("display"))
+    told = _joined_lines(cells, keys, lambda row, c: F.concat(F.lit("row "), row.cast("string"), F.lit(": "), markdown_line(c)))
+    return told.select(*keys, F.concat_ws("\n", F.concat(F.lit("col: "), markdown_line(F.col("headers"))), "body").alias("display"))
 
 
 def repaired_csv_line(line: Column, n_header: Column) -> Column:

@@ -5,6 +5,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tableweave.operators.cells import numbered_in_blocks
+
+#: Order keys that are numbered together: 2 to this power.
+ORDER_BITS = 20
 
 # One table of parameter rows for each order, with missing values, errors, ranges and repeats by the keys' remainders.
 ASSEMBLED = """
@@ -41,13 +47,14 @@ INDIVIDUAL_COLUMNS = ["patient_id", "parameter_type", "parameter_value", "parame
 NATION = """(SELECT CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_custkey END AS n_regionkey, o_orderkey AS n_nationkey,
   CASE WHEN o_orderkey % 2 = 0 THEN 'even ' ELSE 'odd ' END || CAST(o_orderkey AS STRING) AS n_name FROM orders)"""
 REGION = "(SELECT c_custkey AS r_regionkey, c_name AS r_name FROM customer)"
+_NUMBERED = f"(SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS r FROM {NATION} t)"
 # The tables' cells: three columns, one without a header, one repeated header.
 NATION_CELLS = f"""
 SELECT n_regionkey AS doc_id, r - 1 AS row_idx, c AS col_idx,
   CASE c WHEN 0 THEN 'name' WHEN 1 THEN '' WHEN 2 THEN 'key' WHEN 3 THEN 'key' ELSE '' END AS header,
   CASE c WHEN 0 THEN n_name WHEN 1 THEN CASE WHEN n_nationkey % 3 = 0 THEN '' ELSE 'k' || CAST(n_nationkey AS STRING) END
     WHEN 2 THEN CAST(n_nationkey AS STRING) WHEN 3 THEN CAST(n_regionkey AS STRING) ELSE ' ' END AS value
-FROM (SELECT *, CAST(row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS INT) AS r FROM {NATION} t) n
+FROM {_NUMBERED} n
 CROSS JOIN (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) k
 """
 
@@ -111,7 +118,9 @@ def region(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def nation_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return from_sql(spark, sf_dir, NATION_CELLS, "orders")
+    # rows are numbered in blocks, as one of the tables has a third of all orders
+    numbered = numbered_in_blocks(nation(spark, sf_dir), ["n_regionkey"], "n_nationkey", "r0", ORDER_BITS).withColumn("r", F.col("r0") + 1)
+    return spark.sql(NATION_CELLS.replace(_NUMBERED, "{numbered}"), numbered=numbered)
 
 
 def matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
