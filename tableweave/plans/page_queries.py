@@ -54,7 +54,7 @@ UNION ALL SELECT c_custkey, 1, 'Results', c_mktsegment || chr(10) || 'Table of '
 FROM customer WHERE c_custkey % 2 = 1"""
 )
 def full_text_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = html_tables.parse_pages(_pages(spark, sf_dir), ["doc_id"])
+    parsed = html_tables.parse_pages(_pages(spark, sf_dir), ["doc_id"], parts=("sections",))
     return parsed.select("doc_id", F.posexplode("sections").alias("section_id", "s")).select("doc_id", "section_id", "s.section", "s.content")
 
 

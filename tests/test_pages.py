@@ -47,3 +47,13 @@ def test_plain_tags_are_read_as_the_parser_reads_them():
         plain.feed(html)
         plain.close()
         assert shown(html_tree.tree_of(html)) == shown(plain.root), html
+
+
+def test_sections_are_read_alone(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(html_tables, "parse_pages", lambda pages, keys, html_col="html", parts=(): asked.append(parts) or 1 / 0)
+    for query, parts in ((page_queries.full_text_sections, ("sections",)),):
+        try:
+            query(spark, SF)
+        except ZeroDivisionError:
+            assert asked[-1] == parts
