@@ -34,7 +34,7 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN c_custkey % 2 = 0 THEN 'On ' || c_name || chr(10) || 'and more' ELSE 'Short & plain ' || c_name END AS abstract FROM customer"""
 )
 def full_text_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_tables.parse_pages(_pages(spark, sf_dir), ["doc_id"]).select("doc_id", "title", "abstract")
+    return html_tables.parse_pages(_pages(spark, sf_dir), ["doc_id"], parts=("title", "abstract"))
 
 
 @query(

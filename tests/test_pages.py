@@ -49,10 +49,10 @@ def test_plain_tags_are_read_as_the_parser_reads_them():
         assert shown(html_tree.tree_of(html)) == shown(plain.root), html
 
 
-def test_sections_are_read_alone(spark, monkeypatch):
+def test_queries_ask_for_what_they_need(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(html_tables, "parse_pages", lambda pages, keys, html_col="html", parts=(): asked.append(parts) or 1 / 0)
-    for query, parts in ((page_queries.full_text_sections, ("sections",)),):
+    for query, parts in ((page_queries.full_text_sections, ("sections",)), (page_queries.full_text_heads, ("title", "abstract"))):
         try:
             query(spark, SF)
         except ZeroDivisionError:
