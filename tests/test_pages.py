@@ -57,3 +57,8 @@ def test_queries_ask_for_what_they_need(spark, monkeypatch):
             query(spark, SF)
         except ZeroDivisionError:
             assert asked[-1] == parts
+
+
+def test_single_tables_are_dealt_out(spark):
+    df = page_queries.single_tables(spark, SF)
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
