@@ -21,18 +21,26 @@ def is_abbreviation(a: Column, b: Column) -> Column:
     without letters, isn't like anything. A fold over the longer text's characters counts the letters found so far, so that
     time and memory grow with its length alone; the letters are an array that is made once.
     """
-    x, y = F.lower(F.trim(a)), F.lower(F.trim(b))
-    second = F.char_length(x) >= F.char_length(y)
-    short, long = F.when(second, y).otherwise(x), F.when(second, x).otherwise(y)
+    def told(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        second = F.char_length(x) >= F.char_length(y)
+        empty = (F.char_length(x) == 0).cast("int") + (F.char_length(y) == 0).cast("int")
+        return F.struct(F.when(second, y).otherwise(x).alias("short"), F.when(second, x).otherwise(y).alias("long"), empty.alias("empty"))
 
-    def all_found(letters: Column) -> Column:
+    def letters_of(p: Column) -> Column:
+        return F.struct(p["long"].alias("long"), p["empty"].alias("empty"), F.split(F.regexp_replace(p["short"], "[^a-z]", ""), "").alias("letters"))
+
+    def alike(p: Column) -> Column:
+        letters, long = p["letters"], p["long"]
         found = F.aggregate(F.split(long, ""), F.lit(0), lambda n, c: F.when(F.get(letters, n) == c, n + 1).otherwise(n))
-        return F.when(letters[0] == "", F.lit(False)).otherwise(found == F.size(letters))
+        # most texts lack the first or the last letter, so that nothing need be counted
+        there = F.contains(long, letters[0]) & F.contains(long, F.element_at(letters, -1))
+        some = F.when((letters[0] == "") | ~there, F.lit(False)).otherwise(found == F.size(letters))
+        return F.when(p["empty"] == 2, F.lit(True)).when(p["empty"] == 1, F.lit(False)).otherwise(some)
 
-    # the only element of an array, so that the letters aren't looked for anew at each character
-    alike = F.get(F.transform(F.array(F.split(F.regexp_replace(short, "[^a-z]", ""), "")), all_found), F.lit(0))
-    empty = (F.char_length(x) == 0).cast("int") + (F.char_length(y) == 0).cast("int")
-    return F.coalesce(F.when(empty == 2, F.lit(True)).when(empty == 1, F.lit(False)).otherwise(alike), F.lit(False))
+    # steps over the only element of an array, so that nothing is computed anew at each mention
+    pair = F.array(F.struct(F.lower(F.trim(a)).alias("x"), F.lower(F.trim(b)).alias("y")))
+    return F.coalesce(F.get(F.transform(F.transform(F.transform(pair, told), letters_of), alike), F.lit(0)), F.lit(False))
 
 
 def same_numbers(a: Column, b: Column) -> Column:
@@ -54,6 +62,8 @@ def exact_similarity(a: Column, b: Column) -> Column:
 
 def text_similarity(a: Column, b: Column, similarity: Similarity = exact_similarity) -> Column:
     """1 for abbreviations, 0 for texts with different numbers, else what the given similarity says."""
+    if similarity is exact_similarity:  # equal texts have equal numbers
+        return F.when(is_abbreviation(a, b), 1.0).otherwise(similarity(a, b))
     return F.when(is_abbreviation(a, b), 1.0).when(~same_numbers(a, b), 0.0).otherwise(similarity(a, b))
 
 
@@ -80,10 +90,13 @@ def _unquoted(c: Column) -> Column:
 
 def equal_text(a: Column, b: Column, similarity: Similarity = exact_similarity) -> Column:
     """Equality of texts for rating; null equals null and the empty text."""
-    x, y = _unquoted(a), _unquoted(b)
-    blank = F.coalesce(x, y) == ""
-    alike = F.when(F.lower(x) == F.lower(y), True).otherwise(text_similarity(x, y, similarity) > THRESHOLD)
-    return F.when(a.isNull() & b.isNull(), True).when(a.isNull() | b.isNull(), blank).otherwise(alike)
+    def told(p: Column) -> Column:
+        x, y = p["x"], p["y"]
+        alike = F.when(F.lower(x) == F.lower(y), True).otherwise(text_similarity(x, y, similarity) > THRESHOLD)
+        return F.when(x.isNull() & y.isNull(), True).when(x.isNull() | y.isNull(), F.coalesce(x, y) == "").otherwise(alike)
+
+    # without quotes once, as the only element of an array
+    return F.get(F.transform(F.array(F.struct(_unquoted(a).alias("x"), _unquoted(b).alias("y"))), told), F.lit(0))
 
 
 def equal_number(a: Column, b: Column) -> Column:

@@ -50,10 +50,14 @@ def _narrowing(own: Column, name: str, candidates: Column, every: Column, simila
     """The step of one anchor, from state to state."""
 
     def step(s: Column) -> Column:
-        hits = F.filter(s["open"], lambda k: loosely_equal(own, F.get(candidates, k)[name], similarity))
-        n = F.size(hits)
-        narrowed = F.struct((n == 1).alias("done"), hits.alias("hits"), F.when(n == 0, every).otherwise(hits).alias("open"))
-        return F.when(s["done"] | F.coalesce(F.trim(own) == "", F.lit(False)), s).otherwise(narrowed)
+        # compared once, as the only element of an array: each mention would compare all candidates anew; equal candidates
+        # are compared together
+        values = F.array_distinct(F.transform(s["open"], lambda k: F.get(candidates, k)[name]))
+        alike = F.filter(values, lambda v: loosely_equal(own, v, similarity))
+        found = lambda alike: F.filter(s["open"], lambda k: F.exists(alike, lambda v: v.eqNullSafe(F.get(candidates, k)[name])))
+        hits = F.element_at(F.transform(F.array(alike), found), 1)
+        narrowed = lambda h: F.struct((F.size(h) == 1).alias("done"), h.alias("hits"), F.when(F.size(h) == 0, every).otherwise(h).alias("open"))
+        return F.when(s["done"] | F.coalesce(F.trim(own) == "", F.lit(False)), s).otherwise(F.element_at(F.transform(F.array(hits), narrowed), 1))
 
     return step
 
