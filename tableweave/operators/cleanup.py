@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tableweave.plans.materialize import cut
+from tableweave.plans.inputs import dealt_out
 
 MISSING, ERROR = "N/A", "ERROR"
 ROW = "row_idx"
@@ -81,7 +81,12 @@ def normalized(df: DataFrame, columns: list[str], spellings: dict[str, str] | No
         told = F.when(c.rlike(r"^\s*$") | c.isin(*SAME_AS_MISSING), MISSING)
         return reduce(lambda w, kv: w.when(c == kv[0], kv[1]), spellings.items(), told).otherwise(c)
 
-    return df.withColumns({c: one(_c(c)) for c in columns})
+    # one expression for all cells, as code for each of many columns is too long to be compiled; a generator, so that no
+    # filter behind it holds the expression again
+    rest = [_c(c) for c in df.columns if c not in columns]
+    told = df.select(*rest, F.explode(F.array(F.transform(F.array(*[_c(c) for c in columns]), one))).alias("__cells"))
+    at = {c: k for k, c in enumerate(columns)}
+    return told.select(*[F.get("__cells", F.lit(at[c])).alias(c) if c in at else _c(c) for c in df.columns])
 
 
 def with_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -114,21 +119,24 @@ def without_contained(df: DataFrame, keys: list[str], columns: list[str]) -> Dat
     Of equal rows the last stays. Rows say which of their cells are missing by a mask, and a table has few different masks:
     each row is put under every mask of its table that has all it misses itself, without the cells that the mask has. A row
     then only looks at those with the same cells under its own mask: at whether any of them says more, and at the last one
-    that says the same. All is equality, so no two rows of a table are compared. The rows are read three times, so they had
-    better be a written table; cells are compared by 128 bits of hashes. Null cells are like no other.
+    that says the same. All is equality, so no two rows of a table are compared; cells are compared by 128 bits of hashes.
+    Null cells are like no other. All groups are within a table, so rows that are dealt out by tables aren't shuffled.
     """
     mask = reduce(lambda a, b: a + b, [F.when(_c(c) == MISSING, F.lit(1 << k)).otherwise(0).cast("long") for k, c in enumerate(columns)])
     some = lambda under, k, c: F.when(under.bitwiseAND(1 << k) != 0, "").otherwise(F.coalesce(_c(c), F.concat(F.lit("\0"), F.col(ROW).cast("string"))))
     # two hashes of 64 bits stand for the cells that a mask leaves
     left = lambda under: [F.xxhash64(F.lit(n), *[some(under, k, c) for k, c in enumerate(columns)]).alias(f"__left{n}") for n in (0, 1)]
-    told = df.withColumn("__own", mask)
-    masks = told.select(*keys, F.col("__own").alias("__mask")).distinct()
-    each = told.select(*keys, ROW, *[_c(c) for c in columns if c not in keys], "__own").join(masks, keys).filter(F.col("__own").bitwiseAND(F.bitwise_not("__mask")) == 0)
-    same = F.col("__own") == F.col("__mask")
-    found = each.select(*keys, "__mask", *left(F.col("__mask")), same.alias("__same"), ROW).groupBy(*keys, "__mask", "__left0", "__left1")
-    found = found.agg(F.bool_or(~F.col("__same")).alias("__more"), F.max(F.when(F.col("__same"), F.col(ROW))).alias("__last")).withColumnRenamed("__mask", "__own")
-    own = told.select(*[_c(c) for c in df.columns], "__own", *left(F.col("__own"))).join(found, [*keys, "__own", "__left0", "__left1"])
-    return own.filter(~F.col("__more") & (F.col("__last") == F.col(ROW))).select(*[_c(c) for c in df.columns])
+    own = [c for c in df.columns if c not in keys]
+    told = df.select(*keys, F.struct(*[_c(c) for c in own]).alias("__row"), mask.alias("__own"), *[_c(c) for c in columns if c not in keys], ROW)
+    told = told.withColumn("__masks", F.collect_set("__own").over(W.partitionBy(*keys)))
+    under = F.filter("__masks", lambda m: F.col("__own").bitwiseAND(F.bitwise_not(m)) == 0)
+    each = told.withColumn("__mask", F.explode(under)).withColumn("__same", F.col("__own") == F.col("__mask"))
+    # under the masks of others a row needn't be whole
+    each = each.select(*keys, "__mask", *left(F.col("__mask")), "__same", ROW, F.when(F.col("__same"), F.col("__row")).alias("__row"))
+    group = W.partitionBy(*keys, "__mask", "__left0", "__left1")
+    found = each.withColumns({"__more": F.bool_or(~F.col("__same")).over(group), "__last": F.max(F.when(F.col("__same"), F.col(ROW))).over(group)})
+    stay = found.filter(F.col("__same") & ~F.col("__more") & (F.col("__last") == F.col(ROW)))
+    return stay.select(*[F.col(c) if c in keys else F.col(f"__row.`{c}`").alias(c) for c in df.columns])
 
 
 def merged_pairs(df: DataFrame, keys: list[str], identity: list[str], columns: list[str]) -> DataFrame:
@@ -205,13 +213,13 @@ def clean_summary(df: DataFrame, keys: list[str], n: Names, columns: list[str])
     repeats the subject count, ranges split, contained rows out, ranges to medians.
     """
     told = rewritten(without_errors(df, columns), value_rules(n))
-    # each rule holds the one before; written here, so that nothing below holds them all again
-    told = cut(with_numbers(normalized(told, columns), [n.value, n.variation_type, n.lower, n.upper]), "cleanup-ruled")
+    told = with_numbers(normalized(told, columns), [n.value, n.variation_type, n.lower, n.upper])
+    # all that follows looks at the rows of one table, so they are shuffled once
+    told = dealt_out(told, keys)
     if n.identity:
         told = merged_in_order(told, keys, n.identity, columns)
     told = first_of_equal(told, keys, columns).filter(_c(n.subjects) != _c(n.value))
-    # read twice by the anti-join below
-    told = without_contained(cut(split_ranges(told, n), "cleanup-rows"), keys, columns)
+    told = without_contained(split_ranges(told, n), keys, columns)
     return range_to_median(told, keys, n, n.identity) if n.identity else told
 
 

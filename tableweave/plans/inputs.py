@@ -77,10 +77,11 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def dealt_out(df: DataFrame, by: list[str]) -> DataFrame:
     """Rows over several tasks a core, however few files or row groups hold them: a small file can be a lot of work.
 
-    The number is given, so that the tasks aren't put together again by their bytes, which say little about work to come.
+    The number is given, so that the tasks aren't put together again by their bytes, which say little about work to come. It
+    isn't that of other shuffles: where rows are dealt out alike already, Spark would leave this one out and keep that one.
     """
     spark = df.sparkSession
-    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) + 1)
     return df.repartition(n, *by)
 
 
