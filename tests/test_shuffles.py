@@ -17,3 +17,9 @@ def test_summary_rows_are_shuffled_once_and_not_written(spark):
     with materialize.recorded() as paths:
         clean = C.clean_summary(rows, ["doc_id"], C.Names(identity=["drug_name"]), cleanup_queries.COLUMNS)
     assert paths == [] and shuffles(clean) == 1
+
+
+def test_plain_summary_rows_too(spark):
+    with materialize.recorded() as paths:
+        clean = cleanup_queries.row_cleanup_summary(spark, SF)
+    assert paths == [] and shuffles(clean) == 2  # the first is of the query's own input
