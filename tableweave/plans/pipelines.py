@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tableweave.operators import cleanup
 from tableweave.operators.positional import ROW, exploded, gathered, replicated, zipped
+from tableweave.plans.inputs import dealt_out
 
 MISSING = "N/A"
 _WHO = ["Population", "Pregnancy stage", "Pediatric/Gestational age"]
@@ -92,7 +93,8 @@ def assembled_rows(pipeline: str, decisions: DataFrame, keys: list[str]) -> Data
     """
     direct, lookups = STEPS[pipeline]
     steps = [*direct, *lookups, *[match for match, _ in lookups.values()]]
-    packed = decisions.filter(F.col("step").isin(steps)).groupBy(*keys).agg(*[F.max(F.when(F.col("step") == s, F.col("payload"))).alias(f"__{s}") for s in steps])
+    # so many parts that none is large: answers are small as shuffled, but not as rows
+    packed = dealt_out(decisions.filter(F.col("step").isin(steps)), keys).groupBy(*keys).agg(*[F.max(F.when(F.col("step") == s, F.col("payload"))).alias(f"__{s}") for s in steps])
     rows, none = "array<array<string>>", F.array().cast("array<array<string>>")
     listed = lambda s: F.coalesce(F.from_json(f"__{s}", rows), none)
     told = packed.select(*keys, *[listed(s).alias(s) for s in (*direct, *lookups)], *[F.from_json(f"__{m}", "array<int>").alias(m) for m, _ in lookups.values()])

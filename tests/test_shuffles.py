@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tableweave.operators import cleanup as C
-from tableweave.plans import cleanup_queries, materialize
+from tableweave.plans import cleanup_queries, materialize, pipeline_queries, pipelines
 
 SF = "/root/testdata/sf0.001"
 
@@ -23,3 +23,8 @@ def test_plain_summary_rows_too(spark):
     with materialize.recorded() as paths:
         clean = cleanup_queries.row_cleanup_summary(spark, SF)
     assert paths == [] and shuffles(clean) == 2  # the first is of the query's own input
+
+
+def test_answers_are_dealt_out_however_small_they_are(spark):
+    rows = pipelines.assembled_rows("pk_summary", pipeline_queries._answers(spark, SF, "pk_summary"), ["doc_id"])
+    assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
