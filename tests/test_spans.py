@@ -57,3 +57,10 @@ def test_spans_in_mid_line_shift_nothing(spark):
     assert got == [(0, 0, "A", "1"), (0, 1, "B", "both"), (0, 2, "C", "3"), (1, 0, "A", "4"), (1, 1, "B", "both"), (1, 2, "C", "6")]
     # the other reading shifts what follows the span
     assert html_tables.grid_of(html_tables.tree_of(page).all("table")[0])[0][2] != ["4", "both", "6"]
+
+
+def test_cells_of_pages_leave_the_worker_as_arrow_batches(spark):
+    from tableweave.plans import page_queries
+
+    plan = page_queries.expanded_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "MapInPandas" not in plan
