@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tableweave.operators import cells as T
 from tableweave.operators.cells import COL, HEADER, ROW, VALUE
+from tableweave.plans.materialize import cut
 
 _OPEN = "array<struct<col: int, text: string, left: int>>"
 
@@ -69,8 +70,11 @@ def expanded_spans(spans: DataFrame, keys: list[str]) -> DataFrame:
 
 def table_cells(spans: DataFrame, keys: list[str]) -> DataFrame:
     """Written cells as a cell relation ``keys, row_idx, col_idx, header, value``: the leading lines of heads alone, at least
-    one, become stacked headers; rows are numbered from the first line behind them. Short lines are padded."""
-    grid = expanded_spans(spans, keys)
+    one, become stacked headers; rows are numbered from the first line behind them. Short lines are padded.
+
+    Both are read several times, so they are written once: pages are parsed once, spans expanded once."""
+    spans = cut(spans, "spans-written")
+    grid = cut(expanded_spans(spans, keys), "spans-grid")
     plain = spans.groupBy(*keys, ROW).agg(F.bool_and(F.coalesce("head", F.lit(False)) | (F.col("nth") < 0)).alias("heads"))
     heads = plain.groupBy(*keys).agg(F.greatest(F.coalesce(F.min(F.when(~F.col("heads"), F.col(ROW))), F.max(ROW) + 1), F.lit(1)).alias("__heads"))
     wide = grid.groupBy(*keys).agg(F.max(COL).alias("__last"), F.max(ROW).alias("__rows")).join(heads, keys)

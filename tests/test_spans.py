@@ -64,3 +64,10 @@ def test_cells_of_pages_leave_the_worker_as_arrow_batches(spark):
 
     plan = page_queries.expanded_spans(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "MapInPandas" not in plan
+
+
+def test_pages_are_parsed_once(spark):
+    from tableweave.plans import page_queries
+
+    plan = page_queries.spanned_tables(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapIn" not in plan  # all that reads cells again reads the written table
