@@ -50,7 +50,7 @@ def without_commas(text: Column, replacement: str = " ") -> Column:
 
 def plain_spaces(text: Column) -> Column:
     """Thin and no-break spaces as spaces."""
-    return F.translate(text, "  ", "  ")
+    return F.replace(F.replace(text, F.lit(" "), F.lit(" ")), F.lit(" "), F.lit(" "))
 
 
 def without_references(text: Column) -> Column:

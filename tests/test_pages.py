@@ -62,3 +62,18 @@ def test_queries_ask_for_what_they_need(spark, monkeypatch):
 def test_single_tables_are_dealt_out(spark):
     df = page_queries.single_tables(spark, SF)
     assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_pages_of_plain_tags_are_read_without_the_parser(monkeypatch):
+    bits = ["<p>", "</p>", "<td colspan=2>", "</td>", '<a b="c" b="d">', "<br>", "<tr>", "</tr>", "<table>", "</table>", "<li>", "&amp", "&lt;", "x ", "&", "\n", ">", '"', "<h1>", "</h1>", "</section>"]
+    dealt = random.Random(2)
+    shown = lambda n: n if isinstance(n, str) else (n.tag, n.attrs, [shown(c) for c in n.children])
+    pages = ["".join(dealt.choices(bits, k=dealt.randint(0, 14))) for _ in range(2000)]
+    want = []
+    for html in pages:
+        plain = _Plain()
+        plain.feed(html)
+        plain.close()
+        want.append(shown(plain.root))
+    monkeypatch.setattr(html_tree, "_Builder", lambda: 1 / 0)
+    assert [shown(html_tree.tree_of(html)) for html in pages] == want
