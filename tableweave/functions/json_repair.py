@@ -13,6 +13,12 @@ TRIES = 5
 LITERAL = r"^(?:-?(?:0|[1-9][0-9]*)(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?|true|false|null|NaN|-?Infinity)$"
 # What a text may go on with: a value, a value or the end of a list, a key, a key or the end of an object, a colon, a comma or an end, nothing.
 VALUE, FIRST, KEY, FIRST_KEY, COLON, COMMA, NOTHING = "v", "l", "k", "o", ":", ",", "e"
+# A whole string, with at most so many escapes that the match needs no deep stack; and a number or word.
+STRING = r'"[^"\\\x00-\x1F]*+(?:\\(?:["\\/bfnrt]|u[0-9A-Fa-f]{4})[^"\\\x00-\x1F]*+){0,50}+"'
+WORD = r"(?<![0-9A-Za-z+.\-])(?:-?(?:0|[1-9][0-9]*+)(?:\.[0-9]++)?+(?:[eE][+-]?[0-9]++)?+|true|false|null|NaN|-?Infinity)(?![0-9A-Za-z+.\-])"
+# Lists and objects that hold no others, of strings \x01 and other values \x02; how deep they are looked for.
+FLAT = r"\[(?:[\x01\x02](?:,[\x01\x02])*+)?+\]|\{(?:\x01:[\x01\x02](?:,\x01:[\x01\x02])*+)?+\}"
+DEPTH = 5
 _FIELDS = ("at", "want", "stack", "string", "escape", "begun", "literal", "fault")
 
 
@@ -75,11 +81,22 @@ def _structural(s: Column, c: Column) -> Column:
     )
 
 
+def surely_whole(text: Column) -> Column:
+    """Whether ``text`` is seen to be JSON by patterns alone: strings, then words, then what is nested become one character each,
+    inside out. False says nothing: a text may be nested deeper, or have a string with more escapes."""
+    told = F.regexp_replace(F.regexp_replace(text, STRING, "\x01"), WORD, "\x02")
+    told = F.regexp_replace(told, r"[ \t\n\r]++", "")
+    for _ in range(DEPTH):
+        told = F.regexp_replace(told, FLAT, "\x02")
+    return ~text.rlike(r"[\x01\x02]") & told.isin("\x01", "\x02")
+
+
 def first_fault(text: Column) -> Column:
     """The place from 0 of the character at which ``text`` stops being JSON, null if it is JSON.
 
     A string that isn't closed is at fault where it begins, as is a word that is no value; a text that ends too early at its
-    end. A fold over the characters with what is open, so time grows with the text alone.
+    end. A fold over the characters with what is open, so time grows with the text alone; most texts without a fault are told
+    without it (``surely_whole``).
     """
 
     def step(s: Column, c: Column) -> Column:
@@ -95,7 +112,7 @@ def first_fault(text: Column) -> Column:
         return _once(whole, lambda t: F.when(t["fault"] >= 0, t["fault"]).when(t["string"], t["begun"]).when(t["want"] != NOTHING, t["at"]))
 
     # an empty text has no characters at all
-    return F.when(text == "", F.lit(0)).otherwise(_once(F.aggregate(F.split(text, ""), start, step), end))
+    return F.when(text == "", F.lit(0)).when(~surely_whole(text), _once(F.aggregate(F.split(text, ""), start, step), end))
 
 
 def stripped_parts(parts: Column) -> Column:
@@ -104,8 +121,8 @@ def stripped_parts(parts: Column) -> Column:
     return F.transform(F.filter(parts, lambda p: p.isNotNull()), plain)
 
 
-def _state(parts: Column, text: Column, cut: Column) -> Column:
-    return F.struct(parts.alias("parts"), text.alias("text"), cut.alias("truncated"))
+def _state(parts: Column, text: Column, cut: Column, done: Column | None = None) -> Column:
+    return F.struct(parts.alias("parts"), text.alias("text"), cut.alias("truncated"), (F.lit(False) if done is None else done).alias("done"))
 
 
 def _begun_anew(parts: Column) -> Column:
@@ -146,7 +163,10 @@ def repaired_answers(parts: Column) -> Column:
     it stops being JSON make it one, and whether something was cut. No parts at all are an empty text."""
 
     def attempt(s: Column, _: Column) -> Column:
-        return _once(first_fault(s["text"]), lambda fault: F.when(fault.isNull() | (F.size(s["parts"]) == 0), s).otherwise(_mended(s, fault)))
+        # once a text is JSON it isn't looked at again
+        whole = _state(s["parts"], s["text"], s["truncated"], F.lit(True))
+        told = _once(first_fault(s["text"]), lambda fault: F.when(fault.isNull() | (F.size(s["parts"]) == 0), whole).otherwise(_mended(s, fault)))
+        return F.when(s["done"], s).otherwise(told)
 
     begun = _once(stripped_parts(parts), _begun_anew)
     told = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), begun, attempt)

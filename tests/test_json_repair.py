@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from tableweave.functions.json_repair import first_fault, repaired_answers
+from tableweave.functions.json_repair import first_fault, repaired_answers, surely_whole
+from tableweave.plans import decision_queries
 
 
 def faults(spark, texts):
@@ -55,3 +56,20 @@ def test_three_forms_of_answers(spark):
 def test_long_text(spark):
     text = json.dumps([{"k": "v" * 50, "n": k} for k in range(3000)])
     assert faults(spark, [text, text[:-1]]) == [None, len(text) - 1]
+
+
+def test_most_whole_texts_are_told_without_the_fold(spark):
+    whole = ['[{"a": "x{,\\n\\u00e9", "b": -1.5e3}, {"c": [1, {"d": null}], "e": {}}]', "[]", ' "a" ', "NaN", '[true,false]', "[" * 5 + "]" * 5]
+    broken = ['["a" "b"]', "[1 2]", "[1true]", '["a"true]', '{"a" 1}', '{1: 2}', "[01]", '["\\x"]', '["a\nb"]', "[1,]", "\x01", "[\x02]", '["]', '[""", ""]', "[1]]", "", '["a]', "+1", "[1.]", "tru", '{"a": {]}', "\u00a0[1]"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(whole + broken)], "i int, t string")
+    got = df.select("i", surely_whole(F.col("t")).alias("w"), first_fault(F.col("t")).alias("f")).orderBy("i").collect()
+    assert [r.w for r in got] == [True] * len(whole) + [False] * len(broken)
+    assert [r.f is None for r in got] == [r.w for r in got]
+    deep = "[" * 9 + '"' + "\\n" * 60 + '"' + "]" * 9
+    long = json.dumps([{"k": "v" * 50, "n": [k]} for k in range(30000)])
+    assert faults(spark, [deep, deep[:-1], long]) == [None, len(deep) - 1, None]
+
+
+def test_repaired_answers_are_dealt_out(spark):
+    df = decision_queries.repaired_answers(spark, "/root/testdata/sf0.001")
+    assert df.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
