@@ -31,22 +31,28 @@ def numeric_cells(cells: DataFrame, keys: list[str]) -> DataFrame:
     return found.select(*keys, (F.row_number().over(W.partitionBy(*keys).orderBy(ROW, COL)) - 1).cast("int").alias("n"), VALUE)
 
 
-def matrix_records(cells: DataFrame, keys: list[str], col_kind: Column, row_kinds: DataFrame) -> DataFrame:
+def matrix_records(cells: DataFrame, keys: list[str], col_kind: Column, row_kinds: DataFrame | Column) -> DataFrame:
     """Data cells of a table with row headers, subheaders and P values as records.
 
-    ``col_kind`` gives a column's category from its header; ``row_kinds`` (``keys, header, value, kind``) those of row
-    headers. A cell's row header is in the nearest row-header column to its left, its subheader the nearest one above in
-    that column, its P value in the nearest such column to the right. Each is a window, so no cell looks at another's row
-    more than once. Records without a digit in the value are left out.
+    ``col_kind`` gives a column's category from its header; ``row_kinds`` (``keys, header, value, kind``, or a column of the
+    cells) those of row headers. A cell's row header is in the nearest row-header column to its left, its subheader the
+    nearest one above in that column, its P value in the nearest such column to the right. Each is a window, so no cell looks
+    at another's row more than once; cells that are dealt out by their tables aren't shuffled for them. Records without a
+    digit in the value are left out.
     """
     told = cells.withColumn("__kind", col_kind)
-    heads = told.filter(F.col("__kind") == "Row headers").join(row_kinds.select(*keys, HEADER, VALUE, F.col("kind").alias("__row_kind")), [*keys, HEADER, VALUE], "left")
+    head = F.coalesce(F.col("__kind") == "Row headers", F.lit(False))
+    if isinstance(row_kinds, DataFrame):
+        kinds = row_kinds.select(*keys, HEADER, F.col(VALUE).alias("__of"), F.col("kind").alias("__row_kind"))
+        told = told.withColumn("__of", F.when(head, F.col(VALUE))).join(kinds, [*keys, HEADER, "__of"], "left").drop("__of")
+    else:
+        told = told.withColumn("__row_kind", F.when(head, row_kinds))
     above = W.partitionBy(*keys, COL).orderBy(ROW).rowsBetween(W.unboundedPreceding, -1)
-    heads = heads.withColumn("__sub", F.last(F.when(F.col("__row_kind") == "Subheader", F.col(VALUE)), ignorenulls=True).over(above))
+    told = told.withColumn("__sub", F.last(F.when(F.col("__row_kind") == "Subheader", F.col(VALUE)), ignorenulls=True).over(above))
     label = F.when(F.col("__sub").isNotNull(), F.concat(F.col("__sub"), F.lit("; "), F.col(VALUE))).otherwise(F.col(VALUE))
-    heads = heads.select(*keys, ROW, COL, F.struct(label.alias("label"), F.col("__row_kind").alias("kind")).alias("__head"))
+    told = told.withColumn("__head", F.when(head, F.struct(label.alias("label"), F.col("__row_kind").alias("kind"))))
     across = W.partitionBy(*keys, ROW).orderBy(COL)
-    wide = told.join(heads, [*keys, ROW, COL], "left").withColumns(
+    wide = told.withColumns(
         {
             "__left": F.last("__head", ignorenulls=True).over(across.rowsBetween(W.unboundedPreceding, -1)),
             "__p": F.first(F.when(F.col("__kind") == "P value", F.col(VALUE)), ignorenulls=True).over(across.rowsBetween(1, W.unboundedFollowing)),

@@ -172,7 +172,7 @@ def _outcome_answers(cells: DataFrame) -> DataFrame:
     told = _stacked(rows, {"header_categorize": by_header, "row_categorize": F.create_map(F.lit("Group"), F.col("m"))})
     # what a reader of the records would answer: each value with a unit that says which cell it was
     column_kind = F.when(F.col("header") == "Group", "Row headers").when(F.col("header") == "P", "P value").when(F.col("header") == "Exposed", "Exposure").when(F.col("header") == "Outcome", "Outcome")
-    records = positional.chunked(reshape.matrix_records(cells, _KEYS, column_kind, heads), _KEYS, ["row_idx", "col_idx"], 16)
+    records = positional.chunked(reshape.matrix_records(cells, _KEYS, column_kind, kind), _KEYS, ["row_idx", "col_idx"], 16)
     unit = F.concat(F.lit("u"), F.col("row_idx").cast("string"), F.lit("-"), F.col("col_idx").cast("string"))
     value = _texts(F.col("value"), unit, "Mean", "SD", "N/A", "IQR", "N/A", "N/A")
     chunks = records.groupBy("doc_id", F.col("chunk").alias("sub_id")).agg(_listed(F.struct("row_idx", "col_idx"), value).alias("v"))

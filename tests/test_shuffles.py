@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from tableweave.operators import cleanup as C
-from tableweave.plans import cleanup_queries, materialize, pipeline_queries, pipelines
+from tableweave.operators import reshape
+from tableweave.plans import cleanup_queries, graph_queries, inputs, materialize, pipeline_queries, pipelines
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,17 @@ def test_plain_summary_rows_too(spark):
 def test_answers_are_dealt_out_however_small_they_are(spark):
     rows = pipelines.assembled_rows("pk_summary", pipeline_queries._answers(spark, SF, "pk_summary"), ["doc_id"])
     assert rows.rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
+def test_cells_of_studies_stay_where_they_are_dealt_out(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "Group", "Sub A"), (1, 1, 0, "Group", "Age"), (1, 1, 1, "Exposed", "5")], "doc_id bigint, row_idx int, col_idx int, header string, value string")
+    kind, row_kind = F.when(F.col("header") == "Group", "Row headers").otherwise("Exposure"), F.when(F.col("value") == "Age", "Characteristic").otherwise("Subheader")
+    records = reshape.matrix_records(inputs.dealt_out(cells, ["doc_id"]), ["doc_id"], kind, row_kind)
+    assert shuffles(records) == 1
+    assert [r.asDict() for r in records.collect()] == [{"doc_id": 1, "row_idx": 1, "col_idx": 1, "characteristic": "Sub A; Age", "exposure": "Exposed", "outcome": "N/A", "value": "5", "p_value": None}]
+
+
+def test_study_outcomes_write_their_answers_alone(spark):
+    with materialize.recorded() as paths:
+        graph_queries.graph_pe_study_outcome(spark, SF)
+    assert len(paths) == 1
