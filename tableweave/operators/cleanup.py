@@ -51,7 +51,7 @@ def rewritten(df: DataFrame, rules: list[tuple[Column, dict[str, str | Column]]]
 
 
 def without_errors(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.filter(~F.exists(F.array(*[F.coalesce(_c(c), F.lit("")) for c in columns]), lambda x: x == ERROR))
+    return df.filter(~F.coalesce(F.array_contains(F.array(*[_c(c) for c in columns]), ERROR), F.lit(False)))
 
 
 def value_rules(n: Names) -> list[tuple[Column, dict[str, str]]]:
@@ -65,7 +65,7 @@ def value_rules(n: Names) -> list[tuple[Column, dict[str, str]]]:
     said = ~lower.rlike(r"^\s*N/A\s*$") & ~upper.rlike(r"^\s*N/A\s*$")
     return [
         (((stat == _c(n.interval)) | (stat == MISSING)) & ((value == lower) | (value == upper)), {n.value: MISSING, n.statistic: MISSING}),
-        (said & value.contains(lower) & value.contains(upper), {n.value: MISSING}),
+        (value.contains(lower) & value.contains(upper) & said, {n.value: MISSING}),
         (value == MISSING, {n.statistic: MISSING}),
         ((lower == MISSING) & (upper == MISSING), {n.interval: MISSING}),
         (both, {n.interval: "Range"}),
@@ -78,7 +78,8 @@ def normalized(df: DataFrame, columns: list[str], spellings: dict[str, str] | No
     spellings = SPELLINGS if spellings is None else spellings
 
     def one(c: Column) -> Column:
-        told = F.when(c.rlike(r"^\s*$") | c.isin(*SAME_AS_MISSING), MISSING)
+        # what is blank sorts before any text; only such cells are matched
+        told = F.when(((c < "!") & c.rlike(r"^\s*$")) | c.isin(*SAME_AS_MISSING), MISSING)
         return reduce(lambda w, kv: w.when(c == kv[0], kv[1]), spellings.items(), told).otherwise(c)
 
     # one expression for all cells, as code for each of many columns is too long to be compiled; a generator, so that no
@@ -91,7 +92,7 @@ def normalized(df: DataFrame, columns: list[str], spellings: dict[str, str] | No
 
 def with_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows with a digit in one of the columns."""
-    return df.filter(reduce(lambda a, b: a | b, [F.coalesce(_c(c).rlike(r"\p{Nd}"), F.lit(False)) for c in columns]))
+    return df.filter(F.concat_ws("|", *[_c(c) for c in columns]).rlike(r"\p{Nd}"))
 
 
 def first_of_equal(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
@@ -107,7 +108,8 @@ def split_ranges(df: DataFrame, n: Names) -> DataFrame:
     nothing is split."""
     lower, upper = _c(n.lower), _c(n.upper)
     found = lambda c: F.regexp_extract_all(c, F.lit(RANGE_PART), F.lit(0))
-    two = lambda c: F.size(found(c)) == 2
+    # two decimals are seven characters at least
+    two = lambda c: (F.char_length(c) >= 7) & (F.size(found(c)) == 2)
     parts = F.when((upper == MISSING) & two(lower), found(lower)).when(((lower == MISSING) | (lower == upper)) & two(upper), found(upper))
     told = df.withColumn("__f", parts)
     return rewritten(told, [(F.col("__f").isNotNull(), {n.lower: F.get("__f", F.lit(0)), n.upper: F.get("__f", F.lit(1))})]).drop("__f")
