@@ -25,11 +25,11 @@ _KEYS = ["doc_id"]
 
 
 def _summary_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    told = inputs.from_sql(spark, sf_dir, _CELLS, "orders")
-    cells = told.filter("doc_id % 7 <> 0 OR name <> 'Item'").select("doc_id", "row_idx", "col_idx", "header", "value")
+    told = inputs.from_sql(spark, sf_dir, _CELLS, "orders", dealt=["o_custkey"]).filter("doc_id % 7 <> 0 OR name <> 'Item'")
+    cell = F.struct("row_idx", "col_idx", "header", "value")
     # a table on its side has its column names as the first column's cells, under the first header
-    side = told.filter("doc_id % 7 = 0 AND name <> 'Item' AND r = 0").select("doc_id", "row_idx", F.lit(0).alias("col_idx"), F.lit("Item").alias("header"), F.col("name").alias("value"))
-    return cells.unionByName(side)
+    side = F.struct("row_idx", F.lit(0).alias("col_idx"), F.lit("Item").alias("header"), F.col("name").alias("value"))
+    return told.select("doc_id", F.inline(F.when(F.expr("doc_id % 7 = 0 AND r = 0"), F.array(side, cell)).otherwise(F.array(cell))))
 
 
 def _listed(order: Column, value: Column) -> Column:
@@ -49,7 +49,7 @@ def _stacked(told: DataFrame, steps: dict[str, Column], subs: dict[str, tuple[Co
 
 def _summary_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, doc = F.col("k"), F.col("doc_id")
-    orders = inputs.from_sql(spark, sf_dir, _CELLS, "orders").filter("name = 'Item'").select("doc_id", "k", "r")
+    orders = inputs.from_sql(spark, sf_dir, _CELLS, "orders", dealt=["o_custkey"]).filter("name = 'Item'").select("doc_id", "k", "r")
     some = orders.filter("NOT (doc_id % 5 = 0 AND doc_id % 7 <> 0 AND r = 0)")  # what is left once individual data are out
     text, one = k.cast("string"), doc % 3 == 1
     value = lambda n: _texts((k * 10 + n).cast("string"), ("Mean", "Median")[n], "SD", "1", "N/A", "N/A", "N/A", "0.05")

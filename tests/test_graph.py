@@ -5,6 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from tableweave.operators import cells as T
 from tableweave.operators import cleanup as C
 from tableweave.plans import graph, graph_queries, inputs, pipeline_queries
 
@@ -98,3 +99,23 @@ def test_merged_order_and_containment_against_brute_force(spark):
             want_left += [] if covered else [x]
     assert sorted(map(tuple, C.merged_in_order(df, ["t"], ["a"], cols).collect())) == sorted(want_order)
     assert sorted(map(tuple, C.without_contained(df, ["t"], cols).collect())) == sorted(want_left)
+
+
+def test_tables_are_turned_in_place_as_by_joins(spark):
+    import random
+
+    r = random.Random(4)
+    schema = "t int, row_idx int, col_idx int, header string, value string"
+    rows = []
+    for t in range(60):
+        wide = r.randint(1, 5)
+        heads = [r.choice(["", " ", "a", "b", "Unnamed_3", None]) for _ in range(wide)]
+        for k in range(r.randint(1, 5)):
+            # some rows are shorter
+            rows += [(t, k, c, heads[c], r.choice(["", " ", "x", "y", "Unnamed_1", None])) for c in range(wide if r.random() < 0.8 else r.randint(1, wide))]
+    cells = spark.createDataFrame(rows, schema).repartition(3)
+    told = graph.packed_tables(cells, ["t"]).select("t", graph.turned(F.struct("rows", "cols")).alias("x"))
+    lines = told.select("t", F.explode("x.rows").alias("r"), F.col("x.cols").alias("cols")).select("t", "r", F.explode("cols").alias("c"))
+    got = lines.select("t", "r.row_idx", "c.col_idx", "c.header", F.get("r.cells", F.col("c.old"))["value"].alias("value"))
+    want = T.transpose_and_repair(cells, ["t"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() > 100

@@ -53,3 +53,10 @@ def test_a_line_separator_is_no_blank_cell(spark):
     assert [r.c for r in C.normalized(rows, ["c"]).orderBy("i").collect()] == ["N/A", "N/A", "N/A", "\u2028", "\u0085", "!", "N/A", None, " x", "SD"]
     assert [r.i for r in C.without_errors(rows.withColumn("c", F.when(F.col("i") == 5, "ERROR").otherwise(F.col("c"))), ["c"]).orderBy("i").collect()] == [0, 1, 2, 3, 4, 6, 7, 8, 9]
     assert [r.i for r in C.with_numbers(rows.withColumn("d", F.when(F.col("i") > 6, F.lit("\u0663"))), ["c", "d"]).orderBy("i").collect()] == [7, 8, 9]
+
+
+def test_summaries_step_by_step_write_their_answers_alone(spark):
+    with materialize.recorded() as paths:
+        told = graph_queries.graph_pk_summary(spark, SF)
+    # answers, the orders that cells are made of, and times
+    assert len(paths) == 1 and shuffles(told) == 3
