@@ -118,11 +118,13 @@ CROSS JOIN (SELECT 'Patient' AS name UNION ALL SELECT 'Cmax' UNION ALL SELECT 'A
 
 
 def _individual_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    told = inputs.from_sql(spark, sf_dir, _PATIENTS, "orders")
-    upright = told.filter("doc_id % 7 <> 0").select("doc_id", F.col("r").alias("row_idx"), F.col("place").alias("col_idx"), F.col("name").alias("header"), "value")
+    told = inputs.from_sql(spark, sf_dir, _PATIENTS, "orders", dealt=["o_custkey"])
+    upright = F.struct(F.col("r").alias("row_idx"), F.col("place").alias("col_idx"), F.col("name").alias("header"), F.col("value"))
     # on its side: a row for each column but the patients', which are the headers
-    side = told.filter("doc_id % 7 = 0 AND place > 0").select("doc_id", (F.col("place") - 1).alias("row_idx"), (F.col("r") + 1).alias("col_idx"), F.concat(F.lit("P"), F.col("k").cast("string")).alias("header"), "value")
-    first = told.filter("doc_id % 7 = 0 AND place > 0 AND r = 0").select("doc_id", (F.col("place") - 1).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("Patient").alias("header"), F.col("name").alias("value"))
+    side = F.struct((F.col("place") - 1).alias("row_idx"), (F.col("r") + 1).alias("col_idx"), F.concat(F.lit("P"), F.col("k").cast("string")).alias("header"), F.col("value"))
+    first = F.struct((F.col("place") - 1).alias("row_idx"), F.lit(0).alias("col_idx"), F.lit("Patient").alias("header"), F.col("name").alias("value"))
+    cells = F.when(F.expr("doc_id % 7 <> 0"), F.array(upright)).when(F.col("r") == 0, F.array(first, side)).otherwise(F.array(side))
+    cells = told.filter("doc_id % 7 <> 0 OR place > 0").select("doc_id", F.inline(cells))
     k, doc = F.col("k"), F.col("doc_id")
     many = doc % 4 != 0
     orders = told.filter("name = 'Patient'")
@@ -145,7 +147,7 @@ def _individual_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Dat
         "param_type_unit": (typed("Cmax", "cmax", 1), F.when(many, typed("AUC", "auc", 0))), "drug_match": (F.array().cast("array<int>"), F.array().cast("array<int>")),
         "patient_match": (F.col("patient"), F.when(many, short)), "time_unit": (F.col("times"), F.when(many, F.array(_texts("5", "weeks")))),
     }
-    return upright.unionByName(side).unionByName(first), _stacked(answers, steps, subs)
+    return cells, _stacked(answers, steps, subs)
 
 
 # One patient needs no matching. Of several, the second sub-table's last one is padded with no patient, and goes as an error.

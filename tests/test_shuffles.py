@@ -60,3 +60,10 @@ def test_summaries_step_by_step_write_their_answers_alone(spark):
         told = graph_queries.graph_pk_summary(spark, SF)
     # answers, the orders that cells are made of, and times
     assert len(paths) == 1 and shuffles(told) == 3
+
+
+def test_single_patients_step_by_step_shuffle_their_orders_alone(spark):
+    with materialize.recorded() as paths:
+        told = graph_queries.graph_pk_individual(spark, SF)
+    # once for cells, once for answers
+    assert paths == [] and shuffles(told) == 2
