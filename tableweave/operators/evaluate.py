@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tableweave.functions.similarity import Similarity, cosine, equal_number, equal_text, exact_similarity, loosely_equal
-from tableweave.plans.materialize import cut
+from tableweave.plans.materialize import cut, hinted_by_size
 
 ROW = "row_idx"
 #: Rating columns as (name, is a number, weight).
@@ -87,22 +87,31 @@ def _pair(a: Column, b: Column) -> Column:
 def looked_up_similarities(baseline: DataFrame, target: DataFrame, keys: list[str], columns: list[str], vectors: DataFrame) -> DataFrame:
     """``keys, __similarities``: for each table the cosines of the texts that may meet in one of its columns.
 
-    ``vectors`` is ``text, vector``, as any model gives them. Cells become distinct texts, tables' pairs of them distinct
-    pairs; only those are joined to vectors and rated, once each, however many tables they occur in. Pairs without two
-    vectors are left out. Both tables of a key are small; their number isn't.
+    ``vectors`` is ``text, vector``, as any model gives them. Only texts that have a vector are paired, as numbers that stand
+    for them; the distinct pairs are joined to vectors and rated, once each, however many tables they occur in. A table's
+    own pairs aren't written: they are made again from its texts where its similarities are looked up, and stay where the
+    table is. Only where ratings are too many to be broadcast they are shuffled. Both tables of a key are small; their number isn't.
     """
-
-    def texts(df: DataFrame, name: str) -> DataFrame:
-        cells = F.array(*[F.struct(F.lit(c).alias("__column"), _cell_text(F.col(f"`{c}`")).alias(name)) for c in columns])
-        return df.select(*keys, F.inline(cells)).filter(F.col(name) != "").distinct()
-
-    both = texts(baseline, "__x").join(texts(target, "__y"), [*keys, "__column"])
-    met = cut(both.filter("__x <> __y").select(*keys, F.least("__x", "__y").alias("__a"), F.greatest("__x", "__y").alias("__b")).distinct(), "similar-met")
-    known = cut(vectors.select(_cell_text(F.col("text")).alias("text"), "vector").groupBy("text").agg(F.min("vector").alias("vector")), "similar-vectors")
-    side = lambda name: known.select(F.col("text").alias(name), F.col("vector").alias(f"v{name}"))
-    rated = met.select("__a", "__b").distinct().join(side("__a"), "__a").join(side("__b"), "__b").select("__a", "__b", cosine(F.col("v__a"), F.col("v__b")).alias("__s"))
-    told = met.join(rated.filter("__s IS NOT NULL"), ["__a", "__b"])
-    return told.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(_pair(F.col("__a"), F.col("__b")), "__s"))).alias(SIMILARITIES))
+    texts = vectors.select(_cell_text(F.col("text")).alias("__text"), "vector").filter("__text <> ''").groupBy("__text").agg(F.min("vector").alias("__vector"))
+    known = cut(texts.withColumn("__id", F.monotonically_increasing_id()), "similar-vectors")
+    named = hinted_by_size(known.select("__text", "__id"), F.octet_length("__text"))
+
+    def ids(df: DataFrame, name: str) -> DataFrame:
+        cells = F.array(*[F.struct(F.lit(k).alias("__column"), _cell_text(F.col(f"`{c}`")).alias("__text")) for k, c in enumerate(columns)])
+        told = df.select(*keys, F.inline(cells)).join(named, "__text")
+        return told.groupBy(*keys).agg(*[F.collect_set(F.when(F.col("__column") == k, F.col("__id"))).alias(f"{name}{k}") for k in range(len(columns))])
+
+    both = F.array(*[F.struct(F.col(f"__x{k}").alias("__xs"), F.col(f"__y{k}").alias("__ys")) for k in range(len(columns))])
+    met = ids(baseline, "__x").join(ids(target, "__y"), keys).select(*keys, F.inline(both))
+    met = met.select(*keys, "__ys", F.explode("__xs").alias("__x")).select(*keys, "__x", F.explode("__ys").alias("__y")).filter("__x <> __y")
+    met = met.select(*keys, F.least("__x", "__y").alias("__a"), F.greatest("__x", "__y").alias("__b"))
+    side = lambda name: hinted_by_size(known.select(F.col("__id").alias(name), F.col("__text").alias(f"t{name}"), F.col("__vector").alias(f"v{name}")), F.octet_length(f"t{name}") + 8 * F.size(f"v{name}"))
+    rated = met.select("__a", "__b").distinct().join(side("__a"), "__a").join(side("__b"), "__b")
+    rated = rated.select("__a", "__b", _pair(F.col("t__a"), F.col("t__b")).alias("__pair"), cosine(F.col("v__a"), F.col("v__b")).alias("__s")).filter("__s IS NOT NULL")
+    rated = cut(rated, "similar-rated")
+    told = met.join(hinted_by_size(rated, F.octet_length("__pair") + 24), ["__a", "__b"])
+    # a pair that meets twice, in two columns or either way round, has one rating
+    return told.groupBy(*keys).agg(F.map_from_entries(F.collect_set(F.struct("__pair", "__s"))).alias(SIMILARITIES))
 
 
 def by_lookup(a: Column, b: Column) -> Column:

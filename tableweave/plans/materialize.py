@@ -8,7 +8,7 @@ import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Where tables that were cut lie, as long as somebody holds them.
@@ -82,3 +82,8 @@ def small_enough(df: DataFrame, max_rows: int) -> bool:
 def hinted(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a cut table whose counted size allows it; otherwise leave the join to be shuffled."""
     return F.broadcast(df) if small_enough(df, max_rows) else df
+
+
+def hinted_by_size(df: DataFrame, size: Column, most: int = 32_000_000) -> DataFrame:
+    """As ``hinted``, by bytes: those of a row (``size``) and 64 that any row takes."""
+    return F.broadcast(df) if (df.agg(F.sum(size + 64)).first()[0] or 0) <= most else df

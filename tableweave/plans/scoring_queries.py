@@ -120,7 +120,7 @@ s AS (SELECT doc_id, CASE WHEN a = b OR list_cosine_similarity(x.embedding::DOUB
 SELECT doc_id, CAST(count(*) AS INT) AS less_rows, CAST(count(*) AS INT) AS more_rows, CAST(floor(100.0 * sum(points) / (10.0 * count(*))) AS INT) AS score FROM s GROUP BY doc_id"""
 )
 def embedded_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    made = lambda x: inputs.from_sql(spark, sf_dir, _NAMED.format(name=_LETTERS.format(x=x)), "orders")
+    made = lambda x: inputs.from_sql(spark, sf_dir, _NAMED.format(name=_LETTERS.format(x=x)), "orders", dealt=["o_custkey"])
     baseline, target = made("o_orderkey % 500"), made("(o_orderkey * 7 + o_custkey % 2) % 500")
     vectors = inputs.load(spark, sf_dir, "embeddings").select(F.expr(_LETTERS.format(x="vec_id")).alias("text"), F.col("embedding").cast("array<double>").alias("vector"))
     return evaluate.score_tables_by_vectors(baseline, target, ["doc_id"], ["value"], [("name", False, 1.0)], vectors)

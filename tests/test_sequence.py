@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tableweave.functions.similarity import is_abbreviation
 from tableweave.operators import cleanup, evaluate, positional, sequence
+from tableweave.plans import inputs, materialize
 from tableweave.sources import files
 
 
@@ -43,3 +44,37 @@ def test_scores_by_vectors(spark):
     b = spark.createDataFrame([(1, 0, "1", "'cardiac'"), (1, 1, "2", "heart"), (2, 0, "1", "heart")], "t int, row_idx int, v string, name string")
     got = evaluate.score_tables_by_vectors(a, b, ["t"], ["v"], [("name", False, 1.0)], vectors)
     assert sorted((r.t, r.score) for r in got.collect()) == [(1, 50), (2, 0)]
+
+
+def _names(spark, tables, shift):
+    return spark.range(tables * 10).selectExpr("CAST(id DIV 10 AS INT) AS t", "CAST(id % 10 AS INT) AS row_idx", "CAST(id AS STRING) AS v", f"chr(CAST(97 + (id * 7 + {shift}) % 20 AS INT)) AS name")
+
+
+def test_pairs_of_texts_are_not_written_for_each_table(spark):
+    vectors = spark.range(20).selectExpr("chr(CAST(97 + id AS INT)) AS text", "array(CAST(id AS DOUBLE), 1.0D) AS vector")
+    for tables in (2, 40):
+        a, b = (inputs.dealt_out(_names(spark, tables, shift), ["t"]) for shift in (0, 3))
+        with materialize.recorded() as paths:
+            told = evaluate.looked_up_similarities(a, b, ["t"], ["v", "name"], vectors)
+        # texts with their vectors, and pairs of these with their ratings, however many tables there are
+        assert all(spark.read.parquet(p).count() <= 20 * 20 // 2 for p in paths)
+        # tables stay where they were dealt out
+        assert told._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 2
+        assert told.count() == tables
+
+
+def test_looked_up_similarities_of_pairs_that_meet_twice(spark, monkeypatch):
+    rows = "t int, row_idx int, v string, name string"
+    a = spark.createDataFrame([(1, 0, "x", "Y"), (1, 1, "y", "x"), (1, 2, "", None), (2, 0, "x", "none"), (3, 0, "x", "y"), (None, 0, "x", "x")], rows)
+    b = spark.createDataFrame([(1, 0, "y", "'x'"), (1, 1, "x", "y"), (1, 2, "zero", ""), (2, 0, "none", "x"), (4, 0, "x", "y"), (None, 0, "y", "y")], rows)
+    vectors = spark.createDataFrame([("x", [1.0, 0.0]), ("Y", [3.0, 4.0]), (" y", [9.0, 9.0]), ("zero", [0.0, 0.0]), ("", [1.0, 1.0]), (None, [1.0, 1.0])], "text string, vector array<double>")
+    want = [(1, {"x\u001fy": 0.6})]
+    got = lambda: [(r.t, r[evaluate.SIMILARITIES]) for r in evaluate.looked_up_similarities(a, b, ["t"], ["v", "name"], vectors).collect()]
+    assert got() == want
+    monkeypatch.setattr(evaluate, "hinted_by_size", lambda df, size: df)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert got() == want
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
